@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicspark.llm import langid, media, mixing, toxicity
+from civicspark.llm import decontaminate, langid, media, mixing, near_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_media_columns": media.op3_media_columns,
+    "op4_quality": quality.op4_quality,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_language": langid.op10_language,
 }
