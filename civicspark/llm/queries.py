@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicspark.llm import decontaminate, langid, media, mixing, near_dedup, quality, toxicity
+from civicspark.llm import decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_pii": pii.op7_pii,
+    "op8_licenses": licenses.op8_licenses,
     "op9_mixing": mixing.op9_mixing,
     "op10_language": langid.op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.licences_sql(), "op9_mixing": mixing.mixing_sql()}
