@@ -5,7 +5,8 @@ passage with its set of word bigrams. A passage matches a template where
 ``2 * |shared| / (|passage| + |template|) >= threshold``. Since the shared bigrams are at most the
 smaller set, a template of b bigrams can only match passages of ``b * t / (2 - t)`` to
 ``b * (2 - t) / t`` bigrams: those size bounds choose the candidate templates of a passage before any
-set is compared, and passages that no template allows get no bigrams at all.
+set is compared. A match must also hold one of a few long words, so texts and lines without any of
+them are passed over; no match is lost by either.
 
 The templates are a small table of fixed texts, given as a parameter and held in the plan as a
 literal. Everything is a column expression on one row: no join, no shuffle.
@@ -17,6 +18,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,24 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: v for k, v in out.items() if v}
 
 
+def needed_words(known: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every match holds at least one.
+
+    A match shares at least ``b * t / (2 - t)`` of a template's b bigrams. Its longest words are taken
+    until the bigrams without any of them are too few for that.
+    """
+    out: set[str] = set()
+    for grams in known.values():
+        left, least = list(grams), len(grams) * threshold / (2 - threshold)
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in out, -len(w), w)):
+            if len(left) < least:
+                break
+            if any(word in g.split() for g in left):
+                out.add(word)
+                left = [g for g in left if word not in g.split()]
+    return sorted(out)
+
+
 def bigrams(words: Column) -> Column:
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -67,11 +88,14 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     low = min(len(v) for v in known.values()) * threshold / (2 - threshold)
     high = max(len(v) for v in known.values()) * (2 - threshold) / threshold
     held = F.array(*(F.struct(F.lit(k).alias("licence"), F.lit(len(v)).alias("n"), F.array(*map(F.lit, v)).alias("grams")) for k, v in known.items()))
-    lines = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), KEEP, " "), "\n")
+    words = needed_words(known, threshold)
+    low_text = F.lower(F.coalesce("text", F.lit("")))
+    holds = lambda text: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    lines = F.split(F.regexp_replace(low_text, KEEP, " "), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.trim(x).alias("words")))
     # bigrams are at most the blanks of a line; repeats can only make them fewer, so only the lower bound cuts here
     blanks = lambda x: F.length(x["words"]) - F.length(F.replace(x["words"], F.lit(" "), F.lit("")))
-    able = F.filter(numbered, lambda x: blanks(x) >= low)
+    able = F.filter(numbered, lambda x: holds(x["words"]) & (blanks(x) >= low))
     split = F.transform(able, lambda x: F.struct(x["line"].alias("line"), bigrams_of_line(x["words"]).alias("grams")))
     sized = F.filter(split, lambda x: F.size(x["grams"]).between(low, high))
 
@@ -83,7 +107,8 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         return F.struct(x["line"].alias("line"), top["licence"].alias("licence"), (-top["minus"]).alias("dice"))
 
     found = F.filter(F.transform(sized, best), lambda m: m["dice"] >= threshold)
-    return docs.select("doc_id", found.alias("matches"))
+    none = F.array().cast("array<struct<line:int,licence:string,dice:double>>")
+    return docs.select("doc_id", F.when(holds(low_text), found).otherwise(none).alias("matches"))
 
 
 def bigrams_of_line(line: Column) -> Column:
