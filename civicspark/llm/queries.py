@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicspark.llm import decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, toxicity
+from civicspark.llm import decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_media_columns": media.op3_media_columns,
     "op4_quality": quality.op4_quality,
     "op5_decontamination": decontaminate.op5_decontamination,
