@@ -70,8 +70,9 @@ def encode(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         b = data[where]
         length = (finish - begin).astype(np.float32)[:, None]
         x[:n, :KINDS] = np.bincount(of_byte * KINDS + KIND[b], minlength=n * KINDS).reshape(n, KINDS) / length
-        pair = (b[:-1].astype(np.int64) * 31 + b[1:] * 7) % PAIRS
-        x[:n, KINDS + 8 :] = np.bincount(of_byte[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / length
+        inner = np.flatnonzero(of_byte[:-1] == of_byte[1:])  # a pair lies within one passage
+        pair = (b[inner].astype(np.int64) * 31 + b[inner + 1].astype(np.int64) * 7) % PAIRS
+        x[:n, KINDS + 8 :] = np.bincount(of_byte[inner] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / length
         words = np.bincount(passage, minlength=n).astype(np.float32)
         code = SubstringHash(data).at(starts, ends)
         size = ends - starts
