@@ -59,7 +59,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, batch: int = 64, rate: float = 20.0, seed: int = 7) -> bytes:
+def train(texts: list[bytes], langs: list[str], steps: int = 800, batch: int = 64, rate: float = 20.0, seed: int = 7) -> bytes:
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
@@ -67,6 +67,7 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, batch: int = 64
     out, bias = rng.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     order = rng.permutation(len(texts))
     aside, order = order[: len(texts) // 8], order[len(texts) // 8 :]
+    epochs = max(6, -(-steps * batch // max(1, len(order))))  # a small sample is seen more often
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs)
         rng.shuffle(order)
