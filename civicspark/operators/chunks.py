@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import edit_ratio
+from civicspark.sources.tables import cut
 
 
 def chunk(docs: DataFrame, target: int = 7000, hard: int = 8000) -> DataFrame:
@@ -57,13 +58,15 @@ def word_weights(docs: DataFrame, stopwords: list[str], least: int = 3) -> DataF
 
 
 def similar_words(words: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, ratio), a < b: words whose edit ratio reaches ``least``.
+    """(a, b, ratio), a < b: words of three letters and more whose edit ratio reaches ``least`` (over 0.75).
 
-    Words within the ratio differ by at most (1 - least) of the longer length, so lengths are banded,
-    and of that many edits + 1 pieces of a word one must survive: pairs meet on shared letter bags of
-    two neighbouring letters, which every such pair has from three letters on.
+    e edits spoil at most 2e of a word's n - 1 pairs of neighbouring letters, and e is at most a
+    quarter of n here, so some pair survives wherever 2e < n - 1; pairs of words meet on it. What is
+    left, words of up to six letters, meets on the length band alone.
     """
-    pairs = words.select("word", F.length("word").alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))).alias("two"))
+    two = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
+    keys = F.when(F.length("word") <= 6, F.array_append(two, F.lit("short"))).otherwise(two)
+    pairs = words.where(F.length("word") >= 3).select("word", F.length("word").alias("n"), F.explode(F.array_distinct(keys)).alias("two"))
     a, b = pairs.toDF("a", "na", "two"), pairs.toDF("b", "nb", "two")
     near = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= (1 - least) * F.greatest("na", "nb") + 1e-9)
     met = a.join(b, "two").where(near).select("a", "b").distinct()
@@ -79,18 +82,16 @@ def word_clusters(weights: DataFrame, least: float = 0.8) -> DataFrame:
     order = weights.select("word", F.struct(-F.col("tfidf"), "word").alias("o"))
     links = similar_words(weights.select("word"), least).select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.join(order.toDF("a", "oa"), "a").join(order.toDF("b", "ob"), "b")
+    both = cut(both.join(order.toDF("a", "oa"), "a").join(order.toDF("b", "ob"), "b"))
     decided = None
     open_ = order
-    for _ in range(20):
+    while True:
         edge = both.join(open_.select(F.col("word").alias("a")), "a", "left_semi").join(open_.select(F.col("word").alias("b")), "b", "left_semi")
         beaten = edge.where("ob < oa").select(F.col("a").alias("word")).distinct()
         heads = open_.join(beaten, "word", "left_anti").select("word")
         joined = edge.join(heads.select(F.col("word").alias("b")), "b", "left_semi").groupBy("a").agg(F.min_by("b", "ob").alias("representative")).select(F.col("a").alias("word"), "representative")
         now = heads.select("word", F.col("word").alias("representative")).unionByName(joined.join(heads, "word", "left_anti"))
-        now = now.persist()
-        decided = now if decided is None else decided.unionByName(now)
-        open_ = open_.join(now.select("word"), "word", "left_anti").persist()
+        decided = cut(now if decided is None else decided.unionByName(now))
+        open_ = cut(open_.join(decided.select("word"), "word", "left_anti"))
         if open_.isEmpty():
-            break
-    return decided
+            return decided

@@ -42,13 +42,13 @@ def run_counts(items: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, by: str, when: str, gap: str = "30 days 23 hours 59 minutes 59.999999 seconds", late: str = "1 day") -> DataFrame:
     """Session windows of a stream or a table; the default gap keeps events up to 30 whole days apart together."""
-    timed = events.withWatermark(when, late) if events.isStreaming else events
+    timed = events.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, late) if events.isStreaming else events
     return timed.groupBy(by, F.session_window(when, gap).alias("session")).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
 def windowed_counts(events: DataFrame, when: str, kind: str, size: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Tumbling or sliding window counts by kind."""
-    timed = events.withWatermark(when, late) if events.isStreaming else events
+    timed = events.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, late) if events.isStreaming else events
     return timed.groupBy(F.window(when, size, slide or size).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
