@@ -92,6 +92,22 @@ def encode(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[order], bag_of[order]
 
 
+def encode_list(texts: list[bytes], at_most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` for many texts, a bounded number of bytes at a time."""
+    vectors, bags, start = [], [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= at_most):
+            size += len(texts[end])
+            end += 1
+        bounds = np.append(0, np.cumsum([len(t) for t in texts[start:end]]))
+        x, bag = encode(np.frombuffer(b"".join(texts[start:end]), np.uint8), bounds)
+        vectors.append(x)
+        bags.append(bag + start)
+        start = end
+    return np.concatenate(vectors), np.concatenate(bags)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -112,9 +128,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 30
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return _pack({"constant": np.array([share])})
-    joined = b"".join(texts)
-    bounds = np.append(0, np.cumsum([len(t) for t in texts]))
-    x, bag = encode(np.frombuffer(joined, np.uint8), bounds)
+    x, bag = encode_list(texts)
     rng = np.random.default_rng(seed)
     d = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     m = {"W": d(WIDTH, HIDDEN), "b": np.zeros(HIDDEN), "V": d(HIDDEN, HIDDEN), "U": d(HIDDEN, HIDDEN), "w": d(HIDDEN), "c": d(HIDDEN), "c0": np.zeros(1)}
@@ -163,7 +177,7 @@ def scorer(model: bytes):
         if "constant" in m:
             return np.full(len(column), float(m["constant"][0]))
         out = np.empty(len(column))
-        for start, end in slices(column):
+        for start, end in slices(column, 1 << 20):
             data, bounds = joined_bytes(column, start, end)
             x, bag = encode(data, bounds)
             out[start:end] = sigmoid(forward(m, x, np.searchsorted(bag, np.arange(end - start)), bag)[0])
