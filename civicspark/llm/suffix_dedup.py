@@ -38,13 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import GOLDEN, U64, SubstringHash, mix, runs, table, utf8
+from civicspark.llm.common import GOLDEN, U64, SubstringHash, joined_bytes, mix, runs, table, utf8
 
 LENGTH = 50
 ANCHOR = 24
 SPREAD = LENGTH - ANCHOR
-BATCH_BYTES = 8 << 20
-SEGMENT = 4 << 20
+BATCH_BYTES = 4 << 20
+SEGMENT = 1 << 20
+ENTRIES_AT_ONCE = 16_384
 PLACE_BITS = U64(24)
 PLACE_MASK = U64((1 << 24) - 1)
 NAME_SHIFT = U64(24)
@@ -97,11 +98,9 @@ class Batch:
     def __init__(self, rows: pa.Table):
         ids = rows.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        texts = rows.column("text").to_pylist()
-        texts = [texts[i] for i in order]
         self.ids = ids[order]
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.bounds = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        texts = rows.column("text").take(pa.array(order)).combine_chunks()
+        self.data, self.bounds = joined_bytes(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, 0, len(ids))
         found, owner = [], []
         for i, (a, b) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
             if b - a >= LENGTH:
@@ -154,12 +153,12 @@ def rank_names(rows: pa.Table) -> pa.Table:
     got = [[unpack(p[0]), unpack(p[1]), unpack(p[2], np.int64)] for p in rows.column("payload").to_pylist()]
     name = np.concatenate([np.cumsum(x[0]) for x in got])
     stretch, least = (np.concatenate([x[k] for x in got]) for k in (1, 2))
-    by = np.lexsort((least, stretch, name))
+    by = np.lexsort((stretch, name))
     n, s = name[by], stretch[by]
     new_name = np.append(True, n[1:] != n[:-1])
     fresh = new_name | np.append(True, s[1:] != s[:-1])
     smallest = np.empty(len(by), np.int64)
-    smallest[by] = least[by][fresh][np.cumsum(fresh) - 1]
+    smallest[by] = np.minimum.reduceat(least[by], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     ways = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(new_name))
     several = np.empty(len(by), bool)
     several[by] = (ways > 1)[np.cumsum(new_name) - 1]
@@ -238,18 +237,26 @@ def rank_windows(rows: pa.Table) -> pa.Table:
         leasts.append(unpack(p[3], np.int64))
     name, left, right, least = (np.concatenate(x) for x in (names, lefts, rights, leasts))
     size = left + right - SPREAD + 1  # windows of an entry: each is SPREAD bytes around the anchor
-    begin = np.append(0, np.cumsum(left + right)[:-1])
-    nth = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size)
-    start = np.repeat(begin, size) + nth
-    ahead = np.repeat(left, size) - nth
-    hashed = SubstringHash(np.frombuffer(b"".join(bodies), np.uint8))
-    window = mix(mix(np.repeat(name, size) + ahead.astype(U64) * GOLDEN) ^ hashed.at(start, start + SPREAD))
+    bytes_ = np.append(0, np.cumsum(left + right))
+    body = np.frombuffer(b"".join(bodies), np.uint8)
+    window = np.empty(size.sum(), U64)
+    done = 0
+    for a in range(0, len(name), ENTRIES_AT_ONCE):  # hashes need several times the bytes, so in bounded steps
+        b = min(a + ENTRIES_AT_ONCE, len(name))
+        k = size[a:b]
+        nth = np.arange(k.sum()) - np.repeat(np.append(0, np.cumsum(k)[:-1]), k)
+        start = np.repeat(bytes_[a:b] - bytes_[a], k) + nth
+        ahead = np.repeat(left[a:b], k) - nth
+        hashed = SubstringHash(body[bytes_[a] : bytes_[b]])
+        window[done : done + len(nth)] = mix(mix(np.repeat(name[a:b], k) + ahead.astype(U64) * GOLDEN) ^ hashed.at(start, start + SPREAD))
+        done += len(nth)
     own = np.repeat(least, size)
-    by = np.lexsort((own, window))
-    w = window[by]
-    fresh = np.append(True, w[1:] != w[:-1])
+    by = np.argsort(window, kind="stable")
+    window = window[by]
+    fresh = np.append(True, window[1:] != window[:-1])
+    del window
     smallest = np.empty(len(by), np.int64)
-    smallest[by] = own[by][fresh][np.cumsum(fresh) - 1]
+    smallest[by] = np.minimum.reduceat(own[by], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     out, at, edges = [], 0, np.append(0, np.cumsum(size))
     for number, x in zip(batches, names, strict=True):
         a, b = edges[at], edges[at + len(x)]
