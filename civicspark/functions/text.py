@@ -207,3 +207,16 @@ def agenda_rank(number: Column) -> list[Column]:
     """Sort columns: numeric item numbers as numbers first, then null, then text."""
     value = number.try_cast("double")
     return [F.when(value.isNotNull(), 0).when(number.isNull(), 1).otherwise(2), value, number]
+
+
+def web_link(base: str, kind: Column, key: Column) -> Column:
+    """Link of an entity in the portal; null where a part is missing."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.lower(kind), F.lit("?id="), key.cast("string"))
+
+
+def follows_up(query: Column, proforms: Sequence[str], turns: Column, most: int = 5, short: int = 3) -> tuple[Column, Column]:
+    """(follow-up, break): a short or anaphoric query in a running thread goes on, unless the thread is full."""
+    words = F.size(F.regexp_extract_all(query, F.lit(WORD), F.lit(0)))
+    on = (turns > 0) & (has_anaphora(query, proforms) | (words <= short))
+    full = turns >= most
+    return on & ~full, (turns > 0) & (full | ~on)

@@ -95,3 +95,9 @@ def word_clusters(weights: DataFrame, least: float = 0.8) -> DataFrame:
         open_ = cut(open_.join(decided.select("word"), "word", "left_anti"))
         if open_.isEmpty():
             return decided
+
+
+def backfill(docs: DataFrame, chunks_: DataFrame) -> DataFrame:
+    """Chunk 0 with the whole text for every document that has no chunk."""
+    missing = docs.where("text is not null").join(chunks_.select("doc").distinct(), "doc", "left_anti")
+    return missing.select("doc", F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")

@@ -91,3 +91,9 @@ def holds_all_terms(text: Column, terms: Column) -> Column:
 def valid_triples(triples: DataFrame) -> DataFrame:
     """Triples whose object is a literal or a reference, not both and not neither."""
     return triples.where(F.col("object_literal").isNull() != F.col("object_ref").isNull())
+
+
+def answer_scope(chosen: DataFrame | None, in_graph: DataFrame, refused: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Keys of an answer: the chosen ones, or all of the graph if none were, without refused and excluded ones."""
+    base = in_graph if chosen is None else chosen
+    return base.select("key").distinct().join(refused.select("key"), "key", "left_anti").join(excluded.select("key"), "key", "left_anti")

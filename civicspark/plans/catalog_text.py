@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
-from civicspark.operators import pairs, places, tags
+from civicspark.operators import chunks, graph, pairs, places, tags
 from civicspark.plans.catalog import TAGS_SQL, query, tag_rows
 from civicspark.sources import entities
 from civicspark.sources.tables import table
@@ -117,3 +117,36 @@ def high_water(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     marks = e.groupBy("user_id").agg(F.max(F.when(F.col("event_id") % 2 == 0, F.col("ts"))).alias("mark"), F.max("ts").alias("seen"))
     return marks.select("user_id", incremental.advanced(F.col("mark"), F.col("seen")).alias("mark"))
+
+
+@query("t24_t26_follow_up_links", r"""
+WITH c AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS words FROM conversations)
+SELECT conv_id, turn, turn > 0 AND words <= 3 AND turn < 5 AS goes_on, turn > 0 AND (turn >= 5 OR words > 3) AS breaks, 'https://portal.example/thread?id=' || conv_id AS link FROM c""")
+def follow_up(spark: SparkSession, sf: str) -> DataFrame:
+    on, off = tx.follows_up(F.col("text"), ["qqzz"], F.col("turn"))
+    link = tx.web_link("https://portal.example/", F.lit("Thread"), F.col("conv_id"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", on.alias("goes_on"), off.alias("breaks"), link.alias("link"))
+
+
+@query("u7_answer_scope", "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice > 1500)")
+def scope(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_size", "p_retailprice")
+    chosen = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("key"))
+    return graph.answer_scope(chosen, part, part.where("p_size < 10"), part.where("p_retailprice > 1500"))
+
+
+@query("e27_e2_backfill", "SELECT doc_id AS doc, length(text)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def backfilled(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    have = chunks.backfill(docs.join(table(spark, sf, "labels").select(F.col("doc_id").alias("doc")), "doc", "left_semi"), docs.limit(0))
+    return chunks.replace_chunks(have, chunks.backfill(docs, have)).join(have.select("doc"), "doc", "left_anti").select("doc", F.length("text").cast("long").alias("chars"))
+
+
+@query("a30_topic_clusters", f"""
+WITH {TAGS_SQL}, r AS (SELECT doc_id AS item, doc_id AS place FROM documents WHERE doc_id % 50 = 0),
+s AS (SELECT tag FROM r JOIN tags USING (item) GROUP BY 1 HAVING count(DISTINCT item) >= 2), n AS (SELECT count(*) AS n FROM s),
+f AS (SELECT item, place, tag FROM r JOIN tags USING (item) JOIN s USING (tag) WHERE (SELECT n FROM n) >= 3 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY place, item) = 1)
+SELECT item, min(tag) AS label, min(place) AS place FROM f GROUP BY 1 ORDER BY place, item LIMIT 5""")
+def topics(spark: SparkSession, sf: str) -> DataFrame:
+    related = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("place"))
+    return tags.topic_clusters(tag_rows(spark, sf), related, query_words=2)
