@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from civicspark.llm.common import cut
 
 
+#: Links of two integers that one task may hold: up to as many need no exchange at all.
+LINKS_PER_TASK = 200_000
+
+
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v) links to (node, component): the smallest node that can be reached, for every linked node.
 
     Each round hangs the larger neighbours of a node under its smallest neighbour, then does the same
     with the smaller ones; the link table shrinks to stars. Each round is cut with a checkpoint, and
-    only a count and a checksum come to the driver.
+    only a count and a checksum come to the driver. The rounds are the same whatever the number of
+    links; a table that is known to fit one task stays in one partition, larger ones are dealt.
     """
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges = cut(edges)
+    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+    alone = edges.count() <= LINKS_PER_TASK
+    edges = edges.coalesce(1) if alone else edges
     before = None
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _either_way(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = _either_way(large.join(low, "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
+        edges = cut(edges).coalesce(1) if alone else cut(edges)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -33,3 +38,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _either_way(df: DataFrame, one: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Two pairs of columns of each row as rows (u, v), which leaves the rows where they are."""
+    pair = lambda p: F.struct(F.col(p[0]).alias("u"), F.col(p[1]).alias("v"))
+    return df.select(F.explode(F.array(pair(one), pair(other))).alias("x")).select("x.u", "x.v")
