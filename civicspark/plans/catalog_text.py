@@ -50,11 +50,11 @@ def eras(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", tx.valid_at(F.col("o_orderdate").cast("date"), rules, F.col("o_orderpriority")).alias("party"))
 
 
-@query("t17_t18_t19_address_gate", "SELECT c_custkey, c_custkey % 3 = 0 AS address_only, CASE WHEN c_custkey % 3 = 0 THEN 'Hebelstraße 21, 76133 Karlsruhe' ELSE 'Umbau der Hebelstraße' END AS evidence FROM customer")
+@query("t17_t18_t19_address_gate", "SELECT c_custkey, c_custkey % 3 = 0 AS address_only, CASE WHEN c_custkey % 3 = 0 THEN 'Gartenstraße 21, 12345 Musterstadt' ELSE 'Umbau der Gartenstraße' END AS evidence FROM customer")
 def address_gate(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("c_custkey") % 3 == 0, "[x]Hebelstraße 21, 76133\nKarlsruhe").otherwise("[x]Umbau der Hebelstraße")
+    text = F.when(F.col("c_custkey") % 3 == 0, "[x]Gartenstraße 21, 12345\nMusterstadt").otherwise("[x]Umbau der Gartenstraße")
     clean = tx.without_noise(text, [r"\[x\]"])
-    return table(spark, sf, "customer").select("c_custkey", tx.only_as_address(clean, "Hebelstraße").alias("address_only"), F.trim(tx.excerpt(clean, F.lit("Hebelstraße"))).alias("evidence"))
+    return table(spark, sf, "customer").select("c_custkey", tx.only_as_address(clean, "Gartenstraße").alias("address_only"), F.trim(tx.excerpt(clean, F.lit("Gartenstraße"))).alias("evidence"))
 
 
 @query("t23_t7_t9_parsed_columns", "SELECT o_orderkey, o_orderdate::DATE::TIMESTAMP AS moment, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'motion' ELSE 'other' END AS kind, 'HH' || (o_orderkey % 5) AS code FROM orders")

@@ -48,9 +48,9 @@ def test_ballots(spark):
 
 
 def test_address_only(spark):
-    assert one(spark, tx.only_as_address(F.col("a"), "Hebelstraße"), a="Büro: Hebelstraße 21, 76133 Karlsruhe") is True
-    assert one(spark, tx.only_as_address(F.col("a"), "Hebelstraße"), a="Hebelstraße 21, 76133 Karlsruhe. Umbau der Hebelstraße") is False
-    assert one(spark, tx.only_as_address(F.col("a"), "Hebelstraße"), a="nichts") is False
+    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße"), a="Büro: Gartenstraße 21, 12345 Musterstadt") is True
+    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße"), a="Gartenstraße 21, 12345 Musterstadt. Umbau der Gartenstraße") is False
+    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße"), a="nichts") is False
 
 
 def test_unicode_boundaries(spark):
@@ -63,7 +63,7 @@ def test_small_text_rules(spark):
     assert one(spark, tx.column_name(F.col("a")), a="start") == "start_date" and one(spark, tx.column_name(F.col("a")), a="1 x") == "k_1_x"
     assert one(spark, tx.file_key(F.col("a")), a="00012.pdf") == "12"
     assert one(spark, tx.has_anaphora(F.col("a"), ["it", "that"]), a="what about it") is True
-    assert one(spark, tx.has_anaphora(F.col("a"), ["it", "that"]), a="it Karlsruhe") is False
+    assert one(spark, tx.has_anaphora(F.col("a"), ["it", "that"]), a="it Musterstadt") is False
     assert one(spark, tx.allowed_query(F.col("a")), a="x" * 251) is False and one(spark, tx.allowed_query(F.col("a")), a="a<b") is False
     assert one(spark, tx.teaser(F.col("a"), words=2), a="a b c") == "a b …"
     era = [("green", "G1", None, "2000-01-01"), ("green", "G2", "2000-01-02", None)]
