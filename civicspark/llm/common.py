@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a distinct long for each row, and that column's name.
+
+    The key of a table as read is the number of the row's file and its place there, so it is the same
+    whenever the table is read again; any other table is written once. The files' names are collected
+    and broadcast: as many short strings as there are files.
+    """
+    key, name = "row_key", "row_file"
+    while {key, name} & set(docs.columns):
+        key, name = f"{key}_", f"{name}_"
+    try:
+        if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+            raise AnalysisException("not a table as read")
+        located = docs.select("*", F.col("_metadata.file_path").alias(name), F.col("_metadata.row_index").alias(key))
+    except AnalysisException:
+        return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
+    paths = sorted(r[0] for r in located.select(name).distinct().collect())
+    files = docs.sparkSession.createDataFrame(pa.table({name: pa.array(paths, pa.string()), "file_no": pa.array(range(len(paths)), pa.int64())}))
+    numbered = located.join(F.broadcast(files.withColumnRenamed("file_no", f"{name}_no")), name)
+    return numbered.withColumn(key, F.shiftleft(f"{name}_no", 40) + F.col(key)).drop(name, f"{name}_no"), key
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One Arrow batch in, at most one out; batches are cut so that long texts stay bounded in memory."""
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import cut, table
+from civicspark.llm.common import cut, row_keyed, table
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -61,9 +61,14 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix emits the document)."""
+def mix_sources(docs: DataFrame, seed: int = 0, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (how often the mix emits the document).
+
+    A key, a column with another value in each row, is handed on and orders rows that are alike.
+    """
+    own = [key] if key else []
     sized = docs.select(
+        *own,
         "doc_id",
         "source",
         word_count().alias("size"),
@@ -82,30 +87,31 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     placed = (
         sized.alias("d")
         .join(steps, same)
-        .select("d.doc_id", "d.source", "d.size", "draw", "text_hash", "before_size", F.floor(F.col("draw") * F.col("ranges") / F.lit(4294967296.0)).alias("part"))
+        .select(*own, "d.doc_id", "d.source", "d.size", "draw", "text_hash", "before_size", F.floor(F.col("draw") * F.col("ranges") / F.lit(4294967296.0)).alias("part"))
     )
     parts = placed.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("in_part"))
     parts = parts.withColumn("before_part", F.coalesce(F.sum("in_part").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("p")
-    here = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id", "text_hash"))
+    here = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id", "text_hash", *own))
     numbered = placed.withColumn("in_range", here).alias("n")
     match = F.col("n.source").eqNullSafe(F.col("p.source")) & (F.col("n.size") == F.col("p.size")) & (F.col("n.part") == F.col("p.part"))
-    ranked = numbered.join(parts, match).select("n.doc_id", "n.source", "n.size", (F.col("before_size") + F.col("before_part") + F.col("in_range")).alias("rank"))
+    ranked = numbered.join(parts, match).select(*own, "n.doc_id", "n.source", "n.size", (F.col("before_size") + F.col("before_part") + F.col("in_range")).alias("rank"))
     goals = source_targets(sizes).alias("g")
     expected = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     crossed = F.floor(F.col("rank") * expected + offset_of(F.col("r.source"), seed)) - F.floor((F.col("rank") - 1) * expected + offset_of(F.col("r.source"), seed))
     return (
         ranked.alias("r")
         .join(goals, F.col("r.source").eqNullSafe(F.col("g.source")))
-        .select("doc_id", "r.source", "size", "source_size", "target", F.least(crossed, F.lit(MOST_REPEATS)).cast("int").alias("copies"))
+        .select(*own, "doc_id", "r.source", "size", "source_size", "target", F.least(crossed, F.lit(MOST_REPEATS)).cast("int").alias("copies"))
     )
 
 
 def emit_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mixed documents: each row once per copy, with its number from 1."""
-    copies = mix_sources(docs, seed).select(F.col("doc_id").alias("mix_id"), "copies").groupBy("mix_id").agg(F.max("copies").alias("copies")).where(F.col("copies") > 0)
+    keyed, key = row_keyed(docs)
+    copies = mix_sources(keyed, seed, key).where(F.col("copies") > 0).select(F.col(key).alias("mix_key"), F.col("copies").alias("mix_copies"))
     copy = "copy_no" if "copy_no" not in docs.columns else "mix_copy_no"
-    kept = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.mix_id")))
-    return kept.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(copy))
+    kept = keyed.alias("d").join(copies.alias("c"), F.col(f"d.{key}") == F.col("c.mix_key"))
+    return kept.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.mix_copies"))).alias(copy)).drop(key)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ dropped, and none is accepted without full sets.
 
 Edge cases: null, empty and wordless texts have the empty set, stand alone and are kept; texts of
 fewer words than a shingle have their whole word sequence as the one shingle; repeated rows of an id
-count as one document; extra columns are dropped; an empty table gives an empty table.
+count as one document, and rows without an id are left out (the pipeline's stage gives each row a key
+in place of its id, so there every row is compared); extra columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; extra columns
 of the input pass through. The last stage adds the number of each emitted copy.
+
+Stages decide row by row, by a key of the row in the written table they are given: ids may be null or
+repeat, also with other texts. Rows of the same text are near copies of one another, whatever their
+ids; texts without a word stand alone, as in the operator.
 """
 
 from __future__ import annotations
@@ -12,27 +16,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm import decontaminate, mixing, near_dedup, pii, toxicity
-from civicspark.llm.common import ensure_checkpoint_dir, table
+from civicspark.llm.common import ensure_checkpoint_dir, row_keyed, table
+
+
+def _by_row(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """The rows with a key, the key's name, and what an operator is given: the key in place of the id."""
+    keyed, key = row_keyed(docs)
+    return keyed, key, keyed.select(F.col(key).alias("doc_id"), "text")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not among ``ids`` (rows without an id stay)."""
-    return docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, keyed: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    return keyed.join(found.select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled documents that are here, drop those that the classifier calls toxic."""
+    """Fit on the labelled documents that are here, drop the rows that the classifier calls toxic."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score_toxicity(docs, model).where("predicted = 1"))
+    keyed, key, given = _by_row(docs)
+    return _without(docs, keyed, key, toxicity.score_toxicity(given, model).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: the document with the smallest id of each group stays."""
-    return _without(docs, near_dedup.near_duplicates(docs, width=5, part=80, whole=100).where("not kept"))
+    """Five-word shingles, similarity 0.8: of each group one row with its smallest id stays (null ids are last)."""
+    keyed, key, given = _by_row(docs)
+    found = near_dedup.near_duplicates(given, width=5, part=80, whole=100).select(F.col("doc_id").alias(key), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key))).alias("first")
+    kept = keyed.select("doc_id", key).join(found, key).groupBy("component_id").agg(first).select(F.col(f"first.{key}").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    keyed, key, given = _by_row(docs)
+    return _without(docs, keyed, key, decontaminate.contamination(given, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
