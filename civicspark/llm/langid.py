@@ -3,7 +3,8 @@
 Subwords are the byte n-grams (2 to 4) of the folded text, hashed into ``BUCKETS`` rows of an
 embedding table. A text is the mean of its subwords' embeddings; a linear softmax gives the
 languages. Both are trained together by stochastic gradient descent in numpy on at most ``FIT_ROWS``
-documents (chosen by a hash of the id, balanced over languages); a part of them, kept aside, sets the
+documents, or ``LEAST_EACH`` of each language if that is more (chosen by a hash of the id, balanced
+over languages, none of which is left out); a part of them, kept aside, sets the
 softmax temperature and the score below which an answer counts as rejected. Since the mean and the
 softmax's input are both linear, prediction multiplies the table by the output weights once.
 
@@ -18,13 +19,15 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark.llm.common import U64, crc32_of_id, fit_in_one_task, joined_bytes, map_arrow, slices, table, utf8
 from civicspark.llm.toxicity import FOLD, GAP
 
 FIT_ROWS = 6000
+#: Rows that each language may give however many there are; beyond FIT_ROWS / LEAST_EACH languages the sample grows with them.
+LEAST_EACH = 20
 FIT_BYTES = 1 << 15
 BUCKETS = 1 << 14
 DIMENSIONS = 16
@@ -127,16 +130,16 @@ def predictor(model: bytes):
 def fit_languages(docs: DataFrame, rows: int = FIT_ROWS) -> bytes:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc32_of_id() % HELD[0] != HELD[1]))
     known = known.where(F.octet_length("text") <= FIT_BYTES)
-    # the smallest hashes are taken before any text moves; a language gets at most `rows` of them
+    # the smallest hashes are taken before any text moves; every language gets an equal share, of LEAST_EACH rows at least
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
-    kinds = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    kinds = ids.select("lang").distinct().count()
     if not kinds:
         return b""
-    each = max(1, rows // len(kinds))
-    parts = [ids.where(F.col("lang") == k).orderBy("draw", "doc_id").limit(each).select("doc_id") for k in kinds]
-    picked = parts[0]
-    for part in parts[1:]:
-        picked = picked.unionByName(part)
+    each = max(LEAST_EACH, rows // kinds)
+    # first within 64 parts of each language, so that no task sorts a whole one
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("draw", "doc_id"))
+    some = ids.withColumn("part", F.pmod("draw", F.lit(64))).withColumn("place", place("part")).where(F.col("place") <= each)
+    picked = some.withColumn("place", place()).where(F.col("place") <= each).select("doc_id")
     sample = known.select("doc_id", "lang", utf8().alias("text")).join(F.broadcast(picked), "doc_id", "left_semi")
 
     def fit(rows_: pa.Table) -> bytes:
