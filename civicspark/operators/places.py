@@ -21,22 +21,30 @@ def dictionary_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
     """
     split = F.regexp_extract_all(F.lower(F.col("name")), F.lit(WORD), F.lit(0))
     wanted = names.select("name_id", "name", split.alias("parts")).where(F.size("parts") > 0).withColumn("word", F.element_at("parts", 1))
-    most = 12  # words of a name that travel with each position
+    most = wanted.agg(F.max(F.size("parts"))).first()[0] or 1  # words that travel with each position: as many as the longest name has
     words = docs.select("doc", words_at("text").alias("words"))
     first = wanted.select("word").distinct()
     at = words.select("doc", "words", F.posexplode("words").alias("at", "word")).select("doc", "at", "word", F.slice("words", F.col("at") + 1, F.lit(most)).alias("ahead"))
     hit = at.join(first, "word", "left_semi").join(wanted, "word")
-    return hit.where((F.size("parts") <= most) & (F.slice("ahead", F.lit(1), F.size("parts")) == F.col("parts"))).select("doc", "name_id", "name", "at", F.size("parts").alias("words"))
+    return hit.where(F.slice("ahead", F.lit(1), F.size("parts")) == F.col("parts")).select("doc", "name_id", "name", "at", F.size("parts").alias("words"))
 
 
 def longest_only(matches: DataFrame) -> DataFrame:
-    """Of overlapping matches the longest, then the leftmost: no kept match starts inside another kept one.
+    """Non-overlapping matches, as an alternation of the names finds them: leftmost first, of those the longest.
 
-    A match goes if a longer one (or an equally long one further left) covers its first or last word.
+    A match goes if it starts inside one that is kept; those that went cover nothing.
     """
-    w = Window.partitionBy("doc").orderBy("at", F.desc("words"), "name_id")
-    reach = F.max(F.col("at") + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return matches.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("at") >= F.col("reach"))).drop("reach")
+    row = F.struct("at", (-F.col("words")).alias("minus"), "name_id", F.struct(*matches.columns).alias("row"))
+    found = matches.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("found"))
+    start = F.struct(F.lit(0).cast("long").alias("reach"), F.slice("found", 1, 0).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = x["at"] >= acc["reach"]
+        reach = F.when(free, (x["at"] - x["minus"]).cast("long")).otherwise(acc["reach"])
+        return F.struct(reach.alias("reach"), F.when(free, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = F.aggregate("found", start, step, lambda acc: acc["kept"])
+    return found.select(F.explode(kept).alias("one")).select("one.row.*")
 
 
 def still_valid(links: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
