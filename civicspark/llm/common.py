@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +36,12 @@ def utf8(text_col: str = "text") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder the cluster names; a folder of our own only on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext.getCheckpointDir() is None:
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -88,7 +89,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def slices(column: pa.Array, at_most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, at_most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a binary column that hold about ``at_most`` bytes (a longer value stands alone)."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     start = 0
@@ -179,36 +180,51 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, mod: int, held: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold: (id, label), balanced by class.
+    """At most ``rows`` labelled documents outside the held-out fold: (id, label, text), balanced by class.
 
-    The choice follows a hash of the id, so it repeats; where one id has several labels the largest
-    holds. Null labels and ids without a document are passed over.
+    Places go to ids that have a document, by a hash of the id, so the choice repeats. Where one id has
+    several labels the largest holds; where it has several texts the smallest one does. Null labels and
+    null ids are passed over.
     """
+    here = docs.where(F.col(id_col).isNotNull())
     known = (
-        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc32_of_id(id_col) % mod != held))
+        labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc32_of_id(id_col) % mod != held))
         .groupBy(id_col)
         .agg(F.max(label).cast("int").alias("label"))
+        .join(here.select(id_col), id_col, "left_semi")
     )
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(rows // 2) for k in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     # at most `rows` rows of two integers: the bound makes this broadcast safe
-    return docs.select(id_col, utf8().alias("text")).join(F.broadcast(ids), id_col)
+    return here.select(id_col, utf8().alias("text")).join(F.broadcast(ids), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
 
 
-def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Table], bytes], columns: list[str]) -> bytes:
-    """Run a numpy fit over a bounded sample in one task and return the model's bytes."""
+def fit_in_one_task(sample: DataFrame, prepare: Callable[[bytes], bytes], fit: Callable[[list, list, list[bytes]], bytes], id_col: str, target: str) -> bytes:
+    """Fit over a bounded number of rows in one task; returns the model's bytes, or none without rows.
+
+    Texts are turned into packed features where they are, so the fit's task is sent features alone. It
+    gets ids, targets and features in the order of the ids.
+    """
+
+    def ready(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = pa.array([prepare(x.as_py()) for x in batch.column("text")], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(target), made], ["id", "target", "made"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        model = fit(pa.Table.from_batches(got)) if got else b""
+        ids, targets, made = [], [], []
+        for batch in batches:
+            ids += batch.column("id").to_pylist()
+            targets += batch.column("target").to_pylist()
+            made += batch.column("made").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], targets[i]))
+        model = fit([ids[i] for i in order], [targets[i] for i in order], [made[i] for i in order]) if ids else b""
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    rows = sample.select(*columns).repartition(1).mapInArrow(run, "model binary").collect()
+    kinds = dict(sample.dtypes)
+    features = map_arrow(sample.select(id_col, target, "text"), ready, f"id {kinds[id_col]}, target {kinds[target]}, made binary")
+    rows = features.repartition(1).mapInArrow(run, "model binary").collect()
     return bytes(rows[0]["model"]) if rows else b""
 
 
 def text_list(table_: pa.Table, name: str = "text") -> list[bytes]:
     return [x or b"" for x in table_.column(name).to_pylist()]
-
-
-MEMORY_AND_DISK = StorageLevel.MEMORY_AND_DISK

@@ -3,9 +3,9 @@
 Subwords are the byte n-grams (2 to 4) of the folded text, hashed into ``BUCKETS`` rows of an
 embedding table. A text is the mean of its subwords' embeddings; a linear softmax gives the
 languages. Both are trained together by stochastic gradient descent in numpy on at most ``FIT_ROWS``
-documents, or ``LEAST_EACH`` of each language if that is more (chosen by a hash of the id, balanced
-over languages, none of which is left out); a part of them, kept aside, sets the
-softmax temperature and the score below which an answer counts as rejected. Since the mean and the
+documents of any length, or ``LEAST_EACH`` of each language if that is more (chosen by a hash of the
+id, balanced over languages, none of which is left out); a part of them, kept aside, sets the softmax
+temperature and the score below which an answer counts as rejected. Since the mean and the
 softmax's input are both linear, prediction multiplies the table by the output weights once.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and counts as rejected.
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import U64, crc32_of_id, fit_in_one_task, joined_bytes, map_arrow, slices, table, utf8
+from civicspark.llm.common import U64, crc32_of_id, cut, fit_in_one_task, joined_bytes, map_arrow, slices, table, utf8
 from civicspark.llm.toxicity import FOLD, GAP
 
 FIT_ROWS = 6000
 #: Rows that each language may give however many there are; beyond FIT_ROWS / LEAST_EACH languages the sample grows with them.
 LEAST_EACH = 20
-FIT_BYTES = 1 << 15
+#: Parts of each language whose first rows are taken before those of the whole language.
+PARTS = 64
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
@@ -52,9 +53,25 @@ def subword_buckets(data: np.ndarray) -> list[np.ndarray]:
 
 def shares(text: bytes) -> np.ndarray:
     """The share of each bucket among a text's subwords."""
+    return spread(packed_shares(text))
+
+
+PACKED = np.dtype([("bucket", np.uint16), ("share", np.float32)])
+
+
+def packed_shares(text: bytes) -> bytes:
+    """The buckets that a text has, with their shares."""
     found = subword_buckets(FOLD[np.frombuffer(b" " + text + b" ", np.uint8)])
-    counts = np.bincount(np.concatenate(found), minlength=BUCKETS) if found else np.zeros(BUCKETS)
-    return (counts / max(1, counts.sum())).astype(np.float32)
+    bucket, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    out = np.empty(len(bucket), PACKED)
+    out["bucket"], out["share"] = bucket, n / max(1, n.sum())
+    return out.tobytes()
+
+
+def spread(packed: bytes) -> np.ndarray:
+    own, out = np.frombuffer(packed, PACKED), np.zeros(BUCKETS, np.float32)
+    out[own["bucket"]] = own["share"]
+    return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -62,21 +79,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], steps: int = 800, batch: int = 64, rate: float = 20.0, seed: int = 7) -> bytes:
+def train(packed: list[bytes], langs: list[str], steps: int = 800, batch: int = 64, rate: float = 20.0, seed: int = 7) -> bytes:
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     table_ = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
-    order = rng.permutation(len(texts))
-    aside, order = order[: len(texts) // 8], order[len(texts) // 8 :]
+    order = rng.permutation(len(packed))
+    aside, order = order[: len(packed) // 8], order[len(packed) // 8 :]
     epochs = max(6, -(-steps * batch // max(1, len(order))))  # a small sample is seen more often
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs)
         rng.shuffle(order)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x = np.stack([shares(texts[i]) for i in pick])
+            x = np.stack([spread(packed[i]) for i in pick])
             mean = x @ table_
             gap = softmax(mean @ out + bias)
             gap[np.arange(len(pick)), y[pick]] -= 1
@@ -87,7 +104,7 @@ def train(texts: list[bytes], langs: list[str], steps: int = 800, batch: int = 6
     weights = table_ @ out
     temperature, reject = 1.0, 0.0
     if len(aside) >= 20:
-        z = np.stack([shares(texts[i]) @ weights for i in aside]) + bias
+        z = np.stack([spread(packed[i]) @ weights for i in aside]) + bias
         loss = {t: -np.log(softmax(z / t)[np.arange(len(aside)), y[aside]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
         temperature = min(loss, key=loss.get)
         p = softmax(z / temperature)
@@ -97,9 +114,9 @@ def train(texts: list[bytes], langs: list[str], steps: int = 800, batch: int = 6
         enough = np.flatnonzero(good >= PRECISION)
         reject = float(top[by[enough[-1]]]) if len(enough) else 1.0
         reject = min(reject, 0.99)
-    packed = io.BytesIO()
-    np.savez(packed, weights=weights, bias=bias, names=np.array(names), temperature=np.array([temperature]), reject=np.array([reject]))
-    return packed.getvalue()
+    out = io.BytesIO()
+    np.savez(out, weights=weights, bias=bias, names=np.array(names), temperature=np.array([temperature]), reject=np.array([reject]))
+    return out.getvalue()
 
 
 def predictor(model: bytes):
@@ -129,29 +146,30 @@ def predictor(model: bytes):
 
 def fit_languages(docs: DataFrame, rows: int = FIT_ROWS) -> bytes:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc32_of_id() % HELD[0] != HELD[1]))
-    known = known.where(F.octet_length("text") <= FIT_BYTES)
-    # the smallest hashes are taken before any text moves; every language gets an equal share, of LEAST_EACH rows at least
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    # two short values for each id: places are given before any text moves
+    ids = cut(known.select("doc_id", "lang").distinct().withColumn("draw", F.xxhash64("doc_id")))
     kinds = ids.select("lang").distinct().count()
     if not kinds:
         return b""
     each = max(LEAST_EACH, rows // kinds)
-    # first within 64 parts of each language, so that no task sorts a whole one
+    # the first of 64 parts of each language come first, so that no task sorts a whole one; few rows of a part go on
     place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("draw", "doc_id"))
-    some = ids.withColumn("part", F.pmod("draw", F.lit(64))).withColumn("place", place("part")).where(F.col("place") <= each)
-    picked = some.withColumn("place", place()).where(F.col("place") <= each).select("doc_id")
-    sample = known.select("doc_id", "lang", utf8().alias("text")).join(F.broadcast(picked), "doc_id", "left_semi")
+    some = ids.withColumn("part", F.pmod("draw", F.lit(PARTS))).withColumn("place", place("part")).where(F.col("place") <= max(LEAST_EACH, 8 * each // PARTS))
+    picked = some.withColumn("place", place()).where(F.col("place") <= each).select("doc_id", "lang")
+    # as many pairs as the sample has rows: the bound makes this broadcast safe
+    sample = known.select("doc_id", "lang", utf8().alias("text")).join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
-    def fit(rows_: pa.Table) -> bytes:
-        order = np.argsort(rows_.column("doc_id").to_numpy(), kind="stable")
-        texts, langs = rows_.column("text").to_pylist(), rows_.column("lang").to_pylist()
-        return train([texts[i] for i in order], [langs[i] for i in order])
+    def fit(_: list, langs: list[str], packed: list[bytes]) -> bytes:
+        return train(packed, langs)
 
-    return fit_in_one_task(sample, fit, ["doc_id", "text", "lang"])
+    return fit_in_one_task(sample, packed_shares, fit, "doc_id", "lang")
 
 
 def identify_languages(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected (the calibrated score is below the cut-off)."""
+    """doc_id, held_out, lang_pred, score and rejected (the calibrated score is below the cut-off).
+
+    A language named ``und`` in the table would read as the answer for texts without a letter.
+    """
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(crc32_of_id() % HELD[0] == HELD[1], F.lit(False)).alias("held_out"),

@@ -7,8 +7,7 @@ a sigmoid branch) weighs the passages of a document, and the weighted sum is sco
 unit. All weights are learned together from document labels alone, in numpy.
 
 The fit sees at most ``FIT_ROWS`` labelled documents (half of each class as far as there are as many,
-chosen by a hash of the id) of at most ``FIT_BYTES`` bytes; the intercept is set back to the classes'
-true shares. Scoring covers every passage of every whole text.
+chosen by a hash of the id), of any length; the intercept is set back to the classes' true shares. Scoring covers every passage of every whole text.
 
 Edge cases: a null or empty text is one passage without words (all features 0). Without labelled
 rows of both classes the score is the share of label 1 (1 where there is no label at all, so that
@@ -29,7 +28,6 @@ from civicspark.llm.common import NOT_SPACE, SubstringHash, crc32_of_id, fit_in_
 
 PASSAGE_WORDS = 64
 FIT_ROWS = 6000
-FIT_BYTES = 1 << 16
 HIDDEN = 24
 HELD = (5, 0)
 THRESHOLD = 0.3
@@ -92,20 +90,9 @@ def encode(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[order], bag_of[order]
 
 
-def encode_list(texts: list[bytes], at_most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """``encode`` for many texts, a bounded number of bytes at a time."""
-    vectors, bags, start = [], [], 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end]) <= at_most):
-            size += len(texts[end])
-            end += 1
-        bounds = np.append(0, np.cumsum([len(t) for t in texts[start:end]]))
-        x, bag = encode(np.frombuffer(b"".join(texts[start:end]), np.uint8), bounds)
-        vectors.append(x)
-        bags.append(bag + start)
-        start = end
-    return np.concatenate(vectors), np.concatenate(bags)
+def encode_one(text: bytes) -> bytes:
+    """The passage vectors of one text, packed."""
+    return encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -124,36 +111,41 @@ def forward(m: dict, x: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> tupl
     return z @ m["c"] + m["c0"][0], h, t, g, a, z
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 30, batch: int = 64, rate: float = 0.01, seed: int = 11) -> bytes:
+def gradients(m: dict, fixed: dict, x: np.ndarray, starts: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the weighted logistic loss over some bags, by every weight; own: the bag of each row of x."""
+    logit, h, t, g, a, z = forward(m | fixed, x, starts, own)
+    gap = (sigmoid(logit) - y) * weight
+    dz = gap[:, None] * m["c"]
+    da = (dz[own] * h).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, starts)[own])
+    dt, dg = de[:, None] * m["w"] * g * (1 - t * t), de[:, None] * m["w"] * t * g * (1 - g)
+    dp = (a[:, None] * dz[own] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
+    scaled = (x - fixed["mean"]) / fixed["scale"]
+    return {"W": scaled.T @ dp, "b": dp.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ gap, "c0": np.array([gap.sum()])}
+
+
+def train(packed: list[bytes], labels: np.ndarray, share: float, epochs: int = 30, batch: int = 64, rate: float = 0.01, seed: int = 11) -> bytes:
+    """The model's bytes from each document's packed passage vectors and label."""
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return _pack({"constant": np.array([share])})
-    x, bag = encode_list(texts)
+    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in packed]
+    x, bag = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     rng = np.random.default_rng(seed)
     d = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     m = {"W": d(WIDTH, HIDDEN), "b": np.zeros(HIDDEN), "V": d(HIDDEN, HIDDEN), "U": d(HIDDEN, HIDDEN), "w": d(HIDDEN), "c": d(HIDDEN), "c0": np.zeros(1)}
     fixed = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-2}
-    first = np.searchsorted(bag, np.arange(len(texts) + 1))
+    first = np.searchsorted(bag, np.arange(len(bags) + 1))
     weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0) * len(labels)
     moment, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
             sizes = first[pick + 1] - first[pick]
             rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in pick])
             starts, own = np.append(0, np.cumsum(sizes)[:-1]), np.repeat(np.arange(len(pick)), sizes)
-            model = m | fixed
-            logit, h, t, g, a, z = forward(model, x[rows], starts, own)
-            gap = (sigmoid(logit) - labels[pick]) * weight[pick] / len(pick)
-            dz = gap[:, None] * m["c"]
-            da = (dz[own] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, starts)[own])
-            dt, dg = de[:, None] * m["w"] * g * (1 - t * t), de[:, None] * m["w"] * t * g * (1 - g)
-            dh = a[:, None] * dz[own] + dt @ m["V"].T + dg @ m["U"].T
-            dp = dh * (1 - h * h)
-            scaled = (x[rows] - fixed["mean"]) / fixed["scale"]
-            grad = {"W": scaled.T @ dp, "b": dp.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ gap, "c0": np.array([gap.sum()])}
+            grad = gradients(m, fixed, x[rows], starts, own, labels[pick], weight[pick] / len(pick))
             step += 1
             for k, v in grad.items():
                 v = v + 1e-4 * m[k]
@@ -177,7 +169,7 @@ def scorer(model: bytes):
         if "constant" in m:
             return np.full(len(column), float(m["constant"][0]))
         out = np.empty(len(column))
-        for start, end in slices(column, 1 << 20):
+        for start, end in slices(column):
             data, bounds = joined_bytes(column, start, end)
             x, bag = encode(data, bounds)
             out[start:end] = sigmoid(forward(m, x, np.searchsorted(bag, np.arange(end - start)), bag)[0])
@@ -188,15 +180,13 @@ def scorer(model: bytes):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label: str = "quality") -> bytes:
     share = labels.where(F.col(label).isNotNull() & (crc32_of_id() % HELD[0] != HELD[1])).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    sample = label_sample(docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES), labels, label, rows, *HELD)
+    sample = label_sample(docs, labels, label, rows, *HELD)
     share = 1.0 if share is None else share
 
-    def fit(rows_: pa.Table) -> bytes:
-        order = np.argsort(rows_.column("doc_id").to_numpy(), kind="stable")
-        texts = rows_.column("text").to_pylist()
-        return train([texts[i] for i in order], rows_.column("label").to_numpy()[order].astype(np.int64), share)
+    def fit(_: list, classes: list, packed: list[bytes]) -> bytes:
+        return train(packed, np.array(classes, np.int64), share)
 
-    return fit_in_one_task(sample, fit, ["doc_id", "text", "label"]) or _pack({"constant": np.array([share])})
+    return fit_in_one_task(sample, encode_one, fit, "doc_id", "label") or _pack({"constant": np.array([share])})
 
 
 def score_quality(docs: DataFrame, model: bytes) -> DataFrame:

@@ -6,8 +6,8 @@ naive Bayes log-count ratio between toxic and other documents; a logistic regres
 values is trained in numpy. The score is the probability it gives.
 
 The fit sees at most ``FIT_ROWS`` labelled documents (half of each class as far as there are as
-many, chosen by a hash of the id) of at most ``FIT_BYTES`` bytes each, and the intercept is set back
-to the classes' true shares. Everything else runs over every whole text.
+many, chosen by a hash of the id), of any length, and the intercept is set back to the classes' true
+shares. Everything else runs over every whole text.
 
 Edge cases: a null or empty text has no features and scores what the intercept gives. Without
 labelled rows of both classes the model is a constant: the share of label 1 (0 where there is none).
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from civicspark.llm.common import U64, crc32_of_id, fit_in_one_task, joined_bytes, label_sample, map_arrow, slices, table, utf8
 
 FIT_ROWS = 8000
-FIT_BYTES = 1 << 16
 LENGTHS = (4, 5, 6)
 FEATURES = 6000
 LEAST_DOCS = 4
@@ -68,20 +67,54 @@ def distinct_codes(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(codes)) if codes else np.empty(0, np.uint32)
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float, rounds: int = 400) -> bytes:
-    """Select n-grams, weigh them by log-count ratio, fit the regression; returns the model's bytes."""
-    held = [distinct_codes(t) for t in texts]
+class Counts:
+    """How many documents hold each code: sorted codes, merged as often as their number doubles."""
+
+    def __init__(self):
+        self.codes, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes)
+        self.size += len(codes)
+        if self.size > max(1 << 20, len(self.codes)):
+            self.merge()
+
+    def merge(self) -> None:
+        fresh, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        codes = np.union1d(self.codes, fresh)
+        counts = np.zeros(len(codes), np.int64)
+        counts[np.searchsorted(codes, self.codes)] = self.counts
+        counts[np.searchsorted(codes, fresh)] += n
+        self.codes, self.counts, self.waiting, self.size = codes, counts, [], 0
+
+
+def places(codes: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``have`` are among the sorted codes, and where."""
+    at = np.searchsorted(codes, have)
+    ok = (at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == have) if len(codes) else np.zeros(len(have), bool)
+    return ok, at[ok]
+
+
+def train(held: list[bytes], labels: np.ndarray, share: float, rounds: int = 400) -> bytes:
+    """Select n-grams, weigh them by log-count ratio, fit the regression; returns the model's bytes.
+
+    held: the distinct codes of each document, as the bytes of 32-bit numbers.
+    """
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return _pack(np.empty(0, np.uint32), np.empty(0), share if n1 and n0 else float(n1 > 0) * share, True)
-    code1, count1 = np.unique(np.concatenate([c for c, y in zip(held, labels, strict=True) if y]), return_counts=True)
-    code0, count0 = np.unique(np.concatenate([c for c, y in zip(held, labels, strict=True) if not y]), return_counts=True)
-    codes = np.union1d(code1[count1 >= LEAST_DOCS], code0[count0 >= LEAST_DOCS])
-    p, q = np.zeros(len(codes)), np.zeros(len(codes))
-    for have, count, into in ((code1, count1, p), (code0, count0, q)):
-        at = np.searchsorted(codes, have)
-        ok = (at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == have)
-        into[at[ok]] = count[ok]
+    of = (Counts(), Counts())
+    for own, y in zip(held, labels, strict=True):
+        of[y].add(np.frombuffer(own, np.uint32))
+    for x in of:
+        x.merge()
+    codes = np.union1d(*(x.codes[x.counts >= LEAST_DOCS] for x in of))
+    q, p = np.zeros(len(codes)), np.zeros(len(codes))
+    for x, into in zip(of, (q, p), strict=True):
+        ok, at = places(codes, x.codes)
+        into[at] = x.counts[ok]
     both = p + q
     expect = both * n1 / (n1 + n0)
     gain = (p - expect) ** 2 / np.maximum(expect, 1e-9) + (p - expect) ** 2 / np.maximum(both - expect, 1e-9)
@@ -89,18 +122,17 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, rounds: int = 40
     codes, p, q = codes[best], p[best], q[best]
     ratio = np.log((p + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n0 + 2 * SMOOTHING))
     rows, cols = [], []
-    for i, have in enumerate(held):
-        at = np.searchsorted(codes, have)
-        ok = (at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == have)
-        cols.append(at[ok])
-        rows.append(np.full(int(ok.sum()), i))
+    for i, own in enumerate(held):
+        at = places(codes, np.frombuffer(own, np.uint32))[1]
+        cols.append(at)
+        rows.append(np.full(len(at), i))
     rows_, cols_ = np.concatenate(rows), np.concatenate(cols)
     values = ratio[cols_]
     w, bias = np.zeros(len(codes)), 0.0
     speed = np.full(len(codes) + 1, 1e-8)
     weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     for _ in range(rounds):  # AdaGrad over all rows at once
-        z = np.bincount(rows_, values * w[cols_], minlength=len(texts)) + bias
+        z = np.bincount(rows_, values * w[cols_], minlength=len(held)) + bias
         gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
         g = np.append(np.bincount(cols_, values * gap[rows_], minlength=len(codes)) + 1e-5 * w, gap.sum())
         speed += g * g
@@ -155,14 +187,12 @@ def scorer(model: bytes):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label: str = "toxic") -> bytes:
     """Model bytes from labelled documents outside the held-out fold."""
     share = labels.where(F.col(label).isNotNull() & (crc32_of_id() % HELD[0] != HELD[1])).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    sample = label_sample(docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES), labels, label, rows, *HELD)
+    sample = label_sample(docs, labels, label, rows, *HELD)
 
-    def fit(rows_: pa.Table) -> bytes:
-        order = np.argsort(rows_.column("doc_id").to_numpy(), kind="stable")
-        texts = rows_.column("text").to_pylist()
-        return train([texts[i] for i in order], rows_.column("label").to_numpy()[order].astype(np.int64), share)
+    def fit(_: list, classes: list, held: list[bytes]) -> bytes:
+        return train(held, np.array(classes, np.int64), share)
 
-    return fit_in_one_task(sample, fit, ["doc_id", "text", "label"]) or _pack(np.empty(0, np.uint32), np.empty(0), 0.0, True)
+    return fit_in_one_task(sample, lambda text: distinct_codes(text).tobytes(), fit, "doc_id", "label") or _pack(np.empty(0, np.uint32), np.empty(0), 0.0, True)
 
 
 def score_toxicity(docs: DataFrame, model: bytes) -> DataFrame:

@@ -7,7 +7,7 @@ from civicspark.llm import langid
 
 def test_no_language_is_left_out_of_the_fit(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(langid, "fit_in_one_task", lambda sample, fit, columns: seen.extend(sample.select(*columns).collect()) or b"")
+    monkeypatch.setattr(langid, "fit_in_one_task", lambda sample, *_: seen.extend(sample.collect()) or b"")
     rows = [(k, f"text {k}", f"l{k % 230:03d}") for k in range(1600)]
     langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=460)
     counts = {}
