@@ -7,22 +7,26 @@ Documents are sets of word shingles. The stages:
    ``SKETCH_BITS`` parities. The XOR of two sketches holds the parities of the samples that differ,
    so its population count gives the similarity, most precisely where it is high;
 2. equal sets are one representative from here on;
-3. each band bucket is a star around its smallest representative. Star pairs whose sketches could be
+3. each band bucket is a star around one of its representatives. Star pairs whose sketches could be
    of linked sets are confirmed on full sets, and components of the confirmed links are formed;
-4. in the buckets that still hold several components, every representative outside the bucket group's
-   largest component is compared with every one of another component: sketches first, then full
-   sets. These comparisons are dealt in blocks of bounded size, read as a stream, and emit only links
-   that join components within the block; no pair of one component is looked at;
-5. components again, then every document gets the smallest id reachable.
+4. in the buckets that still hold several components, the members outside the bucket's largest
+   component are compared with all members by their sketches alone, in blocks of bounded size. That
+   gives the components that may be linked, and the members that could be the link: often few. Only
+   their texts move, and full sets are compared, again in blocks, read as streams. A block emits
+   links that join components within it, so never all pairs; no pair of one component is looked at;
+5. components again, then every row gets the smallest id of its component.
 
-A pair of similarity 0.85 shares no bucket with probability (1 - 0.85**5)**32 = 7e-9; a linked pair's
-sketch estimate lies under the cut (threshold - 0.17) with less than 1e-5. So no link is capped or
-dropped, and none is accepted without full sets.
+Rows are told apart by a key, not by id. A pair of similarity 0.85 shares no bucket with probability
+(1 - 0.85**5)**32 = 7e-9; a linked pair's sketch estimate lies under the cut (threshold - 0.17) with
+less than 1e-5. So no link is capped or dropped, and none is accepted without full sets.
 
 Edge cases: null, empty and wordless texts have the empty set, stand alone and are kept; texts of
-fewer words than a shingle have their whole word sequence as the one shingle; repeated rows of an id
-count as one document, and rows without an id are left out (the pipeline's stage gives each row a key
-in place of its id, so there every row is compared); extra columns are dropped; an empty table gives an empty table.
+fewer words than a shingle have their whole word sequence as the one shingle. Each row has a row in
+the result: rows that repeat an id are judged by their own texts and are kept if the id is their
+component's smallest; rows without an id are compared too, come after all ids, and where a component
+has no id, its ``component_id`` is null and one row of it is kept. ``first`` marks exactly one row of
+each component, the one with the smallest id, and of several the first as read. Extra columns are
+dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import GOLDEN, LOWER, NOT_SPACE, U64, SubstringHash, cut, joined_bytes, map_arrow, mix, runs, slices, table, utf8
+from civicspark.llm.common import GOLDEN, LOWER, NOT_SPACE, U64, SubstringHash, cut, joined_bytes, map_arrow, mix, row_keyed, runs, slices, table, utf8
 from civicspark.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -45,8 +49,10 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 MARGIN = 0.17
 #: Shingles that one block of compared representatives may hold in memory.
 BLOCK_SHINGLES = 400_000
+#: Sketches that one block of compared bucket members may hold in memory.
+BLOCK_SKETCHES = 20_000
 #: Rows that one stream of compared representatives may have.
-STREAM_ROWS = 20_000
+STREAM_ROWS = 1_000
 
 _draw = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U64) * GOLDEN)
 MULTIPLY = (_draw[:SAMPLES] | U64(1)).astype(np.uint32)[:, None]
@@ -110,7 +116,7 @@ def most_bits(threshold: float) -> int:
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo, bands, sketch; a row for each distinct id."""
+    """key, n_shingles, set_hi, set_lo, bands, sketch of each row (key, doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, hi, lo, bands, sketch = [], [], [], [], []
@@ -125,9 +131,9 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 bands.append(band_keys(least) if len(one) else np.empty(0, np.int64))
                 sketch.append(odd_sketch(least))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip((size, hi, lo, bands, sketch), kinds, strict=True))], ["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *(pa.array(v, k) for v, k in zip((size, hi, lo, bands, sketch), kinds, strict=True))], ["key", "doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"])
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
+    return map_arrow(docs, run, "key long, doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
 
 
 def xor_bits(a: str, b: str) -> Column:
@@ -203,73 +209,149 @@ def _sizes_allow(a: int, b: int, part: int, whole: int) -> bool:
     return whole * min(a, b) >= part * max(a, b)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept; linked if whole * intersection >= part * union."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).where(F.col("doc_id").isNotNull())
-    made = cut(features(given, width).dropDuplicates(["doc_id"]))
+def screen(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows (u, v) from rows (grp, salt, side, doc, comp, sketch), side 0 held, side 1 streamed.
+
+    With v: two components that hold sketches close enough for a link, as many as join components of
+    the block. Without v: a document u that has such a sketch in another component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs, comps, held, ready, near_to, joined = None, [], [], [], None, None, set()
+        out: list[tuple] = []
+
+        def close() -> None:
+            if near_to is not None:
+                out.extend((int(d), None) for d in ready[0][near_to])
+
+        for batch in batches:
+            grp, salt, side, doc, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "salt", "side", "doc", "comp"))
+            sketch = batch.column("sketch").flatten().to_numpy().reshape(-1, SKETCH_WORDS).view(np.uint64)
+            for i in range(batch.num_rows):
+                if key != (grp[i], salt[i]):
+                    close()
+                    key, docs, comps, held, ready, near_to, joined = (grp[i], salt[i]), [], [], [], None, None, set()
+                if side[i] == 0:
+                    docs.append(doc[i])
+                    comps.append(comp[i])
+                    held.append(sketch[i])
+                    continue
+                if not docs:
+                    continue
+                if ready is None:
+                    ready = np.array(docs), np.array(comps), np.stack(held)
+                    near_to = np.zeros(len(docs), bool)
+                near = (ready[1] != comp[i]) & (_popcount(ready[2] ^ sketch[i]).sum(axis=1) <= bits)
+                if near.any():
+                    near_to |= near
+                    out.append((int(doc[i]), None))
+                    for other in np.unique(ready[1][near]).tolist():
+                        if (int(comp[i]), other) not in joined:
+                            joined.add((int(comp[i]), other))
+                            out.append((int(comp[i]), other))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+
+    dealt = rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "side")
+    return dealt.select("grp", "salt", "side", "doc", "comp", "sketch").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, key: str | None = None) -> DataFrame:
+    """row_key, doc_id, n_shingles, component_id, kept and first; linked if whole * intersection >= part * union.
+
+    A key names a column with another long in each row; without one the table's own rows are numbered.
+    """
+    keyed, key = (docs, key) if key else row_keyed(docs)
+    given = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    made = cut(features(given, width))
     bits = most_bits(part / whole)
     same = ["n_shingles", "set_hi", "set_lo"]
-    reps = made.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    whole_sets = made.where("n_shingles > 0").select("doc_id", "n_shingles", "bands", "sketch").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = whole_sets.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))
+    reps = cut(made.where("n_shingles > 0").groupBy(*same).agg(F.min(order).alias("first")).withColumn("rep", F.col("first.key")))
+    whole_sets = made.select("key", "n_shingles", "bands", "sketch").join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
+    banded = whole_sets.select(F.col("key").alias("rep"), F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(banded.join(stars.select("bucket", "lead"), "bucket"))  # rows of shared buckets only
     pairs = members.where("rep <> lead").select("lead", "rep").distinct()
-    sketched = whole_sets.select("doc_id", "n_shingles", "sketch")
-    a, b = sketched.select(F.col("doc_id").alias("lead"), F.col("sketch").alias("lead_sketch")), sketched.select(F.col("doc_id").alias("rep"), "sketch")
-    close = pairs.join(a, "lead").join(b, "rep").where(xor_bits("lead_sketch", "sketch") <= bits).select("lead", "rep")
-    shared = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(given.dropDuplicates(["doc_id"]).join(shared, "doc_id", "left_semi").join(sketched, "doc_id"))
+    shared = members.select(F.col("rep").alias("key")).distinct()
+    sketched = cut(made.select("key", "n_shingles", "sketch").join(shared, "key", "left_semi"))
+    a, b = sketched.select(F.col("key").alias("lead"), F.col("sketch").alias("lead_sketch")), sketched.select(F.col("key").alias("rep"), "sketch")
+    close = cut(pairs.join(a, "lead").join(b, "rep").where(xor_bits("lead_sketch", "sketch") <= bits).select("lead", "rep"))
 
     # first the stars: the lead is held, its members pass by
     counted = close.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
     passing = close.join(counted, "lead").select(F.col("lead").alias("grp"), F.col("rep").alias("doc"), spread_of("rep", "n").alias("salt"), F.lit(1).alias("side"))
     leads = counted.select(F.col("lead").alias("grp"), F.col("lead").alias("doc"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / STREAM_ROWS) - 1).cast("long"))).alias("salt"), F.lit(0).alias("side"))
-    body = texts.select(F.col("doc_id").alias("doc"), "sketch", "text")
-    rows = leads.unionByName(passing).join(body, "doc").withColumn("comp", F.col("doc"))
-    links = cut(confirm(rows, width, part, whole, bits))
+    in_stars = cut(close.select(F.explode(F.array("lead", "rep")).alias("doc")).distinct())
+    texts = cut(_texts(in_stars, given, sketched))  # of all texts only those that a sketch has brought up
+    links = cut(confirm(leads.unionByName(passing).withColumn("comp", F.col("doc")).join(texts, "doc"), width, part, whole, bits))
     found = cut(connected_components(links))
 
-    # then what shares a bucket across components: all but each bucket group's largest component
-    rest = _cross(members, found, texts)
-    if rest is not None:
-        more = cut(confirm(rest, width, part, whole, bits))
-        if not more.isEmpty():
-            found = cut(connected_components(links.unionByName(more)))
-    of_rep = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    out = made.select("doc_id", *same).join(of_rep, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # then what shares a bucket across components
+    more = _cross(members, found, given, sketched, in_stars, texts, width, part, whole, bits)
+    if more is not None:
+        found = cut(connected_components(links.unionByName(more)))
+    linked = reps.join(found.withColumnRenamed("node", "rep"), "rep").select("component", "first", "rep")
+    tops = linked.groupBy("component").agg(F.min("first").alias("top"))
+    of_rep = linked.join(tops, "component").select("rep", "top")
+    of_set = reps.join(of_rep, "rep", "left").select(*same, F.coalesce("top", "first").alias("top"))
+    with_words = made.where("n_shingles > 0").select("key", "doc_id", *same).join(of_set, same).select("key", "doc_id", "n_shingles", "top")
+    without = made.where("n_shingles = 0").select("key", "doc_id", "n_shingles", order.alias("top"))
+    out = with_words.unionByName(without).select(F.col("key").alias("row_key"), "doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("key") == F.col("top.key")).alias("first"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")))
 
 
 def spread_of(doc: str, n: str) -> Column:
     return F.pmod(F.xxhash64(doc), F.greatest(F.lit(1), F.ceil(F.col(n) / STREAM_ROWS)).cast("long"))
 
 
-def _cross(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Rows for ``confirm`` over the buckets that hold several components; None if there are none.
+def _texts(docs: DataFrame, given: DataFrame, sketched: DataFrame) -> DataFrame:
+    """doc, sketch and text of the docs named."""
+    body = given.select(F.col("key").alias("doc"), "text").join(docs, "doc", "left_semi")
+    return body.join(sketched.select(F.col("key").alias("doc"), "sketch"), "doc")
 
-    Buckets are gathered into groups (components of the star graph), so that a document's text is
-    dealt once for each block it is compared with and not once for each bucket.
+
+def _blocks(members: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """(grp, salt, side, doc, comp) of (grp, doc, comp, n_shingles): all but a group's largest component against all of it.
+
+    The held side is dealt into blocks by weight and the streamed side by rows, so neither is unbounded.
     """
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "lead", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("rows")).select("grp", F.col("top.comp").alias("top"), "rows")
+    dealt = cut(members.join(largest, "grp"))
+    outside = dealt.where("comp <> top")
+    blocks = outside.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / limit)).cast("long").alias("blocks"))
+    deals = F.greatest(F.lit(1), F.ceil(F.col("rows") / STREAM_ROWS)).cast("long")
+    held = outside.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("doc"), "blocks").alias("block"), "doc", "comp", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.lit(0).alias("side"))
+    passing = dealt.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", "comp", spread_of("doc", "rows").alias("deal"), F.lit(1).alias("side"))
+    return held.unionByName(passing).select("grp", (F.shiftleft("block", 32) + F.col("deal")).alias("salt"), "side", "doc", "comp")
+
+
+def _cross(members: DataFrame, found: DataFrame, given: DataFrame, sketched: DataFrame, in_stars: DataFrame, texts: DataFrame, width: int, part: int, whole: int, bits: int) -> DataFrame | None:
+    """Confirmed links across components that share a bucket; None if there can be none."""
+    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
     open_ = cut(labelled.join(mixed, "bucket", "left_semi"))
     if open_.isEmpty():
         return None
-    groups = connected_components(open_.select(F.col("lead").alias("u"), F.col("rep").alias("v")))
-    placed = open_.select("rep", "comp").distinct().join(groups.withColumnRenamed("node", "rep").withColumnRenamed("component", "grp"), "rep")
-    sizes = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("rows")).select("grp", F.col("top.comp").alias("top"), "rows")
-    dealt = cut(placed.join(largest, "grp").join(texts.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep"))
-    outside = dealt.where("comp <> top")
-    blocks = outside.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / STREAM_ROWS)).cast("long")
-    held = outside.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.col("rep").alias("doc"), "comp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("deal"), F.lit(0).alias("side"))
-    passing = dealt.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("doc"), "comp", spread_of("rep", "rows").alias("deal"), F.lit(1).alias("side"))
-    rows = held.unionByName(passing).select("grp", (F.col("block") * 1_000_000 + F.col("deal")).alias("salt"), "side", "doc", "comp")
-    return rows.join(texts.select(F.col("doc_id").alias("doc"), "sketch", "text"), "doc")
+    rows = _blocks(open_.select(F.col("bucket").alias("grp"), F.col("rep").alias("doc"), "comp"), F.lit(1), BLOCK_SKETCHES)
+    seen = cut(screen(rows.join(sketched.select(F.col("key").alias("doc"), "sketch"), "doc"), bits))
+    near = seen.where("v is not null")
+    if near.isEmpty():
+        return None
+    groups = connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("grp"))
+    hot = seen.where("v is null").select(F.col("u").alias("doc")).distinct()
+    comps = open_.select(F.col("rep").alias("doc"), "comp").distinct()
+    placed = hot.join(comps, "doc").join(groups, "comp").join(sketched.select(F.col("key").alias("doc"), "n_shingles"), "doc")
+    new = cut(placed.select("doc").join(in_stars, "doc", "left_anti"))
+    if not new.isEmpty():
+        texts = texts.unionByName(_texts(new, given, sketched))
+    more = cut(confirm(_blocks(placed, F.col("n_shingles"), BLOCK_SHINGLES).join(texts, "doc"), width, part, whole, bits))
+    return None if more.isEmpty() else more
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract: 3-word shingles, 100 * intersection >= 85 * union."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, part=85, whole=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, part=85, whole=100).select("doc_id", "n_shingles", "component_id", "kept")

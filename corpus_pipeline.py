@@ -5,7 +5,10 @@ of the input pass through. The last stage adds the number of each emitted copy.
 
 Stages decide row by row, by a key of the row in the written table they are given: ids may be null or
 repeat, also with other texts. Rows of the same text are near copies of one another, whatever their
-ids; texts without a word stand alone, as in the operator.
+ids; texts without a word stand alone, as in the operator. Null and empty texts pass every filter and
+are taken by the mix as documents of size 0 of their source. Ties go to the smaller id, then to the
+row that is read first. An empty table gives an empty table from every stage; extra columns pass
+through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,26 +40,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: of each group one row with its smallest id stays (null ids are last)."""
-    keyed, key, given = _by_row(docs)
-    found = near_dedup.near_duplicates(given, width=5, part=80, whole=100).select(F.col("doc_id").alias(key), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key))).alias("first")
-    kept = keyed.select("doc_id", key).join(found, key).groupBy("component_id").agg(first).select(F.col(f"first.{key}").alias(key))
-    return keyed.join(kept, key, "left_semi").select(*docs.columns)
+    """Five-word shingles, similarity 0.8: of each group the row with its smallest id stays (null ids are last).
+
+    Rows of one text are copies whatever their ids; of several with the smallest id the first as read stays.
+    """
+    keyed, key = row_keyed(docs)
+    found = near_dedup.near_duplicates(keyed, width=5, part=80, whole=100, key=key).where("first").select(F.col("row_key").alias(key))
+    return keyed.join(found, key, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the rows of which benchmark windows cover a twentieth of the words or more; null texts stay."""
     keyed, key, given = _by_row(docs)
     return _without(docs, keyed, key, decontaminate.contamination(given, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans become their kind in brackets; the character count follows the new text."""
+    """Spans become their kind in brackets; ``n_chars``, where there is one, follows the new text. Every row stays."""
     redacted = pii.redact(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, at most three times, numbered in ``copy_no`` (``mix_copy_no`` if that is taken)."""
     return mixing.emit_mix(docs)
 
 

@@ -65,17 +65,56 @@ def test_near_duplicates_match_all_pairs(odd, width, part):
 def test_near_duplicates_across_blocks(spark, odd, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(near_dedup, "STREAM_ROWS", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SKETCHES", 4)
     want = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(odd, 3, 85).collect()}
     monkeypatch.undo()
     assert want == {r.doc_id: r.component_id for r in near_dedup.near_duplicates(odd, 3, 85).collect()}
 
 
 def test_near_duplicates_of_repeated_ids_and_nothing(spark, odd, empty):
-    twice = near_dedup.near_duplicates(odd.unionByName(odd), 3, 85)
-    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, near_dedup.near_duplicates(odd, 3, 85).collect()))
+    own = lambda df: sorted(tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect())
+    once = own(near_dedup.near_duplicates(odd, 3, 85))
+    assert own(near_dedup.near_duplicates(odd.unionByName(odd), 3, 85)) == sorted(once * 2)
     assert near_dedup.near_duplicates(empty, 3, 85).count() == 0
 
 
+def test_near_duplicates_without_ids_and_with_other_texts_of_an_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(3)), (3, text(1)), (3, text(2)), (None, text(2)), (None, text(4)), (None, text(4)), (None, None), (None, ""), (8, None)]
+    for given in (rows, rows[::-1]):
+        found = near_dedup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), 3, 85).collect()
+        got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in found)
+        want = [(1, 1, True), (2, 2, True), (3, 1, False), (3, 3, True), (None, 3, False), (None, None, True), (None, None, False), (None, None, True), (None, None, True), (8, 8, True)]
+        assert got == sorted(map(str, want)) and sum(r.first for r in found) == 7
+
+
+def test_near_duplicates_of_a_whole_table_match_all_pairs(spark):
+    """Recall over every linked pair: the components equal those of an inverted index over all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for width, part in ((3, 85), (5, 80)):
+        own = sets([(r.doc_id, r.text) for r in docs.collect()], width)
+        comp = {i: i for i in own}
+
+        def root(x, comp=comp):
+            while comp[x] != x:
+                x = comp[x]
+            return x
+
+        holds = collections.defaultdict(list)
+        links = 0
+        for i in sorted(own):
+            shared = collections.Counter(j for x in own[i] for j in holds[x])
+            for j, both in shared.items():
+                if 100 * both >= part * (len(own[i]) + len(own[j]) - both):
+                    links += 1
+                    a, b = root(i), root(j)
+                    comp[max(a, b)] = min(a, b)
+            for x in own[i]:
+                holds[x].append(i)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width, part).collect()}
+        assert links > 50 and got == {i: root(i) for i in own}
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
