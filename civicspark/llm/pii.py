@@ -2,23 +2,30 @@
 
 1. Base finders: the contract's four patterns, leftmost and non-overlapping, with their checks.
 2. Generators with high recall propose further, overlapping spans: groups of four digits, grouped
-   numbers without a plus sign, long runs of letters and digits.
-3. Each proposal gets small integer features of its format (digits, letters, separators, checksum)
-   and its context (cue words before it, characters at both ends).
-4. Spark counts the proposals of the corpus by feature combination and weak label (a proposal inside
-   a base span, or a run that is assigned to a name such as ``token``, is private). Logistic boosting
-   of depth-two trees over that table of counts, whose size the features bound, gives a score; on a
-   fold kept aside the threshold of each generator is set where precision holds.
+   numbers without a plus sign, numbers with a trunk zero, long runs of letters and digits.
+3. Each proposal gets small integer features, and a weak label that they do not hold. A card or phone
+   proposal is labelled by its format (a base span, with its checks, covers it) and described by its
+   context: cue words before it, what stands at both ends, how its groups are set apart. A run of
+   letters and digits is labelled by its context (it is assigned to a name such as ``token``) or by the
+   first letters of a known kind of key, and described by its format: length, digits, case, hexadecimal.
+4. Spark counts the proposals of the corpus by feature combination and label, a table whose size the
+   features bound. Logistic boosting of depth-two trees over it gives the probability of a label.
+   Proposals without one are unlabelled, not negative: on a fold kept aside, the mean probability of
+   labelled proposals estimates how many of a kind's private ones have the label at all, and a
+   probability divided by that share is the calibrated one. The threshold is ``ACCEPT`` on that scale.
 5. Scores are CASE expressions over the features; proposals at or above their threshold become spans
    unless a base span covers them.
 
 Positions come from splitting a text at a pattern and adding up piece lengths, so everything runs as
 column expressions on one row at a time: no shuffle except the table of counts. Patterns use
 possessive repeats and a look-behind that skips inner starts, so a long run costs linear time and no
-deep recursion; they match exactly what the contract's patterns match.
+deep recursion; they match exactly what the contract's patterns match. Lists are built in pieces of
+``PIECE``, so a text with very many matches does not copy its list for each of them.
 
-Edge cases: a null text is empty and has no spans; repeated rows are repeated; extra columns are
-dropped by the query and kept by ``redact``; an empty table (or one without proposals) adds nothing.
+Edge cases: a null text is empty and has no spans (``redact`` leaves it null); repeated rows are
+repeated; ids may be null; extra columns are dropped by the query and kept by ``redact``, whatever
+their names; an empty table (or one without proposals) adds nothing; where spans overlap, the one
+that starts first (then the longer, then the kind listed first) names the redaction.
 """
 
 from __future__ import annotations
@@ -42,19 +49,57 @@ BASE = {
 }
 #: Text that must be there before a pattern is tried.
 NEEDS = {"email": "@", "phone": "+"}
-#: Generators: pattern, the kind their spans get.
+#: Generators: pattern, the kind their spans get, and whether the text must hold a digit.
 GENERATORS = (
-    (r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?:[0-9]{1,3})?(?![0-9])", "card"),
-    (r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", "phone"),
-    (r"(?<![A-Za-z0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}+", "secret"),
+    (r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?:[0-9]{1,3})?(?![0-9])", "card", True),
+    (r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", "phone", True),
+    (r"(?<![0-9A-Za-z+])\(?0[0-9]{1,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{2,5}(?![0-9A-Za-z])", "phone", True),
+    (r"(?<![A-Za-z0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}+", "secret", False),
 )
-CUES = r"(?i)(?:token|key|secret|passw|pwd|auth|card|tel|phone|call|fax|mobile|iban|account)[^A-Za-z0-9]*$"
+#: Words before a number that say what it is.
+CUES = (r"card|visa|iban|account|payment", r"tel|phone|call|fax|mobile|dial|ring|whatsapp", r"order|invoice|ticket|item|isbn|article|part|serial|version|page|ref|no\.|nr\.|#")
 ASSIGNED = r"(?i)(?:token|key|secret|password|passwd|pwd)[\x20]*[=:][\x20]*[\"']?$"
-FEATURES = ("gen", "digits", "letters", "hex", "gaps", "luhn", "cue", "before", "after")
+#: How access keys of well-known services begin.
+PREFIXES = r"^(?:AKIA|ASIA|ghp|gho|ghs|glpat|xoxb|xoxp|AIza)"
+FEATURES = ("k", "cue", "before", "after", "gaps", "size", "digits", "letters", "hex")
 TREES = 30
 RATE = 0.3
-PRECISION = 0.95
+#: Calibrated probability from which a proposal becomes a span.
+ACCEPT = 0.8
 KEPT_ASIDE = (5, 0)
+#: Entries that a list grows by at a time.
+PIECE = 64
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from the table's own."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def scan(rows: Column, state: Column, step, kind: str) -> Column:
+    """The items that ``step`` makes going through an array with a running state, as an array.
+
+    step: (state, entry) to (state, item, whether the item counts). Items are gathered in pieces.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(state.alias("st"), none.alias("out"))
+
+    def inner(acc: Column, x: Column) -> Column:
+        after, item, counts = step(acc["st"], x)
+        return F.struct(after.alias("st"), F.when(counts, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, c: Column) -> Column:
+        piece = F.aggregate(F.slice(rows, c * PIECE + 1, PIECE), F.struct(F.element_at(acc, -1)["st"].alias("st"), none.alias("out")), inner)
+        return F.concat(acc, F.array(piece))
+
+    numbers = F.sequence(F.lit(0), F.floor(F.size(rows) / PIECE).cast("int"))
+    return F.flatten(F.transform(F.aggregate(numbers, F.array(start), outer), lambda p: p["out"]))
 
 
 def text_of(name: str = "text") -> Column:
@@ -62,19 +107,19 @@ def text_of(name: str = "text") -> Column:
 
 
 def matches(text: Column, pattern: str, possible: Column) -> Column:
-    """array<struct<s, e, m, before, after>> of the non-overlapping matches, leftmost first."""
+    """array<struct<s, e, m, before>> of the non-overlapping matches, leftmost first; before: up to 24 characters."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    rows = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("n"), F.right(p, F.lit(24)).alias("before"), F.left(p, F.lit(1)).alias("first"), m.alias("m")))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    rows = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("n"), F.right(p, F.lit(24)).alias("before"), m.alias("m")))
+    kind = "struct<s:int,e:int,m:string,before:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["n"]
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        s = at + x["n"]
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        return F.struct(e.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before"))))).alias("out"))
+        return e, F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before")), x["m"].isNotNull()
 
-    spans = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(possible, spans).otherwise(empty)
+    # a one-element array holds the rows, so that they are made once for all their uses
+    spans = F.flatten(F.transform(F.array(rows), lambda r: scan(r, F.lit(0), step, kind)))
+    return F.when(possible, spans).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def digits_of(m: Column) -> Column:
@@ -112,52 +157,57 @@ def _checked(k: int, kind: str, found: Column) -> Column:
 
 
 def char_class(c: Column) -> Column:
-    return F.when((c == "") | c.isNull() | c.rlike(r"^\s$"), 0).when(c.rlike("^[A-Za-z0-9]$"), 1).when(c.isin('"', "'", "=", ":"), 2).when(c.isin("+", "(", ")", "-"), 3).otherwise(4)
+    return F.when((c == "") | c.isNull() | c.rlike(r"^\s$"), 0).when(c.rlike("^[A-Za-z0-9]$"), 1).when(c.isin('"', "'", "=", ":"), 2).when(c.isin(".", ",", ";", "!", "?"), 3).otherwise(4)
+
+
+def cue_class(before: Column) -> Column:
+    """0, or 1 more than the place of the group whose word stands last before a number."""
+    out = F.lit(0)
+    for k, words in reversed(list(enumerate(CUES))):
+        out = F.when(before.rlike(rf"(?i)(?:{words})[^A-Za-z0-9]*$"), k + 1).otherwise(out)
+    return out
 
 
 def proposals(text: Column, figures: Column) -> Column:
     """array<struct<k, s, e, features..., assigned>> of the generators."""
-    return F.concat(*(_proposed(text, figures, g, pattern, KINDS.index(kind)) for g, (pattern, kind) in enumerate(GENERATORS)))
+    return F.concat(*(_proposed(text, figures if needs else F.lit(True), pattern, KINDS.index(kind)) for pattern, kind, needs in GENERATORS))
 
 
-def _proposed(text: Column, figures: Column, g: int, pattern: str, k: int) -> Column:
+def _proposed(text: Column, possible: Column, pattern: str, k: int) -> Column:
+    secret = KINDS[k] == "secret"
+    none = F.lit(0)
+
     def row(x: Column) -> Column:
-        n = F.length(digits_of(x["m"]))
-        letters, digits = x["m"].rlike("[A-Za-z]"), x["m"].rlike("[0-9]")
-        return F.struct(
-            F.lit(k).alias("k"),
-            x["s"].alias("s"),
-            x["e"].alias("e"),
-            F.lit(g).alias("gen"),
-            F.when(n == 0, 0).when(n < 4, 1).when(n < 10, 2).when(n < 13, 3).when(n < 20, 4).otherwise(5).alias("digits"),
-            F.when(letters & digits, 2).when(letters, 1).otherwise(0).alias("letters"),
-            x["m"].rlike("^[0-9A-Fa-f]+$").cast("int").alias("hex"),
-            F.when(x["m"].rlike("[-.()]"), 2).when(x["m"].contains(" "), 1).otherwise(0).alias("gaps"),
-            F.when(n.between(13, 19), luhn(digits_of(x["m"])).cast("int")).otherwise(0).alias("luhn"),
-            x["before"].rlike(CUES).cast("int").alias("cue"),
-            char_class(F.right(x["before"], F.lit(1))).alias("before"),
-            char_class(F.substring(text, x["e"] + 1, F.lit(1))).alias("after"),
-            x["before"].rlike(ASSIGNED).alias("assigned"),
-        )
-
-    return F.transform(matches(text, pattern, figures), row)
-
-
-def with_spans(docs: DataFrame) -> DataFrame:
-    """The input with base (base spans) and offered (proposals that no base span covers, and the label)."""
+        digits, length = F.length(digits_of(x["m"])), F.length(x["m"])
+        lower, upper = x["m"].rlike("[a-z]"), x["m"].rlike("[A-Z]")
+        # what makes a number a base span (its plus sign, its country code) is not among what stands before it
+        before = F.regexp_replace(x["before"], r"[\x20()+0-9-]*$", "")
+        context = {"cue": cue_class(before), "before": char_class(F.right(before, F.lit(1))), "after": char_class(F.substring(text, x["e"] + 1, F.lit(1))), "gaps": F.when(x["m"].rlike("[./()]"), 3).when(x["m"].contains("-"), 2).when(x["m"].contains(" "), 1).otherwise(0)}
+        form = {"size": F.when(length < 20, 0).when(length < 32, 1).when(length < 48, 2).otherwise(3), "digits": F.when(digits == 0, 0).when(digits * 8 < length, 1).when(digits * 2 < length, 2).otherwise(3), "letters": F.when(lower & upper, 2).when(upper, 1).otherwise(0), "hex": x["m"].rlike("^[0-9A-Fa-f]+$").cast("int")}
+        features = {**dict.fromkeys(context, none), **form} if secret else {**context, **dict.fromkeys(form, none)}
+        return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), *(v.cast("int").alias(f) for f, v in features.items()), (x["before"].rlike(ASSIGNED) | x["m"].rlike(PREFIXES) if secret else F.lit(False)).alias("assigned"))
+
+    return F.transform(matches(text, pattern, possible), row)
+
+
+def with_spans(docs: DataFrame, base: str = "base", offered: str = "offered") -> DataFrame:
+    """The input with base spans and proposals, each proposal with what its label says."""
     text = text_of()
-    figures = F.col("any_digit_in_text")  # a column of its own, so that each text is searched for a digit once
-    both = docs.withColumn("any_digit_in_text", text.rlike("[0-9]")).withColumns({"base": base_spans(text, figures), "offered": proposals(text, figures)}).drop("any_digit_in_text")
-    inside = lambda x: F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
-    return both.withColumn("offered", F.transform("offered", lambda x: x.withField("covered", inside(x))))
+    (figures,) = free_names(docs, "any_digit_in_text")  # a column of its own, so that each text is searched for a digit once
+    both = docs.withColumn(figures, text.rlike("[0-9]")).withColumns({base: base_spans(text, F.col(figures)), offered: proposals(text, F.col(figures))}).drop(figures)
+    inside = lambda x: F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+    return both.withColumn(offered, F.transform(offered, lambda x: x.withField("covered", inside(x))))
 
 
 def combination_counts(spans: DataFrame) -> list[dict]:
     """Weak labels counted by feature combination and fold: at most as many rows as combinations."""
     aside = F.coalesce(crc32_of_id() % KEPT_ASIDE[0] == KEPT_ASIDE[1], F.lit(False))
-    each = spans.where(F.size("offered") > 0).select(aside.alias("aside"), F.explode("offered").alias("x"))
+    # the outer form, as the plain one would have the lists made once more to filter by their sizes
+    each = spans.select(aside.alias("aside"), F.explode_outer("offered").alias("x")).where(F.col("x").isNotNull())
+    # a covered run of letters is part of an address, not a secret: it says nothing
+    each = each.where(~((F.col("x.k") == KINDS.index("secret")) & F.col("x.covered")))
     counted = each.groupBy("aside", *(F.col(f"x.{f}").alias(f) for f in FEATURES)).agg(F.count_if(F.col("x.covered") | F.col("x.assigned")).alias("yes"), F.count(F.lit(1)).alias("n"))
-    return [r.asDict() for r in counted.collect()]
+    return sorted((r.asDict() for r in counted.collect()), key=lambda c: [c["aside"], *(c[f] for f in FEATURES)])
 
 
 class Boosted:
@@ -217,16 +267,14 @@ class Boosted:
         return self.bias + sum(self._value(t, c) for t in self.trees)
 
     def _calibrate(self, counts: list[dict]) -> dict[int, float]:
-        """For each generator the lowest score from which on precision holds; none: never."""
+        """For each kind the score of the calibrated probability ACCEPT; infinite where nothing is labelled."""
         out = {}
-        for g in range(len(GENERATORS)):
-            ranked = sorted(((self.score(c), c["yes"], c["n"]) for c in counts if c["gen"] == g), reverse=True)
-            yes = n = 0
-            out[g] = math.inf
-            for z, y, k in ranked:
-                yes, n = yes + y, n + k
-                if n and yes / n >= PRECISION and z > 0:
-                    out[g] = z - 1e-9
+        for k in sorted({KINDS.index(kind) for _, kind, _ in GENERATORS}):
+            rows = [(1 / (1 + math.exp(-max(-30, min(30, self.score(c))))), c["yes"]) for c in counts if c["k"] == k]
+            labelled = sum(y for _, y in rows)
+            share = sum(p * y for p, y in rows) / labelled if labelled else 0.0
+            least = ACCEPT * share
+            out[k] = math.log(least / (1 - least)) if 0 < least < 1 else math.inf
         return out
 
     def expression(self, x: Column) -> Column:
@@ -242,19 +290,18 @@ class Boosted:
 
     def accepted(self, x: Column) -> Column:
         test = F.lit(False)
-        for g, least in self.thresholds.items():
+        for k, least in self.thresholds.items():
             if least < math.inf:
-                test = test | ((x["gen"] == g) & (self.expression(x) >= least))
+                test = test | ((x["k"] == k) & (self.expression(x) >= least))
         return test
 
 
-def find_private(docs: DataFrame) -> DataFrame:
-    """The input with base and spans: array<struct<k, s, e>>, k an index into KINDS."""
-    spans = with_spans(docs)
-    counts = combination_counts(with_spans(docs.select("doc_id", "text")))
-    model = Boosted(counts)
-    added = F.transform(F.filter("offered", lambda x: ~x["covered"] & model.accepted(x)), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    return spans.withColumn("spans", F.array_sort(F.concat("base", added))).drop("offered")
+def find_private(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
+    """The input with two columns array<struct<k, s, e>>, k an index into KINDS: base spans, and all spans."""
+    model = Boosted(combination_counts(with_spans(docs.select("doc_id", "text"))))
+    (offered,) = free_names(docs, "offered")
+    added = F.transform(F.filter(offered, lambda x: ~x["covered"] & model.accepted(x)), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return with_spans(docs, base, offered).withColumn(spans, F.array_sort(F.array_distinct(F.concat(base, added)))).drop(offered)
 
 
 def joined(spans: str) -> Column:
@@ -264,18 +311,22 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans are one."""
-    own = docs.columns
-    by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    base, spans = free_names(docs, "base", "spans")
+    by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column, Column]:
+        # what a span adds: the text since the last one's end, and its tag; a span that begins inside another adds nothing
+        item = F.struct(reach.alias("since"), x["s"].alias("s"), x["k"].alias("k"))
+        return F.greatest(reach, -x["e"]), item, x["s"] >= reach
 
-    def step(acc: Column, x: Column) -> Column:
+    def cut_out(x: Column) -> Column:
         tag = F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1)), F.lit("]"))
-        ahead = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.when(x["s"] >= acc["at"], tag).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], -x["e"]).alias("at"), ahead.alias("out"))
+        return F.concat(F.substring(F.col("text"), x["since"] + 1, x["s"] - x["since"]), tag)
 
-    whole = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    found = find_private(docs)
-    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).select(*own)
+    marks = scan(by_start, F.lit(0), step, "struct<since:int,s:int,k:int>")
+    end = F.array_max(F.transform(spans, lambda x: x["e"]))
+    whole = F.concat(F.array_join(F.transform(marks, cut_out), ""), F.substring(F.col("text"), end + 1, F.length("text")))
+    return find_private(docs, base, spans).withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

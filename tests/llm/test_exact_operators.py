@@ -189,8 +189,80 @@ def test_private_base_spans_match_plain_patterns(spark, odd, empty):
 def test_private_boosting_adds_spans(spark):
     rng = random.Random(2)
     rows = [(i, f'word token = "{rng.getrandbits(160):040x}" more') for i in range(60)] + [(100 + i, "plain " + "abcdefgh" * 3) for i in range(60)]
-    found = pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.joined("spans").alias("s")).collect()
-    assert all((r.s.startswith("secret:14:54")) == (r.doc_id < 100) for r in found)
+    # the label of a run is its context and its features are its format: the same format elsewhere is found too
+    rows += [(200 + i, f"see {rng.getrandbits(160):040x} there") for i in range(20)]
+    rows += [(300 + i, f"call {'+1 ' if i % 2 else ''}(555) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} now") for i in range(60)]
+    rows += [(400 + i, f"invoice {rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)} paid") for i in range(60)]
+    found = {r.doc_id: r.s for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    assert all(found[i] == "secret:14:54" for i in range(60)) and not any(found[100 + i] for i in range(60))
+    assert all(found[200 + i] == "secret:4:44" for i in range(20))
+    # numbers without a plus sign where those with one stand, and none where they never do
+    assert all(found[300 + i] == ("phone:5:22" if i % 2 else "phone:5:19") for i in range(60))
+    assert not any(found[400 + i] for i in range(60))
+
+
+def plain_score(model, x):
+    total = model.bias
+    for (f, v), leaves in model.trees:
+        cut, values = leaves[0] if x[f] <= v else leaves[1]
+        total += values[0] if cut is None or x[cut[0]] <= cut[1] else values[1]
+    return total
+
+
+def test_added_spans_match_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    counts = pii.combination_counts(pii.with_spans(docs))
+    model = pii.Boosted(counts)
+    got = {r.doc_id: r.s for r in pii.find_private(docs).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    cue = lambda before: next((k + 1 for k, words in enumerate(pii.CUES) if re.search(rf"(?i)(?:{words})[^A-Za-z0-9]*$", before)), 0)
+    kind_of = lambda c: 0 if not c or c.isspace() else 1 if re.match("[A-Za-z0-9]", c) else 2 if c in "\"'=:" else 3 if c in ".,;!?" else 4
+    seen = 0
+    for r in docs.collect():
+        text = r.text or ""
+        base = pii.brute_force(text)[0]
+        spans = {(pii.KINDS.index(k), s, e) for k, s, e in base}
+        for pattern, kind, needs in pii.GENERATORS:
+            last = 0
+            for m in re.finditer(pattern, text) if not needs or re.search("[0-9]", text) else ():
+                x = dict.fromkeys(pii.FEATURES, 0) | {"k": pii.KINDS.index(kind)}
+                before = re.sub(r"[\x20()+0-9-]*$", "", text[max(last, m.start() - 24) : m.start()])
+                last = m.end()
+                n, digits = len(m[0]), len(re.sub("[^0-9]", "", m[0]))
+                if kind == "secret":
+                    x |= {"size": sum(n >= t for t in (20, 32, 48)), "digits": 0 if not digits else 1 if digits * 8 < n else 2 if digits * 2 < n else 3, "hex": int(bool(re.fullmatch("[0-9A-Fa-f]+", m[0])))}
+                    x["letters"] = 2 if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) else int(bool(re.search("[A-Z]", m[0])))
+                else:
+                    x |= {"cue": cue(before), "before": kind_of(before[-1:]), "after": kind_of(text[m.end() : m.end() + 1]), "gaps": 3 if re.search("[./()]", m[0]) else 2 if "-" in m[0] else int(" " in m[0])}
+                covered = any(s <= m.start() and m.end() <= e for _, s, e in base)
+                if not covered and plain_score(model, x) >= model.thresholds[x["k"]]:
+                    spans.add((x["k"], m.start(), m.end()))
+                    seen += 1
+        assert got[r.doc_id] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    assert seen
+
+
+def test_boosting_lowers_the_loss():
+    import math
+
+    rng = random.Random(1)
+    rows = [dict.fromkeys(pii.FEATURES, 0) | {"aside": a, "k": k, "cue": c, "before": b, "n": 100, "yes": 90 if c == 1 and b else 5 + rng.randint(0, 3)} for a in (False, True) for k in (2, 3) for c in range(3) for b in range(2)]
+    loss = lambda m: -sum(c["yes"] * math.log(p) + (c["n"] - c["yes"]) * math.log(1 - p) for c in rows for p in [1 / (1 + math.exp(-m.score(c)))])
+    losses = [loss(pii.Boosted(rows, trees)) for trees in (0, 1, 5, 30)]
+    assert losses == sorted(losses, reverse=True)
+    model = pii.Boosted(rows)
+    assert all((model.score(c) >= model.thresholds[c["k"]]) == (c["cue"] == 1 and c["before"] == 1) for c in rows)
+
+
+def test_very_many_matches_and_clashing_names(spark):
+    text = " ".join(f"a{i}@b.de 1.2.3.{i % 300}" for i in range(5000))
+    rows = spark.createDataFrame([(1, text, "mine", 1, "x", "y", None)], "doc_id long, text string, base string, offered int, spans string, any_digit_in_text string, copy_no int")
+    found = pii.find_private(rows.select("doc_id", "text")).select(pii.joined("base").alias("b")).first().b
+    assert found == ",".join(f"{k}:{s}:{e}" for k, s, e in pii.brute_force(text)[0])
+    out = pii.redact(rows).first()
+    assert (out.base, out.offered, out.spans, out.any_digit_in_text, out.copy_no) == ("mine", 1, "x", "y", None)
+    want = re.sub(r"a\d+@b\.de", "[EMAIL]", text)
+    want = re.sub(r"1\.2\.3\.(\d+)", lambda m: "[IP]" if int(m[1]) <= 255 else m[0], want)
+    assert out.text == want
 
 
 def test_licences(spark, odd, empty):
