@@ -266,18 +266,42 @@ def test_very_many_matches_and_clashing_names(spark):
 
 
 def test_licences(spark, odd, empty):
-    rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the  mit license"), (3, "Licensed under the Apache License, Version 2.0."), (4, "under the sun"), (5, None), (6, licenses.TEMPLATES["ISC"].replace("hereby ", ""))]
-    got = {r.doc_id: [(m.line, m.licence) for m in r.matches] for r in licenses.licence_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: [(2, "MIT")], 2: [(1, "MIT")], 3: [(1, "Apache-2.0")], 4: [], 5: [], 6: [(1, "ISC")]}
+    wrapped = lambda text, width, mark="": "\n".join(mark + " ".join(text.split()[i : i + width]) for i in range(0, len(text.split()), width))
+    mit, isc, gpl2 = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["ISC"][1], licenses.TEMPLATES["GPL-2.0"][0]
+    rows = [
+        (1, "x\nReleased under the MIT License.\ny", ["MIT"]),
+        (2, "this file was released UNDER the  mit license in the spring of the year", ["MIT"]),
+        (3, "Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        (4, "under the sun", []),
+        (5, None, []),
+        (6, wrapped(isc, 9, "// "), ["ISC"]),
+        (7, "Copyright 2020 Someone\n\n" + wrapped(mit, 12, " * ") + "\n*/ int main() {}", ["MIT"]),
+        (8, "intro words " * 300 + mit.replace("sublicense, ", "").replace("persons", "people") + " and more" * 300, ["MIT"]),
+        (9, gpl2 + " Some other words between. " + licenses.TEMPLATES["GPL-3.0"][0], ["GPL-2.0", "GPL-3.0"]),
+        (10, gpl2, ["GPL-2.0"]),
+        (11, wrapped(licenses.TEMPLATES["BSD-3-Clause"][1], 10), ["BSD-3-Clause"]),
+        (12, wrapped(licenses.TEMPLATES["BSD-2-Clause"][1], 10), ["BSD-2-Clause"]),
+        (13, "license", []),
+        (14, "Permission is hereby granted to merge the permission of the software " * 50, []),
+    ]
+    rows += [(100 + i, text, [licence]) for i, (licence, text) in enumerate((k, t) for k, v in licenses.TEMPLATES.items() for t in v)]
+    got = {r.doc_id: [(m.licence, m.dice) for m in r.matches] for r in licenses.licence_matches(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, text, want in rows:
+        assert [name for name, _ in got[i]] == want
+        every = licenses.brute_force(text)
+        assert all(dice <= every[name] for name, dice in got[i])
+        assert set(every) == set(want) or set(every) > set(want)  # what is left out lies under a better one
+        if want:
+            assert max(every.values()) == max(dice for _, dice in got[i]) or max(every.values()) < 1
     assert licenses.licence_matches(empty).count() == 0 and licenses.licence_matches(odd).count() == odd.count()
 
 
 def test_needed_words_lose_no_match():
-    known = licenses.template_bigrams(licenses.TEMPLATES)
+    known = licenses.known_templates(licenses.TEMPLATES)
     need = licenses.needed_words(known, 0.8)
-    for grams in known.values():
-        without = [g for g in grams if not any(w in need for w in g.split())]
-        assert len(without) < len(grams) * 0.8 / 1.2
+    for t in known:
+        without = [g for g in t["grams"] if not set(g.split()) & set(need)]
+        assert len(without) < len(t["grams"]) * 0.8 / 1.2
 
 
 def test_mixing_shares_and_repeats(spark, empty):
