@@ -4,26 +4,31 @@ A window is 13 consecutive item words (an item of fewer words is one window). It
 shingles of ``SHINGLE`` words. The steps:
 
 1. windows: the distinct windows of all items, a Spark table; they are dealt into blocks of a bounded
-   number of windows, each handled against all documents;
-2. rarity: every document is scanned once for the shingles of the windows, and Spark sums how often
-   each occurs in the corpus;
+   number of windows, which are handled one after the other against all documents;
+2. rarity: every document is scanned once for the shingles of the block, and Spark sums how often each
+   occurs in the corpus;
 3. prefix: a window must be contained whole, so the prefix it needs is one shingle, the rarest;
 4. join: document shingles that are some window's prefix give candidates; the shingle's place in the
    window fixes where the window would start (positional bound), and only runs of window words that
    are long enough are looked at (length bound);
 5. verify: the candidate's words are compared with the window's, word by word.
 
-Words are compared as ids of the block's vocabulary, which are equal exactly where the words are.
+Words are compared as ids of the block's vocabulary, which are equal exactly where the words are. The
+driver holds one block at a time; what a block hits is written before the next one comes. Rows are told
+apart by a key that stays the same whenever the table is read.
 
 Edge cases: a null or empty text has no words and is never contaminated; a null or wordless item has
-no window; equal items count apart; repeated documents are repeated in the result, with the same
-values; extra columns are dropped; an empty benchmark hits nothing.
+no window; an item without an id hits words like any other and is not listed; equal items count apart;
+repeated documents, and rows without an id, each have a row in the result; very long texts are scanned
+whole, one at a time; extra columns are dropped; an empty benchmark hits nothing, an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import map_arrow, table, utf8
+from civicspark.llm.common import cut, map_arrow, row_keyed, table, utf8
 
 WINDOW = 13
 SHINGLE = 5
@@ -39,6 +44,8 @@ SHARE = 20  # contaminated if 20 * n_hit >= n_words
 #: Windows a block may hold: at about 200 bytes a window, some 20 MB of index in each task.
 WINDOWS_PER_BLOCK = 100_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: The same words, for counting them in a text that is not lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -107,8 +114,9 @@ def shingle_counts(docs: DataFrame, index: Index) -> dict[int, int]:
     every = np.unique(np.concatenate(list(wanted.values()))) if wanted else np.empty(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(every), np.int64)
+        counts: Counter = Counter()
         for batch in batches:
+            seen = []
             for text in batch.column("text"):
                 ids = index.word_ids(words_of(text.as_py()))
                 for start, end in index.known_runs(ids):
@@ -116,11 +124,13 @@ def shingle_counts(docs: DataFrame, index: Index) -> dict[int, int]:
                         codes = index.codes(ids[start:end], width)
                         at = np.searchsorted(every, codes)
                         ok = (at < len(every)) & (every[np.minimum(at, len(every) - 1)] == codes)
-                        counts += np.bincount(at[ok], minlength=len(every))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["shingle", "n"])
+                        seen.append(at[ok])
+            if seen:
+                which, n = np.unique(np.concatenate(seen), return_counts=True)
+                counts.update(dict(zip(which.tolist(), n.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["shingle", "n"])
 
-    found = docs.select(utf8().alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return {int(every[r["shingle"]]): r["n"] for r in found.collect()}
 
 
@@ -173,77 +183,58 @@ def union_length(stretches: list[tuple[int, int]]) -> int:
     return total
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted as strings) and contaminated, a row for each document."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    windows = item_windows(benchmark).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+def contamination(docs: DataFrame, benchmark: DataFrame, windows_per_block: int = WINDOWS_PER_BLOCK, key: str | None = None) -> DataFrame:
+    """row_key, doc_id, n_words, n_hit, item_ids (sorted as strings) and contaminated, a row for each document.
+
+    A key names a column with another long in each row; without one the table's own rows are numbered.
+    """
+    keyed, key = (docs, key) if key else row_keyed(docs)
+    given = keyed.select(F.col(key).alias("row_key"), utf8().alias("text"))
+    windows = cut(item_windows(benchmark).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
     blocks = max(1, -(-windows.count() // windows_per_block))
-    if blocks > 1:
-        given = given.select("*", F.monotonically_increasing_id().alias("row_no"))
-    parts = []
+    hits = docs.sparkSession.createDataFrame([], HITS)
     for block in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).orderBy("words").collect()  # about windows_per_block rows
-        index = Index([bytes(r["words"]) for r in rows])
-        items = [list(r["items"]) for r in rows]
-        match = matcher(index, shingle_counts(docs, index) if rows else {})
-        parts.append((match, items))
-    if blocks == 1:
-        return _one_block(given, *parts[0])
-    hits = None
-    for match, items in parts:
-        found = _block_hits(given, match, items)
-        hits = found if hits is None else hits.unionByName(found)
-    return _merge(hits)
-
+        if rows:
+            hits = hits.unionByName(_block_hits(given, [bytes(r["words"]) for r in rows], [list(r["items"]) for r in rows]))
+    every = keyed.select(F.col(key).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col("text"), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    items = F.coalesce("item_ids", F.array().cast("array<string>"))
+    judged = every.join(_merge(hits), "row_key", "left").select("row_key", "doc_id", "n_words", n_hit.alias("n_hit"), items.alias("item_ids"))
+    return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
-def _judged(words: int, hit: int) -> bool:
-    return hit > 0 and SHARE * hit >= words
 
+HITS = "row_key long, spans array<long>, item_ids array<string>"
 
-def _one_block(given: DataFrame, match, items: list[list[str]]) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, hits, found, bad = [], [], [], []
-        for text in batch.column("text"):
-            n, stretches, windows = match(text.as_py())
-            k = union_length(stretches)
-            words.append(n)
-            hits.append(k)
-            found.append(sorted({x for w in windows for x in items[w]}))
-            bad.append(_judged(n, k))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(bad)], ["doc_id", "n_words", "n_hit", "item_ids", "contaminated"])
-
-    return map_arrow(given, run, "doc_id long, n_words long, n_hit long, item_ids array<string>, contaminated boolean")
 
+def _block_hits(given: DataFrame, windows: list[bytes], items: list[list[str]]) -> DataFrame:
+    """Of each document that some window of the block is in: the hit stretches of words, and the items."""
+    index = Index(windows)
+    match = matcher(index, shingle_counts(given, index))
 
-def _block_hits(given: DataFrame, match, items: list[list[str]]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, spans, found = [], [], []
-        for text in batch.column("text"):
-            n, stretches, windows = match(text.as_py())
-            words.append(n)
-            spans.append([x for s in sorted(set(stretches)) for x in s])
-            found.append(sorted({x for w in windows for x in items[w]}))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row_no"), batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
-            ["row_no", "doc_id", "n_words", "spans", "item_ids"],
-        )
+        keys, spans, found = [], [], []
+        for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text"), strict=True):
+            _, stretches, hit = match(text.as_py())
+            if stretches:
+                keys.append(key)
+                spans.append([x for s in sorted(set(stretches)) for x in s])
+                found.append(sorted({x for w in hit for x in items[w]}))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["row_key", "spans", "item_ids"])
 
-    return map_arrow(given.select("row_no", "doc_id", "text"), run, "row_no long, doc_id long, n_words long, spans array<long>, item_ids array<string>")
+    return cut(map_arrow(given, run, HITS))
 
 
 def _merge(hits: DataFrame) -> DataFrame:
-    """Blocks of one document put together; a document has one row a block."""
-    grouped = hits.groupBy("row_no").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
-    )
+    """row_key, n_hit and item_ids: blocks of one document put together."""
+    items = F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
+    grouped = hits.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), items)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = [union_length(list(zip(s[::2], s[1::2], strict=True))) for s in batch.column("spans").to_pylist()]
-        words = batch.column("n_words").to_pylist()
-        bad = [_judged(n, k) for n, k in zip(words, hit, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("item_ids"), pa.array(bad)], ["doc_id", "n_words", "n_hit", "item_ids", "contaminated"])
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(hit, pa.int64()), batch.column("item_ids")], ["row_key", "n_hit", "item_ids"])
 
-    return map_arrow(grouped, run, "doc_id long, n_words long, n_hit long, item_ids array<string>, contaminated boolean")
+    return map_arrow(grouped, run, "row_key long, n_hit long, item_ids array<string>")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,21 +22,16 @@ from civicspark.llm import decontaminate, mixing, near_dedup, pii, toxicity
 from civicspark.llm.common import ensure_checkpoint_dir, row_keyed, table
 
 
-def _by_row(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
-    """The rows with a key, the key's name, and what an operator is given: the key in place of the id."""
-    keyed, key = row_keyed(docs)
-    return keyed, key, keyed.select(F.col(key).alias("doc_id"), "text")
-
-
-def _without(docs: DataFrame, keyed: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    return keyed.join(found.select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, keyed: DataFrame, key: str, found: DataFrame, of: str = "row_key") -> DataFrame:
+    return keyed.join(found.select(F.col(of).alias(key)), key, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled documents that are here, drop the rows that the classifier calls toxic."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    keyed, key, given = _by_row(docs)
-    return _without(docs, keyed, key, toxicity.score_toxicity(given, model).where("predicted = 1"))
+    keyed, key = row_keyed(docs)
+    given = keyed.select(F.col(key).alias("doc_id"), "text")  # scores say nothing of ids, so the key stands for one
+    return _without(docs, keyed, key, toxicity.score_toxicity(given, model).where("predicted = 1"), "doc_id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows of which benchmark windows cover a twentieth of the words or more; null texts stay."""
-    keyed, key, given = _by_row(docs)
-    return _without(docs, keyed, key, decontaminate.contamination(given, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    keyed, key = row_keyed(docs)
+    return _without(docs, keyed, key, decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), key=key).where("contaminated"))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,8 @@ def test_decontamination_matches_brute_force(spark, odd, empty):
     for size in (100_000, 7):
         got = sorted((r.doc_id, r.n_words, r.n_hit, len(r.item_ids), digest(r.item_ids), r.contaminated) for r in decontaminate.contamination(odd, bench, size).collect())
         assert got == want
+    nameless = decontaminate.contamination(odd, spark.createDataFrame([(None, items[0][1]), (1, items[0][1])], "item_id long, text string")).where("n_hit > 0").collect()
+    assert nameless and all(r.item_ids == ["1"] for r in nameless)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(odd, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
