@@ -1,8 +1,8 @@
 """Operator 3: media columns. Bytes kept losslessly as WAV, with spectral-peak pair fingerprints.
 
 Each payload becomes an 8-bit mono WAV file written and read by the standard ``wave`` module. A
-short-time Fourier transform over the samples that were read back gives spectral peaks; a peak is
-paired with peaks of the frames that follow, and the pairs are kept as time-coded arrays
+short-time Fourier transform over the samples that were read back, in frames that overlap by half, gives
+up to ``PEAKS`` spectral peaks a frame; a peak is paired with those of the ``REACH`` frames that follow, and the pairs are kept as time-coded arrays
 (``times[i]`` is the frame, ``codes[i]`` packs both frequencies and the distance).
 
 Edge cases: a null or empty text is one block of 64 zero bytes, whose spectrum has no peak, so its
@@ -28,9 +28,9 @@ from civicspark.llm.common import map_arrow, table, utf8
 BLOCK = 64
 RATE = 8000
 FRAME = 256
-HOP = 256
-PEAKS = 2
-REACH = 2
+HOP = 128
+PEAKS = 3
+REACH = 3
 FRAMES_AT_ONCE = 4096
 SCHEMA = (
     "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, "
@@ -71,7 +71,7 @@ def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power = np.abs(np.fft.rfft(block * window, axis=1)).astype(np.float32)
         inner = power[:, 1:-1]
         top = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, np.float32(0))
-        bins = np.argpartition(-top, PEAKS - 1, axis=1)[:, :PEAKS]
+        bins = np.argsort(-top, axis=1, kind="stable")[:, :PEAKS]  # of equal ones the lower
         bins.sort(axis=1)
         strong = np.take_along_axis(top, bins, axis=1) > 1.0
         rows = np.broadcast_to(np.arange(at, at + n)[:, None], bins.shape)

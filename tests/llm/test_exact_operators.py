@@ -341,3 +341,35 @@ def test_media_round_trip(odd, empty):
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(r.media)
         assert len(r.times) == len(r.codes) and r.times == sorted(r.times)
     assert media.media_columns(empty).count() == 0
+
+
+def test_media_peak_pairs_match_plain_loops(odd):
+    import numpy as np
+
+    window = np.hanning(media.FRAME).astype(np.float32)
+    seen = 0
+    for r in media.media_columns(odd).collect():
+        samples = np.frombuffer(media.from_wav(bytes(r.media)), np.uint8).astype(np.float32) - np.float32(128)
+        peaks = []
+        for frame in range(max(1, -(-(len(samples) - media.FRAME) // media.HOP) + 1)):
+            own = np.zeros(media.FRAME, np.float32)
+            part = samples[frame * media.HOP : frame * media.HOP + media.FRAME]
+            own[: len(part)] = part
+            power = np.abs(np.fft.rfft(own * window)).astype(np.float32)
+            tops = [k for k in range(1, len(power) - 1) if power[k] > power[k - 1] and power[k] >= power[k + 1] and power[k] > 1]
+            peaks.append(sorted(sorted(tops, key=lambda k: (-power[k], k))[: media.PEAKS]))
+        want = sorted((t, (a << 16) | (b << 4) | gap) for t, own in enumerate(peaks) for a in own for gap in range(1, media.REACH + 1) if t + gap < len(peaks) for b in peaks[t + gap])
+        assert list(zip(r.times, r.codes, strict=True)) == want
+        seen += len(want)
+    assert seen > 1000
+
+
+def test_media_fingerprints_of_a_shifted_clip_share_most_codes():
+    import numpy as np
+
+    rng = random.Random(6)
+    clip = np.frombuffer("".join(rng.choice("abcdefgh ") for _ in range(20_000)).encode(), np.uint8)
+    codes = lambda x: collections.Counter(media.peak_pairs(*media.spectral_peaks(x))[1].tolist())
+    other = np.frombuffer("".join(rng.choice("abcdefgh ") for _ in range(20_000)).encode(), np.uint8)
+    own, moved, far = codes(clip), codes(clip[5 * media.HOP :]), codes(other)
+    assert sum((own & moved).values()) > 0.9 * sum(moved.values()) > 2 * sum((own & far).values())
