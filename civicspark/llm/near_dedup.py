@@ -212,12 +212,12 @@ def _sizes_allow(a: int, b: int, part: int, whole: int) -> bool:
 def screen(rows: DataFrame, bits: int) -> DataFrame:
     """Rows (u, v) from rows (grp, salt, side, doc, comp, sketch), side 0 held, side 1 streamed.
 
-    With v: two components that hold sketches close enough for a link, as many as join components of
-    the block. Without v: a document u that has such a sketch in another component.
+    With v: two components that hold sketches close enough for a link, at most as many as join all of
+    the block's. Without v: a document u that has such a sketch in another component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, comps, held, ready, near_to, joined = None, [], [], [], None, None, set()
+        key, docs, comps, held, ready, near_to, parent, roots = None, [], [], [], None, None, {}, None
         out: list[tuple] = []
 
         def close() -> None:
@@ -230,7 +230,7 @@ def screen(rows: DataFrame, bits: int) -> DataFrame:
             for i in range(batch.num_rows):
                 if key != (grp[i], salt[i]):
                     close()
-                    key, docs, comps, held, ready, near_to, joined = (grp[i], salt[i]), [], [], [], None, None, set()
+                    key, docs, comps, held, ready, near_to, parent, roots = (grp[i], salt[i]), [], [], [], None, None, {}, None
                 if side[i] == 0:
                     docs.append(doc[i])
                     comps.append(comp[i])
@@ -240,15 +240,19 @@ def screen(rows: DataFrame, bits: int) -> DataFrame:
                     continue
                 if ready is None:
                     ready = np.array(docs), np.array(comps), np.stack(held)
-                    near_to = np.zeros(len(docs), bool)
+                    near_to, roots = np.zeros(len(docs), bool), np.array(comps)
                 near = (ready[1] != comp[i]) & (_popcount(ready[2] ^ sketch[i]).sum(axis=1) <= bits)
                 if near.any():
                     near_to |= near
                     out.append((int(doc[i]), None))
-                    for other in np.unique(ready[1][near]).tolist():
-                        if (int(comp[i]), other) not in joined:
-                            joined.add((int(comp[i]), other))
-                            out.append((int(comp[i]), other))
+                    mine = int(comp[i])
+                    while mine in parent:
+                        mine = parent[mine]
+                    for other in np.unique(roots[near]).tolist():
+                        if other != mine:
+                            out.append((mine, other))
+                            parent[other] = mine
+                            roots[roots == other] = mine
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
             out.clear()
         close()

@@ -115,6 +115,15 @@ def test_near_duplicates_of_a_whole_table_match_all_pairs(spark):
         assert links > 50 and got == {i: root(i) for i in own}
 
 
+def test_screening_emits_no_more_links_than_join_a_block(spark):
+    rows = [(1, 0, side, d, d // 2, [0] * near_dedup.SKETCH_WORDS) for side in (0, 1) for d in range(200)]
+    rows += [(1, 0, side, d, d, [-1] * near_dedup.SKETCH_WORDS) for side in (0, 1) for d in (500, 501)] + [(2, 0, 0, 9, 9, [0] * near_dedup.SKETCH_WORDS)]
+    found = near_dedup.screen(spark.createDataFrame(rows, "grp long, salt long, side int, doc long, comp long, sketch array<long>"), 10).collect()
+    links = [(r.u, r.v) for r in found if r.v is not None]
+    assert len(links) == 100 and {x for p in links for x in p} == {*range(100), 500, 501}
+    assert {r.u for r in found if r.v is None} == {*range(200), 500, 501}
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
