@@ -5,10 +5,11 @@ Rule lists are parameters: the library brings the matching, the caller brings th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
@@ -30,13 +31,27 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
-def word_similarity(name: Column, text: Column) -> Column:
-    """The best similarity of a name's trigrams with those of a run of the text's words."""
+def trigram_sequence(text: Column) -> Column:
+    """All trigrams of the padded words in order, repeated ones too."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    wanted = F.size(F.regexp_extract_all(F.lower(name), F.lit(WORD), F.lit(0)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - wanted + 1)), lambda i: F.array_join(F.slice(words, i, F.greatest(wanted, F.lit(1))), " "))
-    own = trigrams(name)
-    return F.coalesce(F.array_max(F.transform(runs, lambda r: jaccard(own, trigrams(r)))), F.lit(0.0))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: p.substr(i, F.lit(3)))))
+
+
+def word_similarity(name: Column, text: Column) -> Column:
+    """The best similarity of a name's trigrams with those of any stretch of the text's trigrams.
+
+    A best stretch begins and ends at a trigram of the name, so only such stretches are looked at.
+    """
+    own, run = trigrams(name), trigram_sequence(text)
+    held = F.filter(F.transform(run, lambda t, i: F.when(F.array_contains(own, t), i + 1)), lambda i: i.isNotNull())
+    each = F.transform(held, lambda a: F.array_max(F.transform(F.filter(held, lambda b: b >= a), lambda b: jaccard(own, F.array_distinct(F.slice(run, a, b - a + 1))))))
+    return F.coalesce(F.array_max(each), F.lit(0.0))
+
+
+def has_suffix_word(text: Column, suffixes: Sequence[str]) -> Column:
+    """Whether a normalised text has a word that ends with one of the suffixes."""
+    return text.rlike(rf"(?U)\b\w*(?:{'|'.join(re.escape(x) for x in suffixes)})\b")
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -174,11 +189,10 @@ def column_name(key: Column) -> Column:
 
 
 def has_anaphora(query: Column, proforms: Sequence[str]) -> Column:
-    """A proform that ends the query or stands before a lower-case word."""
-    words = F.regexp_extract_all(query, F.lit(WORD), F.lit(0))
-    pro = [p.lower() for p in proforms]
-    n = F.size(words)
-    paired = F.zip_with(words, F.slice(words, 2, F.greatest(n, F.lit(1))), lambda w, nxt: F.lower(w).isin(pro) & (nxt.isNull() | nxt.rlike(r"^\p{Ll}")))
+    """A proform (without marks after it) that ends the query, or stands before a word that begins in lower case."""
+    words, pro = F.split(F.trim(query), r"\s+"), [p.lower() for p in proforms]
+    bare = lambda w: F.regexp_replace(F.lower(w), "[,.!?:;]+$", "").isin(pro)
+    paired = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda w, nxt: bare(w) & (nxt.isNull() | nxt.rlike(r"^\p{Ll}")))
     return F.exists(paired, lambda x: F.coalesce(x, F.lit(False)))
 
 
@@ -214,9 +228,19 @@ def web_link(base: str, kind: Column, key: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), F.lower(kind), F.lit("?id="), key.cast("string"))
 
 
-def follows_up(query: Column, proforms: Sequence[str], turns: Column, most: int = 5, short: int = 3) -> tuple[Column, Column]:
-    """(follow-up, break): a short or anaphoric query in a running thread goes on, unless the thread is full."""
-    words = F.size(F.regexp_extract_all(query, F.lit(WORD), F.lit(0)))
-    on = (turns > 0) & (has_anaphora(query, proforms) | (words <= short))
-    full = turns >= most
-    return on & ~full, (turns > 0) & (full | ~on)
+def thread_turn(query: Column, thematic: Column, confidence: Column, topic: Column, sure_recall: Column, proforms: Sequence[str], least: float) -> Column:
+    """followup or break: a thematic query goes on if it is anaphoric, or has no topic and an unsure intent; weak recall breaks."""
+    unsure = F.coalesce(confidence, F.lit(0.0)) < least
+    on = thematic & sure_recall & (has_anaphora(query, proforms) | (topic.isNull() & unsure))
+    return F.when(F.coalesce(on, F.lit(False)), "followup").otherwise("break")
+
+
+def classified_names(table: DataFrame, rules: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(names trimmed and missing classifications filled by rule, changes as key, column, before, after)."""
+    name = F.trim(F.regexp_replace("name", r"^\s+|\s+$", ""))
+    new_name = F.when(name != "", name).otherwise(F.col("name"))
+    new_class = F.coalesce("classification", F.when(name != "", first_match(name, rules)))
+    both = table.withColumns({"new_name": new_name, "new_class": new_class})
+    change = lambda label, old, new: F.when(~F.col(old).eqNullSafe(F.col(new)), F.struct(F.lit(label).alias("column"), F.col(old).alias("before"), F.col(new).alias("after")))
+    changes = both.select("key", F.explode(F.array_compact(F.array(change("name", "name", "new_name"), change("classification", "classification", "new_class")))).alias("x")).select("key", "x.*")
+    return both.select(*(F.col({"name": "new_name", "classification": "new_class"}.get(c, c)).alias(c) for c in table.columns)), changes

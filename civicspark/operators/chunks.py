@@ -9,29 +9,46 @@ from civicspark.functions.text import edit_ratio
 from civicspark.sources.tables import cut
 
 
-def chunk(docs: DataFrame, target: int = 7000, hard: int = 8000) -> DataFrame:
+LINE_ENDS = r"(?<=\n|\r(?!\n)|[\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
+
+
+def chunk(docs: DataFrame, target: int = 7000, hard: int = 8000, whole: int | None = None) -> DataFrame:
     """(doc, chunk_index, char_start, char_end, text): pieces that join up to the whole text.
 
-    A text of at most ``hard`` characters is chunk 0. Longer ones are cut at headings (lines that start
-    with #), blocks are merged up to ``target``, and a block over ``hard`` is cut at its lines. Only a
-    line that is longer on its own makes a longer chunk. The greedy merge runs inside one document.
+    A text of at most ``whole`` (else ``hard``) characters is chunk 0. Longer ones fall into blocks at headings (lines
+    that start with #). Blocks are put together while they stay within ``target``; a block over ``hard``
+    closes what came before and is filled line by line up to ``hard``, and its last piece stays open for
+    what follows. Only a line that is longer on its own makes a longer chunk. One document is one fold.
     """
-    pieces = F.split("text", r"(?<=\n)", -1)
-    lines = F.filter(pieces, lambda x: x != "")
+    lines = F.filter(F.split("text", LINE_ENDS, -1), lambda x: x != "")
     lengths = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.startswith("#").alias("head")))
-    start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e"))
-
-    def step(acc, x):
-        size, grown = acc["e"] - acc["s"], acc["e"] - acc["s"] + x["n"]
-        close = (size > 0) & ((grown > hard) | (x["head"] & (grown > target)) | (size >= target))
-        done = F.when(close, F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(close, acc["e"]).otherwise(acc["s"]).alias("s"), (acc["e"] + x["n"]).alias("e"))
-
-    spans = F.aggregate(lengths, start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))))
-    small = docs.where(F.length("text") <= hard).select("doc", F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
-    large = docs.where(F.length("text") > hard).select("doc", "text", F.posexplode(spans).alias("i", "x"))
-    cut = large.select("doc", (F.col("i") + 1).alias("chunk_index"), F.col("x.s").alias("char_start"), F.col("x.e").alias("char_end"), F.substring(F.col("text"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("text"))
-    return small.unionByName(cut)
+    last = lambda a: F.element_at(a, -1)
+    # blocks as arrays of line lengths
+    grow = lambda acc, x: F.when(x["head"] & (F.size(acc) > 0) | (F.size(acc) == 0), F.concat(acc, F.array(F.array(x["n"])))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last(acc), F.array(x["n"])))))
+    blocks = F.aggregate(lengths, F.array().cast("array<array<int>>"), grow)
+    spans = F.array().cast("array<struct<s:int,e:int>>")
+    span = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e")))
+    state = lambda done, s, e: F.struct(done.alias("done"), s.alias("s"), e.alias("e"))
+    closed = lambda acc: F.when(acc["e"] > acc["s"], F.concat(acc["done"], span(acc["s"], acc["e"]))).otherwise(acc["done"])
+
+    def line(acc, n):
+        full = (acc["e"] > acc["s"]) & (acc["e"] - acc["s"] + n > hard)
+        return state(F.when(full, closed(acc)).otherwise(acc["done"]), F.when(full, acc["e"]).otherwise(acc["s"]), acc["e"] + n)
+
+    def block(acc, own):
+        n = F.aggregate(own, F.lit(0), lambda a, x: a + x)
+        over = n > hard
+        flush = over | ((acc["e"] > acc["s"]) & (acc["e"] - acc["s"] + n > target))
+        open_ = state(F.when(flush, closed(acc)).otherwise(acc["done"]), F.when(flush, acc["e"]).otherwise(acc["s"]), acc["e"])
+        grown = F.when(over, F.aggregate(own, open_, line)).otherwise(state(open_["done"], open_["s"], open_["e"] + n))
+        return F.element_at(F.transform(F.array(grown), lambda g: F.when(g["e"] - g["s"] >= F.when(over, hard).otherwise(target), state(closed(g), g["e"], g["e"])).otherwise(g)), 1)
+
+    found = F.aggregate(blocks, state(spans, F.lit(0), F.lit(0)), block, closed)
+    whole = hard if whole is None else whole
+    small = docs.where(F.length("text") <= whole).select("doc", F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
+    large = docs.where(F.length("text") > whole).select("doc", "text", F.posexplode(found).alias("i", "x"))
+    pieces = large.select("doc", (F.col("i") + 1).alias("chunk_index"), F.col("x.s").alias("char_start"), F.col("x.e").alias("char_end"), F.substring(F.col("text"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("text"))
+    return small.unionByName(pieces)
 
 
 def whole_texts(chunks: DataFrame, separator: str = "") -> DataFrame:
@@ -97,6 +114,19 @@ def word_clusters(weights: DataFrame, least: float = 0.8) -> DataFrame:
             return decided
 
 
+def kept_clusters(clusters: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(clusters of ``least`` words or more, words of smaller ones, which stay unclustered)."""
+    large = clusters.groupBy("representative").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least).select("representative")
+    return clusters.join(large, "representative", "left_semi"), clusters.join(large, "representative", "left_anti").select("word")
+
+
+def merged_clusters(clusters: DataFrame, weights: DataFrame, least: float = 0.8) -> DataFrame:
+    """(word, representative): clusters whose representatives are similar become one, greedily by weight."""
+    heads = weights.join(clusters.select(F.col("representative").alias("word")).distinct(), "word", "left_semi")
+    into = word_clusters(heads, least).toDF("representative", "merged")
+    return clusters.join(into, "representative").select("word", F.col("merged").alias("representative"))
+
+
 def backfill(docs: DataFrame, chunks_: DataFrame) -> DataFrame:
     """Chunk 0 with the whole text for every document that has no chunk."""
     missing = docs.where("text is not null").join(chunks_.select("doc").distinct(), "doc", "left_anti")

@@ -7,52 +7,74 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPS = {"paperType": {"in"}, "year": {"range"}, "result": {"in"}, "role": {"in"}, "authoritative": {"eq"}, "tag": {"in"}, "district": {"in"}, "organization": {"in"}}
-BASES = {"paper", "meeting", "file"}
+#: The names that a filter spec may use.
+FACETS = ("paperType", "year", "result", "role", "authoritative", "tag", "district", "organization")
+OPS = ("in", "eq", "range")
+BASES = ("paper", "meeting", "file")
 
 
 class FilterError(ValueError):
     pass
 
 
-def validate(specs: list[dict]) -> list[dict]:
-    """Checked copies of the specs; a spec that says nothing usable is an error."""
-    out = []
-    for spec in specs:
-        facet, op = spec.get("facet"), spec.get("op")
-        if facet not in OPS:
-            raise FilterError(f"unknown facet {facet!r}")
-        if op not in OPS[facet]:
-            raise FilterError(f"{facet} does not take {op!r}")
-        if op == "in" and not (isinstance(spec.get("values"), list) and spec["values"]):
-            raise FilterError(f"{facet} needs a list of values")
-        if op == "eq" and not isinstance(spec.get("value"), bool):
-            raise FilterError(f"{facet} needs true or false")
-        if op == "range":
-            if spec.get("from") is None and spec.get("to") is None:
-                raise FilterError("a range needs from or to")
-            if spec.get("basis", "paper") not in BASES:
-                raise FilterError(f"unknown basis {spec.get('basis')!r}")
-        out.append(dict(spec))
+def _checked(spec: dict) -> dict:
+    if not isinstance(spec, dict) or spec.get("facet") not in FACETS:
+        raise FilterError(f"no known facet in {spec!r}")
+    facet, op = spec["facet"], spec.get("op", "in")
+    out = {"facet": facet, "op": op}
+    if op == "in" and isinstance(spec.get("values"), (list, tuple)) and spec["values"]:
+        out["values"] = [str(v) for v in spec["values"]]
+    elif op == "eq" and "value" in spec and facet != "organization":
+        out["value"] = spec["value"]
+    elif op == "range" and facet == "year" and (spec.get("from") is not None or spec.get("to") is not None):
+        out |= {"from": spec.get("from"), "to": spec.get("to"), "basis": spec.get("basis", "paper")}
+        if out["basis"] not in BASES:
+            raise FilterError(f"unknown basis {out['basis']!r}")
+    else:
+        raise FilterError(f"{facet} can't use {op!r} as it stands in {spec!r}")
+    if facet == "tag":
+        if not spec.get("scheme"):
+            raise FilterError("a tag filter names its scheme")
+        out["scheme"] = str(spec["scheme"])
     return out
 
 
-def predicate(specs: list[dict], columns: dict[str, str]) -> Column:
+def validate(specs: list[dict] | None) -> list[dict]:
+    """Normalised copies of the specs: op ``in`` where none is named, values as strings; others are an error.
+
+    Years may be numbers or strings. A tag filter needs its scheme, organizations are listed by name.
+    """
+    return [_checked(x) for x in specs or []]
+
+
+def year_of(value) -> int:
+    """The year that a bound of a range begins with."""
+    return int(str(value)[:4])
+
+
+def predicate(specs: list[dict] | None, columns: dict[str, str]) -> Column:
     """One column condition for the facets that live on the row; columns: facet or basis to column."""
 
     def one(spec: dict) -> Column:
         if spec["op"] == "in":
-            return F.col(columns[spec["facet"]]).isin(spec["values"])
+            return F.col(columns[spec["facet"]]).cast("string").isin(spec["values"])
         if spec["op"] == "eq":
             return F.col(columns[spec["facet"]]) == F.lit(spec["value"])
-        day = F.col(columns[spec.get("basis", "paper")])
-        low = day >= F.lit(f"{spec['from']}-01-01").cast("timestamp") if spec.get("from") is not None else F.lit(True)
-        high = day < F.lit(f"{spec['to'] + 1}-01-01").cast("timestamp") if spec.get("to") is not None else F.lit(True)
+        day = F.col(columns[spec["basis"]])
+        low = day >= F.lit(f"{year_of(spec['from'])}-01-01").cast("timestamp") if spec["from"] is not None else F.lit(True)
+        high = day < F.lit(f"{year_of(spec['to']) + 1}-01-01").cast("timestamp") if spec["to"] is not None else F.lit(True)
         return low & high
 
     return reduce(lambda a, b: a & b, map(one, validate(specs)), F.lit(True))
 
 
+def tagged(items: DataFrame, assignments: DataFrame, spec: dict, key: str) -> DataFrame:
+    """Items that hold one of the tags of a tag filter within its scheme: a semi join."""
+    (checked,) = validate([spec])
+    held = assignments.where((F.col("scheme") == checked["scheme"]) & F.col("tag").isin(checked["values"]))
+    return having(items, held, key)
+
+
 def having(items: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """Items with a link (facets that live in another table): a semi join."""
     return items.join(links.select(key).distinct(), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import WORD, word_similarity
+from civicspark.functions.text import WORD, has_suffix_word, normalise, trigrams, word_similarity
 
 
 def words_at(text: str) -> Column:
@@ -30,30 +30,38 @@ def dictionary_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def longest_only(matches: DataFrame) -> DataFrame:
-    """Non-overlapping matches, as an alternation of the names finds them: leftmost first, of those the longest.
+    """Non-overlapping matches: the longest names take their places first, of equal ones the earlier.
 
-    A match goes if it starts inside one that is kept; those that went cover nothing.
+    A match goes only if it overlaps one that is kept; those that went cover nothing.
     """
-    row = F.struct("at", (-F.col("words")).alias("minus"), "name_id", F.struct(*matches.columns).alias("row"))
+    row = F.struct((-F.length("name")).alias("minus"), "at", "words", "name", "name_id", F.struct(*matches.columns).alias("row"))
     found = matches.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("found"))
-    start = F.struct(F.lit(0).cast("long").alias("reach"), F.slice("found", 1, 0).alias("kept"))
+    over = lambda kept, x: F.exists(kept, lambda o: (x["at"] < o["at"] + o["words"]) & (o["at"] < x["at"] + x["words"]))
+    kept = F.aggregate("found", F.slice("found", 1, 0), lambda acc, x: F.when(over(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return found.select(F.explode(kept).alias("one")).select("one.row.*")
 
-    def step(acc: Column, x: Column) -> Column:
-        free = x["at"] >= acc["reach"]
-        reach = F.when(free, (x["at"] - x["minus"]).cast("long")).otherwise(acc["reach"])
-        return F.struct(reach.alias("reach"), F.when(free, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = F.aggregate("found", start, step, lambda acc: acc["kept"])
-    return found.select(F.explode(kept).alias("one")).select("one.row.*")
+def names_it(text: Column, name: Column) -> Column:
+    """Whether a name stands in a text with no letter, digit or underscore on either side, whatever the case."""
+    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(F.trim(name), F.lit(r"\E"), F.lit("")), F.lit(r"\E(?!\w)"))
+    return F.coalesce((F.trim(name) != "") & F.regexp_like(text, quoted), F.lit(False))
 
 
 def still_valid(links: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, stale) links by whether the item's name still holds the place's name."""
+    """(valid, stale) links by whether the item's present name still names the place."""
     joined = links.join(items, "item")
-    ok = F.coalesce(F.expr("contains(lower(item_name), lower(place))"), F.lit(False))
+    ok = names_it(F.col("item_name"), F.col("place"))
     return joined.where(ok), joined.where(~ok)
 
 
+def place_links(items: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """New links (item, name_id, evidence) of items (item, name, content): names found in the name, else in the content."""
+    told = items.select("item", F.explode(F.array(F.struct(F.lit("name").alias("evidence"), F.col("name").alias("text")), F.struct(F.lit("content").alias("evidence"), F.col("content").alias("text")))).alias("x")).where("x.text is not null")
+    docs = told.select(F.struct("item", "x.evidence").alias("doc"), "x.text")
+    found = longest_only(dictionary_matches(docs, names)).select("doc.item", "name_id", "doc.evidence")
+    return found.groupBy("item", "name_id").agg(F.max("evidence").alias("evidence")).join(known.select("item", "name_id"), ["item", "name_id"], "left_anti")
+
+
 def gate(links: DataFrame, verdicts: DataFrame, address_only: Column) -> DataFrame:
     """Adds gate_status: boilerplate where the place only occurs in addresses, else a supplied verdict, else unsure."""
     known = links.join(verdicts.select("item", "place", "verdict"), ["item", "place"], "left")
@@ -65,12 +73,23 @@ def per_place(links: DataFrame) -> DataFrame:
     return links.groupBy("place").agg(F.count_distinct("item").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("item").cast("string"))), ",").alias("items"))
 
 
-def resolve_places(queries: DataFrame, names: DataFrame, least: float = 0.5, n: int = 5, near: float = 0.1) -> DataFrame:
-    """Gazetteer names that a query may mean: word similarity, best n, those within ``near`` of the best."""
-    pairs = queries.join(F.broadcast(names), F.lit(True)).withColumn("score", F.round(word_similarity(F.col("name"), F.col("query")), 6)).where(F.col("score") >= least)
-    w = Window.partitionBy("query_id")
-    ranked = pairs.withColumn("best", F.max("score").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "name_id")))
-    return ranked.where((F.col("place") <= n) & (F.col("score") >= F.col("best") - near)).select("query_id", "name_id", "name", "score", (F.col("score") == F.col("best")).alias("is_best"))
+def resolve_places(queries: DataFrame, names: DataFrame, suffixes: list[str], least: float = 0.5, least_with_suffix: float = 0.4, n: int = 5, near: float = 0.1) -> DataFrame:
+    """(query_id, kind, name_id, name, score, is_best): gazetteer rows that a query may mean.
+
+    Names (kind, name_id, name) whose word similarity with the normalised query is over the threshold,
+    which is lower where the query has a word with a place suffix; the best n of each kind. All rows of
+    the best name are best, others stay if they are within ``near`` of it. Names without a trigram of
+    the query have similarity 0, so both sides meet on trigrams.
+    """
+    asked = queries.select("query_id", normalise(F.col("query")).alias("query")).where("query <> ''").withColumn("over", F.when(has_suffix_word(F.col("query"), suffixes), least_with_suffix).otherwise(least))
+    a = asked.select("query_id", F.explode(trigrams(F.col("query"))).alias("t"))
+    b = names.select("kind", "name_id", F.explode(trigrams(F.col("name"))).alias("t"))
+    met = a.join(b, "t").select("query_id", "kind", "name_id").distinct().join(asked, "query_id").join(names, ["kind", "name_id"])
+    scored = met.withColumn("score", F.round(word_similarity(F.col("name"), F.col("query")), 4)).where(F.col("score") > F.col("over"))
+    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "name_id"))).where(F.col("place") <= n)
+    best = F.first(F.struct("score", normalise(F.col("name")).alias("name"))).over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name"))
+    told = ranked.withColumn("best", best).withColumn("is_best", normalise(F.col("name")) == F.col("best.name"))
+    return told.where(F.col("is_best") | (F.col("score") >= F.round(F.col("best.score") - near, 4))).select("query_id", "kind", "name_id", "name", "score", "is_best")
 
 
 def tiered(tiers: list[DataFrame], key: str = "query_id") -> DataFrame:

@@ -31,11 +31,15 @@ def of_items(tags: DataFrame) -> DataFrame:
     return tags.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
-def related_by_tags(tags: DataFrame, seeds: DataFrame, shared: int = 2, n: int = 10) -> DataFrame:
-    """Items sharing at least ``shared`` tags with the seeds: score is the sum of 1 + the seeds' best confidence."""
-    own = tags.join(seeds.select("item"), "item", "left_semi").groupBy("tag").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
-    other = tags.join(seeds.select("item"), "item", "left_anti").select("item", "tag").distinct().join(own, "tag")
-    found = other.groupBy("item").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(1 + F.col("best")), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+def related_by_tags(tags: DataFrame, seeds: DataFrame, scheme: str, shared: int = 2, n: int = 10) -> DataFrame:
+    """Items sharing at least ``shared`` tags of one scheme with the seeds, the best n.
+
+    The score adds up 1 + the seeds' best confidence (0.5 where none is known) over the item's own rows.
+    """
+    of_scheme = tags.where(F.col("scheme") == scheme)
+    own = of_scheme.join(seeds.select("item"), "item", "left_semi").groupBy("tag").agg(F.coalesce(F.max("confidence"), F.lit(0.5)).alias("best"))
+    other = of_scheme.join(seeds.select("item"), "item", "left_anti").join(own, "tag")
+    found = other.groupBy("item").agg(F.count_distinct("tag").alias("shared"), F.round(F.sum(1 + F.col("best")), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
     return found.where(F.col("shared") >= shared).orderBy(F.desc("score"), "item").limit(n)
 
 
@@ -87,9 +91,23 @@ def above_threshold(scores: DataFrame, thresholds: DataFrame, qualified_tags: li
 
 
 def topic_clusters(tags: DataFrame, related: DataFrame, query_words: int, least: int = 3, n: int = 5) -> DataFrame:
-    """For a short query with several tag clusters: one option per item, named by a tag no earlier item used."""
-    shared = related.join(tags, "item").groupBy("tag").agg(F.count_distinct("item").alias("items")).where("items >= 2")
-    enough = F.lit(query_words <= 3) & (F.count(F.lit(1)).over(Window.partitionBy()) >= least)
-    open_ = related.join(tags, "item").join(shared.withColumn("enough", enough).where("enough"), "tag")
-    first = open_.withColumn("use", F.row_number().over(Window.partitionBy("tag").orderBy("place", "item"))).where("use = 1")
-    return first.groupBy("item").agg(F.min("tag").alias("label"), F.min("place").alias("place")).orderBy("place", "item").limit(n)
+    """(place, item, label): options to choose from after a short query whose related items fall into several clusters.
+
+    A cluster is a tag that two related items (item, place) hold. With ``least`` clusters and a query of
+    at most three words, the first n items each offer their first tag that no earlier one offered; items
+    without one offer nothing, and fewer than two options are none.
+    """
+    held = related.join(tags.select("item", "tag").distinct(), "item")
+    clusters = held.groupBy("tag").agg(F.count(F.lit(1)).alias("items")).where("items >= 2").agg(F.count(F.lit(1)).alias("clusters"))
+    first = related.orderBy("place", "item").limit(n)  # n rows, so the fold below is over n entries
+    rows = first.join(tags.select("item", "tag").distinct(), "item").groupBy("place", "item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    told = rows.agg(F.array_sort(F.collect_list(F.struct("place", "item", "tags"))).alias("rows"))
+    item = dict(related.dtypes)
+    none = F.array().cast(f"array<struct<place:{item['place']},item:{item['item']},label:string>>")
+
+    def offer(acc, x):
+        label = F.get(F.array_except(x["tags"], F.transform(acc, lambda o: o["label"])), 0)
+        return F.when(label.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(x["place"].alias("place"), x["item"].alias("item"), label.alias("label")))))
+
+    options = told.join(F.broadcast(clusters), F.lit(True)).where((F.col("clusters") >= least) & F.lit(query_words <= 3)).select(F.aggregate("rows", none, offer).alias("options"))
+    return options.where(F.size("options") >= 2).select(F.explode("options").alias("o")).select("o.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicspark.functions.text import agenda_rank
+
 
 def gap_groups(events: DataFrame, by: list[str], when: str, tie: str, days: int = 30) -> DataFrame:
     """Adds group_no: a new group starts where more than ``days`` whole days lie to the event before."""
@@ -45,3 +47,8 @@ def dated(objects: DataFrame, by_type: dict[str, list[str]]) -> DataFrame:
     for kind, columns in by_type.items():
         day = F.when(F.col("type") == kind, F.coalesce(*columns)).otherwise(day)
     return objects.withColumn("date", day).where("date is not null")
+
+
+def agenda_places(items: DataFrame, owner: str, number: str, key: str) -> DataFrame:
+    """Adds place: the order of an owner's items, numbers as numbers first, then those without, then texts."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*agenda_rank(F.col(number)), key)))

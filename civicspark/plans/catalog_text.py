@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
 from civicspark.operators import chunks, graph, pairs, places, tags
-from civicspark.plans.catalog import TAGS_SQL, query, tag_rows
+from civicspark.plans.catalog import PROFORMS, TAGS_SQL, query, tag_rows
 from civicspark.sources import entities
 from civicspark.sources.tables import table
 from civicspark.streaming import incremental
 
 
-@query("j10_t10_registry_join", """
+@query("j10_registry_join", """
 SELECT l_orderkey, l_linenumber, o_orderkey AS item FROM lineitem JOIN orders ON l_shipdate::DATE = o_orderdate::DATE AND l_linenumber = o_orderkey % 7""")
 def j10(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("Protokoll "), F.date_format("l_shipdate", "d.M.yyyy"), F.lit(" TOP "), F.col("l_linenumber").cast("string"))
@@ -21,7 +21,7 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.registry_join(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name")), registry).select("l_orderkey", "l_linenumber", "item")
 
 
-@query("t11_t12_e19_ballots", """
+@query("t11_t12_ballots", """
 WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS yes, (l_tax * 100)::INT * 5 AS no, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' END AS stated FROM lineitem)
 SELECT l_orderkey, l_linenumber, yes, no, CASE WHEN yes > no THEN 'accepted' ELSE 'rejected' END AS counted, CASE WHEN stated IS NULL THEN 'n/a' WHEN stated = CASE WHEN yes > no THEN 'accepted' ELSE 'rejected' END THEN 'ok' ELSE 'warn' END AS verdict FROM v""")
 def ballots(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def ballots(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("l_orderkey", "l_linenumber", "yes", "no", "counted", tx.outcome_check(F.col("counted"), F.col("stated")).alias("verdict"))
 
 
-@query("t13_t14_e16_decisions", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'postponed' END AS outcome, true AS top_match, o_orderstatus = 'F' AS result_match FROM orders")
+@query("t13_t14_decisions", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'postponed' END AS outcome, true AS top_match, o_orderstatus = 'F' AS result_match FROM orders")
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     word = F.when(F.col("o_orderstatus") == "F", "einstimmig zugestimmt").when(F.col("o_orderstatus") == "O", "abgelehnt").otherwise("vertagt")
     number = (F.col("o_orderkey") % 9 + 1).cast("string")
@@ -44,7 +44,7 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("o_orderkey", "outcome", top.alias("top_match"), result.alias("result_match"))
 
 
-@query("t16_e20_eras", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT%' AND o_orderdate::DATE <= DATE '1995-12-31' THEN 'old' WHEN o_orderpriority LIKE '%URGENT%' THEN 'new' WHEN o_orderpriority LIKE '%HIGH%' THEN 'high' END AS party FROM orders")
+@query("t16_eras", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT%' AND o_orderdate::DATE <= DATE '1995-12-31' THEN 'old' WHEN o_orderpriority LIKE '%URGENT%' THEN 'new' WHEN o_orderpriority LIKE '%HIGH%' THEN 'high' END AS party FROM orders")
 def eras(spark: SparkSession, sf: str) -> DataFrame:
     rules = [("urgent", "old", None, "1995-12-31"), ("urgent", "new", "1996-01-01", None), ("high", "high", None, None)]
     return table(spark, sf, "orders").select("o_orderkey", tx.valid_at(F.col("o_orderdate").cast("date"), rules, F.col("o_orderpriority")).alias("party"))
@@ -57,14 +57,14 @@ def address_gate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", tx.only_as_address(clean, "Gartenstraße").alias("address_only"), F.trim(tx.excerpt(clean, F.lit("Gartenstraße"))).alias("evidence"))
 
 
-@query("t23_t7_t9_parsed_columns", "SELECT o_orderkey, o_orderdate::DATE::TIMESTAMP AS moment, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'motion' ELSE 'other' END AS kind, 'HH' || (o_orderkey % 5) AS code FROM orders")
+@query("t23_t7_parsed_columns", "SELECT o_orderkey, o_orderdate::DATE::TIMESTAMP AS moment, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'motion' ELSE 'other' END AS kind, 'HH' || (o_orderkey % 5) AS code FROM orders")
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
     written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'+02:00'"))
     kind, code = tx.folded_type(F.concat(F.lit("HH"), (F.col("o_orderkey") % 5).cast("string"), F.lit(" "), F.col("o_orderpriority")), [("urgent", "motion")])
     return table(spark, sf, "orders").select("o_orderkey", tx.parse_moment(written).alias("moment"), kind.alias("kind"), code.alias("code"))
 
 
-@query("s6_s7_keys_and_associations", "SELECT DISTINCT 'o' || l_orderkey AS src_sid, 'p' || l_partkey AS tgt_sid FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10")
+@query("s7_associations", "SELECT DISTINCT 'o' || l_orderkey AS src_sid, 'p' || l_partkey AS tgt_sid FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10")
 def associations(spark: SparkSession, sf: str) -> DataFrame:
     values = table(spark, sf, "lineitem").select(F.concat(F.lit("order/"), "l_orderkey").alias("id"), F.lit("part").alias("field"), F.concat(F.lit("part/"), "l_partkey").alias("value"))
     orders = table(spark, sf, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), F.concat(F.lit("o"), "o_orderkey").alias("sid"))
@@ -85,10 +85,10 @@ def role_fill(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.role_fill(known, roles, {"A": "answered"})
 
 
-@query("e21_e22_grounding", "SELECT l_orderkey AS pair, max(CASE WHEN l_linenumber = 1 THEN l_shipdate::DATE END)::VARCHAR AS asked, max(CASE WHEN l_linenumber = 2 THEN l_shipdate::DATE END)::VARCHAR AS answered FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1")
+@query("e21_e22_grounding", "SELECT l_orderkey AS pair, max(CASE WHEN l_linenumber = 1 THEN l_shipdate::DATE END)::VARCHAR AS asked, max(CASE WHEN l_linenumber > 1 THEN l_shipdate::DATE END)::VARCHAR AS answered FROM lineitem GROUP BY 1")
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
     fields = F.create_map(F.lit("day"), F.col("l_shipdate").cast("date").cast("string"), F.lit("flag"), F.col("l_returnflag"))
-    said = table(spark, sf, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("pair"), F.when(F.col("l_linenumber") == 1, "request").otherwise("response").alias("stage")).agg(F.max_by(fields, F.col("l_shipdate")).alias("fields"))
+    said = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pair"), F.when(F.col("l_linenumber") == 1, "request").otherwise("response").alias("stage")).agg(F.max_by(fields, F.col("l_shipdate")).alias("fields"))
     clean = pairs.flag_fields(said.withColumn("flagged", F.lit(None).cast("map<string,string>")), ["flag"])
     out = pairs.grounding(clean)
     return out.select("pair", F.try_element_at("request", F.lit("day")).alias("asked"), F.try_element_at("response", F.lit("day")).alias("answered"))
@@ -104,7 +104,7 @@ def thresholded(spark: SparkSession, sf: str) -> DataFrame:
     return good.unionByName(rest.where("qualifier is null")).select("item", "tag")
 
 
-@query("e9_e10_stale_links", "SELECT c_custkey AS item, CASE WHEN c_custkey % 4 = 0 THEN 'nowhere' ELSE n_name END AS place FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 <> 0")
+@query("e10_stale_links", "SELECT c_custkey AS item, CASE WHEN c_custkey % 4 = 0 THEN 'nowhere' ELSE n_name END AS place FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 <> 0")
 def stale(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     links = c.select(F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 4 == 0, "nowhere").otherwise(F.col("n_name")).alias("place"))
@@ -112,20 +112,26 @@ def stale(spark: SparkSession, sf: str) -> DataFrame:
     return places.still_valid(links, items)[0].select("item", "place")
 
 
-@query("x4_x5_high_water_mark", "SELECT user_id, greatest(max(ts) FILTER (event_id % 2 = 0), max(ts)) AS mark FROM events GROUP BY 1")
+@query("x4_high_water_mark", "SELECT user_id, greatest(max(ts) FILTER (event_id % 2 = 0), max(ts)) AS mark FROM events GROUP BY 1")
 def high_water(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     marks = e.groupBy("user_id").agg(F.max(F.when(F.col("event_id") % 2 == 0, F.col("ts"))).alias("mark"), F.max("ts").alias("seen"))
     return marks.select("user_id", incremental.advanced(F.col("mark"), F.col("seen")).alias("mark"))
 
 
-@query("t24_t26_follow_up_links", r"""
-WITH c AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS words FROM conversations)
-SELECT conv_id, turn, turn > 0 AND words <= 3 AND turn < 5 AS goes_on, turn > 0 AND (turn >= 5 OR words > 3) AS breaks, 'https://portal.example/thread?id=' || conv_id AS link FROM c""")
-def follow_up(spark: SparkSession, sf: str) -> DataFrame:
-    on, off = tx.follows_up(F.col("text"), ["qqzz"], F.col("turn"))
-    link = tx.web_link("https://portal.example/", F.lit("Thread"), F.col("conv_id"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", on.alias("goes_on"), off.alias("breaks"), link.alias("link"))
+@query("t24_web_links", "SELECT conv_id, turn, 'https://portal.example/thread?id=' || conv_id AS link FROM conversations")
+def web_links(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.web_link("https://portal.example/", F.lit("Thread"), F.col("conv_id")).alias("link"))
+
+
+@query("t26_thread_turns", r"""
+WITH c AS (SELECT conv_id, turn, text, string_split_regex(trim(text), '\s+') AS w, conv_id % 3 > 0 AS thematic, CASE WHEN turn % 3 > 0 THEN (turn % 5) / 5.0 END AS confidence, CASE WHEN turn % 2 = 0 THEN 'roads' END AS topic, conv_id % 7 > 0 AS sure FROM conversations),
+a AS (SELECT *, len([i FOR i IN range(1, len(w) + 1) IF regexp_replace(lower(w[i]), '[,.!?:;]+$', '') IN ('it', 'that', 'this', 'these', 'they', 'de', 'der', 'a', 'en') AND (i = len(w) OR regexp_matches(w[i + 1], '^\p{Ll}'))]) > 0 AS anaphora FROM c)
+SELECT conv_id, turn, CASE WHEN thematic AND sure AND (anaphora OR (topic IS NULL AND coalesce(confidence, 0) < 0.5)) THEN 'followup' ELSE 'break' END AS action FROM a""")
+def thread_turns(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.col("turn")
+    signals = (F.col("conv_id") % 3 > 0, F.when(turn % 3 > 0, (turn % 5) / 5), F.when(turn % 2 == 0, F.lit("roads")), F.col("conv_id") % 7 > 0)
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.thread_turn(F.col("text"), *signals, PROFORMS, 0.5).alias("action"))
 
 
 @query("u7_answer_scope", "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice > 1500)")
@@ -143,10 +149,15 @@ def backfilled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a30_topic_clusters", f"""
-WITH {TAGS_SQL}, r AS (SELECT doc_id AS item, doc_id AS place FROM documents WHERE doc_id % 50 = 0),
-s AS (SELECT tag FROM r JOIN tags USING (item) GROUP BY 1 HAVING count(DISTINCT item) >= 2), n AS (SELECT count(*) AS n FROM s),
-f AS (SELECT item, place, tag FROM r JOIN tags USING (item) JOIN s USING (tag) WHERE (SELECT n FROM n) >= 3 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY place, item) = 1)
-SELECT item, min(tag) AS label, min(place) AS place FROM f GROUP BY 1 ORDER BY place, item LIMIT 5""")
+WITH RECURSIVE {TAGS_SQL}, r AS (SELECT doc_id AS item, doc_id AS place FROM documents WHERE doc_id % 50 = 0),
+held AS (SELECT DISTINCT place, item, tag FROM r JOIN tags USING (item)), n AS (SELECT count(*) AS n FROM (SELECT tag FROM held GROUP BY 1 HAVING count(*) >= 2)),
+l AS (SELECT place, item, list_sort(list(tag)) AS tags, row_number() OVER (ORDER BY place, item) AS k FROM held WHERE item IN (SELECT item FROM r ORDER BY place, item LIMIT 5) GROUP BY 1, 2),
+fold AS (
+  SELECT 0::BIGINT AS k, []::VARCHAR[] AS seen, NULL::BIGINT AS place, NULL::BIGINT AS item, NULL::VARCHAR AS label UNION ALL
+  SELECT k2, CASE WHEN x IS NULL THEN seen ELSE list_append(seen, x) END, p2, i2, x
+  FROM (SELECT f.seen, l.k AS k2, l.place AS p2, l.item AS i2, list_filter(l.tags, lambda t: NOT list_contains(f.seen, t))[1] AS x FROM fold f JOIN l ON l.k = f.k + 1)),
+o AS (SELECT place, item, label FROM fold WHERE label IS NOT NULL)
+SELECT place, item, label FROM o WHERE (SELECT n FROM n) >= 3 AND (SELECT count(*) FROM o) >= 2""")
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     related = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("place"))
     return tags.topic_clusters(tag_rows(spark, sf), related, query_words=2)

@@ -136,3 +136,10 @@ def gazetteer(names: DataFrame, shapes: DataFrame, known: DataFrame) -> DataFram
 
 def write_by(df: DataFrame, column: str, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy(column).format(fmt).save(path)
+
+
+def reference_chain(items: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Items with what they refer to, step by step (table, column here, key there); missing links leave nulls."""
+    for there, here, key in steps:
+        items = items.join(there, F.col(here) == F.col(key), "left")
+    return items

@@ -20,7 +20,7 @@ def test_trigrams_and_similarity(spark):
     assert sorted(one(spark, tx.trigrams(F.col("a")), a="Cat")) == ["  c", " ca", "at ", "cat"]
     assert one(spark, tx.trigram_similarity(F.col("a"), F.col("b")), a="word", b="words") == pytest.approx(4 / 7)
     assert one(spark, tx.trigram_similarity(F.col("a"), F.col("b")), a="", b="") == 0
-    assert one(spark, tx.word_similarity(F.col("a"), F.col("b")), a="Weststadt", b="alles über Weststadt heute") == 1
+    assert one(spark, tx.word_similarity(F.col("a"), F.col("b")), a="Südquartier", b="alles über Südquartier heute") == 1
 
 
 def test_cosine(spark):
@@ -72,9 +72,11 @@ def test_small_text_rules(spark):
 
 
 def test_filter_specs():
-    good = [{"facet": "year", "op": "range", "from": 2020}, {"facet": "tag", "op": "in", "values": ["a"]}, {"facet": "authoritative", "op": "eq", "value": False}]
-    assert filters.validate(good) == good
-    for bad in ({"facet": "x", "op": "in", "values": ["a"]}, {"facet": "tag", "op": "eq", "value": True}, {"facet": "tag", "op": "in", "values": []}, {"facet": "year", "op": "range"}, {"facet": "authoritative", "op": "eq", "value": "yes"}, {"facet": "year", "op": "range", "from": 1, "basis": "moon"}):
+    good = [{"facet": "year", "op": "range", "from": "2021", "to": "2022", "basis": "meeting"}, {"facet": "tag", "scheme": "topic", "op": "in", "values": ["a"]}, {"facet": "authoritative", "op": "eq", "value": False}]
+    assert filters.validate(good) == good and filters.validate(None) == []
+    assert filters.validate([{"facet": "role", "values": [1]}]) == [{"facet": "role", "op": "in", "values": ["1"]}]
+    assert filters.validate([{"facet": "year", "op": "range", "from": 2020}]) == [{"facet": "year", "op": "range", "from": 2020, "to": None, "basis": "paper"}]
+    for bad in ({"facet": "tag", "values": ["a"]}, {"facet": "organization", "op": "eq", "value": "x"}, {"facet": "role", "op": "range", "from": 1}, "text", {"facet": "x", "op": "in", "values": ["a"]}, {"facet": "tag", "op": "eq", "value": True}, {"facet": "tag", "op": "in", "values": []}, {"facet": "year", "op": "range"}, {"facet": "authoritative", "op": "eq"}, {"facet": "year", "op": "range", "from": 1, "basis": "moon"}):
         with pytest.raises(filters.FilterError):
             filters.validate([bad])
 
@@ -129,10 +131,10 @@ def test_word_clusters_are_greedy(spark):
 
 
 def test_places(spark):
-    docs = spark.createDataFrame([(1, "In der Weststadt und der Neuen Weststadt Mitte"), (2, "Nordweststadt")], "doc int, text string")
-    names = spark.createDataFrame([(1, "Weststadt"), (2, "Neuen Weststadt"), (3, "Weststadt Mitte")], "name_id int, name string")
+    docs = spark.createDataFrame([(1, "In der Südquartier und der Neuen Südquartier Mitte"), (2, "Obersüdquartier")], "doc int, text string")
+    names = spark.createDataFrame([(1, "Südquartier"), (2, "Neuen Südquartier"), (3, "Südquartier Mitte")], "name_id int, name string")
     got = sorted((r.doc, r.name) for r in places.longest_only(places.dictionary_matches(docs, names)).collect())
-    assert got == [(1, "Neuen Weststadt"), (1, "Weststadt")]
+    assert got == [(1, "Neuen Südquartier"), (1, "Südquartier")]
 
 
 def test_pairs(spark):
