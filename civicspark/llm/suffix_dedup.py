@@ -119,10 +119,11 @@ class Batch:
         self.entry[by] = np.cumsum(fresh) - 1
         self.least = self.ids[self.owner[self.sample]]
 
-    def ranges(self, count: int) -> np.ndarray:
-        """Where each range of names begins among the entries (one more than ranges)."""
+    def ranges(self, count: int) -> dict[int, tuple[int, int]]:
+        """Where the names of each range stand among the entries, for the ranges that have some."""
         part = ((self.name >> U64(32)) * U64(count)) >> U64(32)
-        return np.searchsorted(part, np.arange(count + 1).astype(U64))
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+        return dict(zip(part[begin].tolist(), zip(begin.tolist(), np.append(begin[1:], len(part)).tolist(), strict=True), strict=True))
 
 
 ROW = "batch int, part int, round int, payload array<binary>"
@@ -138,12 +139,9 @@ def send_names(rows: pa.Table, count: int) -> pa.Table:
     """Round 1 of a batch: sorted names with the smallest id of each."""
     number = rows.column("batch")[0].as_py()
     batch = Batch(rows)
-    edges = batch.ranges(count)
     out = []
-    for part in range(count):
-        a, b = edges[part], edges[part + 1]
-        if a < b:
-            out.append((number, part, 1, [pack(steps(batch.name[a:b] >> NAME_SHIFT)), pack(batch.stretch[a:b] >> STRETCH_SHIFT), pack(batch.least[a:b])]))
+    for part, (a, b) in batch.ranges(count).items():
+        out.append((number, part, 1, [pack(steps(batch.name[a:b] >> NAME_SHIFT)), pack(batch.stretch[a:b] >> STRETCH_SHIFT), pack(batch.least[a:b])]))
     return _rows(out)
 
 
@@ -183,8 +181,8 @@ class Answers:
         for part, round_, payload in zip(*(replies.column(c).to_pylist() for c in ("part", "round", "payload")), strict=True):
             if round_ == 1:
                 lower, smallest, open_ = np.cumsum(unpack(payload[0], np.int64)), unpack(payload[1], np.int64), np.cumsum(unpack(payload[2], np.int64))
-                self.least[edges[part] + lower] = smallest
-                self.open[edges[part] + open_] = True
+                self.least[edges[part][0] + lower] = smallest
+                self.open[edges[part][0] + open_] = True
             else:
                 second[part] = unpack(payload[0], np.int64)
         chosen = np.flatnonzero(self.open)
@@ -194,7 +192,7 @@ class Answers:
         self.start[chosen] = np.append(0, np.cumsum(size[chosen])[:-1])[: len(chosen)]
         self.window = own
         for part, less in second.items():
-            entries = chosen[(chosen >= edges[part]) & (chosen < edges[part + 1])]
+            entries = chosen[slice(*np.searchsorted(chosen, edges[part]))]
             if len(entries):
                 at = self.start[entries[0]]
                 self.window[at : at + len(less)] -= less
@@ -207,10 +205,9 @@ def send_windows(key: tuple, rows: pa.Table, replies: pa.Table, count: int) -> p
     number = key[0].as_py()
     batch = Batch(rows)
     answers = Answers(batch, count, replies)
-    edges = batch.ranges(count)
     out = []
-    for part in range(count):
-        entries = np.flatnonzero(answers.open[edges[part] : edges[part + 1]]) + edges[part]
+    for part, (a, b) in batch.ranges(count).items():
+        entries = np.flatnonzero(answers.open[a:b]) + a
         if not len(entries):
             continue
         which = batch.sample[entries]
@@ -250,11 +247,11 @@ def rank_windows(rows: pa.Table) -> pa.Table:
         hashed = SubstringHash(body[bytes_[a] : bytes_[b]])
         window[done : done + len(nth)] = mix(mix(np.repeat(name[a:b], k) + ahead.astype(U64) * GOLDEN) ^ hashed.at(start, start + SPREAD))
         done += len(nth)
-    own = np.repeat(least, size)
-    by = np.argsort(window, kind="stable")
-    window = window[by]
-    fresh = np.append(True, window[1:] != window[:-1])
-    del window
+    own, of = np.repeat(least, size), np.repeat(name, size)
+    by = np.lexsort((window, of))  # equal windows have equal anchors: 128 bits tell windows apart
+    window, of = window[by], of[by]
+    fresh = np.append(True, (window[1:] != window[:-1]) | (of[1:] != of[:-1]))
+    del window, of
     smallest = np.empty(len(by), np.int64)
     smallest[by] = np.minimum.reduceat(own[by], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     out, at, edges = [], 0, np.append(0, np.cumsum(size))
