@@ -122,7 +122,9 @@ class Batch:
     def ranges(self, count: int) -> dict[int, tuple[int, int]]:
         """Where the names of each range stand among the entries, for the ranges that have some."""
         part = ((self.name >> U64(32)) * U64(count)) >> U64(32)
-        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+        if not len(part):
+            return {}
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         return dict(zip(part[begin].tolist(), zip(begin.tolist(), np.append(begin[1:], len(part)).tolist(), strict=True), strict=True))
 
 
