@@ -55,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever it is kept."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The table with a distinct long for each row, and that column's name.
 

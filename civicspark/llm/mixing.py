@@ -106,10 +106,12 @@ def mix_sources(docs: DataFrame, seed: int = 0, key: str | None = None) -> DataF
 
 
 def emit_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mixed documents: each row once per copy, with its number from 1."""
+    """The mixed documents: each row once per copy, with its number from 1 in copy_no (mix_copy_no where that is taken)."""
     keyed, key = row_keyed(docs)
     copies = mix_sources(keyed, seed, key).where(F.col("copies") > 0).select(F.col(key).alias("mix_key"), F.col("copies").alias("mix_copies"))
-    copy = "copy_no" if "copy_no" not in docs.columns else "mix_copy_no"
+    copy = "copy_no"
+    while copy in docs.columns:
+        copy = f"mix_{copy}"
     kept = keyed.alias("d").join(copies.alias("c"), F.col(f"d.{key}") == F.col("c.mix_key"))
     return kept.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.mix_copies"))).alias(copy)).drop(key)
 

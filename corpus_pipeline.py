@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm import decontaminate, mixing, near_dedup, pii, toxicity
-from civicspark.llm.common import ensure_checkpoint_dir, row_keyed, table
+from civicspark.llm.common import ensure_checkpoint_dir, removed, row_keyed, table
 
 
 def _without(docs: DataFrame, keyed: DataFrame, key: str, found: DataFrame, of: str = "row_key") -> DataFrame:
@@ -57,7 +57,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, at most three times, numbered in ``copy_no`` (``mix_copy_no`` if that is taken)."""
+    """Each row as often as the mix takes it, at most three times, numbered in ``copy_no`` (``mix_copy_no`` where that is taken)."""
     return mixing.emit_mix(docs)
 
 
@@ -74,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. A stage's folder goes when the next one is written; the last stays for the result."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{number}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
