@@ -292,7 +292,7 @@ WORDS_SQL = r"(SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text
 
 @query("j8_e8_dictionary_join", rf"""
 WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
-starts AS (SELECT w, unnest(range(1, len(w), 40)) AS i FROM lists WHERE doc_id % 50 = 0),
+starts AS (SELECT w, unnest(range(1, len(w) + 1, 40)) AS i FROM lists WHERE doc_id % 50 = 0),
 names AS (SELECT DISTINCT w[i : i + n] AS parts FROM starts, (VALUES (0), (1), (2)) t(n) WHERE i + n <= len(w)),
 heads AS (SELECT list_aggregate(parts, 'string_agg', ' ') AS name, parts, len(parts) AS words, parts[1] AS head FROM names),
 spots AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM lists),
