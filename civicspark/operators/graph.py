@@ -97,3 +97,31 @@ def answer_scope(chosen: DataFrame | None, in_graph: DataFrame, refused: DataFra
     """Keys of an answer: the chosen ones, or all of the graph if none were, without refused and excluded ones."""
     base = in_graph if chosen is None else chosen
     return base.select("key").distinct().join(refused.select("key"), "key", "left_anti").join(excluded.select("key"), "key", "left_anti")
+
+
+def related_objects(seeds: DataFrame, graph: DataFrame, steps: list[tuple[str, str, bool, str]]) -> tuple[DataFrame, DataFrame]:
+    """Traversal from named sets to named sets for all seeds at once: (seed, kind, node) and the edge log.
+
+    A step (from, relation, forwards, to) starts at all that the steps before it found of the set
+    ``from`` ("seed" is the seeds' own) and adds to the set ``to``. The log (seed, relation, source,
+    target, step) has each edge once, in its stored direction, with the first step that used it.
+    """
+    found = {"seed": seeds.select(F.col("node").alias("seed"), "node")}
+    log = []
+    for number, (start, relation, forwards, end) in enumerate(steps, 1):
+        a, b = ("source", "target") if forwards else ("target", "source")
+        hop = graph.where(F.col("relation") == relation).select("source", "target")
+        used = found[start].join(hop, F.col("node") == F.col(a)).select("seed", F.lit(relation).alias("relation"), "source", "target", F.lit(number).alias("step"))
+        nodes = used.select("seed", F.col(b).alias("node")).distinct()
+        found[end] = found[end].unionByName(nodes).distinct() if end in found else nodes
+        log.append(used)
+    nodes = reduce(DataFrame.unionByName, (df.select("seed", F.lit(kind).alias("kind"), "node") for kind, df in found.items() if kind != "seed"))
+    return nodes, reduce(DataFrame.unionByName, log).groupBy("seed", "relation", "source", "target").agg(F.min("step").alias("step"))
+
+
+def expanded_answers(answers: DataFrame, items: DataFrame, owner: str, number: str, key: str, text: str) -> DataFrame:
+    """(query_id, owner, key) that answers (query_id, owner, key, terms) gain: items of the same block whose text holds all terms."""
+    near = block_siblings(items.select(owner, number, key).distinct(), owner, number, key).select(owner, "key", "sibling")
+    asked = answers.select("query_id", owner, F.col(key).alias("key"), "terms").join(near, [owner, "key"]).select("query_id", owner, F.col("sibling").alias(key), "terms")
+    held = asked.join(items.select(owner, key, text), [owner, key]).where(holds_all_terms(F.col(text), F.col("terms")))
+    return held.select("query_id", owner, key).distinct().join(answers.select("query_id", owner, key), ["query_id", owner, key], "left_anti")

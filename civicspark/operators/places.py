@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import WORD, has_suffix_word, normalise, trigrams, word_similarity
+from civicspark.functions.text import WORD, has_suffix_word, normalise, trigram_similarity, trigrams, word_similarity
+from civicspark.operators.filters import not_boilerplate
 
 
 def words_at(text: str) -> Column:
@@ -99,3 +100,30 @@ def tiered(tiers: list[DataFrame], key: str = "query_id") -> DataFrame:
         part = tier.withColumn("tier", F.lit(number))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("first", F.min("tier").over(Window.partitionBy(key))).where("tier = first").drop("first")
+
+
+def _linked(links: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Items linked to a query's places by links that are no boilerplate, once each, with their name's similarity."""
+    seen = links.where(not_boilerplate(F.col("gate_status"))).groupBy("query_id", "query", key).agg(F.lit(True).alias("linked"))
+    sim = F.round(trigram_similarity(F.lower("name"), F.lower("query")), 6)
+    return seen.join(items, key).withColumn("sim", sim)
+
+
+def linked_files(links: DataFrame, files: DataFrame, meetings: DataFrame, cap: int) -> DataFrame:
+    """(query_id, file, sim, day, place, total): files at a query's places, those of the newest meeting first.
+
+    Links (query_id, query, file, gate_status), files (file, name, date), meetings (file, start). A file
+    without a meeting goes by its own date, one without any date last; ``total`` counts all before the cap.
+    """
+    newest = meetings.groupBy("file").agg(F.max("start").alias("start"))
+    found = _linked(links, files, "file").join(newest, "file", "left").withColumn("day", F.to_date(F.coalesce("start", "date")))
+    total = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("day"), "file")
+    kept = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+    return kept.join(total, "query_id").select("query_id", "file", "sim", "day", "place", "total")
+
+
+def linked_items(links: DataFrame, items: DataFrame, cap: int = 50) -> DataFrame:
+    """(query_id, item, sim, place): agenda items at a query's places, the most similar names first."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "item")
+    return _linked(links, items, "item").withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap).select("query_id", "item", "sim", "place")

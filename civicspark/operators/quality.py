@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,34 @@ def fit_for_summary(docs: DataFrame, text: str, least_chars: int = 20, least_lin
     good = sized.where((F.col("chars") >= least_chars) & (F.col("lines") >= least_lines) & (F.col("chars") / F.col("lines") >= per_line))
     limit = good.agg(F.percentile("chars", F.lit(top)).alias("most"))
     return good.join(F.broadcast(limit), F.lit(True)).where("chars <= most").drop("most")
+
+
+def resolution_report(links: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """(finding, n): for each side the links whose key its table (key column, deleted) lacks or has as deleted, and those that are fine on all sides."""
+    fine, counts = F.lit(True), []
+    for column, known in sides.items():
+        found, gone = f"{column}_found", f"{column}_deleted"
+        once = known.groupBy(F.col(column)).agg(F.lit(True).alias(found), F.coalesce(F.bool_or("deleted"), F.lit(False)).alias(gone))
+        links = links.join(once, column, "left")
+        counts += [F.count_if(F.col(found).isNull()).alias(f"{column} unresolved"), F.count_if(F.col(gone)).alias(f"{column} deleted")]
+        fine = fine & F.col(found).isNotNull() & ~F.col(gone)
+    wide = links.agg(*counts, F.count_if(fine).alias("resolved"))
+    return wide.unpivot([], wide.columns, "finding", "n")
+
+
+def content_integrity(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(finding, n) over files (doc, text), chunks (doc, chunk_index, text) and vectors (doc, chunk_index).
+
+    Vectors of known files without their chunk, files with vectors but no chunk at all, files whose
+    first chunk is another text than theirs (all files, not a sample), and how many were compared.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    known = vectors.join(files.select("doc"), "doc", "left_semi")
+    both = files.where("text is not null").join(chunks.where("chunk_index = 0").select("doc", F.col("text").alias("first")), "doc")
+    parts = {
+        "vectors without chunk": known.join(chunks.select("doc", "chunk_index"), ["doc", "chunk_index"], "left_anti").agg(n),
+        "files with vectors but no chunk": vectors.select("doc").distinct().join(chunks.select("doc"), "doc", "left_anti").agg(n),
+        "texts differ": both.agg(F.count_if(F.col("text") != F.coalesce("first", F.lit(""))).alias("n")),
+        "texts compared": both.agg(n),
+    }
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("finding"), "n") for name, df in parts.items()))

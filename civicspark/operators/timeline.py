@@ -52,3 +52,11 @@ def dated(objects: DataFrame, by_type: dict[str, list[str]]) -> DataFrame:
 def agenda_places(items: DataFrame, owner: str, number: str, key: str) -> DataFrame:
     """Adds place: the order of an owner's items, numbers as numbers first, then those without, then texts."""
     return items.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*agenda_rank(F.col(number)), key)))
+
+
+def answer_counts(files: DataFrame, events: DataFrame) -> DataFrame:
+    """(query_id, measure, n) of answers: distinct files, events, and events of each type."""
+    per = events.groupBy("query_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    distinct = files.groupBy("query_id").agg(F.count_distinct("file").alias("n")).select("query_id", F.lit("files").alias("measure"), "n")
+    every = per.groupBy("query_id").agg(F.sum("n").alias("n")).select("query_id", F.lit("events").alias("measure"), "n")
+    return distinct.unionByName(every).unionByName(per.select("query_id", F.concat(F.lit("events of "), F.coalesce("type", F.lit("(none)"))).alias("measure"), "n"))

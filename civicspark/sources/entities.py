@@ -143,3 +143,18 @@ def reference_chain(items: DataFrame, steps: list[tuple[DataFrame, str, str]]) -
     for there, here, key in steps:
         items = items.join(there, F.col(here) == F.col(key), "left")
     return items
+
+
+def profile_samples(docs: DataFrame, body: str, kind: Column, most: int = 3) -> DataFrame:
+    """(type, field, samples): the smallest distinct values, as text, of each field of a JSON text column."""
+    docs.select(kind.alias("type"), F.try_parse_json(body).alias("v")).where("v is not null").createOrReplaceTempView("sample_rows")
+    each = docs.sparkSession.sql("SELECT DISTINCT p.type, x.key AS field, CAST(x.value AS STRING) AS value FROM sample_rows p, LATERAL variant_explode(p.v) AS x").where("value is not null")
+    few = each.withColumn("place", F.row_number().over(Window.partitionBy("type", "field").orderBy("value"))).where(F.col("place") <= most)
+    return few.groupBy("type", "field").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+
+
+def mandate_holders(people: DataFrame, roles: list[str]) -> DataFrame:
+    """People with a party whose role holds one of the words, one row a name (the least party and role); ``write_by`` party exports them."""
+    held = people.where(F.col("party").isNotNull() & F.lower("role").rlike("|".join(roles)))
+    first = held.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("party", "role")))
+    return first.where("place = 1").drop("place")

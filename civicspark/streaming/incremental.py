@@ -89,3 +89,18 @@ def thread_state(turns: DataFrame, by: str = "conv_id", keep: int = 3, most: int
         yield pd.DataFrame(out, columns=[by, "turn", "query", "turns", "forced_break"])
 
     return turns.groupBy(by).applyInPandasWithState(update, f"{by} long, turn long, query string, turns long, forced_break boolean", "said array<string>, n long", "append", "NoTimeout")
+
+
+def facet_stream(stream: DataFrame, facets: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Facet counts (facet, value, n) of all rows so far, written anew as one version of the folder by each micro-batch.
+
+    The counts are the stream's state, so an import makes the version before it stale and a restart
+    reads nothing twice; the state holds a row for each distinct value.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in facets)))
+    counts = stream.select(pairs.alias("f")).select("f.*").where("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

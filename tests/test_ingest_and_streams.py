@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from civicspark.operators import pairs
 from civicspark.sources import entities
 from civicspark.streaming import incremental
 
@@ -88,3 +90,42 @@ def test_thread_state(spark, tmp_path):
     q.awaitTermination()
     got = {r.turn: (r.query, r.turns, r.forced_break) for r in spark.table("threads_out").collect()}
     assert got[4] == ("q1 · q2 · q3 · q4", 5, False) and got[5] == ("q5", 1, True) and got[6] == ("q5 · q6", 2, False)
+
+
+def test_gazetteer_and_outputs_by_name(spark, tmp_path):
+    names = spark.createDataFrame([("Nord",), ("Süd",), ("West",)], "name string")
+    shapes = spark.createDataFrame([("Nord", "POINT"), ("West", "AREA")], "name string, geo string")
+    new = entities.gazetteer(names, shapes, names.where("name = 'West'"))
+    assert sorted((r.name, r.geo) for r in new.collect()) == [("Nord", "POINT"), ("Süd", None)]
+    entities.write_by(new, "name", str(tmp_path / "by"), "json")
+    assert len([p for p in (tmp_path / "by").iterdir() if p.is_dir()]) == 2
+    assert spark.read.json(str(tmp_path / "by")).count() == 2
+
+
+def test_mandate_holders_by_party(spark, tmp_path):
+    people = spark.createDataFrame([("A", "x", "Stadtrat"), ("A", "w", "Stadtrat"), ("B", None, "Stadtrat"), ("C", "x", "Gast"), ("D", "x", "BÜRGERMEISTER")], "name string, party string, role string")
+    held = entities.mandate_holders(people, ["stadtr", "bürgermeister"])
+    assert sorted((r.name, r.party) for r in held.collect()) == [("A", "w"), ("D", "x")]
+    assert entities.mandate_holders(people.limit(0), ["stadtr"]).count() == 0
+    entities.write_by(held, "party", str(tmp_path / "out"), "json")
+    assert spark.read.json(str(tmp_path / "out" / "party=w")).count() == 1
+
+
+def test_facet_stream_refreshes_by_batch(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    run = lambda: incremental.facet_stream(spark.readStream.schema("kind string, year long").json(str(source)), ["kind", "year"], str(tmp_path / "facets"), str(tmp_path / "check")).awaitTermination()
+    write(source, "1.json", '{"kind": "a", "year": 2024}\n{"kind": "b"}')
+    run()
+    write(source, "2.json", '{"kind": "a", "year": 2023}')
+    run()
+    rows = lambda n: {(r.facet, r.value): r.n for r in spark.read.parquet(str(tmp_path / "facets" / f"version={n}")).collect()}
+    assert rows(0) == {("kind", "a"): 1, ("kind", "b"): 1, ("year", "2024"): 1}
+    assert rows(1) == {("kind", "a"): 2, ("kind", "b"): 1, ("year", "2024"): 1, ("year", "2023"): 1}
+
+
+def test_signal_priority_takes_plain_words_only(spark):
+    pairs.register_signal_priority(spark, ["agenda", "minutes"])
+    assert [r[0] for r in spark.sql("SELECT signal_priority(s) FROM VALUES ('minutes'), ('agenda'), ('x'), (NULL) AS t(s)").collect()] == [1, 0, 2, 2]
+    with pytest.raises(ValueError):
+        pairs.register_signal_priority(spark, ["a' THEN 1"])
