@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicspark.llm import decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
+from civicspark.llm import bpe, decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_mixing": mixing.op9_mixing,
     "op10_language": langid.op10_language,
+    "op11_bpe": bpe.op11_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.licences_sql(), "op9_mixing": mixing.mixing_sql()}
