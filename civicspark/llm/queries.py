@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicspark.llm import bpe, decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
+from civicspark.llm import bpe, decontaminate, langid, licenses, media, mixing, near_dedup, pii, quality, repair, suffix_dedup, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_language": langid.op10_language,
     "op11_bpe": bpe.op11_bpe,
+    "op12_repair": repair.op12_repair,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.licences_sql(), "op9_mixing": mixing.mixing_sql()}
