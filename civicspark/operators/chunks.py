@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import edit_ratio
+from civicspark.operators.qgrams import similar_strings
 from civicspark.sources.tables import cut
 
 
@@ -75,28 +75,19 @@ def word_weights(docs: DataFrame, stopwords: list[str], least: int = 3) -> DataF
 
 
 def similar_words(words: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, ratio), a < b: words of three letters and more whose edit ratio reaches ``least`` (over 0.75).
-
-    e edits spoil at most 2e of a word's n - 1 pairs of neighbouring letters, and e is at most a
-    quarter of n here, so some pair survives wherever 2e < n - 1; pairs of words meet on it. What is
-    left, words of up to six letters, meets on the length band alone.
-    """
-    two = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
-    keys = F.when(F.length("word") <= 6, F.array_append(two, F.lit("short"))).otherwise(two)
-    pairs = words.where(F.length("word") >= 3).select("word", F.length("word").alias("n"), F.explode(F.array_distinct(keys)).alias("two"))
-    a, b = pairs.toDF("a", "na", "two"), pairs.toDF("b", "nb", "two")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= (1 - least) * F.greatest("na", "nb") + 1e-9)
-    met = a.join(b, "two").where(near).select("a", "b").distinct()
-    return met.withColumn("ratio", F.round(edit_ratio(F.col("a"), F.col("b")), 6)).where(F.col("ratio") >= least)
+    """(a, b, ratio), a < b: words of three letters and more whose edit ratio, to six places, reaches ``least``; see ``qgrams``."""
+    own = words.where(F.length("word") >= 3)
+    met = similar_strings(own.select(F.col("word").alias("name")), own.select(F.col("word").alias("other")), least - 5e-7, once=True)
+    return met.select(F.col("name").alias("a"), F.col("other").alias("b"), F.round("ratio", 6).alias("ratio")).where(F.col("ratio") >= least)
 
 
-def word_clusters(weights: DataFrame, least: float = 0.8) -> DataFrame:
+def word_clusters(weights: DataFrame, least: float = 0.8, order: Column | None = None) -> DataFrame:
     """(word, representative): each word goes to the heaviest similar word that is itself a representative.
 
-    Greedy in order of weight. Round by round, words that no heavier undecided word touches become
+    Greedy in order of weight, or of another ``order`` that has no ties. Round by round, words that no heavier undecided word touches become
     representatives, and their neighbours join them; the pair table shrinks each round.
     """
-    order = weights.select("word", F.struct(-F.col("tfidf"), "word").alias("o"))
+    order = weights.select("word", (F.struct(-F.col("tfidf"), "word") if order is None else order).alias("o"))
     links = similar_words(weights.select("word"), least).select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.join(order.toDF("a", "oa"), "a").join(order.toDF("b", "ob"), "b"))
@@ -121,9 +112,10 @@ def kept_clusters(clusters: DataFrame, least: int = 2) -> tuple[DataFrame, DataF
 
 
 def merged_clusters(clusters: DataFrame, weights: DataFrame, least: float = 0.8) -> DataFrame:
-    """(word, representative): clusters whose representatives are similar become one, greedily by weight."""
-    heads = weights.join(clusters.select(F.col("representative").alias("word")).distinct(), "word", "left_semi")
-    into = word_clusters(heads, least).toDF("representative", "merged")
+    """(word, representative): clusters whose representatives are similar become one, greedily: the largest first,
+    of equally large ones that with the heavier representative."""
+    sizes = clusters.groupBy(F.col("representative").alias("word")).agg(F.count(F.lit(1)).alias("size"))
+    into = word_clusters(weights.join(sizes, "word"), least, F.struct(-F.col("size"), -F.col("tfidf"), "word")).toDF("representative", "merged")
     return clusters.join(into, "representative").select("word", F.col("merged").alias("representative"))
 
 

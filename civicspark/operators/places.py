@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.text import WORD, has_suffix_word, normalise, trigram_similarity, trigrams, word_similarity
 from civicspark.operators.filters import not_boilerplate
+from civicspark.operators.trie import chosen, name_matches
 
 
 def words_at(text: str) -> Column:
@@ -15,31 +16,40 @@ def words_at(text: str) -> Column:
 
 
 def dictionary_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc, name_id, name, at, words): where a dictionary name stands in a text, word by word.
+    """(doc, name_id, name, at, words): every place where a dictionary name stands in a text, word by word.
 
-    Both sides meet on the name's first word (an equi join on an inverted word table); the following
-    words are then compared in place, so a name never matches inside a longer word.
+    A name never matches inside a longer word; names are walked as a trie, see ``trie``.
     """
-    split = F.regexp_extract_all(F.lower(F.col("name")), F.lit(WORD), F.lit(0))
-    wanted = names.select("name_id", "name", split.alias("parts")).where(F.size("parts") > 0).withColumn("word", F.element_at("parts", 1))
-    most = wanted.agg(F.max(F.size("parts"))).first()[0] or 1  # words that travel with each position: as many as the longest name has
-    words = docs.select("doc", words_at("text").alias("words"))
-    first = wanted.select("word").distinct()
-    at = words.select("doc", "words", F.posexplode("words").alias("at", "word")).select("doc", "at", "word", F.slice("words", F.col("at") + 1, F.lit(most)).alias("ahead"))
-    hit = at.join(first, "word", "left_semi").join(wanted, "word")
-    return hit.where(F.slice("ahead", F.lit(1), F.size("parts")) == F.col("parts")).select("doc", "name_id", "name", "at", F.size("parts").alias("words"))
+    return _by_words(name_matches(docs, names, "all"))
 
 
-def longest_only(matches: DataFrame) -> DataFrame:
+def longest_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The non-overlapping ones of ``dictionary_matches``, longest names first, chosen text by text where the text is."""
+    return _by_words(name_matches(docs, names, "longest"))
+
+
+def _by_words(found: DataFrame) -> DataFrame:
+    return found.select("doc", "name_id", "name", F.col("start").alias("at"), (F.col("end") - F.col("start")).alias("words"))
+
+
+def street_matches(docs: DataFrame, streets: DataFrame) -> DataFrame:
+    """(doc, name_id, name, start, end) of streets (name_id, name) as they stand in texts, scanned from the left.
+
+    At each place the longest name counts and the scan goes on after it, so a name that begins inside an
+    earlier match is no match. Of names that differ in case or outer blanks only, the smallest id holds.
+    """
+    clean = streets.withColumn("name", F.trim("name"))
+    once = clean.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("name_id", "name")).alias("x")).select("x.*")
+    return name_matches(docs, once, "leftmost", "literal")
+
+
+def longest_only(found: DataFrame) -> DataFrame:
     """Non-overlapping matches: the longest names take their places first, of equal ones the earlier.
 
     A match goes only if it overlaps one that is kept; those that went cover nothing.
     """
-    row = F.struct((-F.length("name")).alias("minus"), "at", "words", "name", "name_id", F.struct(*matches.columns).alias("row"))
-    found = matches.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("found"))
-    over = lambda kept, x: F.exists(kept, lambda o: (x["at"] < o["at"] + o["words"]) & (o["at"] < x["at"] + x["words"]))
-    kept = F.aggregate("found", F.slice("found", 1, 0), lambda acc, x: F.when(over(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return found.select(F.explode(kept).alias("one")).select("one.row.*")
+    spans = found.withColumnsRenamed({"at": "start"}).withColumn("end", F.col("start") + F.col("words"))
+    return chosen(spans).select(*(F.col("start" if c == "at" else c).alias(c) for c in found.columns))
 
 
 def names_it(text: Column, name: Column) -> Column:
@@ -59,7 +69,7 @@ def place_links(items: DataFrame, names: DataFrame, known: DataFrame) -> DataFra
     """New links (item, name_id, evidence) of items (item, name, content): names found in the name, else in the content."""
     told = items.select("item", F.explode(F.array(F.struct(F.lit("name").alias("evidence"), F.col("name").alias("text")), F.struct(F.lit("content").alias("evidence"), F.col("content").alias("text")))).alias("x")).where("x.text is not null")
     docs = told.select(F.struct("item", "x.evidence").alias("doc"), "x.text")
-    found = longest_only(dictionary_matches(docs, names)).select("doc.item", "name_id", "doc.evidence")
+    found = longest_matches(docs, names).select("doc.item", "name_id", "doc.evidence")
     return found.groupBy("item", "name_id").agg(F.max("evidence").alias("evidence")).join(known.select("item", "name_id"), ["item", "name_id"], "left_anti")
 
 

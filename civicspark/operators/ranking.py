@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import cosine_similarity, trigrams
+from civicspark.functions.text import trigrams
+from civicspark.operators.blocks import best_items, best_label, best_parts
 
 
 def top_per(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -27,45 +28,18 @@ def lexical_recall(queries: DataFrame, items: DataFrame, least: float = 0.3, n:
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("key")], n)
 
 
-#: Query vectors that are sent to every task at once.
-QUERIES_AT_ONCE = 2000
-#: Parts that the items are dealt to where there are more queries than that.
-DEALS = 256
-
-
-def against_all(items: DataFrame, batch: DataFrame, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
-    """Every item (with a key) beside every row of a stated batch (with a query_id).
-
-    The batch is counted first. Up to ``at_once`` rows it is broadcast; a larger one is dealt into blocks
-    of that many rows, and the items meet each block by an equi join on (block, deal), so nothing is
-    sent whole to a task.
-    """
-    blocks = -(-batch.count() // at_once)
-    if blocks <= 1:
-        return items.join(F.broadcast(batch), F.lit(True))
-    given = batch.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    dealt = items.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(DEALS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    return dealt.join(given, ["block", "deal"]).drop("block", "deal")
-
-
-def nearest(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, key, distance): exact cosine distance of every item (key, vector) from a stated batch (query_id, query_vector)."""
-    return against_all(items, queries).select("query_id", "key", (F.round(1 - cosine_similarity(F.col("vector"), F.col("query_vector")), 6) + 0.0).alias("distance"))
-
-
 def vector_recall(queries: DataFrame, items: DataFrame, most_distance: float = 0.9, n: int = 50) -> DataFrame:
-    """(query_id, key, score, rank): exact cosine of every item against a stated batch of query vectors.
+    """(query_id, key, score, rank): exact cosine of every item (key, vector) against a stated batch (query_id, query_vector).
 
-    Items stay where they are, and each task keeps its own best n before the exchange.
+    Items stay where they are and each task keeps its own best n, see ``blocks``; one exchange merges them.
     """
-    pairs = against_all(items, queries).select("query_id", "key", F.round(cosine_similarity(F.col("vector"), F.col("query_vector")), 6).alias("score"))
-    return top_per(pairs.where(1 - F.col("score") < most_distance), ["query_id"], [F.desc("score"), F.col("key")], n)
+    return top_per(best_items(queries, items, n, most_distance), ["query_id"], [F.desc("score"), F.col("key")], n).select("query_id", "key", "score", "rank")
 
 
-def best_chunk(scored: DataFrame) -> DataFrame:
-    """Chunk scores (query_id, doc, chunk, score) to each document's best chunk."""
-    top = F.max_by(F.struct("score", "chunk"), F.struct(F.col("score"), (-F.col("chunk")).alias("c")))
-    return scored.groupBy("query_id", "doc").agg(top.alias("b")).select("query_id", "doc", "b.score", "b.chunk")
+def best_chunk(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, doc, score, chunk): each document's best chunk (doc, chunk, vector) for each query of a stated batch; of equal ones the smaller."""
+    top = F.min_by(F.struct("score", "chunk"), F.struct((-F.col("score")).alias("s"), F.col("chunk").alias("c")))
+    return best_parts(queries, chunks).groupBy("query_id", "doc").agg(top.alias("b")).select("query_id", "doc", "b.score", "b.chunk")
 
 
 def fuse(ranked: DataFrame, k: int = 60) -> DataFrame:
@@ -93,9 +67,12 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(items: DataFrame, middle: DataFrame, label: str, least: float) -> DataFrame:
-    """The best label of each item (key, vector) if its cosine reaches ``least``."""
-    pairs = against_all(items, middle.withColumn("query_id", F.col(label))).withColumn("score", F.round(cosine_similarity(F.col("vector"), F.col("centroid")), 6))
-    return pairs.groupBy("key").agg(F.max_by(label, F.struct("score", label)).alias(label), F.max("score").alias("score")).where(F.col("score") >= least)
+    """(key, label, score): the best label of each item (key, vector) if its cosine reaches ``least``; of equal ones the larger label.
+
+    An item of several vectors, such as the documents of a pair, has as many rows of one key; the best of them counts.
+    """
+    each = best_label(middle.select(F.col(label).alias("query_id"), F.col("centroid").alias("query_vector")), items)
+    return each.groupBy("key").agg(F.max_by("query_id", F.struct("score", "query_id")).alias(label), F.max("score").alias("score")).where(F.col("score") >= least)
 
 
 def arg_max_or(scores: DataFrame, thresholds: DataFrame, fallback: str) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import normalise
-from civicspark.operators.ranking import nearest, top_per
+from civicspark.operators.ranking import top_per, vector_recall
 
 
 def similar_items(queries: DataFrame, items: DataFrame, k: int = 5, cutoff: float = 0.4) -> DataFrame:
     """(query_id, key, similarity, rank): the k most similar items whose similarity is over the cutoff."""
-    near = nearest(queries, items).where(F.col("distance") < 1 - cutoff)
-    return top_per(near, ["query_id"], [F.col("distance"), F.col("key")], k).select("query_id", "key", F.round(1 - F.col("distance"), 6).alias("similarity"), "rank")
+    return vector_recall(queries, items, round(1 - cutoff, 6), k).select("query_id", "key", F.col("score").alias("similarity"), "rank")
 
 
 def top_then_threshold(queries: DataFrame, items: DataFrame, k: int = 10, most_distance: float = 0.5) -> DataFrame:
     """(query_id, key, distance): the k nearest items, and of those the ones within the distance."""
-    return top_per(nearest(queries, items), ["query_id"], [F.col("distance"), F.col("key")], k).where(F.col("distance") <= most_distance).select("query_id", "key", "distance")
+    distance = (F.round(1 - F.col("score"), 6) + 0.0).alias("distance")
+    return vector_recall(queries, items, float("inf"), k).select("query_id", "key", distance).where(F.col("distance") <= most_distance)
 
 
 def pieces(text: Column, size: int = 3) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
-from civicspark.operators import chunks, filters, graph, pairs, places, quality, ranking, tags, timeline
+from civicspark.operators import blocks, chunks, filters, graph, pairs, places, quality, ranking, tags, timeline
 from civicspark.sources import entities
 from civicspark.sources.tables import table
 from civicspark.streaming import incremental
@@ -86,8 +86,7 @@ s AS (SELECT query_id, label AS doc, vec_id AS chunk, round({COSINE.format("qv.e
 SELECT query_id, doc, score, chunk FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY score DESC, chunk) = 1""")
 def r3(spark: SparkSession, sf: str) -> DataFrame:
     chunks_ = table(spark, sf, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
-    pairs_ = chunks_.join(F.broadcast(batch_of_vectors(spark, sf)), F.lit(True))
-    return ranking.best_chunk(pairs_.select("query_id", "doc", "chunk", F.round(tx.cosine_similarity(F.col("vector"), F.col("query_vector")), 6).alias("score")))
+    return ranking.best_chunk(batch_of_vectors(spark, sf), chunks_)
 
 
 @query("r6_w1_u4_hybrid_fused_top10", f"""
@@ -310,7 +309,7 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     starts = F.filter(F.transform("w", lambda x, i: i), lambda i: i % 40 == 0)
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")))))
     names = d.where("doc % 50 = 0").select(places.words_at("text").alias("w")).select(F.explode(F.array_compact(runs)).alias("name")).distinct().withColumn("name_id", F.col("name"))
-    found = places.longest_only(places.dictionary_matches(d, names))
+    found = places.longest_matches(d, names)
     return found.groupBy("name").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc").alias("docs"))
 
 
@@ -487,10 +486,8 @@ def a21(spark: SparkSession, sf: str) -> DataFrame:
 WITH q AS (SELECT vec_id AS a, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT 1 - round({COSINE.format("q.e", "v.embedding")}, 6) AS d FROM q, embeddings v WHERE v.vec_id <> a)
 SELECT CASE WHEN d < 0 THEN 0 WHEN d >= 2 THEN 21 ELSE floor(d / 0.1)::INT + 1 END AS bucket, count(*) AS n FROM d GROUP BY 1""")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    far = v.join(F.broadcast(batch_of_vectors(spark, sf)), F.col("vec_id") != F.col("query_id")).select((1 - F.round(tx.cosine_similarity(F.col("embedding"), F.col("query_vector")), 6)).alias("d"))
-    bucket = F.when(F.col("d") < 0, 0).when(F.col("d") >= 2, 21).otherwise(F.floor(F.col("d") / 0.1).cast("int") + 1)
-    return far.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return blocks.distance_histogram(batch_of_vectors(spark, sf), items)
 
 
 @query("a23_vector_clusters", None)
