@@ -6,7 +6,7 @@ Rule lists are parameters: the library brings the matching, the caller brings th
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,83 +89,139 @@ def any_match(text: Column, patterns: Sequence[str]) -> Column:
     return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def folded_type(text: Column, rules: Sequence[tuple[str, str]], code: str = r"^([A-Z]{1,3}[0-9]+)\b") -> tuple[Column, Column]:
-    """Canonical type and the budget code that was folded into it (null if none)."""
-    found = F.regexp_extract(text, code, 1)
-    return first_match(text, rules, "other"), F.when(found != "", found)
+def folded_type(text: Column, folds: Sequence[tuple[str, str, str]] = ()) -> tuple[Column, Column]:
+    """(type, code): types of a family become one, any other type stays as it is; null without a type.
+
+    folds: (type, pattern of the family, pattern with the code as group 1). The code is null where a member
+    of the family has none.
+    """
+    bare = F.nullif(trimmed(text), F.lit(""))
+    kind, code = bare, F.lit(None).cast("string")
+    for name, family, coded in reversed(folds):
+        found = F.regexp_extract(bare, f"(?iU){coded}", 1)
+        here = bare.rlike(f"(?iU){family}") | (found != "")
+        kind, code = F.when(here, F.lit(name)).otherwise(kind), F.when(here, F.nullif(found, F.lit(""))).otherwise(code)
+    return kind, code
+
+
+def trimmed(text: Column) -> Column:
+    """Without any white space at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
 def parse_moment(text: Column) -> Column:
-    """Timestamp without zone from ISO, date-only or dd.mm.yyyy text; offsets are dropped, junk is null."""
-    bare = F.regexp_replace(F.trim(text), r"(?:Z|[+-]\d{2}:?\d{2})$", "")
-    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy")
-    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in forms)).cast("timestamp_ntz")
+    """Timestamp without zone from ISO with a T, a date alone or dd.mm.yyyy; fractions and offsets are dropped, junk is null."""
+    bare = trimmed(text)
+    iso = [F.regexp_extract(bare, r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.\d+)?(?:[+-]\d{2}:\d{2}|Z)?$", k) for k in (1, 2)]
+    whole = F.try_to_timestamp(F.nullif(F.concat_ws(" ", *iso), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(whole, *(F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-M-d", "d.M.yyyy"))).cast("timestamp_ntz")
+
+
+#: Fixed value: months by their first three letters.
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 
 def date_in_text(text: Column, within: int = 1200) -> Column:
-    """The first date near the start of a text: dd.mm.yyyy, ISO, or day, English month, year."""
+    """The date that a text begins with: day, English month and year, else dd.mm.yyyy, else ISO.
+
+    The first of these forms that is there decides; if what it says is no date the result is null.
+    """
     head = F.left(text, F.lit(within))
-    german = F.try_to_timestamp(F.nullif(F.regexp_extract(head, r"\b(\d{1,2}\.\d{1,2}\.\d{4})\b", 1), F.lit("")), F.lit("d.M.yyyy"))
-    iso = F.try_to_timestamp(F.nullif(F.regexp_extract(head, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")), F.lit("yyyy-MM-dd"))
-    month = r"(January|February|March|April|May|June|July|August|September|October|November|December)"
-    day, name, year = (F.regexp_extract(head, rf"\b(\d{{1,2}})\.? {month} (\d{{4}})\b", k) for k in (1, 2, 3))
-    english = F.try_to_timestamp(F.nullif(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (day, name, year))), F.lit("")), F.lit("d MMMM yyyy"))
-    return F.coalesce(german, iso, english).cast("date")
+    english, dotted, iso = rf"(?i)(\d{{1,2}})\s+({MONTHS})\w*\s+(\d{{4}})", r"(\d{2}\.\d{2}\.\d{4})", r"(\d{4}-\d{2}-\d{2})"
+    day, month, year = (F.regexp_extract(head, english, k) for k in (1, 2, 3))
+    spoken = F.try_to_timestamp(F.concat_ws(" ", day, F.initcap(month), year), F.lit("d MMM yyyy"))
+    read = F.when(head.rlike(english), spoken).when(head.rlike(dotted), F.try_to_timestamp(F.regexp_extract(head, dotted, 1), F.lit("dd.MM.yyyy")))
+    return read.when(head.rlike(iso), F.try_to_timestamp(F.regexp_extract(head, iso, 1), F.lit("yyyy-MM-dd"))).cast("date")
+
+
+def count_after(text: Column, label: str, labels: Sequence[str]) -> Column:
+    """The count that a ballot gives for one of its labels: up to three digits within forty characters after it.
+
+    All labels are read in one walk, so a number counts for the first label before it. Of several counts of
+    a label the last one holds; null if there is none.
+    """
+    pattern = F.lit(rf"(?isU)\b({'|'.join(map(re.escape, labels))})\b[^0-9]{{0,40}}([0-9]{{1,3}})\b")
+    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda n, v: F.when(F.upper(n) == label.upper(), v.cast("int")))
+    return F.try_element_at(F.array_compact(pairs), F.lit(-1))
+
+
+def majority(yes: Column, no: Column, sides: tuple[str, str] = ("accepted", "rejected")) -> Column:
+    """The side with more votes; null for a tie and where a count is missing."""
+    return F.when(yes > no, F.lit(sides[0])).when(yes < no, F.lit(sides[1]))
 
 
-def count_after(text: Column, label: str) -> Column:
-    """The last number that follows a label, as in a ballot line; null if there is none."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?iU)\b{label}\b[^\d\n]{{0,20}}(\d+)"), F.lit(1))
-    return F.try_element_at(found, F.lit(-1)).try_cast("int")
+def outcome_check(counted: Column, stated: Column, expected: Mapping[str, str]) -> Column:
+    """ok or warn: whether the counted side is the one that the stated outcome needs; n/a without a side or for an outcome that needs none."""
+    side = F.lit(None).cast("string")
+    for outcome, needs in expected.items():
+        side = F.when(stated == outcome, F.lit(needs)).otherwise(side)
+    return F.when(counted.isNull() | side.isNull(), "n/a").when(counted == side, "ok").otherwise("warn")
 
 
-def majority(yes: Column, no: Column) -> Column:
-    return F.when(yes.isNull() | no.isNull(), None).when(yes > no, "accepted").otherwise("rejected")
+def spoken_outcome(word: str) -> str:
+    """Pattern of an outcome's word in a sentence: not at the end of a longer word, with the endings of a verb."""
+    return rf"(?:^|[^a-zäöüß]){re.escape(word)}(?:en|t)?\b"
 
 
-def outcome_check(counted: Column, stated: Column) -> Column:
-    return F.when(counted.isNull() | stated.isNull(), "n/a").when(counted == stated, "ok").otherwise("warn")
+def decision(text: Column, section: str, outcomes: Sequence[tuple[str, str]], item: str, after: int = 2000, head: int = 1200) -> Column:
+    """The first outcome in order of priority within the part of a text that decides, or null.
 
+    That part is what ``section`` has as group 1; without a section what follows the item's heading; without
+    a heading the beginning of the text. Nothing outside that part counts.
+    """
+    following = F.regexp_extract(text, rf"(?:{item})(?s:(.{{0,{after}}}))", re.compile(item).groups + 1)
+    scope = F.when(text.rlike(section), F.regexp_extract(text, section, 1)).when(text.rlike(item), following).otherwise(F.left(text, F.lit(head)))
+    return first_match(scope, outcomes)
 
-def decision(text: Column, section: str, outcomes: Sequence[tuple[str, str]]) -> Column:
-    """The first outcome in priority order within the section, or within the text if there is none."""
-    scope = F.regexp_extract(text, rf"(?isU){section}(.{{0,400}})", 1)
-    return F.coalesce(first_match(F.nullif(scope, F.lit("")), outcomes), first_match(text, outcomes))
 
+def item_verified(text: Column, number: Column, outcome: Column, found: Column, item: str) -> tuple[Column, Column]:
+    """Whether the first item that a text names is the asked one (any, where none is asked), and whether the found outcome is the stated one."""
+    asked = F.coalesce(number, F.lit(""))
+    top = text.rlike(item) & ((asked == "") | (F.regexp_extract(text, item, 1) == asked))
+    return F.coalesce(top, F.lit(False)), F.coalesce(found == outcome, F.lit(False))
 
-def item_verified(text: Column, number: Column, outcome: Column, found: Column) -> tuple[Column, Column]:
-    """Whether the text names the item number, and whether the found outcome is the stated one."""
-    return F.coalesce(text.contains(F.concat(F.lit("TOP "), number)), F.lit(False)), F.coalesce(found == outcome, F.lit(False))
 
+def valid_at(day: Column, rules: Sequence[tuple[str, str, Sequence[tuple[str | None, str | None]] | None]], text: Column) -> Column:
+    """First rule (pattern, value, eras) whose pattern stands in a text and one of whose eras holds the day.
 
-def valid_at(day: Column, rules: Sequence[tuple[str, str, str | None, str | None]], text: Column) -> Column:
-    """First rule (pattern, value, valid from, valid to) that matches a text within its era."""
+    Without eras a rule always holds; with some it needs a day. An era is (from, to), both included, either
+    may be open. Patterns mind case unless they say otherwise.
+    """
     out = F.lit(None).cast("string")
-    for pattern, value, start, end in reversed(rules):
-        ok = text.rlike(f"(?iU){pattern}")
-        ok = ok & (day >= F.lit(start).cast("date")) if start else ok
-        ok = ok & (day <= F.lit(end).cast("date")) if end else ok
+    for pattern, value, eras in reversed(rules):
+        ok = text.rlike(pattern)
+        if eras is not None:
+            within = [(day >= F.lit(start).cast("date") if start else F.lit(True)) & (day <= F.lit(end).cast("date") if end else F.lit(True)) for start, end in eras]
+            ok = ok & day.isNotNull() & reduce(lambda a, b: a | b, within, F.lit(False))
         out = F.when(ok, F.lit(value)).otherwise(out)
     return out
 
 
-def only_as_address(text: Column, name: str) -> Column:
-    """True if a place name occurs, and each time before a house number, a postcode and a town."""
-    every = F.regexp_count(text, F.lit(rf"(?iU)\b{name}\b"))
-    address = F.regexp_count(text, F.lit(rf"(?iU)\b{name}\b\s+\d+\s*\w?\s*,\s*\d{{5}}\s+\p{{Lu}}\w+"))
-    return (every > 0) & (every == address)
+#: A house number, which may be a range, and what may stand between it and the postcode.
+HOUSE_NUMBER = r"\d+\s*[a-zA-Z]?(?:\s*[-/]\s*\d+\s*[a-zA-Z]?)?"
+SEPARATOR = r"[\s,;·]{0,8}"
+
 
+def only_as_address(text: Column, name: str, town: str) -> Column:
+    """True if a name stands in a text, and each time before a house number, a postcode and the town. Names and case as they come."""
+    quoted = re.escape(name)
+    every = F.regexp_count(text, F.lit(f"(?iU){quoted}"))
+    address = F.regexp_count(text, F.lit(rf"(?iU)(?={quoted}\s*{HOUSE_NUMBER}{SEPARATOR}\d{{5}}\s+{re.escape(town)}){quoted}"))
+    return F.coalesce((every > 0) & (every == address), F.lit(False))
 
-def excerpt(text: Column, needle: Column, around: int = 60, cap: int = 255) -> Column:
-    """The surroundings of the first occurrence, line ends as blanks; null if it does not occur."""
-    at = F.instr(text, needle)
+
+def excerpt(text: Column, name: Column, around: int = 60, cap: int = 255) -> Column:
+    """The surroundings of the first place where a name stands by itself, whatever its case, in one line between marks; null if it does not."""
+    bare = F.trim(name)
+    at = F.regexp_instr(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(bare, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?!\w)")))
     start = F.greatest(F.lit(1), at - around)
-    piece = F.substr(text, start, at - start + F.length(needle) + around)
-    return F.when(at > 0, F.left(F.regexp_replace(piece, r"\s+", " "), F.lit(cap)))
+    piece = F.substr(text, start, at - start + F.length(bare) + around)
+    return F.when((at > 0) & (bare != ""), F.left(F.concat(F.lit("…"), trimmed(F.replace(piece, F.lit("\n"), F.lit(" "))), F.lit("…")), F.lit(cap)))
 
 
 def without_noise(text: Column, patterns: Sequence[str]) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, " "), patterns, text)
+    """What is left without the patterns, whatever the case; nothing takes their place."""
+    return reduce(lambda t, p: F.regexp_replace(t, f"(?i){p}", ""), patterns, text)
 
 
 def rewrite(url: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -185,7 +241,7 @@ def column_name(key: Column) -> Column:
     """Safe column names: reserved words renamed, lower case, other characters as _, k_ before a digit."""
     clean = F.regexp_replace(F.lower(key), r"\W", "_")
     renamed = F.when(key == "start", "start_date").when(key == "end", "end_date").when(key == "order", "order_col").otherwise(clean)
-    return F.when(renamed.rlike(r"^\d"), F.concat(F.lit("k_"), renamed)).otherwise(renamed)
+    return F.when(renamed == "", "k").when(renamed.rlike(r"^\d"), F.concat(F.lit("k_"), renamed)).otherwise(renamed)
 
 
 def has_anaphora(query: Column, proforms: Sequence[str]) -> Column:
@@ -196,20 +252,39 @@ def has_anaphora(query: Column, proforms: Sequence[str]) -> Column:
     return F.exists(paired, lambda x: F.coalesce(x, F.lit(False)))
 
 
+#: Fixed value: marks that a query may hold beside letters, numbers and white space.
+QUERY_MARKS = ".,;:!?()[]{}„“«»\"'’`-–—/&%+*#@=_|~°§$€"
+
+
 def allowed_query(query: Column, most: int = 250) -> Column:
-    return query.isNotNull() & (F.length(query) <= most) & query.rlike(r"""^[\p{L}\p{N}\s.,;:?!"'()/&+\-–§%]+$""")
+    """Whether a query, trimmed, is not empty, not too long, and made of letters, numbers, white space and the marks alone."""
+    bare = trimmed(F.coalesce(query, F.lit("")))
+    marks = "".join(f"\\{c}" if c.isascii() and not c.isalnum() else c for c in QUERY_MARKS)
+    return (F.length(bare) <= most) & bare.rlike(rf"(?U)^[\p{{L}}\p{{N}}\s\x1C-\x1F{marks}]+\z")
 
 
-def teaser(text: Column, words: int = 200, ceiling: int = 9600) -> Column:
-    parts = F.split(F.trim(F.left(text, F.lit(ceiling))), r"\s+")
-    return F.when(F.size(parts) <= words, F.trim(F.left(text, F.lit(ceiling)))).otherwise(F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit(" …")))
+def teaser(text: Column, summary: Column | None = None, words: int = 200, excerpt_length: int = 16000, ceiling: int = 9600) -> Column:
+    """A short text in one line as it stands; a longer one by its summary, cut to ``words``; without a usable summary its beginning.
+
+    A summary of one word is none.
+    """
+    one_line = lambda t: F.replace(t, F.lit("\n"), F.lit(" "))
+    split = lambda t: F.array_remove(F.split(t, r"(?U)[\s\x1C-\x1F]+"), "")
+    text = F.coalesce(text, F.lit(""))
+    long = one_line(F.left(text, F.lit(excerpt_length)))
+    if summary is not None:
+        said = F.when(F.size(split(summary)) > words, F.array_join(F.slice(split(summary), 1, words), " ")).otherwise(summary)
+        long = F.when(F.size(split(summary)) > 1, said).otherwise(long)
+    return F.left(F.when(F.size(split(text)) <= words, one_line(text)).otherwise(long), F.lit(ceiling))
 
 
 def path_parts(path: Column) -> list[Column]:
-    """folder, stem, extension, prefix (up to the first - or _) of a file path."""
-    name = F.element_at(F.split(path, "/"), -1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return [F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), stem.alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.regexp_extract(stem, r"^([^-_]+)", 1).alias("prefix")]
+    """folder (the last one), filename, extension in lower case, stem and prefix (up to the first - or _) of a path with either kind of slash."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    name = F.element_at(parts, -1)
+    folder = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    stem = F.regexp_replace(name, r"(?s)\.[^.]*\z", "")
+    return [folder.alias("folder"), name.alias("filename"), F.lower(F.regexp_extract(name, r"(?s)\.([^.]*)\z", 1)).alias("extension"), stem.alias("stem"), F.regexp_extract(stem, r"(?s)^([^-_]*)", 1).alias("prefix")]
 
 
 def file_key(name: Column) -> Column:

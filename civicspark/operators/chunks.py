@@ -87,6 +87,7 @@ def word_clusters(weights: DataFrame, least: float = 0.8, order: Column | None =
     Greedy in order of weight, or of another ``order`` that has no ties. Round by round, words that no heavier undecided word touches become
     representatives, and their neighbours join them; the pair table shrinks each round.
     """
+    weights = cut(weights)  # it is read again for each side of the pairs
     order = weights.select("word", (F.struct(-F.col("tfidf"), "word") if order is None else order).alias("o"))
     links = similar_words(weights.select("word"), least).select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import any_match, date_in_text, decision, majority, outcome_check, valid_at
+from civicspark.functions.text import any_match, date_in_text, decision, item_verified, majority, outcome_check, valid_at
 
 
 def paper_texts(texts: DataFrame) -> DataFrame:
@@ -36,43 +36,46 @@ def named_item(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), "^0+(?=.)", "")
 
 
-def protocols(pairs: DataFrame, candidates: DataFrame, outcomes: Sequence[tuple[str, str]], section: str, item: str = r"(?i)\bTOP\s*(\d+(?:\.\d+)?)", council: str = "GR") -> tuple[DataFrame, DataFrame]:
+def protocols(pairs: DataFrame, candidates: DataFrame, outcomes: Sequence[tuple[str, str]], section: str, item: str, council: str = "GR") -> tuple[DataFrame, DataFrame]:
     """(attached (pair, document), derived (pair, outcome, confidence, signal)) of pairs (pair, number, day, outcome).
 
-    Candidates (pair, document, name, text) attach if their text names the pair's item, its decision is
-    the pair's outcome, and they belong to the session: the day stands in text or name, or the name says
-    the council. A pair without an outcome takes the decision of its first such document.
+    Candidates (pair, document, name, text) are taken in the order of their keys. One attaches if the first
+    item that its text names is the pair's, its decision is the pair's outcome, and it belongs to the session:
+    the day stands in text or name, or the name says the council. A pair without an outcome takes the decision
+    of its first document of the right item, of whatever session; that document does not attach, later ones may.
     """
     joined = candidates.dropDuplicates(["pair", "document"]).join(pairs, "pair")
-    text, day = F.coalesce("text", F.lit("")), F.date_format("day", "dd.MM.yyyy")
-    long_day = F.concat_ws(" ", F.date_format("day", "dd."), F.date_format("day", "MMMM yyyy"))
-    session = F.contains(text, day) | F.contains("name", day) | F.contains(text, long_day) | F.contains("name", F.lit(council))
-    judged = joined.withColumns({"top": named_item(text, item) == F.col("number"), "found": decision(text, section, outcomes), "session": session})
-    first = judged.where("outcome is null and top and session and found is not null").groupBy("pair").agg(F.min_by("found", "document").alias("derived"), F.min("document").alias("by"))
-    known = judged.join(first, "pair", "left").withColumn("stated", F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("document") >= F.col("by"), F.col("derived")))
+    text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
+    days = [F.date_format("day", form) for form in ("dd.MM.yyyy", "dd. MMMM yyyy", "dd. MM. yyyy")]
+    session = reduce(lambda a, b: a | b, (F.coalesce(F.contains(where, d), F.lit(False)) for d in days for where in (text, name)), F.contains(name, F.lit(council)))
+    found = decision(text, section, outcomes, item)
+    judged = joined.withColumns({"found": found, "session": session, "top": item_verified(text, F.col("number"), F.col("outcome"), found, item)[0]})
+    first = judged.where("outcome is null and top and found is not null").groupBy("pair").agg(F.min_by("found", "document").alias("derived"), F.min("document").alias("by"))
+    known = judged.join(first, "pair", "left").withColumn("stated", F.coalesce("outcome", F.when(F.col("document") > F.col("by"), F.col("derived"))))
     attached = known.where("top and session and found = stated").select("pair", "document")
     return attached, first.select("pair", F.col("derived").alias("outcome"), F.lit(0.7).alias("confidence"), F.lit("protocol").alias("signal"))
 
 
-def ballot_documents(pairs: DataFrame, candidates: DataFrame, counts: Callable[[Column], tuple[Column, Column]], item: str = r"(?i)\bTOP\s*0*(\d+(?:\.\d+)?)") -> DataFrame:
+def ballot_documents(pairs: DataFrame, candidates: DataFrame, counts: Callable[[Column], tuple[Column, Column]], expected: Mapping[str, str], item: str = r"(?i)top\s*-?_?\s*(\d+(?:\.\d+)?)") -> DataFrame:
     """(pair, document, yes, no, verdict) of candidates (pair, document, name, text, date) that fit their pair's item and session.
 
-    The item is named in the name or else in the text. Any of five signals tells the session: a date in
-    the text, the document's own date, the day written in ISO in the text, with dots in the name, or with
-    a month's short name in the text. The counted majority is checked against the pair's outcome.
+    The item is named in the name, or, where the name does not name it, in the text. Any of five signals tells
+    the session: a date in the text, the document's own date, the day written in ISO in the text, with dots in
+    the name, or with a month's short name in the text. The counted majority is checked against the side that
+    the pair's outcome needs.
     """
     joined = candidates.dropDuplicates(["pair", "document"]).join(pairs, "pair")
     text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
     number = F.regexp_replace("number", "^0+(?=.)", "")
-    top = F.coalesce(named_item(name, item), named_item(text, item)) == number
+    top = F.coalesce(named_item(name, item) == number, F.lit(False)) | F.coalesce(named_item(text, item) == number, F.lit(False))
     short = F.concat_ws(" ", F.dayofmonth("day").cast("string"), F.date_format("day", "MMM"), F.year("day").cast("string"))
     signals = (date_in_text(text) == F.col("day"), F.col("date") == F.col("day"), F.contains(text, F.date_format("day", "yyyy-MM-dd")), F.contains(name, F.date_format("day", "dd.MM.yyyy")), F.contains(F.lower(text), F.lower(short)))
     session = reduce(lambda a, b: a | b, (F.coalesce(x, F.lit(False)) for x in signals))
     yes, no = counts(text)
-    return joined.where(top & session).select("pair", "document", yes.alias("yes"), no.alias("no"), outcome_check(majority(yes, no), F.col("outcome")).alias("verdict"))
+    return joined.where(top & session).select("pair", "document", yes.alias("yes"), no.alias("no"), outcome_check(majority(yes, no), F.col("outcome"), expected).alias("verdict"))
 
 
-def authors(papers: DataFrame, chunks: DataFrame, rules: Sequence[tuple[str, str, str | None, str | None]], head: int = 3, most: int = 4000) -> DataFrame:
+def authors(papers: DataFrame, chunks: DataFrame, rules: Sequence[tuple], head: int = 3, most: int = 4000) -> DataFrame:
     """(paper, author): the first party whose wording stands in a paper's name or first chunks, within the party's era.
 
     papers: (paper, name, day); chunks: (paper, chunk_index, text), each cut to ``most`` characters.
@@ -139,15 +142,25 @@ def class_counts(reasons: DataFrame, column: str, rules: Sequence[tuple[str, str
     return reasons.where(F.col(column).isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def serialised(parts: list[DataFrame], dates: list[str]) -> DataFrame:
-    """(id, type, date, attributes) of partial node tables: the first part's type and date win, attributes are merged.
+def serialised(parts: list[DataFrame], dates: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(id, type, date, attributes) of partial node tables (id, type, attributes, date columns), in order.
 
-    The date is the first of the columns that is not null. Of an attribute that several parts give, the
-    first part's value stays.
+    The first part of an id gives its type and date; the date is the first of its type's columns that is not
+    null, and types without columns have none. Attributes are merged: of one that several parts give, the last
+    value that is not null holds, and one that is null everywhere is left out.
     """
-    numbered = reduce(DataFrame.unionByName, (p.select("id", "type", F.coalesce(*dates).alias("date"), "attributes", F.lit(i).alias("part")) for i, p in enumerate(parts)))
+
+    def dated(part: DataFrame) -> Column:
+        day = F.lit(None).cast("date")
+        for kind, columns in dates.items():
+            there = [F.col(c) for c in columns if c in part.columns]
+            day = F.when(F.col("type") == kind, F.coalesce(*there)).otherwise(day) if there else day
+        return day
+
+    numbered = reduce(DataFrame.unionByName, (p.select("id", "type", dated(p).cast("date").alias("date"), "attributes", F.lit(i).alias("part")) for i, p in enumerate(parts)))
     first = numbered.groupBy("id").agg(F.min_by(F.struct("type", "date"), "part").alias("first"))
-    each = numbered.select("id", "part", F.explode("attributes").alias("name", "value")).groupBy("id", "name").agg(F.min_by("value", "part").alias("value"))
+    told = numbered.select("id", "part", F.explode("attributes").alias("name", "value")).where("value is not null")
+    each = told.groupBy("id", "name").agg(F.max_by("value", "part").alias("value"))
     merged = each.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
     return first.join(merged, "id", "left").select("id", "first.type", "first.date", F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
 from civicspark.operators import chunks, graph, jobs, places, resolve, timeline
-from civicspark.plans.catalog import COSINE, TAGS_SQL, batch_of_vectors, heaviest_words, query, tag_rows
+from civicspark.plans.catalog import CLUSTERS_SQL, COSINE, LETTERS, TAGS_SQL, batch_of_vectors, heaviest_words, query, tag_rows
+from civicspark.plans.catalog_text import BALLOT, SIDES
 from civicspark.sources.tables import table
 
 DISTANCES = f"""
@@ -96,18 +97,18 @@ def e16(spark: SparkSession, sf: str) -> DataFrame:
 WITH p AS (SELECT o_orderkey AS pair, o_orderkey % 9 + 1 AS number, o_orderdate::DATE AS day, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' END AS outcome FROM orders),
 c AS (SELECT l_orderkey AS pair, l_linenumber AS document, max((l_partkey % 9 + 1)::BIGINT) AS item, max(CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' END) AS found, max(l_suppkey % 3) AS kind FROM lineitem GROUP BY 1, 2),
 j AS (SELECT p.*, document, found, item = number AS top, kind < 2 AS session FROM c JOIN p USING (pair)),
-f AS (SELECT pair, min(document) AS by_doc, min_by(found, document) AS derived FROM j WHERE outcome IS NULL AND top AND session AND found IS NOT NULL GROUP BY 1)
+f AS (SELECT pair, min(document) AS by_doc, min_by(found, document) AS derived FROM j WHERE outcome IS NULL AND top AND found IS NOT NULL GROUP BY 1)
 SELECT pair, document, coalesce(outcome, derived) AS outcome, f.pair IS NOT NULL AS is_derived FROM j LEFT JOIN f USING (pair)
-WHERE top AND session AND found = CASE WHEN outcome IS NOT NULL THEN outcome WHEN document >= by_doc THEN derived END""")
+WHERE top AND session AND found = CASE WHEN outcome IS NOT NULL THEN outcome WHEN document > by_doc THEN derived END""")
 def e18(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair"), (F.col("o_orderkey") % 9 + 1).cast("string").alias("number"), F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "rejected").alias("outcome"))
     found = F.max(F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "rejected"))
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("document")).agg(F.max(F.col("l_partkey") % 9 + 1).alias("item"), found.alias("found"), F.max(F.col("l_suppkey") % 3).alias("kind"))
     dated = rows.join(o.select("pair", "day"), "pair")
     word = F.when(F.col("found") == "accepted", "the motion was ACCEPTED").when(F.col("found") == "rejected", "it is rejected").otherwise("adjourned")
-    text = F.concat(F.lit("Minutes of "), F.when(F.col("kind") == 0, F.date_format("day", "dd.MM.yyyy")).otherwise("a day"), F.lit("\nTOP "), F.col("item").cast("string"), F.lit("\nDecision: "), word)
+    text = F.concat(F.lit("Minutes of "), F.when(F.col("kind") == 0, F.date_format("day", "dd. MM. yyyy")).otherwise("a day"), F.lit("\nTOP "), F.col("item").cast("string"), F.lit("\nDecision: "), word)
     candidates = dated.select("pair", "document", F.when(F.col("kind") == 1, "Minutes GR").otherwise("Minutes").alias("name"), text.alias("text"))
-    attached, derived = jobs.protocols(o, candidates, [("accepted", "accepted"), ("rejected", "rejected")], "Decision:")
+    attached, derived = jobs.protocols(o, candidates, [("accepted", "accepted"), ("rejected", "rejected")], r"(?s)Decision:(.{0,400})", r"(?i)\bTOP\s*(\d+(?:\.\d+)?)")
     told = attached.join(o.select("pair", "outcome"), "pair").join(derived.select("pair", F.col("outcome").alias("derived")), "pair", "left")
     return told.select("pair", "document", F.coalesce("outcome", "derived").alias("outcome"), F.col("derived").isNotNull().alias("is_derived"))
 
@@ -115,29 +116,31 @@ def e18(spark: SparkSession, sf: str) -> DataFrame:
 @query("e19_ballots", """
 WITH p AS (SELECT o_orderkey AS pair, o_orderkey % 9 + 1 AS number, o_orderdate::DATE AS day, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' END AS outcome FROM orders),
 c AS (SELECT l_orderkey AS pair, l_linenumber AS document, max((l_partkey % 9 + 1)::BIGINT) AS item, max(l_quantity)::INT AS yes, max(l_suppkey % 5)::BIGINT AS kind FROM lineitem GROUP BY 1, 2)
-SELECT pair, document, yes, 20 AS no, CASE WHEN outcome IS NULL THEN 'n/a' WHEN outcome = CASE WHEN yes > 20 THEN 'accepted' ELSE 'rejected' END THEN 'ok' ELSE 'warn' END AS verdict FROM c JOIN p USING (pair) WHERE item = number AND kind < 4""")
+SELECT pair, document, yes, 20 AS no, CASE WHEN outcome IS NULL OR yes = 20 THEN 'n/a' WHEN outcome = CASE WHEN yes > 20 THEN 'accepted' ELSE 'rejected' END THEN 'ok' ELSE 'warn' END AS verdict FROM c JOIN p USING (pair) WHERE item = number AND kind < 4""")
 def e19(spark: SparkSession, sf: str) -> DataFrame:
     """Kinds of a document's session signal: its own date, the day in its text in ISO, in its name, with a short month; or another day."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair"), (F.col("o_orderkey") % 9 + 1).cast("string").alias("number"), F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "rejected").alias("outcome"))
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("document")).agg(F.max(F.col("l_partkey") % 9 + 1).alias("item"), F.max("l_quantity").cast("int").alias("yes"), F.max(F.col("l_suppkey") % 5).alias("kind")).join(o.select("pair", "day"), "pair")
     item, is_ = F.concat(F.lit("TOP 0"), F.col("item").cast("string")), lambda k: F.col("kind") == k
-    name = F.concat(F.lit("Ballot "), F.when(F.col("document") % 2 == 0, item).otherwise(""), F.when(is_(2), F.concat(F.lit(" "), F.date_format("day", "dd.MM.yyyy"))).otherwise(""))
+    # every second name says the item, every third another one
+    said = F.when(F.col("document") % 2 == 0, item).when(F.col("document") % 3 == 0, "TOP 77").otherwise("")
+    name = F.concat(F.lit("Ballot "), said, F.when(is_(2), F.concat(F.lit(" "), F.date_format("day", "dd.MM.yyyy"))).otherwise(""))
     day = F.when(is_(1), F.date_format("day", "yyyy-MM-dd")).when(is_(3), F.concat_ws(" ", F.dayofmonth("day").cast("string"), F.upper(F.date_format("day", "MMM")), F.year("day").cast("string"))).otherwise("no day")
     text = F.concat(day, F.lit("\n"), item, F.lit("\nJa: "), F.col("yes").cast("string"), F.lit("\nNein: 20"))
     candidates = rows.select("pair", "document", name.alias("name"), text.alias("text"), F.when(is_(0), F.col("day")).when(is_(4), F.date_add("day", 1)).alias("date"))
-    return jobs.ballot_documents(o, candidates, lambda t: (tx.count_after(t, "Ja"), tx.count_after(t, "Nein")))
+    return jobs.ballot_documents(o, candidates, lambda t: (tx.count_after(t, "Ja", BALLOT), tx.count_after(t, "Nein", BALLOT)), SIDES)
 
 
 @query("e20_authors", """
 WITH t AS (SELECT l_orderkey, l_linenumber, max(l_returnflag || l_linestatus || ';') AS text FROM lineitem GROUP BY 1, 2),
-h AS (SELECT l_orderkey AS paper, string_agg(left(text, 4), '' ORDER BY l_linenumber) AS head FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 3) GROUP BY 1),
+h AS (SELECT l_orderkey AS paper, string_agg(left(text, 4000), '' ORDER BY l_linenumber) AS head FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 3) GROUP BY 1),
 c AS (SELECT o_orderkey AS paper, o_orderdate::DATE AS day, o_orderpriority || coalesce(head, '') AS corpus FROM orders LEFT JOIN h ON h.paper = o_orderkey)
 SELECT paper, CASE WHEN regexp_matches(corpus, '(?i)urgent') AND day <= DATE '1995-12-31' THEN 'old' WHEN regexp_matches(corpus, '(?i)urgent') AND day >= DATE '1996-01-01' THEN 'new' WHEN regexp_matches(corpus, '(?i)RF;AF') THEN 'mixed' WHEN regexp_matches(corpus, '(?i)low') THEN 'calm' END AS author FROM c""")
 def e20(spark: SparkSession, sf: str) -> DataFrame:
     papers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").alias("day"))
     pieces = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("chunk_index")).agg(F.max(F.concat("l_returnflag", "l_linestatus", F.lit(";"))).alias("text"))
-    rules = [("urgent", "old", None, "1995-12-31"), ("urgent", "new", "1996-01-01", None), ("RF;AF", "mixed", None, None), ("low", "calm", None, None)]
-    return jobs.authors(papers, pieces, rules, most=4)
+    rules = [("(?i)urgent", "old", [(None, "1995-12-31")]), ("(?i)urgent", "new", [("1996-01-01", None)]), ("(?i)RF;AF", "mixed", None), ("(?i)low", "calm", None)]
+    return jobs.authors(papers, pieces, rules)
 
 
 @query("s19_migration", """
@@ -217,15 +220,17 @@ def a24(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("g6_serialised_nodes", """
-WITH a AS (SELECT c_custkey AS id, 'customer' AS type, NULL::DATE AS date, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0),
-b AS (SELECT o_custkey AS id, 'buyer' AS type, max(o_orderdate)::DATE AS date, 'buyer ' || o_custkey AS name, count(*)::VARCHAR AS orders FROM orders GROUP BY o_custkey)
-SELECT coalesce(a.id, b.id) AS id, coalesce(a.type, b.type) AS type, CASE WHEN a.id IS NULL THEN b.date END AS date, coalesce(a.name, b.name) AS name, a.segment, b.orders FROM a FULL JOIN b ON a.id = b.id""")
+WITH a AS (SELECT c_custkey AS id, 'customer' AS type, NULL::DATE AS date, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0),
+b AS (SELECT o_custkey AS id, 'buyer' AS type, max(o_orderdate)::DATE AS date, CASE WHEN o_custkey % 5 > 0 THEN 'buyer ' || o_custkey END AS name, count(*)::VARCHAR AS orders FROM orders GROUP BY o_custkey)
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.type, b.type) AS type, CASE WHEN a.id IS NULL THEN b.date END AS date, coalesce(b.name, a.name) AS name, a.segment, b.orders FROM a FULL JOIN b ON a.id = b.id""")
 def g6(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("type"), F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("made"), F.create_map(F.lit("name"), "c_name", F.lit("segment"), "c_mktsegment").alias("attributes"))
+    """Customers have no date of their own, buyers have; either side's name may be missing."""
+    name = lambda own, keep: F.when(keep > 0, own)
+    a = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("type"), F.create_map(F.lit("name"), name(F.col("c_name"), F.col("c_custkey") % 3), F.lit("segment"), "c_mktsegment").alias("attributes"), F.lit("1990-01-01").cast("date").alias("made"))
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").cast("date").alias("made"), F.count(F.lit(1)).cast("string").alias("n"))
-    b = o.select("id", F.lit("buyer").alias("type"), F.lit(None).cast("date").alias("start"), "made", F.create_map(F.lit("name"), F.concat(F.lit("buyer "), F.col("id").cast("string")), F.lit("orders"), "n").alias("attributes"))
+    b = o.select("id", F.lit("buyer").alias("type"), F.lit(None).cast("date").alias("start"), "made", F.create_map(F.lit("name"), name(F.concat(F.lit("buyer "), F.col("id").cast("string")), F.col("id") % 5), F.lit("orders"), "n").alias("attributes"))
     of = lambda k: F.try_element_at("attributes", F.lit(k)).alias(k)
-    return jobs.serialised([a, b], ["start", "made"]).select("id", "type", "date", of("name"), of("segment"), of("orders"))
+    return jobs.serialised([a, b], {"buyer": ("start", "made"), "customer": ()}).select("id", "type", "date", of("name"), of("segment"), of("orders"))
 
 
 @query("g8_meeting_topics", """
@@ -263,21 +268,28 @@ def u5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s5_column_names", """
-WITH k AS (SELECT DISTINCT unnest([event_type, upper(event_type) || ' Time', 'start', 'order', (user_id % 10) || 'x', 'a-b']) AS key FROM events)
-SELECT key, CASE WHEN regexp_matches(c, '^[0-9]') THEN 'k_' || c ELSE c END AS column_name FROM (SELECT key, CASE key WHEN 'start' THEN 'start_date' WHEN 'order' THEN 'order_col' ELSE regexp_replace(lower(key), '\\W', '_', 'g') END AS c FROM k)""")
+WITH k AS (SELECT DISTINCT unnest([event_type, upper(event_type) || ' Time', 'start', 'order', (user_id % 10) || 'x', 'a-b', '']) AS key FROM events)
+SELECT key, CASE WHEN c = '' THEN 'k' WHEN regexp_matches(c, '^[0-9]') THEN 'k_' || c ELSE c END AS column_name FROM (SELECT key, CASE key WHEN 'start' THEN 'start_date' WHEN 'order' THEN 'order_col' ELSE regexp_replace(lower(key), '\\W', '_', 'g') END AS c FROM k)""")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
-    keys = F.array("event_type", F.concat(F.upper("event_type"), F.lit(" Time")), F.lit("start"), F.lit("order"), F.concat((F.col("user_id") % 10).cast("string"), F.lit("x")), F.lit("a-b"))
+    keys = F.array("event_type", F.concat(F.upper("event_type"), F.lit(" Time")), F.lit("start"), F.lit("order"), F.concat((F.col("user_id") % 10).cast("string"), F.lit("x")), F.lit("a-b"), F.lit(""))
     return table(spark, sf, "events").select(F.explode(keys).alias("key")).distinct().withColumn("column_name", tx.column_name(F.col("key")))
 
 
-@query("a15_merged_clusters", None)
+@query("a15_merged_clusters", f"""
+WITH RECURSIVE {CLUSTERS_SQL}, sized AS (SELECT representative AS word, count(*) AS n FROM clusters GROUP BY 1 HAVING count(*) >= 2),
+mo AS (SELECT sized.word, translate(sized.word, {LETTERS}) AS t, row_number() OVER (ORDER BY n DESC, tfidf DESC, sized.word) AS k FROM sized JOIN w ON w.word = sized.word),
+mfold AS (
+  SELECT 0::BIGINT AS k, []::STRUCT(w VARCHAR, t VARCHAR)[] AS heads, NULL::VARCHAR AS word, NULL::VARCHAR AS merged UNION ALL
+  SELECT mo.k, CASE WHEN h IS NULL THEN list_append(heads, {{'w': mo.word, 't': mo.t}}) ELSE heads END, mo.word, coalesce(h, mo.word)
+  FROM (SELECT f.k, f.heads, mo.word AS x, list_filter(f.heads, lambda r: round(1 - levenshtein(r.t, mo.t) / greatest(length(r.t), length(mo.t))::DOUBLE, 6) >= 0.7)[1].w AS h FROM mfold f JOIN mo ON mo.k = f.k + 1) s JOIN mo ON mo.word = s.x)
+SELECT clusters.word, merged AS representative FROM clusters JOIN mfold ON mfold.word = clusters.representative""")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of the heaviest words put together where their representatives are similar at a lower ratio."""
+    """Clusters of two words and more put together where their representatives are similar at a lower ratio."""
     words = heaviest_words(spark, sf)
-    return chunks.merged_clusters(chunks.word_clusters(words), words, least=0.76)
+    return chunks.merged_clusters(chunks.kept_clusters(chunks.word_clusters(words))[0], words, least=0.7)
 
 
-@query("a14_unclustered_words", None)
+@query("a14_unclustered_words", f"WITH RECURSIVE {CLUSTERS_SQL} SELECT word FROM clusters WHERE representative IN (SELECT representative FROM clusters GROUP BY 1 HAVING count(*) < 2)")
 def a14_rest(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.kept_clusters(chunks.word_clusters(heaviest_words(spark, sf)))[1]
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import column_name, last_segment, parse_moment
-
-ENTITY = "doc string, id string, type string, parent string, field string, body variant"
+from civicspark.functions.text import column_name, last_segment, parse_moment, trimmed
 
 
 def read_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -120,13 +118,29 @@ def file_references(strings: DataFrame, column: str, extensions: list[str]) -> D
     return strings.withColumn("extension", found).withColumn("year", year).where("extension <> ''")
 
 
-def street_register(lines: DataFrame) -> DataFrame:
-    """Register headings ``Name (1920)`` or ``1920 Name: text`` to name, year, description; empty names drop."""
-    line = F.trim("line")
-    head, rest = F.trim(F.split(line, ":").getItem(0)), F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-    year = F.coalesce(F.regexp_extract(head, r"^(\d{4})\b", 1).try_cast("int"), F.regexp_extract(head, r"\(?(\d{4})\)?$", 1).try_cast("int"))
-    name = F.trim(F.regexp_replace(F.regexp_replace(head, r"^\d{4}\b\s*", ""), r"\s*\(?\d{4}\)?$", ""))
-    return lines.select(name.alias("name"), year.alias("year"), rest.alias("description")).where("name <> ''")
+def street_register(texts: DataFrame) -> DataFrame:
+    """(name, year, heading, description) of registers (text): a section for each heading that ``## `` begins.
+
+    The description is the line below the heading. A heading's last word, or else its first one, is the year
+    if it is a whole number, else the year is -1. The name is the heading without that year; before a last
+    year the words from ", vor", ", nach", ", um", " vor", " nach" or " um" on go too, the first of these that
+    is there. A heading that ends in a word with "jahr" loses its last two words. Empty names drop.
+    """
+    section = texts.select(F.explode(F.split("text", "## ")).alias("section"))
+    lines = F.split("section", "\n")
+    head = section.select(lines.getItem(0).alias("heading"), F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("description"))
+    words = F.split(trimmed(F.col("heading")), " ")
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    number = r"^\p{Nd}+$"
+    before = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+    clean = before
+    for mark in reversed((", vor", ", nach", ", um", " vor", " nach", " um")):
+        clean = F.when(F.contains(before, F.lit(mark)), trimmed(F.substring_index(before, mark, 1))).otherwise(clean)
+    century = trimmed(F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), " "))
+    after = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    name = F.when(last.rlike(number), clean).when(F.contains(F.lower(last), F.lit("jahr")), century).when(first.rlike(number), after).otherwise(trimmed(F.col("heading")))
+    year = F.when(last.rlike(number), last.try_cast("int")).when(first.rlike(number), first.try_cast("int")).otherwise(-1)
+    return head.select(name.alias("name"), year.alias("year"), "heading", "description").where("name <> ''")
 
 
 def gazetteer(names: DataFrame, shapes: DataFrame, known: DataFrame) -> DataFrame:

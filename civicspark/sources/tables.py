@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt over all cores if it was read as fewer splits than there are cores.
+
+    The splits are counted without reading a column. Tables of many splits stay where they are.
+    """
+    splits = df.select(F.spark_partition_id().alias("split")).agg(F.count_distinct("split")).first()[0]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < cores else df

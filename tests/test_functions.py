@@ -28,29 +28,107 @@ def test_cosine(spark):
     assert one(spark, tx.cosine_similarity(F.col("a"), F.col("b")), a=[0.0, 0.0], b=[1.0, 1.0]) == 0
 
 
-@pytest.mark.parametrize(("text", "day"), [("2024-03-05T10:11:12+02:00", "2024-03-05 10:11:12"), ("2024-03-05T10:11:12.500Z", "2024-03-05 10:11:12.500000"), ("2024-03-05", "2024-03-05 00:00:00"), ("05.03.2024", "2024-03-05 00:00:00"), ("soon", None), (None, None)])
+@pytest.mark.parametrize(("text", "day"), [("2024-03-05T10:11:12+02:00", "2024-03-05 10:11:12"), ("2024-03-05T10:11:12.500Z", "2024-03-05 10:11:12"), ("2024-03-05 10:11:12", None), ("5.3.2024", "2024-03-05 00:00:00"), ("31.02.2024", None), ("2024-03-05", "2024-03-05 00:00:00"), ("05.03.2024", "2024-03-05 00:00:00"), ("soon", None), (None, None)])
 def test_moments(spark, text, day):
     got = one(spark, tx.parse_moment(F.col("a")), a=text)
     assert got == (dt.datetime.fromisoformat(day) if day else None)
 
 
-@pytest.mark.parametrize(("text", "day"), [("am 5.3.2024 war", dt.date(2024, 3, 5)), ("on 7 May 2021 we", dt.date(2021, 5, 7)), ("x 2020-01-02 y", dt.date(2020, 1, 2)), ("none", None)])
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [("am 05.03.2024 war", dt.date(2024, 3, 5)), ("am 5.3.2024 war", None), ("on 7 May 2021 we", dt.date(2021, 5, 7)), ("16:54 21 oct 2025", dt.date(2025, 10, 21)), ("01.02.2003 7 September 2021", dt.date(2021, 9, 7)), ("2001-01-01, 05.03.2024", dt.date(2024, 3, 5)), ("x 2020-01-02 y", dt.date(2020, 1, 2)), ("31 Feb 2020 2020-01-02", None), ("y" * 1200 + "2020-01-02", None), ("none", None)],
+)
 def test_dates_in_text(spark, text, day):
     assert one(spark, tx.date_in_text(F.col("a")), a=text) == day
 
 
+BALLOT = ("Ja", "Nein", "Enthaltung")
+ITEM, SECTION = r"(?i)Punkt\s*([0-9]+)\s*der Tagesordnung", r"(?is)Beschluss:?\s*\n+([^\n]+)"
+
+
+@pytest.mark.parametrize(("text", "count"), [("Ja: 3\nNein: 4\nJa | 21", 21), ("nothing", None), ("## JA\n45", 45), ("| ## ja | | 45 |", 45), ("Ja Nein 5", 5), ("Nein Ja 5", None), ("Ja" + " " * 41 + "5", None), ("Ja 1234", None), ("Jahr 5", None)])
+def test_ballot_counts(spark, text, count):
+    assert one(spark, tx.count_after(F.col("a"), "Ja", BALLOT), a=text) == count
+
+
 def test_ballots(spark):
-    assert one(spark, tx.count_after(F.col("a"), "Ja"), a="Ja: 3\nNein: 4\nJa | 21") == 21
-    assert one(spark, tx.count_after(F.col("a"), "Ja"), a="nothing") is None
-    assert one(spark, tx.outcome_check(tx.majority(F.lit(3), F.lit(1)), F.col("a")), a="rejected") == "warn"
-    rules = [("abgelehnt", "rejected"), ("zugestimmt", "accepted")]
-    assert one(spark, tx.decision(F.col("a"), "Beschluss:", rules), a="abgelehnt? Nein. Beschluss: zugestimmt.") == "accepted"
+    sides = {"zugestimmt": "accepted", "abgelehnt": "rejected"}
+    check = lambda yes, no, stated: one(spark, tx.outcome_check(tx.majority(F.lit(yes), F.lit(no)), F.col("a"), sides), a=stated)
+    assert check(3, 1, "abgelehnt") == "warn" and check(3, 1, "zugestimmt") == "ok" and check(1, 3, "abgelehnt") == "ok"
+    assert check(5, 5, "abgelehnt") == "n/a" and check(3, 1, "vertagt") == "n/a" and check(3, 1, None) == "n/a"
+
+
+@pytest.mark.parametrize(
+    ("text", "outcome"),
+    [("abgelehnt? Nein. Beschluss:\nzugestimmt.", "accepted"), ("abgelehnt. Beschluss:\nohne Worte", None), ("abgelehnt Punkt 3 der Tagesordnung zugestimmt", "accepted"), ("Punkt 3 der Tagesordnung" + " " * 2000 + "zugestimmt", None), ("ohne Punkt abgelehnten", "rejected"), ("x" * 1200 + " abgelehnt", None), ("unabgelehnt", None)],
+)
+def test_decisions(spark, text, outcome):
+    rules = [(tx.spoken_outcome("abgelehnt"), "rejected"), (tx.spoken_outcome("zugestimmt"), "accepted")]
+    assert one(spark, tx.decision(F.col("a"), SECTION, rules, ITEM), a=text) == outcome
+
+
+def test_items_of_protocols(spark):
+    top = lambda text, number: one(spark, tx.item_verified(F.col("a"), F.col("b"), F.lit("x"), F.lit("x"), ITEM)[0], a=text, b=number)
+    assert top("Punkt 1 der Tagesordnung", "1") and not top("Punkt 12 der Tagesordnung", "1") and top("Punkt 12 der Tagesordnung", None)
+    assert not top("Punkt 2 der Tagesordnung, Punkt 1 der Tagesordnung", "1") and not top("nichts", None)
+
+
+def test_pair_confidence(spark):
+    types, results = [("antrag", "motion")], [("zugestimmt", "accepted")]
+    told = lambda kind, result, role, decisive: tuple(one(spark, pairs.classify(F.col("a"), F.col("b"), F.col("c"), F.lit(decisive), types, results), a=kind, b=result, c=role))
+    assert told(" Antrag", "wird zugestimmt", "berät", True) == ("motion", "accepted", 1.0, "db-column")
+    assert told("Antrag", "unklar", "berät", False) == ("motion", None, 0.7, "db-partial")
+    assert told("Antrag", None, "berät", True) == ("motion", None, 0.7, "db-partial")
+    assert told("Antrag", None, None, True) == ("motion", None, 0.5, "db-partial")
+    assert told("Brief", "wird zugestimmt", "berät", True) == (None, None, 0.0, "column")
+
+
+@pytest.mark.parametrize(
+    ("text", "only"),
+    [("Büro: Gartenstraße 21, 12345 Musterstadt", True), ("gartenstraße 13\n12345 Musterstadt", True), ("Gartenstraße 12-14 12345 Musterstadt", True), ("Gartenstraße 3 a / 5 b · 12345 Musterstadt", True), ("Gartenstraße 21, 12345 Anderswo", False), ("Gartenstraße 21, 12345 Musterstadt. Umbau der Gartenstraße", False), ("nichts", False), (None, False)],
+)
+def test_address_only(spark, text, only):
+    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße", "Musterstadt"), a=text) is only
+    assert one(spark, tx.only_as_address(F.col("a"), "St. Georg (Süd)", "Musterstadt"), a="St. Georg (Süd) 5, 12345 Musterstadt") is True
+
+
+@pytest.mark.parametrize(("name", "want"), [("sechs", "…" + "x" * 54 + " SECHS " + "y" * 4 + "…"), ("nie", None), (" ", None), ("chs", None)])
+def test_excerpts(spark, name, want):
+    assert one(spark, tx.excerpt(F.col("a"), F.col("b")), a="Sechser " + "x" * 59 + " SECHS\n" + "y" * 4 + " ", b=name) == (want.replace("x" * 54, "x" * 59) if want else None)
+
+
+@pytest.mark.parametrize(("query", "ok"), [("x" * 251, False), (" " + "x" * 250 + "  ", True), ("a<b", False), ("   ", False), ("", False), (None, False), ("[a] {b} „c“ «d» @ # = _ | ~ ° $ € * ’ `", True), ("größe 5½ 世界", True), ("a\u200bb", False), ("🙂", False), ("a\nb", True)])
+def test_allowed_queries(spark, query, ok):
+    assert one(spark, tx.allowed_query(F.col("a")), a=query) is ok
+
+
+def test_teasers(spark):
+    told = lambda text, summary=None: one(spark, tx.teaser(F.col("a"), F.col("b"), words=3, excerpt_length=7, ceiling=20), a=text, b=summary)
+    assert told("a\nb  c") == "a b  c" and told(None) == "" and told("x" * 30) == "x" * 20
+    assert told("a b\nc d e") == "a b c d" and told("a b c d", "one") == "a b c d" and told("a b c d", "one two\nthree four") == "one two three" and told("a b c d", "one\ntwo") == "one\ntwo"
+
+
+@pytest.mark.parametrize(("path", "parts"), [("a/b/C-d_e.x.PDF", ("b", "C-d_e.x.PDF", "pdf", "C-d_e.x", "C")), ("a\\b\\c", ("b", "c", "", "c", "c")), ("c.", ("", "c.", "", "c", "c")), ("", ("", "", "", "", ""))])
+def test_path_parts(spark, path, parts):
+    assert tuple(spark.createDataFrame([(path,)], "a string").select(*tx.path_parts(F.col("a"))).first()) == parts
+
+
+@pytest.mark.parametrize(("text", "want"), [("Haushalt THH 1100", ("Haushalt", "1100")), (" haushalt 123 ", ("Haushalt", "123")), ("Haushalt 12", ("Haushalt", None)), ("Haushaltsrede", ("Haushaltsrede", None)), ("Antrag", ("Antrag", None)), (" ", (None, None)), (None, (None, None))])
+def test_folded_types(spark, text, want):
+    kind, code = tx.folded_type(F.col("a"), [("Haushalt", r"^Haushalt\b", r"^Haushalt\s+(?:THH\s+)?([0-9]{3,4})$")])
+    assert (one(spark, kind, a=text), one(spark, code, a=text)) == want
+
+
+def test_eras(spark):
+    rules = [("Green", "G1", [(None, "2000-01-01"), ("2005-01-01", "2005-12-31")]), ("Green", "G2", [("2000-01-02", None)]), ("green", "any", None)]
+    at = lambda day, text: one(spark, tx.valid_at(F.lit(day).cast("date"), rules, F.col("a")), a=text)
+    assert [at(d, "the Greens") for d in ("1999-01-01", "2005-06-01", "2006-01-01", None)] == ["G1", "G1", "G2", None]
+    assert at(None, "green") == "any" and at("1999-01-01", "blue") is None
 
 
-def test_address_only(spark):
-    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße"), a="Büro: Gartenstraße 21, 12345 Musterstadt") is True
-    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße"), a="Gartenstraße 21, 12345 Musterstadt. Umbau der Gartenstraße") is False
-    assert one(spark, tx.only_as_address(F.col("a"), "Gartenstraße"), a="nichts") is False
+def test_noise_and_keys(spark):
+    assert one(spark, tx.without_noise(F.col("a"), [r"hall \d"]), a="in Hall 5now") == "in now"
+    assert one(spark, tx.column_name(F.col("a")), a="") == "k"
 
 
 def test_unicode_boundaries(spark):
@@ -59,16 +137,10 @@ def test_unicode_boundaries(spark):
 
 
 def test_small_text_rules(spark):
-    assert one(spark, tx.excerpt(F.col("a"), F.lit("b")), a="a\nb") == "a b"
     assert one(spark, tx.column_name(F.col("a")), a="start") == "start_date" and one(spark, tx.column_name(F.col("a")), a="1 x") == "k_1_x"
     assert one(spark, tx.file_key(F.col("a")), a="00012.pdf") == "12"
     assert one(spark, tx.has_anaphora(F.col("a"), ["it", "that"]), a="what about it") is True
     assert one(spark, tx.has_anaphora(F.col("a"), ["it", "that"]), a="it Musterstadt") is False
-    assert one(spark, tx.allowed_query(F.col("a")), a="x" * 251) is False and one(spark, tx.allowed_query(F.col("a")), a="a<b") is False
-    assert one(spark, tx.teaser(F.col("a"), words=2), a="a b c") == "a b …"
-    era = [("green", "G1", None, "2000-01-01"), ("green", "G2", "2000-01-02", None)]
-    assert one(spark, tx.valid_at(F.lit("2010-01-01").cast("date"), era, F.col("a")), a="green") == "G2"
-    assert one(spark, tx.folded_type(F.col("a"), [("antrag", "motion")])[1], a="HH12 Antrag") == "HH12"
 
 
 def test_filter_specs():

@@ -49,8 +49,9 @@ def test_upsert_and_evolution(spark):
 
 
 def test_street_register(spark):
-    rows = spark.createDataFrame([("Gartenstraße (1920): Dichter",), ("1875 Lindenallee: Kaiser",), (": leer",)], "line string")
-    assert sorted((r.name, r.year) for r in entities.street_register(rows).collect()) == [("Gartenstraße", 1920), ("Lindenallee", 1875)]
+    text = "Am Bach, vor 1900\nA brook.\nmore## 1875 Lindenallee## Gartenstraße nach 1920\nGardens## Alter Weg im 18. Jahrhundert## 1999## Neue Straße, um 1950\n## Kanal 1907 "
+    rows = entities.street_register(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(r.name, r.year, r.description) for r in rows] == [("Am Bach", 1900, "A brook."), ("Lindenallee", 1875, ""), ("Gartenstraße", 1920, "Gardens"), ("Alter Weg im", -1, ""), ("Neue Straße", 1950, ""), ("Kanal", 1907, "")]
 
 
 def test_baseline(spark):
