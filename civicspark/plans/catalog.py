@@ -799,7 +799,7 @@ def e15(spark: SparkSession, sf: str) -> DataFrame:
 # --- increments ------------------------------------------------------------------------------------
 
 
-@query("x1_x2_x3_x6_classified", """
+@query("x3_classified", """
 WITH k AS (SELECT user_id, max(ts) AS seen FROM events WHERE event_id % 2 = 0 GROUP BY 1), i AS (SELECT user_id, max(ts) AS modified FROM events WHERE event_id % 3 = 0 GROUP BY 1)
 SELECT i.user_id, modified, CASE WHEN k.user_id IS NULL THEN 'new' WHEN modified > seen THEN 'modified' ELSE 'skipped' END AS status FROM i LEFT JOIN k USING (user_id)""")
 def x3(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,6 @@ from civicspark.operators import chunks, graph, pairs, places, tags
 from civicspark.plans.catalog import PROFORMS, TAGS_SQL, query, tag_rows
 from civicspark.sources import entities
 from civicspark.sources.tables import table
-from civicspark.streaming import incremental
 
 
 @query("j10_registry_join", """
@@ -184,13 +183,6 @@ def stale(spark: SparkSession, sf: str) -> DataFrame:
     return places.still_valid(links, items)[0].select("item", "place")
 
 
-@query("x4_high_water_mark", "SELECT user_id, greatest(max(ts) FILTER (event_id % 2 = 0), max(ts)) AS mark FROM events GROUP BY 1")
-def high_water(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    marks = e.groupBy("user_id").agg(F.max(F.when(F.col("event_id") % 2 == 0, F.col("ts"))).alias("mark"), F.max("ts").alias("seen"))
-    return marks.select("user_id", incremental.advanced(F.col("mark"), F.col("seen")).alias("mark"))
-
-
 @query("t24_web_links", "SELECT conv_id, turn, 'https://portal.example/thread?id=' || conv_id AS link FROM conversations")
 def web_links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.web_link("https://portal.example/", F.lit("Thread"), F.col("conv_id")).alias("link"))

@@ -5,43 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import column_name, last_segment, parse_moment, trimmed
+from civicspark.functions.text import column_name, parse_moment, trimmed
 
 
-def read_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of a folder of JSON files; documents: doc (its file) and body (variant)."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="[!.]*.json").select(F.col("_metadata.file_path").alias("doc"), "value")
-    parsed = raw.withColumn("body", F.try_parse_json("value"))
-    return parsed.where("body is not null").select("doc", "body"), parsed.where("body is null").select("doc", "value")
-
-
-def flatten(docs: DataFrame, depth: int = 4) -> DataFrame:
-    """Every object with string id and type, at any depth up to ``depth``, as an entity row.
-
-    Columns: doc, id, type, key, parent (id of the entity around it), field (its name there), body.
-    """
-    spark = docs.sparkSession
-    docs.createOrReplaceTempView("entity_documents")
-    level = spark.sql("SELECT doc, CAST(NULL AS STRING) AS parent, CAST(NULL AS STRING) AS field, body FROM entity_documents")
-    rows = None
-    for _ in range(depth + 1):
-        level.createOrReplaceTempView("entity_level")
-        typed = spark.sql("SELECT doc, parent, field, body, try_variant_get(body, '$.id', 'string') AS id, try_variant_get(body, '$.type', 'string') AS type FROM entity_level")
-        own = typed.where("id is not null and type is not null")
-        rows = own if rows is None else rows.unionByName(own)
-        typed.createOrReplaceTempView("entity_typed")
-        level = spark.sql(
-            """SELECT doc, CASE WHEN id IS NOT NULL AND type IS NOT NULL THEN id ELSE parent END AS parent,
-                      coalesce(x.key, field) AS field, x.value AS body
-               FROM entity_typed, LATERAL variant_explode(body) AS x
-               WHERE schema_of_variant(x.value) LIKE 'OBJECT%' OR schema_of_variant(x.value) LIKE 'ARRAY%'"""
-        )
-    return rows.select("doc", "id", last_segment(F.col("type")).alias("type"), last_segment(F.col("id")).alias("key"), "parent", "field", "body")
+def read_folder(spark: SparkSession, path: str, pattern: str = "[!.]*.json") -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of a folder of files that are one JSON document each; columns doc (its file) and body (its text)."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("body"))
+    whole = F.try_parse_json("body").isNotNull()
+    return raw.where(whole), raw.where(~whole)
 
 
 def fields(entities: DataFrame) -> DataFrame:
     """(id, type, field, value as string, kind) of every scalar and list element of the entities."""
-    entities.createOrReplaceTempView("entity_rows")
+    entities.withColumn("body", F.try_parse_json("body")).createOrReplaceTempView("entity_rows")
     return entities.sparkSession.sql(
         """WITH top AS (SELECT e.id, e.type, x.key AS field, x.value AS v FROM entity_rows e, LATERAL variant_explode(e.body) AS x),
            each AS (
@@ -88,7 +64,7 @@ def associations(values: DataFrame, ids: DataFrame, field: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, modified: str, tie: Column | None = None) -> DataFrame:
     """One row per key: the newest; a null modified always wins."""
     order = [F.desc_nulls_first(modified), tie if tie is not None else F.lit(1)]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("place = 1").drop("place")
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_place = 1").drop("_place")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", modified: str = "modified") -> DataFrame:
@@ -96,10 +72,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", modified: st
 
     New columns come with the incoming rows and are null in the rows that stay.
     """
-    both = stored.withColumn("fresh", F.lit(0)).unionByName(latest(incoming, key, modified).withColumn("fresh", F.lit(1)), allowMissingColumns=True)
-    wins = F.when((F.col("fresh") == 1) & F.col(modified).isNull(), F.lit(1)).otherwise(0)
-    order = [F.desc(wins), F.desc_nulls_last(modified), F.col("fresh")]
-    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("place = 1").drop("place", "fresh")
+    both = stored.withColumn("_fresh", F.lit(0)).unionByName(latest(incoming, key, modified).withColumn("_fresh", F.lit(1)), allowMissingColumns=True)
+    wins = F.when((F.col("_fresh") == 1) & F.col(modified).isNull(), F.lit(1)).otherwise(0)
+    order = [F.desc(wins), F.desc_nulls_last(modified), F.col("_fresh")]
+    return both.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_place = 1").drop("_place", "_fresh")
 
 
 def profile(docs: DataFrame, body: str, kind: Column) -> DataFrame:
@@ -112,12 +88,24 @@ def profile(docs: DataFrame, body: str, kind: Column) -> DataFrame:
 
 
 def file_references(strings: DataFrame, column: str, extensions: list[str]) -> DataFrame:
-    """Rows whose string names a file of a known kind, with extension and the year in its path."""
+    """Rows whose string names a file of a known kind, with extension and the year in its path; for nested documents see ``nested``."""
     found = F.lower(F.regexp_extract(column, rf"(?i)\.({'|'.join(extensions)})(?:[?#].*)?$", 1))
     year = F.regexp_extract(column, r"(?:^|\D)((?:19|20)\d{2})(?:\D|$)", 1).try_cast("int")
     return strings.withColumn("extension", found).withColumn("year", year).where("extension <> ''")
 
 
+def typed_table(values: DataFrame, kind: str, types: DataFrame) -> DataFrame:
+    """One row for each entity (id) of a kind, a column for each single-valued field in its narrowest type.
+
+    ``types`` are ``column_types``; the kind's columns are collected: as many as the kind has fields.
+    """
+    columns = sorted((r["field"], r["column"], r["kind"]) for r in types.where((F.col("type") == kind) & (F.col("field") != "id")).collect())
+    mine = values.where((F.col("type") == kind) & ~F.col("listed") & (F.col("field") != "id"))
+    wide = mine.groupBy("id").pivot("field", [c[0] for c in columns]).agg(F.first("value"))
+    cast = lambda field, to: parse_moment(F.col(f"`{field}`")) if to == "timestamp_ntz" else F.col(f"`{field}`").try_cast(to)
+    return wide.select("id", *(cast(f, to).alias(column) for f, column, to in columns))
+
+
 def street_register(texts: DataFrame) -> DataFrame:
     """(name, year, heading, description) of registers (text): a section for each heading that ``## `` begins.
 
