@@ -48,14 +48,14 @@ def imported_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("x2_x4_guarded_reads", """
-WITH b AS (SELECT max(ts) FILTER (event_id % 2 = 0) - INTERVAL 30 DAY AS baseline FROM events), e AS (SELECT event_type, ts, ts + INTERVAL 1 HOUR * (event_id % 5) AS created, baseline FROM events, b)
+WITH b AS (SELECT max(ts) FILTER (event_id % 2 = 0) - INTERVAL 10 DAY AS baseline FROM events), e AS (SELECT event_type, ts, ts + INTERVAL 1 HOUR * (event_id % 5) AS created, baseline FROM events, b)
 SELECT event_type AS collection, CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'created' ELSE 'full' END AS mode,
   count(*) FILTER (CASE event_type WHEN 'click' THEN ts >= baseline WHEN 'view' THEN created >= baseline ELSE true END) AS n, greatest(max(ts) FILTER (CASE event_type WHEN 'click' THEN ts >= baseline WHEN 'view' THEN created >= baseline ELSE true END), max(baseline)) AS mark
 FROM e GROUP BY 1 HAVING n > 0 OR mode <> 'full'""")
 def guarded(spark: SparkSession, sf: str) -> DataFrame:
     """Each kind of event as a collection: clicks honour the first filter, views only the second, others none. Moments are texts with mixed offsets."""
     e = table(spark, sf, "events")
-    base: dt.datetime = e.where("event_id % 2 = 0").agg(F.max("ts") - F.expr("interval 30 days")).first()[0]
+    base: dt.datetime = e.where("event_id % 2 = 0").agg(F.max("ts") - F.expr("interval 10 days")).first()[0]
     offset = F.col("event_id") % 3
 
     def written(at: Column) -> Column:

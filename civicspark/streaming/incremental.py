@@ -22,7 +22,8 @@ def baseline(runs: DataFrame) -> DataFrame:
 
 
 def instant(text: Column) -> Column:
-    """The moment that an ISO text with any offset names; without an offset it is in UTC."""
+    """The moment that an ISO text with any offset names; without an offset it is in UTC, a day alone is its beginning."""
+    text = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
     whole = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
     return F.try_to_timestamp(whole)
 
@@ -137,7 +138,7 @@ class Thread(StatefulProcessor):
         self.handle = handle
         self.thread = handle.getValueState("thread", "said array<string>, n int")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
         said, n = self.thread.get() if self.thread.exists() else ([], 0)
         said, out, last = list(said), [], None
         turns = sorted((r for batch in rows for r in batch[["turn", "text", "followup"]].itertuples(index=False)), key=lambda r: r.turn)
@@ -151,14 +152,14 @@ class Thread(StatefulProcessor):
             out.append((key[0], int(turn), query, joined, n, broken))
         self.thread.update((said, n))
         if self.idle is not None:
-            for t in self.handle.listTimers():
+            for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame(out, columns=[self.by, "turn", "query", "concatenated", "turns", "forced_break"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.thread.clear()
-        yield pd.DataFrame({self.by: [], "turn": [], "query": [], "concatenated": [], "turns": [], "forced_break": []})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -171,7 +172,8 @@ def thread_state(turns: DataFrame, by: str = "conv_id", keep: int = 3, most: int
     follow-up is asked together with the turns before it, the last ``cap`` characters of them all; any other
     turn is asked alone, but stays in the thread. The thread holds the last ``keep`` turns before the latest
     and the latest. After ``most`` turns it is broken and starts anew. With ``idle_ms`` a thread without
-    turns for so long is forgotten. Needs the state store that keeps its state on disk (RocksDB).
+    turns for so long is forgotten; the stream then needs a continuous trigger, as one that ends with its input
+    (``availableNow``) waits for the timers again and again. Needs the state store that keeps its state on disk (RocksDB).
     """
     good = turns.where(allowed_query(F.col("text"))).select(by, F.col("turn").cast("long").alias("turn"), trimmed(F.col("text")).alias("text"), F.coalesce("followup", F.lit(False)).alias("followup"))
     kind = dict(turns.dtypes)[by]

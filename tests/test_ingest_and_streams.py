@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,7 +133,7 @@ def test_thread_state(spark, tmp_path):
     for part in (lambda r: r[1] < 4, lambda r: r[1] >= 4):
         own.createDataFrame([r for r in rows if part(r)], "conv_id long, turn long, text string, followup boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = own.readStream.schema("conv_id long, turn long, text string, followup boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = incremental.thread_state(stream, idle_ms=3_600_000).writeStream.format("memory").queryName("threads_out").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+    q = incremental.thread_state(stream).writeStream.format("memory").queryName("threads_out").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.conv_id, r.turn): (r.query, r.concatenated, r.turns, r.forced_break) for r in own.table("threads_out").collect()}
     assert got[1, 0] == ("q0", False, 1, False) and got[1, 2] == ("q0 · q1 · q2", True, 3, False) and got[1, 3] == ("q3", False, 4, False)
@@ -141,6 +142,31 @@ def test_thread_state(spark, tmp_path):
     assert got[2, 5][0] == " · ".join(["x" * 240, "y" * 240, "z" * 240, "w" * 240])[-750:]
 
 
+def test_idle_threads_are_forgotten(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, source = "conv_id long, turn long, text string, followup boolean", tmp_path / "in"
+    source.mkdir()
+    stream = incremental.thread_state(own.readStream.schema(schema).json(str(source)), idle_ms=500)
+    q = stream.writeStream.format("memory").queryName("idle_out").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(processingTime="200 milliseconds").start()
+    got = lambda: {r.turn: (r.query, r.turns) for r in own.table("idle_out").collect()}
+
+    def until(done):
+        end = time.monotonic() + 40
+        while not done() and time.monotonic() < end:
+            time.sleep(0.3)
+
+    try:
+        write(source, "1.json", '{"conv_id": 1, "turn": 0, "text": "first", "followup": false}')
+        until(lambda: 0 in got())
+        time.sleep(4)  # the timer goes off in a later batch
+        write(source, "2.json", '{"conv_id": 1, "turn": 1, "text": "second", "followup": true}')
+        until(lambda: 1 in got())
+        assert got() == {0: ("first", 1), 1: ("second", 1)}
+    finally:
+        q.stop()
+
+
 def test_gazetteer_and_outputs_by_name(spark, tmp_path):
     names = spark.createDataFrame([("Nord",), ("Süd",), ("West",)], "name string")
     shapes = spark.createDataFrame([("Nord", "POINT"), ("West", "AREA")], "name string, geo string")
