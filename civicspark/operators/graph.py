@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicspark.sources.tables import cut
+
 
 @dataclass(frozen=True)
 class Link:
@@ -56,6 +59,34 @@ def reach(seeds: DataFrame, graph: DataFrame, steps: list[tuple[str, bool]]) ->
     return reduce(DataFrame.unionByName, found)
 
 
+def kind_of(node: Column) -> Column:
+    return F.split(node, "_").getItem(0)
+
+
+def expanded_in_rounds(seeds: DataFrame, graph: DataFrame, rounds: Sequence[str], skip: Sequence[str] = (), per_relation: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(nodes (seed, node, round), edges (seed, source, target, relation)) around each seed, breadth first.
+
+    Round 0 looks at the neighbours of the seeds, round k at those of all nodes of the k-th type found so far,
+    at most ``per_relation`` of a relation, smallest first. Nodes of the types to skip are not taken in. A
+    node is expanded once for a seed however often it is found; what a round adds is cut off its lineage, so
+    the plan of one round never holds that of another.
+    """
+    seen = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("round")).distinct())
+    frontier, edges_ = seen.select("seed", "node"), None
+    for number, kind in enumerate([*rounds, None]):
+        at = frontier.select("node").distinct()
+        near = neighbourhood(at, graph, per_relation).withColumnRenamed("seed", "at").where(~kind_of(F.col("node")).isin(*skip) if skip else F.lit(True))
+        found = cut(frontier.withColumnRenamed("node", "at").join(near, "at").select("seed", "node", "source", "target", "relation").distinct())
+        told = found.select("seed", "source", "target", "relation")
+        edges_ = told if edges_ is None else edges_.unionByName(told)
+        fresh = found.select("seed", "node").distinct().join(seen, ["seed", "node"], "left_anti").withColumn("round", F.lit(number))
+        seen = cut(seen.unionByName(fresh))
+        if kind is None:
+            break
+        frontier = seen.where(kind_of(F.col("node")) == kind).select("seed", "node")
+    return seen, edges_.distinct()
+
+
 def without_types(nodes: DataFrame, graph: DataFrame, skip: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes of some types and every edge that touches them taken out."""
     gone = nodes.where(F.col("type").isin(skip)).select("id")
@@ -88,6 +119,29 @@ def holds_all_terms(text: Column, terms: Column) -> Column:
     return F.forall(F.filter(terms, lambda t: F.length(t) >= 3), lambda t: F.contains(low, F.lower(t)))
 
 
+#: Terms that are looked for in one pass over the texts.
+TERMS_AT_ONCE = 2000
+
+
+def holding_all_terms(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(doc, question) of texts (doc, text) that hold every term (question, term) of a question, as part of a word too.
+
+    Distinct terms are looked for in each text once, whatever number of questions has them, in passes of
+    ``TERMS_AT_ONCE``; what was found then meets the questions by term. Case does not count; terms of under
+    three characters are passed over, and a question without any other holds nothing.
+    """
+    asked = questions.select("question", F.lower("term").alias("term")).where(F.length("term") >= 3).distinct()
+    terms = sorted(r[0] for r in asked.select("term").distinct().collect())  # the terms of a stated batch of questions
+    low, found = docs.select("doc", F.lower("text").alias("low")), None
+    for at in range(0, max(1, len(terms)), TERMS_AT_ONCE):
+        held = F.filter(F.array(*map(F.lit, terms[at : at + TERMS_AT_ONCE])).cast("array<string>"), lambda t: F.contains(F.col("low"), t))
+        part = low.select("doc", F.explode(held).alias("term"))
+        found = part if found is None else found.unionByName(part)
+    wanted = asked.groupBy("question").agg(F.count(F.lit(1)).alias("wanted"))
+    met = found.distinct().join(asked, "term").groupBy("doc", "question").agg(F.count(F.lit(1)).alias("n"))
+    return met.join(wanted, "question").where("n = wanted").select("doc", "question")
+
+
 def valid_triples(triples: DataFrame) -> DataFrame:
     """Triples whose object is a literal or a reference, not both and not neither."""
     return triples.where(F.col("object_literal").isNull() != F.col("object_ref").isNull())

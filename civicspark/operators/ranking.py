@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import trigrams
+from civicspark.functions.text import strip_terms, trigrams
 from civicspark.operators.blocks import best_items, best_label, best_parts
 
 
@@ -14,13 +17,16 @@ def top_per(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def lexical_recall(queries: DataFrame, items: DataFrame, least: float = 0.3, n: int = 50) -> DataFrame:
+def lexical_recall(queries: DataFrame, items: DataFrame, least: float = 0.3, n: int = 50, stop_terms: Sequence[str] = ()) -> DataFrame:
     """(query_id, key, score, rank): trigram similarity above ``least``, through an inverted trigram table.
 
     A pair that shares no trigram has similarity 0, so joining on trigrams loses nothing. Only the
     counts of shared trigrams are made; sizes give the Jaccard value. Queries: (query_id, query);
-    items: (key, name).
+    items: (key, name). Stop terms are taken out of both sides before they are compared.
     """
+    if stop_terms:
+        queries = queries.withColumn("query", strip_terms(F.lower("query"), [t.lower() for t in stop_terms]))
+        items = items.withColumn("name", strip_terms(F.lower("name"), [t.lower() for t in stop_terms]))
     q = queries.select("query_id", trigrams(F.col("query")).alias("tri")).select("query_id", F.size("tri").alias("nq"), F.explode("tri").alias("t"))
     i = items.select("key", trigrams(F.col("name")).alias("tri")).select("key", F.size("tri").alias("ni"), F.explode("tri").alias("t"))
     shared = q.join(i, "t").groupBy("query_id", "key", "nq", "ni").agg(F.count(F.lit(1)).alias("both"))
@@ -47,6 +53,43 @@ def fuse(ranked: DataFrame, k: int = 60) -> DataFrame:
     return ranked.groupBy("query_id", "key").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("score"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
 
 
+def fused_candidates(recalls: Sequence[tuple[str, str, DataFrame]], names: Mapping[str, DataFrame], required: Mapping[str, DataFrame] | None = None, per_signal: int = 50, k: int = 60) -> DataFrame:
+    """(query_id, id, type, key, name, score, signals): candidates of several item types, each with what found it.
+
+    recalls: (type, signal, ranked (query_id, key, rank and, where the signal has them, distance and chunk)), in
+    the order of the signals lexical, name, content. Ranks of one type and key are fused reciprocally. signals
+    is struct(lexical boolean, name double, content double, content_chunk int): whether names were alike, and
+    the distances of the other signals to four places, null where a signal did not find the key; chunk 0 is
+    the whole text and not told. ``required`` keeps the keys (key) of a type that filters left over, before
+    anything is ranked. The name is told for the first two times ``per_signal`` keys of a type as the signals
+    found them; only files stay without one.
+    """
+    order = ["lexical", "name", "content"]
+    parts = []
+    for kind, signal, ranked in recalls:
+        own = {c: F.col(c) if c in ranked.columns else F.lit(None) for c in ("distance", "chunk")}
+        part = ranked.select("query_id", F.col("key").cast("string").alias("key"), "rank", own["distance"].cast("double").alias("distance"), own["chunk"].cast("int").alias("chunk"))
+        if required and kind in required:
+            part = part.join(required[kind].select(F.col("key").cast("string").alias("key")).distinct(), "key", "left_semi")
+        parts.append(part.select("query_id", F.lit(kind).alias("type"), "key", F.lit(order.index(signal)).alias("signal"), "rank", "distance", "chunk"))
+    every = reduce(DataFrame.unionByName, parts)
+    at = lambda signal, value: F.max(F.when(F.col("signal") == order.index(signal), value))
+    fused = every.groupBy("query_id", "type", "key").agg(
+        F.sum(1.0 / (k + F.col("rank"))).alias("total"),
+        F.min(F.struct("signal", "rank")).alias("first"),
+        at("lexical", F.lit(True)).alias("lexical"),
+        F.round(at("name", F.col("distance")), 4).alias("by_name"),
+        F.round(at("content", F.col("distance")), 4).alias("by_content"),
+        F.nullif(at("content", F.col("chunk")), F.lit(0)).alias("content_chunk"),
+    )
+    known = reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("type"), F.col("key").cast("string").alias("key"), "name") for kind, df in names.items()))
+    place = F.row_number().over(Window.partitionBy("query_id", "type").orderBy("first", "key"))
+    told = fused.withColumn("place", place).join(known, ["type", "key"], "left").withColumn("name", F.when(F.col("place") <= 2 * per_signal, F.col("name")))
+    signals = F.struct("lexical", F.col("by_name").alias("name"), F.col("by_content").alias("content"), "content_chunk")
+    kept = told.where(F.col("name").isNotNull() | (F.col("type") == "File"))
+    return kept.select("query_id", F.concat_ws("_", "type", "key").alias("id"), "type", "key", "name", F.round("total", 5).alias("score"), signals.alias("signals"))
+
+
 def boost(scored: DataFrame, tagged: DataFrame, factor: float = 1.2) -> DataFrame:
     """Scores of keys that carry the focus tag, raised."""
     marked = scored.join(tagged.select("key").distinct().withColumn("focus", F.lit(True)), "key", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,16 @@ def topic_clusters(tags: DataFrame, related: DataFrame, query_words: int, least:
 
     options = told.join(F.broadcast(clusters), F.lit(True)).where((F.col("clusters") >= least) & F.lit(query_words <= 3)).select(F.aggregate("rows", none, offer).alias("options"))
     return options.where(F.size("options") >= 2).select(F.explode("options").alias("o")).select("o.*")
+
+
+def distribution(tables: list[DataFrame]) -> DataFrame:
+    """(scheme, tag, items): distinct items of each tag, counted in every item table (item, tag, scheme) by itself and added up; no scheme is (none)."""
+    numbered = reduce(DataFrame.unionByName, (t.select("item", "tag", F.coalesce("scheme", F.lit("(none)")).alias("scheme"), F.lit(i).alias("of")) for i, t in enumerate(tables)))
+    each = numbered.groupBy("of", "scheme", "tag").agg(F.count_distinct("item").alias("items"))
+    return each.groupBy("scheme", "tag").agg(F.sum("items").alias("items"))
+
+
+def choice_totals(votes: DataFrame, choices: list[str]) -> DataFrame:
+    """(party, a column of counts for each choice) of votes (party, choice), and a row without party with the totals of all, in one pass."""
+    counts = [F.count_if(F.upper("choice") == c.upper()).alias(c) for c in choices]
+    return votes.groupingSets([[F.col("party")], []], F.col("party")).agg(*counts, F.grouping_id().alias("level")).select(F.when(F.col("level") == 0, F.coalesce("party", F.lit("(none)"))).alias("party"), *choices)

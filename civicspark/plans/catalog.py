@@ -613,10 +613,17 @@ def g4(spark: SparkSession, sf: str) -> DataFrame:
     return graph.block_siblings(items, "l_orderkey", "number", "l_linenumber").select("l_orderkey", "key", "sibling")
 
 
-@query("g5_documents_with_all_terms", "SELECT d.doc_id, c.conv_id FROM documents d, (SELECT conv_id, [lower(x) FOR x IN string_split(text, ' ')[1:2] IF length(x) >= 3] AS terms FROM conversations WHERE turn = 0 AND conv_id % 50 = 0) c WHERE len([x FOR x IN terms IF NOT contains(lower(d.text), x)]) = 0")
+@query("g5_documents_with_all_terms", r"""
+WITH q AS (SELECT conv_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations WHERE turn = 0 AND conv_id % 50 = 0),
+t AS (SELECT conv_id, list_distinct([x FOR x IN [w[1], w[-1], w[len(w) // 2 + 1]] IF length(x) >= 3]) AS terms FROM q)
+SELECT d.doc_id, conv_id FROM documents d, t WHERE len(terms) > 0 AND len([x FOR x IN terms IF NOT contains(lower(d.text), x)]) = 0""")
 def g5(spark: SparkSession, sf: str) -> DataFrame:
-    asked = table(spark, sf, "conversations").where("turn = 0 and conv_id % 50 = 0").select("conv_id", F.slice(F.split("text", " "), 1, 2).alias("terms"))
-    return table(spark, sf, "documents").join(F.broadcast(asked), graph.holds_all_terms(F.col("text"), F.col("terms"))).select("doc_id", "conv_id")
+    """The terms of a question are its first, middle and last word."""
+    q = table(spark, sf, "conversations").where("turn = 0 and conv_id % 50 = 0").select("conv_id", places.words_at("text").alias("w"))
+    picked = F.array(F.try_element_at("w", F.lit(1)), F.try_element_at("w", F.lit(-1)), F.try_element_at("w", (F.floor(F.size("w") / 2) + 1).cast("int")))
+    asked = q.select(F.col("conv_id").alias("question"), F.explode(F.array_compact(picked)).alias("term"))
+    found = graph.holding_all_terms(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), asked)
+    return found.select(F.col("doc").alias("doc_id"), F.col("question").alias("conv_id"))
 
 
 @query("g7_without_types", f"WITH {GRAPH_SQL} SELECT source, target, relation FROM graph WHERE NOT (source LIKE 'nation%' OR target LIKE 'nation%' OR source LIKE 'part%' OR target LIKE 'part%')")
