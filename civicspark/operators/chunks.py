@@ -61,6 +61,22 @@ def replace_chunks(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("doc").distinct(), "doc", "left_anti").unionByName(fresh)
 
 
+def store_chunks(fresh: DataFrame, path: str, buckets: int = 64) -> None:
+    """Put fresh chunks into a table at ``path`` that is parted by a bucket of the document.
+
+    Only the buckets of documents that have fresh chunks are read and written again (a dynamic partition
+    overwrite, committed as one); the files of all others stay as they are. The first call makes the table.
+    """
+    spark = fresh.sparkSession
+    dealt = fresh.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        stored = spark.read.schema(dealt.schema).parquet(path)
+        touched = [r[0] for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets``
+        dealt = cut(replace_chunks(stored.where(F.col("bucket").isin(touched)).select(*dealt.columns), dealt))
+    dealt.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def word_weights(docs: DataFrame, stopwords: list[str], least: int = 3) -> DataFrame:
     """(word, total, docs, tfidf): mean count in the documents that hold a word times ln(N / documents).
 

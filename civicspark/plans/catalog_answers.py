@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.operators import graph, ranking, tags
+from civicspark.operators import chunks, graph, ranking, tags
 from civicspark.plans.catalog import COSINE, TAGS_SQL, TRIGRAMS, batch_of_vectors, query, tag_rows
-from civicspark.sources.tables import table
+from civicspark.sources.tables import shared_folder, table
 
 STRIPPED = r"trim(regexp_replace(regexp_replace(lower({0}), '\b(?:small|steel)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -44,8 +46,8 @@ def r7(spark: SparkSession, sf: str) -> DataFrame:
     meetings = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("key"), F.concat(F.lit("M"), "vec_id").alias("name"))
     lexical = lambda items: ranking.lexical_recall(asked, items, n=20, stop_terms=["small", "steel"])
     named = lambda rest: ranking.vector_recall(vectors, e.where(F.col("vec_id") % 3 == rest).select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), n=20).withColumn("distance", 1 - F.col("score"))
-    chunks = ranking.best_chunk(vectors, e.select(F.floor(F.col("vec_id") / 2).alias("doc"), (F.col("vec_id") % 2).alias("chunk"), F.col("embedding").alias("vector"))).withColumnRenamed("doc", "key")
-    content = ranking.top_per(chunks, ["query_id"], [F.desc("score"), F.col("key")], 20).withColumn("distance", 1 - F.col("score"))
+    parts = ranking.best_chunk(vectors, e.select(F.floor(F.col("vec_id") / 2).alias("doc"), (F.col("vec_id") % 2).alias("chunk"), F.col("embedding").alias("vector"))).withColumnRenamed("doc", "key")
+    content = ranking.top_per(parts, ["query_id"], [F.desc("score"), F.col("key")], 20).withColumn("distance", 1 - F.col("score"))
     recalls = [("File", "lexical", lexical(files)), ("Paper", "lexical", lexical(papers)), ("File", "name", named(0)), ("Paper", "name", named(1)), ("Meeting", "name", named(2)), ("File", "content", content)]
     wanted = part.where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("key")).unionByName(e.where("vec_id % 5 > 0").select(F.col("vec_id").alias("key")))
     found = ranking.fused_candidates(recalls, {"File": files, "Paper": papers, "Meeting": meetings}, {"Paper": wanted}, per_signal=20)
@@ -85,3 +87,17 @@ def distribution(spark: SparkSession, sf: str) -> DataFrame:
 def totals(spark: SparkSession, sf: str) -> DataFrame:
     votes = table(spark, sf, "events").select(F.upper("event_type").alias("choice"), F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("party "), (F.col("user_id") % 5).cast("string"))).alias("party"))
     return tags.choice_totals(votes, ["click", "view"])
+
+
+@query("e2_stored_chunks", """
+SELECT doc_id AS doc, CASE WHEN doc_id % 50 = 0 THEN 2 ELSE 1 END::BIGINT AS chunks, CASE WHEN doc_id % 50 = 0 THEN 'again ' || text || 'END' ELSE text END AS text FROM documents""")
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts as one chunk each; then a batch comes anew, with other words before and a second chunk, and is put into the same table."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    piece = lambda df, number, text: df.select("doc", F.lit(number).alias("chunk_index"), text.alias("text"))
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks.store_chunks(piece(d, 0, F.col("text")), path, buckets=16)
+    again = d.where("doc % 50 = 0")
+    chunks.store_chunks(piece(again, 1, F.concat(F.lit("again "), "text")).unionByName(piece(again, 2, F.lit("END"))), path, buckets=16)
+    stored = spark.read.parquet(path)
+    return chunks.whole_texts(stored).join(stored.groupBy("doc").agg(F.count(F.lit(1)).alias("chunks")), "doc").select("doc", "chunks", "text")

@@ -10,7 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from civicspark.operators import blocks, pairs, places, qgrams, ranking, trie
+from civicspark.operators import blocks, chunks, graph, pairs, places, qgrams, ranking, trie
 
 
 def distance(a, b):
@@ -204,3 +204,47 @@ def test_many_matches_in_one_text_take_no_square_of_time(spark):
     kept = trie.longest_first(trie.matches(text, root))
     assert time.perf_counter() - start < 5
     assert len(kept) > 30_000
+
+
+# --- tables and graphs -----------------------------------------------------------------------------
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    schema = "doc long, chunk_index int, text string"
+    chunks.store_chunks(spark.createDataFrame([(k, 0, f"t{k}") for k in range(60)], schema), path, buckets=8)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "chunks").glob("bucket=*/*.parquet")}
+    before = files()
+    chunks.store_chunks(spark.createDataFrame([(7, 0, "new"), (7, 1, "more"), (99, 0, "first")], schema), path, buckets=8)
+    after = files()
+    touched = {p.parent for p in after.keys() ^ before.keys()}
+    assert 1 <= len(touched) <= 2 and all(after[p] == before[p] for p in before.keys() & after.keys()) and len({p.parent for p in before} - touched) >= 6
+    got = sorted((r.doc, r.chunk_index, r.text) for r in spark.read.parquet(path).collect())
+    assert got == sorted([(k, 0, f"t{k}") for k in range(60) if k != 7] + [(7, 0, "new"), (7, 1, "more"), (99, 0, "first")])
+
+
+def test_rounds_expand_each_node_once(spark):
+    edges = [("m_1", "a_1", "item"), ("m_1", "a_2", "item"), ("a_1", "c_1", "heard"), ("c_1", "p_1", "paper"), ("p_1", "f_1", "file"), ("p_1", "a_2", "back"), ("a_1", "o_1", "by"), ("o_1", "x_1", "by"), ("f_1", "z_1", "far"), ("m_2", "a_9", "item")]
+    graph_ = spark.createDataFrame(edges, "source string, target string, relation string")
+    seeds = spark.createDataFrame([("m_1",), ("m_2",), ("m_3",)], "node string")
+    nodes, found = graph.expanded_in_rounds(seeds, graph_, ["a", "c", "p"], skip=["o"])
+    assert {(r.seed, r.node, r.round) for r in nodes.collect()} == {("m_1", "m_1", 0), ("m_1", "a_1", 0), ("m_1", "a_2", 0), ("m_1", "c_1", 1), ("m_1", "p_1", 1), ("m_1", "f_1", 3), ("m_2", "m_2", 0), ("m_2", "a_9", 0), ("m_3", "m_3", 0)}
+    assert {tuple(r)[1:3] for r in found.where("seed = 'm_1'").collect()} == {e[:2] for e in edges if not {"o_1", "z_1", "m_2"} & set(e)}
+    # a limit of one neighbour of a relation
+    assert {r.node for r in graph.expanded_in_rounds(seeds.where("node = 'm_1'"), graph_, [], per_relation=1)[0].collect()} == {"m_1", "a_1"}
+
+
+def test_documents_that_hold_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TERMS_AT_ONCE", 2)
+    docs = spark.createDataFrame([(1, "The Old Bridge"), (2, "bridges of olden times"), (3, None), (4, "")], "doc long, text string")
+    asked = spark.createDataFrame([(1, "old"), (1, "BRIDGE"), (2, "bridge"), (2, "of"), (3, "of"), (4, "times"), (4, "olden"), (4, "bridges"), (5, "nowhere")], "question long, term string")
+    assert {tuple(r) for r in graph.holding_all_terms(docs, asked).collect()} == {(1, 1), (2, 1), (1, 2), (2, 2), (2, 4)}
+
+
+def test_candidates_say_what_found_them(spark):
+    ranked = lambda rows, more="": spark.createDataFrame(rows, f"query_id long, key string, rank int{more}")
+    recalls = [("File", "lexical", ranked([(1, "a", 1), (1, "b", 2)])), ("File", "content", ranked([(1, "b", 1, 0.12345, 3), (1, "c", 2, 0.5, 0)], ", distance double, chunk int")), ("Paper", "name", ranked([(1, "a", 1, 0.25), (1, "q", 2, 0.3), (1, "gone", 3, 0.3)], ", distance double"))]
+    names = {"File": spark.createDataFrame([("a", "A")], "key string, name string"), "Paper": spark.createDataFrame([("a", "PA"), ("gone", "G")], "key string, name string")}
+    required = {"Paper": spark.createDataFrame([("a",), ("q",)], "key string")}
+    got = {r.id: (r.name, r.score, tuple(r.signals)) for r in ranking.fused_candidates(recalls, names, required).collect()}
+    assert got == {"File_a": ("A", round(1 / 61, 5), (True, None, None, None)), "File_b": (None, round(1 / 62 + 1 / 61, 5), (True, None, 0.1235, 3)), "File_c": (None, round(1 / 62, 5), (None, None, 0.5, None)), "Paper_a": ("PA", round(1 / 61, 5), (None, 0.25, None, None))}
