@@ -8,7 +8,7 @@ a match must not go on in a letter, digit or underscore on either side. Case nev
 Two choices of non-overlapping matches: ``longest`` takes the longest names of the whole text first, of equal
 ones the earlier; ``leftmost`` scans from the left, takes the longest name at each place and goes on after it.
 
-Names are counted first. Up to ``NAMES_AT_ONCE`` tokens of names are sent to the tasks as one trie. More are dealt
+Names are counted first: up to ``NAMES_AT_ONCE`` tokens of names are sent to the tasks as one trie. More are dealt
 into groups by their first token, so that all names that can begin at one place are in one trie; every text
 then meets each trie, its matches are brought together by document, and the choice is made there.
 """
@@ -110,8 +110,9 @@ def name_matches(docs: DataFrame, names: DataFrame, choice: str = "longest", way
     schema = f"doc {kinds[0]}, name_id {kinds[1]}, name string, start int, end int"
     wanted = names.select("name_id", "name").where("name is not null").distinct()
     texts = docs.select("doc", "text").where("text is not null")
-    size = wanted.agg(F.coalesce(F.sum(F.regexp_count("name", F.lit(TOKENS[way][1]))), F.lit(0))).first()[0]
-    groups = max(1, -(-size // NAMES_AT_ONCE))
+    told = wanted.limit(NAMES_AT_ONCE + 1).toArrow()
+    size = sum(len(TOKENS[way][0].findall(n)) for n in told.column("name").to_pylist())
+    few = told.num_rows <= NAMES_AT_ONCE and size <= NAMES_AT_ONCE
 
     def batch(rows: list[tuple[object, Match]], doc: pa.DataType, ident: pa.DataType) -> pa.RecordBatch:
         values = zip(*((d, m[3], m[4], m[0], m[1]) for d, m in rows))
@@ -130,11 +131,12 @@ def name_matches(docs: DataFrame, names: DataFrame, choice: str = "longest", way
             if rows:
                 yield batch(rows, kind, ident)
 
-    if groups == 1:
-        told = wanted.toArrow()  # at most NAMES_AT_ONCE tokens: counted above
+    if few:
         listed, ident = list(zip(told.column("name_id").to_pylist(), told.column("name").to_pylist())), told.schema.field("name_id").type
         return texts.mapInArrow(lambda batches: walk(batches, trie(listed, way), ident, pick), schema)
 
+    size = wanted.agg(F.sum(F.regexp_count("name", F.lit(TOKENS[way][1])))).first()[0]
+    groups = max(2, -(-size // NAMES_AT_ONCE))
     first = F.regexp_extract(F.lower("name"), TOKENS[way][1], 0)
     dealt = wanted.withColumn("group", F.pmod(F.xxhash64(first), F.lit(groups)).cast("int"))
     slices = max(1, -(-texts.count() // TEXTS_AT_ONCE))

@@ -113,7 +113,7 @@ def r8(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.rerank(lifted, second).select("query_id", "key", F.round("score", 6).alias("score"))
 
 
-@query("r10_r11_centroid_classes", f"""
+@query("r11_centroid_classes", f"""
 WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 m AS (SELECT label, i, avg(v) AS v FROM e GROUP BY 1, 2),
 c AS (SELECT label, list(v ORDER BY i) AS centroid FROM m GROUP BY 1),
@@ -349,7 +349,7 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
 # --- aggregates ------------------------------------------------------------------------------------
 
 
-@query("a1_a2_x10_facets", """
+@query("a1_a2_facets", """
 SELECT 'priority' AS facet, o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority <> '' GROUP BY 2 UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'year', year(o_orderdate)::VARCHAR, count(*) FROM orders GROUP BY 2""")
 def a1(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").cast("string").alias("year"))
@@ -754,7 +754,7 @@ def e4(spark: SparkSession, sf: str) -> DataFrame:
     return quality.reconcile(d, fresh, "doc_id", "text").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e5_t31_precedence", f"WITH {TAGS_SQL} SELECT item, scheme, tag, source, coalesce(confidence, CASE source WHEN 'manual' THEN 1.0 WHEN 'rule' THEN 0.9 ELSE 0.6 END) AS confidence FROM tags QUALIFY row_number() OVER (PARTITION BY item, scheme ORDER BY CASE source WHEN 'manual' THEN 0 WHEN 'rule' THEN 1 ELSE 2 END, tag) = 1")
+@query("t31_precedence", f"WITH {TAGS_SQL} SELECT item, scheme, tag, source, coalesce(confidence, CASE source WHEN 'manual' THEN 1.0 WHEN 'rule' THEN 0.9 ELSE 0.6 END) AS confidence FROM tags QUALIFY row_number() OVER (PARTITION BY item, scheme ORDER BY CASE source WHEN 'manual' THEN 0 WHEN 'rule' THEN 1 ELSE 2 END, tag) = 1")
 def e5(spark: SparkSession, sf: str) -> DataFrame:
     return tags.by_precedence(tag_rows(spark, sf), {"manual": 1.0, "rule": 0.9, "model": 0.6})
 

@@ -101,3 +101,29 @@ def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
     chunks.store_chunks(piece(again, 1, F.concat(F.lit("again "), "text")).unionByName(piece(again, 2, F.lit("END"))), path, buckets=16)
     stored = spark.read.parquet(path)
     return chunks.whole_texts(stored).join(stored.groupBy("doc").agg(F.count(F.lit(1)).alias("chunks")), "doc").select("doc", "chunks", "text")
+
+
+@query("e5_assigned_tags", f"""
+WITH {TAGS_SQL}, known AS (SELECT * FROM tags WHERE item % 2 = 0 AND scheme = 'topic'),
+offered AS (SELECT item, tag, scheme, CASE WHEN item % 7 = 0 THEN 'guess' ELSE source END AS source, CASE WHEN item % 11 = 0 THEN 1.5 ELSE confidence END AS confidence FROM tags WHERE scheme IS NOT NULL UNION ALL SELECT item, tag, scheme, 'rule', 0.3 FROM tags WHERE scheme IS NOT NULL AND item % 3 = 0),
+good AS (SELECT * FROM offered WHERE source IN ('manual', 'rule', 'model') AND (confidence IS NULL OR confidence BETWEEN 0 AND 1) QUALIFY row_number() OVER (PARTITION BY item, tag, scheme ORDER BY confidence DESC NULLS LAST, source) = 1)
+SELECT 'kept' AS part, item, tag, source, confidence FROM known UNION ALL SELECT 'kept', item, tag, source, confidence FROM good g WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.item = g.item AND k.tag = g.tag AND k.scheme = g.scheme)
+UNION ALL SELECT 'rejected', item, tag, source, confidence FROM offered WHERE source = 'guess' OR confidence > 1""")
+def assigned(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags offered anew, of which some are known, some come twice, and some have a source or a confidence that is none."""
+    told = tag_rows(spark, sf)
+    known = told.where("item % 2 = 0 and scheme = 'topic'")
+    of_scheme = told.where("scheme is not null")
+    first = of_scheme.withColumns({"source": F.when(F.col("item") % 7 == 0, "guess").otherwise(F.col("source")), "confidence": F.when(F.col("item") % 11 == 0, 1.5).otherwise(F.col("confidence"))})
+    second = of_scheme.where("item % 3 = 0").withColumns({"source": F.lit("rule"), "confidence": F.lit(0.3)})
+    every, rejected = tags.assign(known, first.unionByName(second))
+    columns = ["item", "tag", "source", "confidence"]
+    return every.select(F.lit("kept").alias("part"), *columns).unionByName(rejected.select(F.lit("rejected").alias("part"), *columns))
+
+
+@query("e6_dropped_tag", f"WITH {TAGS_SQL} SELECT 'catalog' AS part, NULL::BIGINT AS item, tag FROM tags WHERE tag <> 't1' GROUP BY tag UNION ALL SELECT 'assignments', item, tag FROM tags WHERE tag <> 't1'")
+def dropped(spark: SparkSession, sf: str) -> DataFrame:
+    told = tag_rows(spark, sf)
+    catalog_, left = tags.drop_tag(told.select("tag").distinct(), told, ["t1", "unknown"])
+    none = F.lit(None).cast("long").alias("item")
+    return catalog_.select(F.lit("catalog").alias("part"), none, "tag").unionByName(left.select(F.lit("assignments").alias("part"), "item", "tag"))

@@ -24,9 +24,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r4_top_then_threshold", f"""
 WITH {DISTANCES}, t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, key) <= 10)
-SELECT query_id, key, distance FROM t WHERE distance <= 0.5""")
+SELECT query_id, key, distance FROM t WHERE distance <= 0.7""")
 def r4(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.top_then_threshold(batch_of_vectors(spark, sf), vectors(spark, sf))
+    return resolve.top_then_threshold(batch_of_vectors(spark, sf), vectors(spark, sf), most_distance=0.7)
 
 
 @query("r5_similar_items", f"""

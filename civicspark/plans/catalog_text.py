@@ -165,7 +165,7 @@ def grounding(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pair", F.try_element_at("request", F.lit("day")).alias("asked"), F.try_element_at("response", F.lit("day")).alias("answered"))
 
 
-@query("e6_e23_e24_thresholded_tags", f"WITH {TAGS_SQL} SELECT item, tag FROM tags WHERE confidence >= CASE tag WHEN 't1' THEN 0.8 ELSE 0.9 END AND tag IN ('t1', 'q0')")
+@query("e23_e24_thresholded_tags", f"WITH {TAGS_SQL} SELECT item, tag FROM tags WHERE confidence >= CASE tag WHEN 't1' THEN 0.8 ELSE 0.9 END AND tag IN ('t1', 'q0')")
 def thresholded(spark: SparkSession, sf: str) -> DataFrame:
     scores = tag_rows(spark, sf).where("confidence is not null").select("item", "tag", F.col("confidence").alias("score"), F.lit("x").alias("qualifier"))
     least = spark.createDataFrame([("t1", 0.8), ("q0", 0.9), ("gone", 0.0)], "tag string, threshold double")
@@ -205,7 +205,7 @@ def scope(spark: SparkSession, sf: str) -> DataFrame:
     return graph.answer_scope(chosen, part, part.where("p_size < 10"), part.where("p_retailprice > 1500"))
 
 
-@query("e27_e2_backfill", "SELECT doc_id AS doc, length(text)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("e3_backfill", "SELECT doc_id AS doc, length(text)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def backfilled(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
     have = chunks.backfill(docs.join(table(spark, sf, "labels").select(F.col("doc_id").alias("doc")), "doc", "left_semi"), docs.limit(0))
