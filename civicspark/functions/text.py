@@ -238,7 +238,7 @@ def links_in(text: Column) -> Column:
 
 
 def column_name(key: Column) -> Column:
-    """Safe column names: reserved words renamed, lower case, other characters as _, k_ before a digit."""
+    """Fixed output names: safe column names: reserved words renamed, lower case, other characters as _, k_ before a digit."""
     clean = F.regexp_replace(F.lower(key), r"\W", "_")
     renamed = F.when(key == "start", "start_date").when(key == "end", "end_date").when(key == "order", "order_col").otherwise(clean)
     return F.when(renamed == "", "k").when(renamed.rlike(r"^\d"), F.concat(F.lit("k_"), renamed)).otherwise(renamed)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from civicspark.functions.text import any_match, date_in_text, decision, item_verified, majority, outcome_check, valid_at
 
 
+#: Fixed value: how names and texts of ballots name an item.
+NAMED_ITEM = r"(?i)top\s*-?_?\s*(\d+(?:\.\d+)?)"
+
+
 def paper_texts(texts: DataFrame) -> DataFrame:
     """(paper, text) of rows (paper, at, text): all texts of a paper in order, joined by blanks."""
     return texts.where("text is not null").groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
@@ -56,7 +60,7 @@ def protocols(pairs: DataFrame, candidates: DataFrame, outcomes: Sequence[tuple[
     return attached, first.select("pair", F.col("derived").alias("outcome"), F.lit(0.7).alias("confidence"), F.lit("protocol").alias("signal"))
 
 
-def ballot_documents(pairs: DataFrame, candidates: DataFrame, counts: Callable[[Column], tuple[Column, Column]], expected: Mapping[str, str], item: str = r"(?i)top\s*-?_?\s*(\d+(?:\.\d+)?)") -> DataFrame:
+def ballot_documents(pairs: DataFrame, candidates: DataFrame, counts: Callable[[Column], tuple[Column, Column]], expected: Mapping[str, str], item: str = NAMED_ITEM) -> DataFrame:
     """(pair, document, yes, no, verdict) of candidates (pair, document, name, text, date) that fit their pair's item and session.
 
     The item is named in the name, or, where the name does not name it, in the text. Any of five signals tells

@@ -44,6 +44,7 @@ def ballots(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("l_orderkey", "l_linenumber", "yes", "no", "counted", tx.outcome_check(F.col("counted"), F.col("stated"), SIDES).alias("verdict"))
 
 
+#: An item's heading and the section that decides.
 ITEM = r"(?i)Punkt\s*([0-9IVX]+(?:\.[0-9]+)?)\s*der Tagesordnung"
 SECTION = r"(?is)Beschluss:?\s*\n+([A-Za-zÄÖÜäöüß\.\-, \t]+)"
 OUTCOMES = [(tx.spoken_outcome(w), v) for w, v in (("vertagt", "postponed"), ("zugestimmt", "accepted"), ("abgelehnt", "rejected"))]

@@ -106,6 +106,10 @@ def typed_table(values: DataFrame, kind: str, types: DataFrame) -> DataFrame:
     return wide.select("id", *(cast(f, to).alias(column) for f, column, to in columns))
 
 
+#: Words before a last year that are no part of a name, in the order in which they are looked for.
+YEAR_MARKS = (", vor", ", nach", ", um", " vor", " nach", " um")
+
+
 def street_register(texts: DataFrame) -> DataFrame:
     """(name, year, heading, description) of registers (text): a section for each heading that ``## `` begins.
 
@@ -122,7 +126,7 @@ def street_register(texts: DataFrame) -> DataFrame:
     number = r"^\p{Nd}+$"
     before = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
     clean = before
-    for mark in reversed((", vor", ", nach", ", um", " vor", " nach", " um")):
+    for mark in reversed(YEAR_MARKS):
         clean = F.when(F.contains(before, F.lit(mark)), trimmed(F.substring_index(before, mark, 1))).otherwise(clean)
     century = trimmed(F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), " "))
     after = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
