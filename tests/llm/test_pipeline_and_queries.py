@@ -30,7 +30,7 @@ def test_sql_agrees(spark, small, name):
 
 def test_a_query_for_each_operator():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_pipeline_keeps_columns_and_takes_effect(spark, small, tmp_path):
