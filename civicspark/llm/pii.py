@@ -2,12 +2,14 @@
 
 1. Base finders: the contract's four patterns, leftmost and non-overlapping, with their checks.
 2. Generators with high recall propose further, overlapping spans: groups of four digits, grouped
-   numbers without a plus sign, numbers with a trunk zero, long runs of letters and digits.
+   numbers without a plus sign, numbers with a trunk zero, long runs of letters and digits, and long
+   runs that ``_ - / + .`` join into one key with its prefix and its ``=`` padding.
 3. Each proposal gets small integer features, and a weak label that they do not hold. A card or phone
    proposal is labelled by its format (a base span, with its checks, covers it) and described by its
    context: cue words before it, what stands at both ends, how its groups are set apart. A run of
    letters and digits is labelled by its context (it is assigned to a name such as ``token``) or by the
-   first letters of a known kind of key, and described by its format: length, digits, case, hexadecimal.
+   first letters of a known kind of key, and described by its format: length, digits, case, hexadecimal,
+   and what joins its parts.
 4. Spark counts the proposals of the corpus by feature combination and label, a table whose size the
    features bound. Logistic boosting of depth-two trees over it gives the probability of a label.
    Proposals without one are unlabelled, not negative: on a fold kept aside, the mean probability of
@@ -55,12 +57,13 @@ GENERATORS = (
     (r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", "phone", True),
     (r"(?<![0-9A-Za-z+])\(?0[0-9]{1,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{2,5}(?![0-9A-Za-z])", "phone", True),
     (r"(?<![A-Za-z0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}+", "secret", False),
+    (r"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z0-9_/+.-]{20})(?=[A-Za-z_/+.-]*+[0-9])(?=[0-9_/+.-]*+[A-Za-z])[A-Za-z0-9]++(?:[_/+.-]++[A-Za-z0-9]++)++={0,2}+", "secret", True),
 )
 #: Words before a number that say what it is.
 CUES = (r"card|visa|iban|account|payment", r"tel|phone|call|fax|mobile|dial|ring|whatsapp", r"order|invoice|ticket|item|isbn|article|part|serial|version|page|ref|no\.|nr\.|#")
 ASSIGNED = r"(?i)(?:token|key|secret|password|passwd|pwd)[\x20]*[=:][\x20]*[\"']?$"
 #: How access keys of well-known services begin.
-PREFIXES = r"^(?:AKIA|ASIA|ghp|gho|ghs|glpat|xoxb|xoxp|AIza)"
+PREFIXES = r"^(?:AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|[prs]k_(?:live|test)_|sk-|npm_|hf_)"
 FEATURES = ("k", "cue", "before", "after", "gaps", "size", "digits", "letters", "hex")
 TREES = 30
 RATE = 0.3
@@ -184,7 +187,8 @@ def _proposed(text: Column, possible: Column, pattern: str, k: int) -> Column:
         before = F.regexp_replace(x["before"], r"[\x20()+0-9-]*$", "")
         context = {"cue": cue_class(before), "before": char_class(F.right(before, F.lit(1))), "after": char_class(F.substring(text, x["e"] + 1, F.lit(1))), "gaps": F.when(x["m"].rlike("[./()]"), 3).when(x["m"].contains("-"), 2).when(x["m"].contains(" "), 1).otherwise(0)}
         form = {"size": F.when(length < 20, 0).when(length < 32, 1).when(length < 48, 2).otherwise(3), "digits": F.when(digits == 0, 0).when(digits * 8 < length, 1).when(digits * 2 < length, 2).otherwise(3), "letters": F.when(lower & upper, 2).when(upper, 1).otherwise(0), "hex": x["m"].rlike("^[0-9A-Fa-f]+$").cast("int")}
-        features = {**dict.fromkeys(context, none), **form} if secret else {**context, **dict.fromkeys(form, none)}
+        form_gaps = F.when(x["m"].contains("."), 3).when(x["m"].rlike("[/+]"), 2).when(x["m"].rlike("[_-]"), 1).otherwise(0)
+        features = {**dict.fromkeys(context, none), **form, "gaps": form_gaps} if secret else {**context, **dict.fromkeys(form, none)}
         return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), *(v.cast("int").alias(f) for f, v in features.items()), (x["before"].rlike(ASSIGNED) | x["m"].rlike(PREFIXES) if secret else F.lit(False)).alias("assigned"))
 
     return F.transform(matches(text, pattern, possible), row)

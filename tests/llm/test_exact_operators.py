@@ -212,6 +212,45 @@ def test_private_boosting_adds_spans(spark):
     assert not any(found[400 + i] for i in range(60))
 
 
+def made_key(rng, kind):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n - 2)) + "7q"
+    return {"forge": "ghp_" + some(36), "chat": f"xoxb-{rng.randrange(10**11, 10**12)}-{some(24)}", "base64": f"{some(14)}/{some(12)}+{some(14)}==", "dotted": f"{some(20)}.{some(40)}.{some(30)}"}[kind]
+
+
+def test_private_keys_are_whole_runs(spark):
+    rng = random.Random(4)
+    kinds = ("forge", "chat", "base64", "dotted")
+    keys = {i: made_key(rng, kinds[i % 4]) for i in range(240)}
+    # two thirds are assigned to a name; the last third only stands in the text
+    rows = [(i, f"set api_key={k} and go" if i < 160 else f"we saw {k} there") for i, k in keys.items()]
+    words = ["a-fairly-long-hyphenated-word", "north_and_south_of_the_river", "docs/guide/of/the/library", "and.so.it.goes.on.and.on", "well-known/but-plain"]
+    rows += [(1000 + i, f"read {words[i % 5]} page {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.find_private(docs).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    at = {i: (t.index(keys[i]), t.index(keys[i]) + len(keys[i])) for i, t in rows if i in keys}
+    caught = {i for i, (s, e) in at.items() if f"secret:{s}:{e}" in found[i].split(",")}
+    assert len(caught & set(range(160))) == 160 and len(caught - set(range(160))) >= 0.9 * 80
+    assert not any(found[1000 + i] for i in range(200))
+    texts = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(texts[i] == ("set api_key=[SECRET] and go" if i < 160 else "we saw [SECRET] there") for i in caught)
+
+
+def test_known_prefixes_are_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, f"here {made_key(rng, 'forge')} now") for i in range(100)] + [(200 + i, f"see plain-words-{i % 9}-of-a-long-kind ok") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(texts[i] == "here [SECRET] now" for i in range(100))
+    assert all(texts[200 + i] == rows[100 + i][1] for i in range(100))
+
+
+def test_long_joined_runs_take_linear_time(spark):
+    texts = ["a-" * 200_000, "1_" * 200_000 + "a", "x/" * 100_000 + "9" * 100_000, "." * 300_000 + "ab12" * 10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.find_private(docs).count() == 4
+
+
 def plain_score(model, x):
     total = model.bias
     for (f, v), leaves in model.trees:
@@ -242,6 +281,7 @@ def test_added_spans_match_plain_loops(spark):
                 if kind == "secret":
                     x |= {"size": sum(n >= t for t in (20, 32, 48)), "digits": 0 if not digits else 1 if digits * 8 < n else 2 if digits * 2 < n else 3, "hex": int(bool(re.fullmatch("[0-9A-Fa-f]+", m[0])))}
                     x["letters"] = 2 if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) else int(bool(re.search("[A-Z]", m[0])))
+                    x["gaps"] = 3 if "." in m[0] else 2 if re.search("[/+]", m[0]) else int(bool(re.search("[_-]", m[0])))
                 else:
                     x |= {"cue": cue(before), "before": kind_of(before[-1:]), "after": kind_of(text[m.end() : m.end() + 1]), "gaps": 3 if re.search("[./()]", m[0]) else 2 if "-" in m[0] else int(" " in m[0])}
                 covered = any(s <= m.start() and m.end() <= e for _, s, e in base)
