@@ -7,7 +7,9 @@ values is trained in numpy. The score is the probability it gives.
 
 The fit sees at most ``FIT_ROWS`` labelled documents (half of each class as far as there are as
 many, chosen by a hash of the id), of any length, and the intercept is set back to the classes' true
-shares. Everything else runs over every whole text.
+shares. Spark counts their n-grams by class and chooses ``FEATURES`` of them by chi-square, so the
+task that trains is sent the chosen ones of each document alone: at most 24 kB a row, however long
+its text. Everything else runs over every whole text.
 
 Edge cases: a null or empty text has no features and scores what the intercept gives. Without
 labelled rows of both classes the model is a constant: the share of label 1 (0 where there is none).
@@ -18,18 +20,24 @@ empty table.
 from __future__ import annotations
 
 import io
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import U64, crc32_of_id, fit_in_one_task, joined_bytes, label_sample, map_arrow, slices, table, utf8
+from civicspark.llm.common import U64, crc32_of_id, ensure_checkpoint_dir, fit_in_one_task, joined_bytes, label_sample, map_arrow, removed, slices, table, utf8
 
 FIT_ROWS = 8000
 LENGTHS = (4, 5, 6)
 FEATURES = 6000
 LEAST_DOCS = 4
+#: Codes that a task counts before it hands its counts on.
+CODES_IN_TASK = 1 << 21
+#: Tasks that the sample's texts are dealt to.
+PARTS = 64
 SMOOTHING = 0.5
 HELD = (5, 0)
 
@@ -97,29 +105,66 @@ def places(codes: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ok, at[ok]
 
 
-def train(held: list[bytes], labels: np.ndarray, share: float, rounds: int = 400) -> bytes:
-    """Select n-grams, weigh them by log-count ratio, fit the regression; returns the model's bytes.
+def count_ngrams(sample: DataFrame) -> DataFrame:
+    """(code, toxic, other): how many documents of the sample hold each n-gram, by class."""
 
-    held: the distinct codes of each document, as the bytes of 32-bit numbers.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = [Counts(), Counts()]
+
+        def so_far() -> Iterator[pa.RecordBatch]:
+            for y, x in enumerate(of):
+                x.merge()
+                none = np.zeros(len(x.codes), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.codes.astype(np.int64)), pa.array(x.counts if y else none), pa.array(none if y else x.counts)], ["code", "toxic", "other"])
+                of[y] = Counts()
+
+        for batch in batches:
+            for text, y in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+                of[y].add(distinct_codes(text.as_py()))
+                if sum(len(x.codes) + x.size for x in of) > CODES_IN_TASK:
+                    yield from so_far()
+        yield from so_far()
+
+    each = sample.select("label", "text").mapInArrow(run, "code long, toxic long, other long")
+    return each.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def choose_ngrams(counted: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``FEATURES`` codes of the highest chi-square, ties to the smaller code, with their counts; in order of the codes."""
+    p, both = F.col("toxic").cast("double"), (F.col("toxic") + F.col("other")).cast("double")
+    expect = both * F.lit(float(n1)) / F.lit(float(n1 + n0))
+    gain = (p - expect) * (p - expect) / F.greatest(expect, F.lit(1e-9)) + (p - expect) * (p - expect) / F.greatest(both - expect, F.lit(1e-9))
+    common = counted.where(F.greatest("toxic", "other") >= LEAST_DOCS)
+    rows = sorted(tuple(r) for r in common.orderBy(gain.desc(), "code").limit(FEATURES).collect())
+    codes, toxic, other = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint32, np.float64, np.float64)))
+    return codes, toxic, other
+
+
+def choose_here(held: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``choose_ngrams`` gives, for documents in memory."""
+    n1, n0 = float(labels.sum()), float((1 - labels).sum())
+    found: dict[int, list[float]] = {}
+    for own, y in zip(held, labels, strict=True):
+        for code in np.frombuffer(own, np.uint32).tolist():
+            found.setdefault(code, [0.0, 0.0])[1 - y] += 1
+
+    def gain(code: int) -> float:
+        p, both = found[code][0], sum(found[code])
+        expect = both * n1 / (n1 + n0)
+        return (p - expect) * (p - expect) / max(expect, 1e-9) + (p - expect) * (p - expect) / max(both - expect, 1e-9)
+
+    best = sorted(sorted((c for c, n in found.items() if max(n) >= LEAST_DOCS), key=lambda c: (-gain(c), c))[:FEATURES])
+    return np.array(best, np.uint32), np.array([found[c][0] for c in best]), np.array([found[c][1] for c in best])
+
+
+def train(held: list[bytes], labels: np.ndarray, share: float, chosen: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, rounds: int = 400) -> bytes:
+    """Weigh the chosen n-grams by log-count ratio, fit the regression; returns the model's bytes.
+
+    held: the chosen codes that each document holds, as the bytes of 32-bit numbers; without a choice,
+    all codes that it holds, and the choice is made from them here.
     """
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    if not n1 or not n0:
-        return _pack(np.empty(0, np.uint32), np.empty(0), share if n1 and n0 else float(n1 > 0) * share, True)
-    of = (Counts(), Counts())
-    for own, y in zip(held, labels, strict=True):
-        of[y].add(np.frombuffer(own, np.uint32))
-    for x in of:
-        x.merge()
-    codes = np.union1d(*(x.codes[x.counts >= LEAST_DOCS] for x in of))
-    q, p = np.zeros(len(codes)), np.zeros(len(codes))
-    for x, into in zip(of, (q, p), strict=True):
-        ok, at = places(codes, x.codes)
-        into[at] = x.counts[ok]
-    both = p + q
-    expect = both * n1 / (n1 + n0)
-    gain = (p - expect) ** 2 / np.maximum(expect, 1e-9) + (p - expect) ** 2 / np.maximum(both - expect, 1e-9)
-    best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    codes, p, q = codes[best], p[best], q[best]
+    codes, p, q = chosen or choose_here(held, labels)
     ratio = np.log((p + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n0 + 2 * SMOOTHING))
     rows, cols = [], []
     for i, own in enumerate(held):
@@ -187,12 +232,27 @@ def scorer(model: bytes):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label: str = "toxic") -> bytes:
     """Model bytes from labelled documents outside the held-out fold."""
     share = labels.where(F.col(label).isNotNull() & (crc32_of_id() % HELD[0] != HELD[1])).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    sample = label_sample(docs, labels, label, rows, *HELD)
-
-    def fit(_: list, classes: list, held: list[bytes]) -> bytes:
-        return train(held, np.array(classes, np.int64), share)
-
-    return fit_in_one_task(sample, lambda text: distinct_codes(text).tobytes(), fit, "doc_id", "label") or _pack(np.empty(0, np.uint32), np.empty(0), 0.0, True)
+    spark = docs.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/toxicity-{uuid.uuid4().hex}"
+    label_sample(docs, labels, label, rows, *HELD).repartition(PARTS, "doc_id").write.parquet(path)
+    sample = spark.read.parquet(path)
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if n1 and n0:
+        chosen = choose_ngrams(count_ngrams(sample), n1, n0)
+
+        def held(text: bytes) -> bytes:
+            own = distinct_codes(text)
+            return own[places(chosen[0], own)[0]].tobytes()
+
+        def fit(_: list, classes: list, each: list[bytes]) -> bytes:
+            return train(each, np.array(classes, np.int64), share, chosen)
+
+        model = fit_in_one_task(sample, held, fit, "doc_id", "label")
+    else:
+        model = _pack(np.empty(0, np.uint32), np.empty(0), share if n1 else 0.0, True)
+    removed(spark, path)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: bytes) -> DataFrame:

@@ -39,6 +39,33 @@ def test_toxicity(tables):
     assert np.allclose(toxicity.scorer(model)(pa.array(TEXTS, pa.binary())), want)
 
 
+def test_ngrams_chosen_by_spark(spark, monkeypatch):
+    """Counted in tasks that hand on their counts again and again, the choice is that of one plain count."""
+    monkeypatch.setattr(toxicity, "FEATURES", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").limit(60)
+    texts = [bytes(r.text, "utf-8") for r in docs.orderBy("doc_id").collect()]
+    texts += [b"", b"x" * 100_000, texts[0], texts[0]]
+    labels = [i % 2 for i in range(len(texts))]
+    sample = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text binary, label int").repartition(3)
+    got = toxicity.choose_ngrams(toxicity.count_ngrams(sample), sum(labels), len(labels) - sum(labels))
+    want = toxicity.choose_here([toxicity.distinct_codes(t).tobytes() for t in texts], np.array(labels))
+    assert len(got[0]) == 300 and all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_a_long_text_sends_only_chosen_ngrams(spark, monkeypatch):
+    sent = []
+    plain = toxicity.fit_in_one_task
+    monkeypatch.setattr(toxicity, "FEATURES", 50)
+    monkeypatch.setattr(toxicity, "fit_in_one_task", lambda sample, prepare, *rest: sent.extend(len(prepare(bytes(r.text))) for r in sample.collect()) or plain(sample, prepare, *rest))
+    rng = np.random.default_rng(3)
+    rows = [(i, ("foul " if i % 2 else "fine ") + "".join(map(chr, rng.integers(97, 123, 40_000 if i < 4 else 40)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert sent and max(sent) <= 4 * 50
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score_toxicity(docs.where("doc_id >= 4"), model).collect())
+
+
 def test_log_count_ratios():
     docs, labels = [b"spam eggs"] * 4 + [b"ham eggs"] * 5, np.array([1] * 4 + [0] * 5)
     got = np.load(io.BytesIO(toxicity.train([toxicity.distinct_codes(t).tobytes() for t in docs], labels, 0.5)))
