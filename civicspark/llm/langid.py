@@ -9,7 +9,8 @@ temperature and the score below which an answer counts as rejected. Since the me
 softmax's input are both linear, prediction multiplies the table by the output weights once.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and counts as rejected.
-Without a learned language every text is ``und``. Repeated rows are answered alike; extra columns
+Without a learned language every text is ``und``. Of equally likely languages the first in code-point
+order is the answer. Repeated rows are answered alike; extra columns
 are dropped; an empty table gives an empty table.
 """
 

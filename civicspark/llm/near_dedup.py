@@ -25,8 +25,10 @@ fewer words than a shingle have their whole word sequence as the one shingle. Ea
 the result: rows that repeat an id are judged by their own texts and are kept if the id is their
 component's smallest; rows without an id are compared too, come after all ids, and where a component
 has no id, its ``component_id`` is null and one row of it is kept. ``first`` marks exactly one row of
-each component, the one with the smallest id, and of several the first as read. Extra columns are
-dropped; an empty table gives an empty table.
+each component, the one with the smallest id, and of several the first as read. A very long
+text is read whole in one task, and where its links are confirmed its full set is in that task's
+memory beside the block it meets, however many shingles it has. Extra columns are dropped; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

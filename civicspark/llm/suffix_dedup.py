@@ -1,8 +1,8 @@
-"""Operator 2: removal of long substrings that an earlier document holds, by distributed prefix doubling.
+"""Operator 2: removal of long substrings that an earlier document holds, by names of strings at two lengths.
 
-A 50-byte string of a document goes where it also starts in a document with a smaller id. Ranking
-every suffix of the corpus would move some 14 times the input, so the doubling runs over sampled
-positions, and the sample is chosen so that nothing is lost: of the 27 strings of 24 bytes within a
+A 50-byte string of a document goes where it also starts in a document with a smaller id. This
+is not prefix doubling over pairs of ranks: that would move some 14 times the input if it began with
+every suffix, so two rounds name strings at sampled positions instead, and the sample is chosen so that nothing is lost: of the 27 strings of 24 bytes within a
 50-byte window, the one with the smallest hash (the leftmost of equal ones) is the window's anchor.
 Equal windows have equal anchors at equal places, so windows can only be equal where their anchors'
 strings are. The rounds, at growing lengths:
@@ -22,6 +22,9 @@ range in names. Batches are made from the shuffled documents each time and hold
 executor costs only a repeated task. Names are 96 bits in round 1 and windows 64 bits beside the
 64-bit name of their anchor.
 
+All continuations of one 24-byte string are dealt to one range; a string with very many of them is
+one group there, which is not split.
+
 Edge cases: null and empty texts and texts under 50 bytes lose nothing; documents of one id do not
 remove each other's bytes; a null id is never smaller than another and loses nothing; repeated rows
 stay repeated; texts longer than a segment are ranked by overlapping segments; extra columns are
