@@ -278,6 +278,15 @@ def teaser(text: Column, summary: Column | None = None, words: int = 200, excerp
     return F.left(F.when(F.size(split(text)) <= words, one_line(text)).otherwise(long), F.lit(ceiling))
 
 
+def without_code_fence(text: Column) -> Column:
+    """A trimmed text; if a fence of three backticks begins it, without its first line and without a last line that is a fence."""
+    bare = trimmed(text)
+    lines = F.split(bare, r"\R|[\x1C-\x1E]")
+    closing = trimmed(F.element_at(lines, -1)).startswith("```") & (F.size(lines) > 1)
+    inner = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 1 - closing.cast("int")), "\n")
+    return F.when(bare.startswith("```"), trimmed(inner)).otherwise(bare)
+
+
 def path_parts(path: Column) -> list[Column]:
     """folder (the last one), filename, extension in lower case, stem and prefix (up to the first - or _) of a path with either kind of slash."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")

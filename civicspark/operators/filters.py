@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -87,3 +88,23 @@ def not_deleted(deleted: Column) -> Column:
 def not_boilerplate(status: Column) -> Column:
     """Gate verdicts hide only what is known to be boilerplate."""
     return status.isNull() | (status != "boilerplate")
+
+
+def named_items(items: DataFrame, moments: DataFrame, links: Mapping[str, DataFrame], contains: str, year_start: int | None = None, year_end: int | None = None) -> DataFrame:
+    """Items (key, name, owner, ...) whose name holds a text, with the columns date and files, by date (none last) and key.
+
+    ``%`` and ``_`` in the text stand for any characters and any one, as in LIKE. The date is the day of the owner's
+    moment (owner, moment); years, both included, leave out dated items alone. files lists what the link
+    tables (key, file) name for an item, each once: by the name of the first table that has it, then by file.
+    Owners are unique in ``moments``; an item without a link has an empty list.
+    """
+    day = moments.select("owner", F.to_date("moment").alias("date"))
+    found = items.where(F.col("name").like(f"%{contains}%")).join(day, "owner", "left")
+    for bound, kept in ((year_start, lambda y: F.year("date") >= y), (year_end, lambda y: F.year("date") <= y)):
+        if bound is not None:
+            found = found.where(F.col("date").isNull() | kept(bound))
+    every = reduce(DataFrame.unionByName, (df.select("key", "file", F.lit(place).alias("place")) for place, (_, df) in enumerate(sorted(links.items())))).where("file is not null")
+    own = every.join(found.select("key").distinct(), "key", "left_semi").groupBy("key", "file").agg(F.min("place").alias("place"))
+    listed = own.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "file"))).alias("ordered")).select("key", F.col("ordered.file").alias("files"))
+    kind = dict(listed.dtypes)["files"]
+    return found.join(listed, "key", "left").withColumn("files", F.coalesce("files", F.array().cast(kind))).orderBy(F.asc_nulls_last("date"), "key")

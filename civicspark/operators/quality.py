@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.functions.text import trimmed, without_code_fence
+
 
 def coverage(items: DataFrame, layers: dict[str, DataFrame], key: str) -> DataFrame:
     """(layer, n, pct): distinct items that each layer reaches, as a share of all, one decimal."""
@@ -52,6 +55,46 @@ def parity(old: DataFrame, new: DataFrame, tolerance: float) -> DataFrame:
     return joined.where(F.col("old_score").isNull() | F.col("new_score").isNull() | (F.abs(F.col("old_score") - F.col("new_score")) > tolerance))
 
 
+def search_parity(old: DataFrame, new: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(query_id, key, finding, before, after): where two snapshots (query_id, key, distance, signals) of a batch of searches part.
+
+    signals is a map from each signal that found a key to its distance. A query that the new snapshot
+    lacks is one finding without a key; one whose keys differ has a finding for each missing and each extra
+    key, and no others. In the rest a distance that is null on one side or apart by more than the tolerance,
+    another set of signals, and a distance of a signal on both sides that is apart are findings; before and after
+    are the distances in question. Queries that only the new snapshot has are passed over. A query is known by its
+    rows, and (query_id, key) is unique in each snapshot.
+    """
+    told = lambda df, side: df.select("query_id", "key", F.struct("distance", F.coalesce("signals", F.create_map().cast("map<string,double>")).alias("signals")).alias(side))
+    both = told(old, "a").join(told(new, "b"), ["query_id", "key"], "full")
+    state = both.groupBy("query_id").agg(F.count("a").alias("n_old"), F.count("b").alias("n_new"), F.bool_or(F.col("a").isNull() != F.col("b").isNull()).alias("differs")).where("n_old > 0")
+    none = F.lit(None).cast("double")
+    finding = lambda name, before=none, after=none: F.struct(F.lit(name).alias("finding") if isinstance(name, str) else name.alias("finding"), before.alias("before"), after.alias("after"))
+    apart = lambda x, y: (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tolerance, F.lit(False))
+    before, after = F.col("a.distance"), F.col("b.distance")
+    names = lambda side: F.array_sort(F.map_keys(f"{side}.signals"))
+    shared = F.filter(F.map_keys("a.signals"), lambda s: F.map_contains_key(F.col("b.signals"), s) & apart(F.element_at("a.signals", s), F.element_at("b.signals", s)))
+    in_both = F.concat(
+        F.array_compact(F.array(F.when(apart(before, after), finding("distance", before, after)), F.when(names("a") != names("b"), finding("signals")))),
+        F.transform(shared, lambda s: finding(F.concat(F.lit("signal "), s), F.element_at("a.signals", s), F.element_at("b.signals", s))),
+    )
+    one_side = F.array(F.when(F.col("a").isNull(), finding("extra key", none, after)).otherwise(finding("missing key", before, none)))
+    settled = F.when(~F.col("differs"), in_both).when(F.col("a").isNull() | F.col("b").isNull(), one_side)
+    found = both.join(state.where("n_new > 0").select("query_id", "differs"), "query_id").select("query_id", "key", F.explode(settled).alias("f")).select("query_id", "key", "f.*")
+    lost = state.where("n_new = 0").select("query_id", F.lit(None).cast(dict(old.dtypes)["key"]).alias("key"), finding("missing query").alias("f")).select("query_id", "key", "f.*")
+    return found.unionByName(lost)
+
+
+def unreferenced(items: DataFrame, key: str, links: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """Items that none of the link tables (table, its column) names.
+
+    Keys of all tables are put together and made distinct before one anti join, so a key that very many
+    links name is one row there; null keys name nothing, and items without a key are named by none.
+    """
+    named = reduce(DataFrame.unionByName, (df.select(F.col(column).alias(key)) for df, column in links)).where(F.col(key).isNotNull()).distinct()
+    return items.join(named, key, "left_anti")
+
+
 def chunk_report(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Documents without chunks, chunks without a vector, vectors without a chunk."""
     key = ["doc", "chunk_index"]
@@ -81,6 +124,20 @@ def fit_for_summary(docs: DataFrame, text: str, least_chars: int = 20, least_lin
     return good.join(F.broadcast(limit), F.lit(True)).where("chars <= most").drop("most")
 
 
+def summary_texts(docs: DataFrame, summaries: DataFrame, done: DataFrame | None = None, cutoff: int = 8000) -> DataFrame:
+    """(doc, summarised, text): what is kept of documents (doc, text) that are fit for it.
+
+    A text of up to ``cutoff`` characters is kept as it is, trimmed. A longer one is replaced by its summary (doc,
+    summary), without a code fence around it and cut to ``cutoff``; without a summary it has no row. Documents
+    that are ``done`` (doc) have none either. Documents without a text have none; summaries are one a document.
+    """
+    open_ = docs if done is None else docs.join(done.select("doc").distinct(), "doc", "left_anti")
+    long = F.length("text") > cutoff
+    small = open_.where(~long).select("doc", F.lit(False).alias("summarised"), trimmed(F.col("text")).alias("text"))
+    large = open_.where(long).select("doc").join(summaries.where("summary is not null"), "doc")
+    return small.unionByName(large.select("doc", F.lit(True).alias("summarised"), F.left(without_code_fence(F.col("summary")), F.lit(cutoff)).alias("text")))
+
+
 def resolution_report(links: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
     """(finding, n): for each side the links whose key its table (key column, deleted) lacks or has as deleted, and those that are fine on all sides."""
     fine, counts = F.lit(True), []

@@ -118,6 +118,21 @@ def nearest_centroid(items: DataFrame, middle: DataFrame, label: str, least: flo
     return each.groupBy("key").agg(F.max_by("query_id", F.struct("score", "query_id")).alias(label), F.max("score").alias("score")).where(F.col("score") >= least)
 
 
+def topic_focus(queries: DataFrame, topics: DataFrame, least: float = 0.30) -> DataFrame:
+    """(query_id, topic, similarity): the topic (topic, place, vector) that a query (query_id, query_vector) is nearest to by cosine.
+
+    Of equally near ones the first by place, which no two topics share. Under ``least`` there is no topic;
+    nothing is nearer than 0, which is also told for queries without a usable vector. Similarities have
+    six decimals, and each query id one row.
+    """
+    middle = topics.select((-F.col("place")).alias("query_id"), F.col("vector").alias("query_vector"))
+    each = best_label(middle, queries.select(F.col("query_id").alias("key"), F.col("query_vector").alias("vector"))).where("score > 0")
+    best = each.groupBy(F.col("key").alias("query_id")).agg((-F.max_by("query_id", F.struct("score", "query_id"))).alias("place"), F.max("score").alias("similarity"))
+    named = best.join(topics.select("place", "topic"), "place")
+    told = queries.select("query_id").distinct().join(named, "query_id", "left")
+    return told.select("query_id", F.when(F.col("similarity") >= least, F.col("topic")).alias("topic"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
 def arg_max_or(scores: DataFrame, thresholds: DataFrame, fallback: str) -> DataFrame:
     """Per query the best-scored intent at or above its own threshold, else the fallback."""
     kept = scores.join(thresholds, "intent").where(F.col("score") >= F.col("threshold"))

@@ -33,6 +33,20 @@ def of_items(tags: DataFrame) -> DataFrame:
     return tags.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
+def details(tags: DataFrame, items: DataFrame | None = None, scheme: str | None = None) -> DataFrame:
+    """(item, tag, scheme, source, confidence) of each assignment, by item and tag; of some items (item) and of one scheme where these are given.
+
+    Assignments from before there were schemes have neither scheme nor source, and all without a
+    confidence are sure: 1.0. An item that holds a tag under two schemes has a row for each.
+    """
+    told = tags.select("item", "tag", "scheme", "source", F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
+    if scheme is not None:
+        told = told.where(F.col("scheme") == scheme)
+    if items is not None:
+        told = told.join(items.select("item").distinct(), "item", "left_semi")
+    return told.orderBy("item", "tag", "scheme", "source")
+
+
 def related_by_tags(tags: DataFrame, seeds: DataFrame, scheme: str, shared: int = 2, n: int = 10) -> DataFrame:
     """Items sharing at least ``shared`` tags of one scheme with the seeds, the best n.
 
@@ -86,6 +100,12 @@ def within_vocabulary(qualified: DataFrame, vocabulary: DataFrame) -> tuple[Data
     return qualified.join(known, pair, "left_semi"), qualified.join(known, pair, "left_anti")
 
 
+def grounding_report(kept: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(tag, kept, rejected): how many qualifiers of each tag its vocabulary knows, and how many it does not."""
+    both = kept.select("tag", F.lit(True).alias("known")).unionByName(rejected.select("tag", F.lit(False).alias("known")))
+    return both.groupBy("tag").agg(F.count_if("known").alias("kept"), F.count_if(~F.col("known")).alias("rejected"))
+
+
 def above_threshold(scores: DataFrame, thresholds: DataFrame, qualified_tags: list[str]) -> DataFrame:
     """Model scores to tags at or above each tag's threshold; only some tags keep their qualifier."""
     kept = scores.join(thresholds, "tag").where(F.col("score") >= F.col("threshold")).drop("threshold")

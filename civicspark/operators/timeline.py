@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import agenda_rank
+from civicspark.functions.text import agenda_rank, allowed_query, trimmed
 
 
 def gap_groups(events: DataFrame, by: list[str], when: str, tie: str, days: int = 30) -> DataFrame:
@@ -29,6 +29,17 @@ def thread_queries(turns: DataFrame, by: str, order: str, text: str, before: int
     return turns.withColumn("query", F.right(F.array_join(F.collect_list(text).over(w), " · "), F.lit(cap)))
 
 
+def effective_queries(turns: DataFrame, by: str, order: str, text: str, before: int = 4, cap: int = 750) -> DataFrame:
+    """The turns that are allowed queries, with the column query: each trimmed and joined to those before it in its thread.
+
+    Other turns, empty ones too, are refused and leave the thread as it is. A thread keeps the latest
+    turn and three before it; of the joined text the last ``cap`` characters stay.
+    """
+    good = turns.where(allowed_query(F.col(text)))
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(-before, 0)
+    return good.withColumn("query", F.right(F.array_join(F.collect_list(trimmed(F.col(text))).over(w), " · "), F.lit(cap)))
+
+
 def newest_first(items: DataFrame, by: str, when: str, key: str, cap: int) -> DataFrame:
     """The newest ``cap`` rows of each owner, with the number there are in all."""
     w = Window.partitionBy(by).orderBy(F.desc(when), key)

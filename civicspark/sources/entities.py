@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,23 @@ def street_register(texts: DataFrame) -> DataFrame:
     return head.select(name.alias("name"), year.alias("year"), "heading", "description").where("name <> ''")
 
 
+def features(collections: DataFrame, name: str = "NAME") -> DataFrame:
+    """(doc, place, name, properties, geometry) of the features in feature collections (doc, body: JSON text).
+
+    The name is the property of that name, as text; properties and geometry are JSON texts. Bodies that are no
+    JSON object with a list of features give nothing, and features without a name stay, with null.
+    """
+    at = "$.properties['" + name.replace("'", "") + "']"
+    view = f"feature_collections_{uuid.uuid4().hex}"
+    collections.select("doc", F.try_parse_json("body").alias("v")).where("v is not null").createOrReplaceTempView(view)
+    made = collections.sparkSession.sql(f"""
+        SELECT c.doc, x.pos AS place, try_variant_get(x.value, "{at}", 'string') AS name,
+               to_json(try_variant_get(x.value, '$.properties', 'variant')) AS properties, to_json(try_variant_get(x.value, '$.geometry', 'variant')) AS geometry
+        FROM {view} c, LATERAL variant_explode(try_variant_get(c.v, '$.features', 'array<variant>')::variant) AS x""")
+    collections.sparkSession.catalog.dropTempView(view)
+    return made
+
+
 def gazetteer(names: DataFrame, shapes: DataFrame, known: DataFrame) -> DataFrame:
     """Names with their geometry where one has the same name; names that are known already stay out."""
     return names.join(known.select("name").distinct(), "name", "left_anti").join(shapes, "name", "left")

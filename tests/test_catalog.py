@@ -8,7 +8,7 @@ import decimal
 import duckdb
 import pytest
 
-from civicspark.plans import catalog, catalog_answers, catalog_import, catalog_jobs, catalog_reports, catalog_streams, catalog_text  # noqa: F401
+from civicspark.plans import catalog, catalog_answers, catalog_import, catalog_items, catalog_jobs, catalog_reports, catalog_streams, catalog_text  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
