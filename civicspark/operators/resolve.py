@@ -20,17 +20,22 @@ def top_then_threshold(queries: DataFrame, items: DataFrame, k: int = 10, most_d
     return vector_recall(queries, items, float("inf"), k).select("query_id", "key", distance).where(F.col("distance") <= most_distance)
 
 
-def pieces(text: Column, size: int = 3) -> Column:
-    """Distinct substrings of one to ``size`` characters."""
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, size + 1)))))
-
-
 def holding(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """(term, name): every name that holds a term; both sides meet on the term's first three characters."""
-    a = terms.select("term").distinct().withColumn("piece", F.left("term", F.lit(3)))
-    b = names.select("name").distinct().withColumn("low", normalise(F.col("name")))
-    return a.join(b.select("name", "low", F.explode(pieces(F.col("low"))).alias("piece")), "piece").where(F.contains("low", "term")).select("term", "name")
+    """(term, name): every name that holds a term.
+
+    Names are cut into all their stretches of the lengths that terms have, and both sides meet on whole
+    terms: a name costs its own length times the lengths in use, and only pairs that hold are made. The
+    stretches are never gathered in one place, however small the table of names is.
+    """
+    a = terms.select("term").where("term <> ''").distinct()
+    b = names.select("name").where("name is not null").distinct().withColumn("low", normalise(F.col("name")))
+    lengths = a.select(F.length("term").alias("n")).distinct()
+    longest = b.select(F.length("low").alias("n")).distinct()
+    fitting = longest.withColumnRenamed("n", "of").join(F.broadcast(lengths), F.col("n") <= F.col("of")).groupBy("of").agg(F.collect_list("n").alias("sizes"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring("low", i, n))
+    stretches = F.array_distinct(F.flatten(F.transform("sizes", cut)))
+    each = b.join(F.broadcast(fitting), F.length("low") == F.col("of")).select("name", F.explode(stretches).alias("term"))
+    return a.join(each.hint("merge"), "term").select("term", "name")
 
 
 def committees(queries: DataFrame, groups: DataFrame, organizations: DataFrame, now: Column, most: int = 10) -> DataFrame:
