@@ -22,16 +22,24 @@ def lexical_recall(queries: DataFrame, items: DataFrame, least: float = 0.3, n:
 
     A pair that shares no trigram has similarity 0, so joining on trigrams loses nothing. Only the
     counts of shared trigrams are made; sizes give the Jaccard value. Queries: (query_id, query);
-    items: (key, name). Stop terms are taken out of both sides before they are compared.
+    items: (key, name), a row a key. Stop terms are taken out of both sides before they are compared.
+
+    Distinct texts are compared once: of a name's keys only the first n can be among a query's n, and of
+    a query's names only its first n by score and least key.
     """
     if stop_terms:
         queries = queries.withColumn("query", strip_terms(F.lower("query"), [t.lower() for t in stop_terms]))
         items = items.withColumn("name", strip_terms(F.lower("name"), [t.lower() for t in stop_terms]))
-    q = queries.select("query_id", trigrams(F.col("query")).alias("tri")).select("query_id", F.size("tri").alias("nq"), F.explode("tri").alias("t"))
-    i = items.select("key", trigrams(F.col("name")).alias("tri")).select("key", F.size("tri").alias("ni"), F.explode("tri").alias("t"))
-    shared = q.join(i, "t").groupBy("query_id", "key", "nq", "ni").agg(F.count(F.lit(1)).alias("both"))
-    scored = shared.select("query_id", "key", F.round(F.col("both") / (F.col("nq") + F.col("ni") - F.col("both")), 6).alias("score")).where(F.col("score") > least)
-    return top_per(scored, ["query_id"], [F.desc("score"), F.col("key")], n)
+    named = items.where("name is not null").groupBy("name").agg(F.min("key").alias("least_key"))
+    q = queries.select("query").distinct().withColumn("tri", trigrams(F.col("query"))).select("query", F.size("tri").alias("nq"), F.explode("tri").alias("t"))
+    i = named.withColumn("tri", trigrams(F.col("name"))).select("name", "least_key", F.size("tri").alias("ni"), F.explode("tri").alias("t"))
+    # exploded rows are many more than the file they come from lets the planner expect: never broadcast
+    shared = q.join(i.hint("merge"), "t").groupBy("query", "name", "least_key", "nq", "ni").agg(F.count(F.lit(1)).alias("both"))
+    scored = shared.select("query", "name", "least_key", F.round(F.col("both") / (F.col("nq") + F.col("ni") - F.col("both")), 6).alias("score")).where(F.col("score") > least)
+    best = top_per(scored, ["query"], [F.desc("score"), F.col("least_key")], n, "place").select("query", "name", "score")
+    keys = top_per(items.select("name", "key").where("name is not null"), ["name"], [F.col("key")], n, "place").select("name", "key")
+    found = top_per(best.join(keys.hint("merge"), "name"), ["query"], [F.desc("score"), F.col("key")], n).select("query", "key", "score", "rank")
+    return queries.select("query_id", "query").join(found, "query").select("query_id", "key", "score", "rank")
 
 
 def vector_recall(queries: DataFrame, items: DataFrame, most_distance: float = 0.9, n: int = 50) -> DataFrame:
@@ -70,7 +78,7 @@ def fused_candidates(recalls: Sequence[tuple[str, str, DataFrame]], names: Mappi
         own = {c: F.col(c) if c in ranked.columns else F.lit(None) for c in ("distance", "chunk")}
         part = ranked.select("query_id", F.col("key").cast("string").alias("key"), "rank", own["distance"].cast("double").alias("distance"), own["chunk"].cast("int").alias("chunk"))
         if required and kind in required:
-            part = part.join(required[kind].select(F.col("key").cast("string").alias("key")).distinct(), "key", "left_semi")
+            part = part.join(required[kind].select(F.col("key").cast("string").alias("key")).distinct().hint("merge"), "key", "left_semi")
         parts.append(part.select("query_id", F.lit(kind).alias("type"), "key", F.lit(order.index(signal)).alias("signal"), "rank", "distance", "chunk"))
     every = reduce(DataFrame.unionByName, parts)
     at = lambda signal, value: F.max(F.when(F.col("signal") == order.index(signal), value))
@@ -84,7 +92,7 @@ def fused_candidates(recalls: Sequence[tuple[str, str, DataFrame]], names: Mappi
     )
     known = reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("type"), F.col("key").cast("string").alias("key"), "name") for kind, df in names.items()))
     place = F.row_number().over(Window.partitionBy("query_id", "type").orderBy("first", "key"))
-    told = fused.withColumn("place", place).join(known, ["type", "key"], "left").withColumn("name", F.when(F.col("place") <= 2 * per_signal, F.col("name")))
+    told = fused.withColumn("place", place).join(known.hint("merge"), ["type", "key"], "left").withColumn("name", F.when(F.col("place") <= 2 * per_signal, F.col("name")))
     signals = F.struct("lexical", F.col("by_name").alias("name"), F.col("by_content").alias("content"), "content_chunk")
     kept = told.where(F.col("name").isNotNull() | (F.col("type") == "File"))
     return kept.select("query_id", F.concat_ws("_", "type", "key").alias("id"), "type", "key", "name", F.round("total", 5).alias("score"), signals.alias("signals"))

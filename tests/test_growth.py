@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from civicspark.operators import resolve
+from civicspark.operators import ranking, resolve
 
 
 def plan_of(df) -> str:
@@ -19,3 +19,21 @@ def test_terms_in_names_meet_as_a_whole_and_names_are_not_broadcast(spark):
     assert set(got) == want and len(got) == len(want)
     plan = plan_of(found)
     assert "SortMergeJoin" in plan and "contains" not in plan.lower()
+
+
+def test_many_keys_of_one_name_are_compared_once(spark):
+    items = spark.createDataFrame([(k, ["big ring", "big rings", "small ring", None][k % 4]) for k in range(400)], "key int, name string")
+    asked = spark.createDataFrame([(1, "big ring"), (2, "big ring"), (3, None), (4, "zzz")], "query_id int, query string")
+    found = ranking.lexical_recall(asked, items, n=120)
+    got = sorted(tuple(r) for r in found.select("query_id", "rank", "key").collect())
+    order = list(range(0, 400, 4)) + list(range(1, 400, 4))[:20]
+    assert got == [(q, place, key) for q in (1, 2) for place, key in enumerate(order, 1)]
+    plan = plan_of(ranking.lexical_recall(asked, items, n=120, stop_terms=["small"]))
+    assert all("BroadcastHashJoin" not in line or "[t#" not in line for line in plan.splitlines())
+
+
+def test_names_of_candidates_are_not_broadcast(spark):
+    ranked = spark.createDataFrame([(1, 2, 1)], "query_id int, key int, rank int")
+    names = {"File": spark.createDataFrame([(2, "two"), (3, "three")], "key int, name string")}
+    found = ranking.fused_candidates([("File", "lexical", ranked)], names, {"File": names["File"]}, per_signal=5)
+    assert "Broadcast" not in plan_of(found) and found.first().name == "two"
