@@ -30,8 +30,8 @@ def holding(terms: DataFrame, names: DataFrame) -> DataFrame:
     a = terms.select("term").where("term <> ''").distinct()
     b = names.select("name").where("name is not null").distinct().withColumn("low", normalise(F.col("name")))
     lengths = a.select(F.length("term").alias("n")).distinct()
-    longest = b.select(F.length("low").alias("n")).distinct()
-    fitting = longest.withColumnRenamed("n", "of").join(F.broadcast(lengths), F.col("n") <= F.col("of")).groupBy("of").agg(F.collect_list("n").alias("sizes"))
+    upto = b.select(F.length("low").alias("of")).distinct().select("of", F.explode(F.sequence(F.lit(1), F.greatest("of", F.lit(1)))).alias("n"))
+    fitting = upto.join(F.broadcast(lengths), "n").where("n <= of").groupBy("of").agg(F.collect_list("n").alias("sizes"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring("low", i, n))
     stretches = F.array_distinct(F.flatten(F.transform("sizes", cut)))
     each = b.join(F.broadcast(fitting), F.length("low") == F.col("of")).select("name", F.explode(stretches).alias("term"))
