@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 QUERIES_AT_ONCE = 2000
 #: Items in a deal of a larger batch.
 ITEMS_AT_ONCE = 100_000
-#: Rows of items that are multiplied at once.
+#: Rows of items that are multiplied at once, and cosines that are made at once where the batch is large.
 ROWS = 2048
+CELLS = 1 << 18
 #: Rows that a task keeps before it looks for the best of them.
 HELD = 1 << 18
 
@@ -52,9 +53,10 @@ def unit_rows(column: pa.Array, d: int | None = None) -> tuple[np.ndarray, np.nd
 
 def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray) -> Blocks:
     """(items, cosines by query and item), without the items' vectors."""
+    rows = max(1, min(ROWS, CELLS // max(1, len(queries))))
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            piece = batch.slice(at, ROWS)
+        for at in range(0, batch.num_rows, rows):
+            piece = batch.slice(at, rows)
             fits, units = unit_rows(piece.column("vector"), queries.shape[1])
             if len(fits):
                 kept = piece.take(pa.array(fits)).drop_columns(["vector"])

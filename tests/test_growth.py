@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 
-from civicspark.operators import ranking, resolve
+import numpy as np
+import pyarrow as pa
+
+from civicspark.operators import blocks, ranking, resolve
 
 
 def plan_of(df) -> str:
@@ -37,3 +40,11 @@ def test_names_of_candidates_are_not_broadcast(spark):
     names = {"File": spark.createDataFrame([(2, "two"), (3, "three")], "key int, name string")}
     found = ranking.fused_candidates([("File", "lexical", ranked)], names, {"File": names["File"]}, per_signal=5)
     assert "Broadcast" not in plan_of(found) and found.first().name == "two"
+
+
+def test_cosines_made_at_once_are_bounded_for_large_batches():
+    queries = np.eye(4)[np.arange(2000) % 4]
+    items = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([[float(i % 4 == k) for k in range(4)] for i in range(500)])], ["key", "vector"])
+    found = list(blocks._blocks(iter([items]), queries))
+    assert max(cosines.size for _, cosines in found) <= 1 << 18
+    assert [k for kept, _ in found for k in kept.column("key").to_pylist()] == list(range(500))
