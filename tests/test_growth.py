@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from civicspark.operators import blocks, ranking, resolve
+from civicspark.operators import blocks, places, ranking, resolve
 
 
 def plan_of(df) -> str:
@@ -48,3 +48,12 @@ def test_cosines_made_at_once_are_bounded_for_large_batches():
     found = list(blocks._blocks(iter([items]), queries))
     assert max(cosines.size for _, cosines in found) <= 1 << 18
     assert [k for kept, _ in found for k in kept.column("key").to_pylist()] == list(range(500))
+
+
+def test_queries_of_one_text_are_resolved_once(spark, monkeypatch):
+    seen, inner = [], places._resolved
+    monkeypatch.setattr(places, "_resolved", lambda queries, *rest: seen.append(queries.count()) or inner(queries, *rest))
+    asked = spark.createDataFrame([(1, "main  steel"), (2, "Main steel"), (3, None), (4, " "), (5, "xyz")], "query_id int, query string")
+    names = spark.createDataFrame([("a", 1, "steel"), ("b", 2, "brass")], "kind string, name_id int, name string")
+    got = sorted(tuple(r) for r in places.resolve_places(asked, names, ["eel"]).collect())
+    assert seen == [2] and got == [(q, "a", 1, "steel", 1.0, True) for q in (1, 2)]
