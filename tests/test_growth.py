@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from civicspark.operators import blocks, places, ranking, resolve
+from civicspark.operators import blocks, graph, places, ranking, resolve
 
 
 def plan_of(df) -> str:
@@ -57,3 +57,18 @@ def test_queries_of_one_text_are_resolved_once(spark, monkeypatch):
     names = spark.createDataFrame([("a", 1, "steel"), ("b", 2, "brass")], "kind string, name_id int, name string")
     got = sorted(tuple(r) for r in places.resolve_places(asked, names, ["eel"]).collect())
     assert seen == [2] and got == [(q, "a", 1, "steel", 1.0, True) for q in (1, 2)]
+
+
+def test_a_word_is_looked_up_once_for_all_terms(spark, monkeypatch):
+    seen, inner = [], graph._terms_in
+    monkeypatch.setattr(graph, "_terms_in", lambda word, *rest: seen.append(word) or inner(word, *rest))
+    wanted = {k: [f"term{k}", "old"] for k in range(500)} | {"none": ["of olden"], "marks": ["c++", "é"]}
+    texts = [(1, "old term7 olden term7"), (2, "of olden term7"), (3, "c++é term77x"), (4, "")]
+    assert set(graph._answered(iter(texts), wanted)) == {(1, 7), (2, 7), (2, "none"), (3, "marks")}
+    assert sorted(seen) == ["c", "of", "old", "olden", "term7", "term77x", "é"]
+    # questions are read as a whole in one pass, and rows of one text are given once
+    docs = spark.createDataFrame([(1, "Old Bridges"), (1, "old BRIDGE"), (2, None)], "doc int, text string")
+    asked = spark.createDataFrame([("a", "old"), ("a", "bridge"), ("b", "bridges"), ("c", "no")], "question string, term string")
+    found = graph.holding_all_terms(docs, asked)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a"), (1, "b")]
+    assert plan_of(graph.holding_all_terms(docs, asked)).count("MapInArrow") == 1 and graph.holding_all_terms(docs, asked.where("question = 'c'")).collect() == []
