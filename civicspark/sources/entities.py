@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from civicspark.functions.text import column_name, parse_moment, trimmed
 
 
-def read_folder(spark: SparkSession, path: str, pattern: str = "[!.]*.json") -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of a folder of files that are one JSON document each; columns doc (its file) and body (its text)."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("body"))
+def read_folder(spark: SparkSession, path: str, pattern: str = "[!.]*.json", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of a folder of files that are one JSON document each, or one on each line with ``lines``; columns doc (its file) and body (its text)."""
+    raw = spark.read.text(path, wholetext=not lines, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("body"))
     whole = F.try_parse_json("body").isNotNull()
     return raw.where(whole), raw.where(~whole)
 

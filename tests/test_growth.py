@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
 from civicspark.operators import blocks, graph, places, ranking, resolve
+from civicspark.plans import catalog_import
+from civicspark.sources import entities
 
 
 def plan_of(df) -> str:
@@ -72,3 +75,13 @@ def test_a_word_is_looked_up_once_for_all_terms(spark, monkeypatch):
     found = graph.holding_all_terms(docs, asked)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a"), (1, "b")]
     assert plan_of(graph.holding_all_terms(docs, asked)).count("MapInArrow") == 1 and graph.holding_all_terms(docs, asked.where("question = 'c'")).collect() == []
+
+
+def test_thread_files_do_not_grow_in_number_with_the_threads(spark, tmp_path):
+    turns = [(k, t, "user", f"line\none {k}") for k in range(100) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    path = Path(catalog_import.thread_files(spark, str(tmp_path)))
+    files = list(path.rglob("*.txt"))
+    assert 0 < len(files) <= 32 and all(f.parent == path for f in files)
+    docs, rejects = entities.read_folder(spark, str(path), "*.txt", lines=True)
+    assert (docs.count(), rejects.count()) == (97, 3)
