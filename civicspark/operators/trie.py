@@ -16,14 +16,16 @@ then meets each trie, its matches are brought together by document, and the choi
 from __future__ import annotations
 
 import re
+import sys
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of names that are sent to every task at once.
-NAMES_AT_ONCE = 500_000
+#: Tokens of names that are sent to every task at once: under 1 GB in a task's table.
+NAMES_AT_ONCE = 4_000_000
 #: Texts that meet one group of names together where these are dealt.
 TEXTS_AT_ONCE = 20_000
 ROWS_OUT = 1 << 15
@@ -36,17 +38,38 @@ Match = tuple[int, int, int, object, str]  # start, end, length that the choice
 
 
 def trie(names: Iterable[tuple[object, str]], way: str = "words") -> dict:
-    """Nested tables by token; ``HERE`` lists the (id, name) that end at a node, in order."""
+    """Nested tables by token; ``HERE`` has the (id, name) that end at a node, in order."""
     root: dict = {}
-    for name_id, name in sorted(names, key=lambda x: (x[1], str(x[0]))):
+    several: list[dict] = []
+    for name_id, name in names:
         node = root
         for token in TOKENS[way][0].findall(name.lower()):
-            node = node.setdefault(token, {})
+            node = node.setdefault(sys.intern(token), {})
         if node is not root:
-            node.setdefault(HERE, []).append((name_id, name))
+            row, held = (name if name_id == name else name_id, name), node.get(HERE)
+            if held is None:
+                node[HERE] = (row,)
+            elif isinstance(held, list):
+                held.append(row)
+            else:
+                node[HERE] = [*held, row]
+                several.append(node)
+    for node in several:
+        node[HERE].sort(key=lambda x: (x[1], str(x[0])))
     return root
 
 
+#: The last table of names that a Python worker built; its next tasks use it again.
+_built: dict[str, dict] = {}
+
+
+def _once(key: str, names: pa.Table, way: str) -> dict:
+    if key not in _built:
+        _built.clear()
+        _built[key] = trie(_pairs(names), way)
+    return _built[key]
+
+
 def matches(text: str, root: dict, way: str = "words") -> Iterator[Match]:
     """Every place where a name stands, from the left."""
     spans = [m.span() for m in TOKENS[way][0].finditer(text)]
@@ -100,6 +123,12 @@ def from_the_left(found: Iterable[Match]) -> list[Match]:
 CHOICES: dict[str, Callable[[Iterable[Match]], Iterable[Match]]] = {"longest": longest_first, "leftmost": from_the_left, "all": list}
 
 
+def _pairs(names: pa.Table) -> Iterator[tuple[object, str]]:
+    """(id, name) of a table of names, a batch at a time."""
+    for batch in names.to_batches(max_chunksize=10_000):
+        yield from zip(batch.column("name_id").to_pylist(), batch.column("name").to_pylist())
+
+
 def name_matches(docs: DataFrame, names: DataFrame, choice: str = "longest", way: str = "words") -> DataFrame:
     """(doc, name_id, name, start, end): chosen matches of names (name_id, name) in texts (doc, text).
 
@@ -111,7 +140,7 @@ def name_matches(docs: DataFrame, names: DataFrame, choice: str = "longest", way
     wanted = names.select("name_id", "name").where("name is not null").distinct()
     texts = docs.select("doc", "text").where("text is not null")
     told = wanted.limit(NAMES_AT_ONCE + 1).toArrow()
-    size = sum(len(TOKENS[way][0].findall(n)) for n in told.column("name").to_pylist())
+    size = sum(len(TOKENS[way][0].findall(n)) for _, n in _pairs(told))
     few = told.num_rows <= NAMES_AT_ONCE and size <= NAMES_AT_ONCE
 
     def batch(rows: list[tuple[object, Match]], doc: pa.DataType, ident: pa.DataType) -> pa.RecordBatch:
@@ -132,8 +161,8 @@ def name_matches(docs: DataFrame, names: DataFrame, choice: str = "longest", way
                 yield batch(rows, kind, ident)
 
     if few:
-        listed, ident = list(zip(told.column("name_id").to_pylist(), told.column("name").to_pylist())), told.schema.field("name_id").type
-        return texts.mapInArrow(lambda batches: walk(batches, trie(listed, way), ident, pick), schema)
+        ident, key = told.schema.field("name_id").type, uuid.uuid4().hex
+        return texts.mapInArrow(lambda batches: walk(batches, _once(key, told, way), ident, pick), schema)
 
     size = wanted.agg(F.sum(F.regexp_count("name", F.lit(TOKENS[way][1])))).first()[0]
     groups = max(2, -(-size // NAMES_AT_ONCE))
@@ -145,7 +174,7 @@ def name_matches(docs: DataFrame, names: DataFrame, choice: str = "longest", way
     empty = docs.sparkSession.createDataFrame([], schema).toArrow()
 
     def met(given: pa.Table, some: pa.Table) -> pa.Table:
-        root = trie(zip(some.column("name_id").to_pylist(), some.column("name").to_pylist()), way)
+        root = trie(_pairs(some), way)
         made = list(walk(given.to_batches(), root, some.schema.field("name_id").type, list))
         return pa.Table.from_batches(made) if made else empty
 

@@ -6,8 +6,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from civicspark.operators import blocks, graph, places, ranking, resolve
+from civicspark.operators import blocks, graph, places, ranking, resolve, trie
 from civicspark.plans import catalog_import
 from civicspark.sources import entities
 
@@ -85,3 +86,21 @@ def test_thread_files_do_not_grow_in_number_with_the_threads(spark, tmp_path):
     assert 0 < len(files) <= 32 and all(f.parent == path for f in files)
     docs, rejects = entities.read_folder(spark, str(path), "*.txt", lines=True)
     assert (docs.count(), rejects.count()) == (97, 3)
+
+
+def test_texts_are_not_copied_for_names_of_a_few_gigabytes(spark):
+    names = spark.range(180_000).select(F.col("id").alias("name_id"), F.format_string("a%d b%d c%d", "id", "id", "id").alias("name"))
+    docs = spark.createDataFrame([(1, "x a7 b7 c7 a9 b9"), (2, "a179999  B179999, c179999"), (3, None)], "doc int, text string")
+    found = trie.name_matches(docs, names)
+    plan = plan_of(found)
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Exchange" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7, "a7 b7 c7", 1, 4), (2, 179999, "a179999 b179999 c179999", 0, 3)]
+
+
+def test_a_worker_builds_a_table_of_names_once(monkeypatch):
+    built, inner = [], trie.trie
+    monkeypatch.setattr(trie, "trie", lambda names, way: built.append(way) or inner(names, way))
+    names = pa.table({"name_id": [2, 1, 3], "name": ["a b", "a b", "A"]})
+    tables = [trie._once(key, names, "words") for key in ("one", "one", "two")]
+    assert len(built) == 2 and tables[0] is tables[1] and list(trie._built) == ["two"]
+    assert list(trie.matches("a b", tables[0])) == [(0, 1, 1, 3, "A"), (0, 2, 3, 1, "a b"), (0, 2, 3, 2, "a b")]
