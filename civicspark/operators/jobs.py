@@ -40,6 +40,28 @@ def named_item(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), "^0+(?=.)", "")
 
 
+def attached_protocols(pairs: DataFrame, candidates: DataFrame, outcomes: Sequence[tuple[str, str]], section: str, item: str, council: str = "GR", tasks: int | None = None) -> DataFrame:
+    """(pair, document, outcome, derived, attached, source) of all candidates of pairs; see ``protocols``.
+
+    derived is the decision that a pair without an outcome takes, attached whether the document belongs to the
+    pair, source whether it is the document that was derived from. Each text is judged once. Both sides are dealt
+    by pair into ``tasks`` parts; without a number Spark chooses it.
+    """
+    dealt = lambda df: df if tasks is None else df.repartition(tasks, "pair")
+    joined = dealt(candidates).dropDuplicates(["pair", "document"]).join(dealt(pairs), "pair")
+    text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
+    days = [F.date_format("day", form) for form in ("dd.MM.yyyy", "dd. MMMM yyyy", "dd. MM. yyyy")]
+    session = reduce(lambda a, b: a | b, (F.coalesce(F.contains(where, d), F.lit(False)) for d in days for where in (text, name)), F.contains(name, F.lit(council)))
+    found = decision(text, section, outcomes, item)
+    judged = joined.withColumn("found", found).withColumns({"session": session, "top": item_verified(text, F.col("number"), F.col("outcome"), F.col("found"), item)[0]})
+    judged = judged.select("pair", "document", "outcome", "found", "session", "top")
+    tells = F.col("outcome").isNull() & F.col("top") & F.col("found").isNotNull()
+    first = F.min(F.when(tells & F.col("document").isNotNull(), F.struct("document", "found"))).over(Window.partitionBy("pair"))
+    known = judged.withColumn("first", first).withColumn("stated", F.coalesce("outcome", F.when(F.col("document") > F.col("first.document"), F.col("first.found"))))
+    attached = F.coalesce(F.col("top") & F.col("session") & (F.col("found") == F.col("stated")), F.lit(False))
+    return known.select("pair", "document", "outcome", F.col("first.found").alias("derived"), attached.alias("attached"), F.coalesce(F.col("document") == F.col("first.document"), F.lit(False)).alias("source"))
+
+
 def protocols(pairs: DataFrame, candidates: DataFrame, outcomes: Sequence[tuple[str, str]], section: str, item: str, council: str = "GR") -> tuple[DataFrame, DataFrame]:
     """(attached (pair, document), derived (pair, outcome, confidence, signal)) of pairs (pair, number, day, outcome).
 
@@ -48,16 +70,9 @@ def protocols(pairs: DataFrame, candidates: DataFrame, outcomes: Sequence[tuple[
     the day stands in text or name, or the name says the council. A pair without an outcome takes the decision
     of its first document of the right item, of whatever session; that document does not attach, later ones may.
     """
-    joined = candidates.dropDuplicates(["pair", "document"]).join(pairs, "pair")
-    text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
-    days = [F.date_format("day", form) for form in ("dd.MM.yyyy", "dd. MMMM yyyy", "dd. MM. yyyy")]
-    session = reduce(lambda a, b: a | b, (F.coalesce(F.contains(where, d), F.lit(False)) for d in days for where in (text, name)), F.contains(name, F.lit(council)))
-    found = decision(text, section, outcomes, item)
-    judged = joined.withColumns({"found": found, "session": session, "top": item_verified(text, F.col("number"), F.col("outcome"), found, item)[0]})
-    first = judged.where("outcome is null and top and found is not null").groupBy("pair").agg(F.min_by("found", "document").alias("derived"), F.min("document").alias("by"))
-    known = judged.join(first, "pair", "left").withColumn("stated", F.coalesce("outcome", F.when(F.col("document") > F.col("by"), F.col("derived"))))
-    attached = known.where("top and session and found = stated").select("pair", "document")
-    return attached, first.select("pair", F.col("derived").alias("outcome"), F.lit(0.7).alias("confidence"), F.lit("protocol").alias("signal"))
+    known = attached_protocols(pairs, candidates, outcomes, section, item, council)
+    derived = known.where("source").select("pair", F.col("derived").alias("outcome"), F.lit(0.7).alias("confidence"), F.lit("protocol").alias("signal"))
+    return known.where("attached").select("pair", "document"), derived
 
 
 def ballot_documents(pairs: DataFrame, candidates: DataFrame, counts: Callable[[Column], tuple[Column, Column]], expected: Mapping[str, str], item: str = NAMED_ITEM) -> DataFrame:
