@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import trimmed, without_code_fence
@@ -55,7 +55,7 @@ def parity(old: DataFrame, new: DataFrame, tolerance: float) -> DataFrame:
     return joined.where(F.col("old_score").isNull() | F.col("new_score").isNull() | (F.abs(F.col("old_score") - F.col("new_score")) > tolerance))
 
 
-def search_parity(old: DataFrame, new: DataFrame, tolerance: float = 0.02) -> DataFrame:
+def search_parity(old: DataFrame, new: DataFrame, tolerance: float = 0.02, tasks: int | None = None) -> DataFrame:
     """(query_id, key, finding, before, after): where two snapshots (query_id, key, distance, signals) of a batch of searches part.
 
     signals is a map from each signal that found a key to its distance. A query that the new snapshot
@@ -64,10 +64,19 @@ def search_parity(old: DataFrame, new: DataFrame, tolerance: float = 0.02) -> Da
     another set of signals, and a distance of a signal on both sides that is apart are findings; before and after
     are the distances in question. Queries that only the new snapshot has are passed over. A query is known by its
     rows, and (query_id, key) is unique in each snapshot.
+
+    Rows of both snapshots are put together and dealt by query, into ``tasks`` parts or as many as Spark chooses;
+    there the two of a key meet, and the state of a query is a window over its keys.
     """
-    told = lambda df, side: df.select("query_id", "key", F.struct("distance", F.coalesce("signals", F.create_map().cast("map<string,double>")).alias("signals")).alias(side))
-    both = told(old, "a").join(told(new, "b"), ["query_id", "key"], "full")
-    state = both.groupBy("query_id").agg(F.count("a").alias("n_old"), F.count("b").alias("n_new"), F.bool_or(F.col("a").isNull() != F.col("b").isNull()).alias("differs")).where("n_old > 0")
+    side = F.struct("distance", F.coalesce("signals", F.create_map().cast("map<string,double>")).alias("signals"))
+    told = lambda df, name: df.select("query_id", "key", F.lit(name).alias("of"), side.alias("x"))
+    rows = told(old, "a").unionByName(told(new, "b"))
+    dealt = rows.repartition("query_id") if tasks is None else rows.repartition(tasks, "query_id")
+    one = lambda name: F.first(F.when(F.col("of") == name, F.col("x")), ignorenulls=True).alias(name)
+    both = dealt.groupBy("query_id", "key", F.when(F.col("key").isNull(), F.col("of")).alias("apart")).agg(one("a"), one("b"))  # no key is the same as another one that is null
+    of_query = Window.partitionBy("query_id")
+    state = {"n_old": F.count("a"), "n_new": F.count("b"), "differs": F.bool_or(F.col("a").isNull() != F.col("b").isNull()), "least": F.row_number()}
+    known = both.withColumns({c: f.over(of_query.orderBy("key") if c == "least" else of_query) for c, f in state.items()}).where("n_old > 0")
     none = F.lit(None).cast("double")
     finding = lambda name, before=none, after=none: F.struct(F.lit(name).alias("finding") if isinstance(name, str) else name.alias("finding"), before.alias("before"), after.alias("after"))
     apart = lambda x, y: (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tolerance, F.lit(False))
@@ -79,10 +88,9 @@ def search_parity(old: DataFrame, new: DataFrame, tolerance: float = 0.02) -> Da
         F.transform(shared, lambda s: finding(F.concat(F.lit("signal "), s), F.element_at("a.signals", s), F.element_at("b.signals", s))),
     )
     one_side = F.array(F.when(F.col("a").isNull(), finding("extra key", none, after)).otherwise(finding("missing key", before, none)))
-    settled = F.when(~F.col("differs"), in_both).when(F.col("a").isNull() | F.col("b").isNull(), one_side)
-    found = both.join(state.where("n_new > 0").select("query_id", "differs"), "query_id").select("query_id", "key", F.explode(settled).alias("f")).select("query_id", "key", "f.*")
-    lost = state.where("n_new = 0").select("query_id", F.lit(None).cast(dict(old.dtypes)["key"]).alias("key"), finding("missing query").alias("f")).select("query_id", "key", "f.*")
-    return found.unionByName(lost)
+    lost = F.when(F.col("least") == 1, F.array(finding("missing query")))
+    settled = F.when(F.col("n_new") == 0, lost).when(F.col("query_id").isNull(), None).when(~F.col("differs"), in_both).when(F.col("a").isNull() | F.col("b").isNull(), one_side)
+    return known.select("query_id", F.when(F.col("n_new") > 0, F.col("key")).alias("key"), F.explode(settled).alias("f")).select("query_id", "key", "f.*")
 
 
 def unreferenced(items: DataFrame, key: str, links: Sequence[tuple[DataFrame, str]]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from civicspark.operators import clusters, filters, graph, quality, ranking, tags, timeline
 from civicspark.plans.catalog import COSINE, TAGS_SQL, query, tag_rows
 from civicspark.sources import entities
-from civicspark.sources.tables import shared_folder, table
+from civicspark.sources.tables import shared_folder, table, tasks_for
 
 
 @query("a8_tag_details", f"""
@@ -80,10 +80,11 @@ UNION ALL SELECT query_id, key, 'signals', NULL, NULL FROM r WHERE NOT differs A
 UNION ALL SELECT query_id, key, 'signal name', na, nb FROM r WHERE NOT differs AND abs(na - nb) > 0.02 UNION ALL SELECT query_id, key, 'signal content', ca, cb FROM r WHERE NOT differs AND abs(ca - cb) > 0.02""")
 def search_parity(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as searches, their parts as what was found; the newer snapshot lacks some searches and some parts and has other distances."""
-    line = F.col("l_linenumber")
+    line, lines = F.col("l_linenumber"), table(spark, sf, "lineitem")
+    tasks = tasks_for(lines, 100_000)  # a row is in both snapshots
 
     def snapshot(tax, discount, unnamed: int, lost: int, left_out: int) -> DataFrame:
-        rows = table(spark, sf, "lineitem").where((F.col("l_orderkey") % 11 != lost) & ((F.col("l_orderkey") % 5 > 0) | (line != left_out)))
+        rows = lines.where((F.col("l_orderkey") % 11 != lost) & ((F.col("l_orderkey") % 5 > 0) | (line != left_out))).repartition(tasks, "l_orderkey")
         found = rows.groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("key")).agg(
             F.max(F.when(line != 6, F.round(tax, 4))).alias("distance"), F.round(F.max(F.when(line != unnamed, discount)), 4).alias("name"), F.round(F.max(F.when(F.col("l_returnflag") == "R", F.col("l_tax"))), 4).alias("content")
         )
@@ -92,7 +93,7 @@ def search_parity(spark: SparkSession, sf: str) -> DataFrame:
 
     old = snapshot(F.col("l_tax"), F.col("l_discount"), 5, 3, 2)
     new = snapshot(F.col("l_tax") + F.when(line == 4, 0.05).otherwise(0.01), F.col("l_discount") + F.when(line == 7, 0.5).otherwise(0.0), 3, 7, 3)
-    return quality.search_parity(old, new)
+    return quality.search_parity(old, new, tasks=tasks)
 
 
 @query("w5_effective_queries", r"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from civicspark.operators import jobs
+from pyspark.sql import functions as F
+
+from civicspark.operators import jobs, quality
 from civicspark.sources import tables
 
 
@@ -32,3 +34,18 @@ def test_protocols_are_judged_once_in_the_parts_asked_for(spark):
     assert got == {(1, 1): ("rejected", False, False), (1, 2): ("rejected", False, True), (1, 3): ("rejected", True, False), (1, 4): ("rejected", False, False), (2, 1): (None, True, False), (2, 2): none, (3, 1): none}
     attached, derived = jobs.protocols(pairs, candidates, *rules)
     assert sorted(map(tuple, attached.collect())) == [(1, 3), (2, 1)] and [tuple(r) for r in derived.collect()] == [(1, "rejected", 0.7, "protocol")]
+
+
+def test_snapshots_meet_in_one_exchange_of_each_and_nulls_as_in_a_full_join(spark):
+    row = lambda q, k, d, **signals: (q, k, d, signals or None)
+    schema = "query_id int, key int, distance double, signals map<string,double>"
+    a = spark.createDataFrame([row(1, 1, 0.1, s=0.5), row(1, 2, 0.2), row(2, 1, 0.3), row(3, None, 0.1), row(None, 1, 0.1), row(5, 1, 0.1, s=0.1, t=0.1)], schema)
+    b = spark.createDataFrame([row(1, 1, 0.2, s=0.9), row(1, 2, 0.2, s=0.1), row(2, 2, 0.3), row(3, None, 0.1), row(4, 1, 0.1), row(5, 1, None, s=0.2)], schema)
+    found = quality.search_parity(a, b, tasks=7)
+    plan = plan_of(found)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count(", 7), REPARTITION_BY_NUM") == 1
+    got = sorted(map(tuple, found.collect()), key=str)
+    want = [(1, 1, "distance", 0.1, 0.2), (1, 1, "signal s", 0.5, 0.9), (1, 2, "signals", None, None), (2, 1, "missing key", 0.3, None), (2, 2, "extra key", None, 0.3), (3, None, "missing key", 0.1, None), (3, None, "extra key", None, 0.1)]
+    want += [(None, None, "missing query", None, None), (5, 1, "distance", 0.1, None), (5, 1, "signals", None, None), (5, 1, "signal s", 0.1, 0.2)]
+    assert got == sorted(want, key=str)
+    assert quality.search_parity(a.where(F.col("query_id") == 1), b.where("query_id = 4")).select("finding").collect() == [("missing query",)]
