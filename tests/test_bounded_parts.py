@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import jobs, quality
+from civicspark.operators import chunks, jobs, quality
 from civicspark.sources import tables
 
 
@@ -49,3 +50,14 @@ def test_snapshots_meet_in_one_exchange_of_each_and_nulls_as_in_a_full_join(spar
     want += [(None, None, "missing query", None, None), (5, 1, "distance", 0.1, None), (5, 1, "signals", None, None), (5, 1, "signal s", 0.1, 0.2)]
     assert got == sorted(want, key=str)
     assert quality.search_parity(a.where(F.col("query_id") == 1), b.where("query_id = 4")).select("finding").collect() == [("missing query",)]
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    texts = ["the red red house and a Red car", "red cars, 4 carsé", None, "", "car"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    found = chunks.word_weights(docs, ["the", "and"])
+    plan = plan_of(found)
+    assert "doc#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line) and plan.count("hashpartitioning(word") == 1
+    got = {r.word: (r.total, r.docs, r.tfidf) for r in found.collect()}
+    told = {"red": (4, 2), "house": (1, 1), "car": (2, 2), "cars": (1, 1), "carsé": (1, 1)}
+    assert got == {w: (n, d, round(n / d * math.log(5 / d), 6)) for w, (n, d) in told.items()}
