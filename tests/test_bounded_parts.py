@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import chunks, jobs, quality
+from civicspark.operators import chunks, graph, jobs, quality
 from civicspark.sources import tables
 
 
@@ -61,3 +61,16 @@ def test_words_are_counted_where_texts_are_read(spark):
     got = {r.word: (r.total, r.docs, r.tfidf) for r in found.collect()}
     told = {"red": (4, 2), "house": (1, 1), "car": (2, 2), "cars": (1, 1), "carsé": (1, 1)}
     assert got == {w: (n, d, round(n / d * math.log(5 / d), 6)) for w, (n, d) in told.items()}
+
+
+def test_edges_that_no_node_touches_are_not_made_distinct(spark):
+    lines = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 7), (3, 9)], "a int, b int")
+    made = graph.edges([(lines, graph.Link("ab", "a", "a", "b", "b")), (lines, graph.Link("back", "a", "a", "b", "b", reverse=True))])
+    seeds = spark.createDataFrame([("a_1",), ("b_7",)], "node string")
+    found = graph.neighbourhood(F.broadcast(seeds), made, 5)
+    plan = plan_of(found)
+    # each of the four readings meets the seeds before anything is grouped or moved
+    assert plan.count("BroadcastHashJoin") == 4 and all("HashAggregate" not in part.split("BroadcastHashJoin")[-1].splitlines()[0] for part in plan.split("Scan")[:-1])
+    assert all(plan.splitlines()[i + 1].lstrip(" :+-*()0123456789").startswith(("Project", "Filter", "BroadcastExchange")) for i, line in enumerate(plan.splitlines()) if "BroadcastHashJoin" in line)
+    got = sorted(tuple(r)[:5] for r in found.collect())
+    assert got == sorted([("a_1", "b_7", "ab", "a_1", "b_7"), ("a_1", "b_8", "ab", "a_1", "b_8"), ("a_1", "b_7", "back", "b_7", "a_1"), ("a_1", "b_8", "back", "b_8", "a_1"), ("b_7", "a_1", "back", "b_7", "a_1"), ("b_7", "a_2", "back", "b_7", "a_2"), ("b_7", "a_1", "ab", "a_1", "b_7"), ("b_7", "a_2", "ab", "a_2", "b_7")])
