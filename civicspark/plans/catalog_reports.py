@@ -151,11 +151,11 @@ n AS (SELECT query_id, key, p_size, {TRIGRAMS.format("query")} AS a, {TRIGRAMS.f
 s AS (SELECT query_id, key, p_size, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS sim FROM n)"""
 
 
-def place_links(spark: SparkSession, sf: str, key: str) -> DataFrame:
-    """Suppliers as places that a query (the name of the part of that number) was resolved to."""
+def place_links(spark: SparkSession, sf: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Links of suppliers as places, and the queries (the name of the part of that number) that were resolved to them."""
     asked = table(spark, sf, "supplier").join(table(spark, sf, "part"), F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("query_id"), F.col("p_name").alias("query"))
     status = F.when(F.col("l_returnflag") == "R", "boilerplate").when(F.col("l_returnflag") == "A", "content")
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias(key), status.alias("gate_status")).join(asked, "query_id")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias(key), status.alias("gate_status")), asked
 
 
 @query("r14_linked_files", f"""{LINKED},
@@ -166,12 +166,12 @@ def linked_files(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("p_size") > 9, F.date_add(F.lit("1990-01-01").cast("date"), F.col("p_size")).cast("timestamp"))
     files = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("name"), own.alias("date"))
     meetings = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("file"), F.col("l_shipdate").cast("timestamp").alias("start"))
-    return places.linked_files(place_links(spark, sf, "file"), files, meetings, 20)
+    return places.linked_files(*place_links(spark, sf, "file"), files, meetings, 20)
 
 
 @query("r14_linked_items", f"{LINKED} SELECT query_id, key AS item, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, key) AS place FROM s QUALIFY place <= 50")
 def linked_items(spark: SparkSession, sf: str) -> DataFrame:
-    return places.linked_items(place_links(spark, sf, "item"), table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name")))
+    return places.linked_items(*place_links(spark, sf, "item"), table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name")))
 
 
 @query("s11_profile_samples", """

@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import chunks, graph, jobs, quality
+from civicspark.operators import chunks, graph, jobs, places, quality
 from civicspark.sources import tables
 
 
@@ -74,3 +74,22 @@ def test_edges_that_no_node_touches_are_not_made_distinct(spark):
     assert all(plan.splitlines()[i + 1].lstrip(" :+-*()0123456789").startswith(("Project", "Filter", "BroadcastExchange")) for i, line in enumerate(plan.splitlines()) if "BroadcastHashJoin" in line)
     got = sorted(tuple(r)[:5] for r in found.collect())
     assert got == sorted([("a_1", "b_7", "ab", "a_1", "b_7"), ("a_1", "b_8", "ab", "a_1", "b_8"), ("a_1", "b_7", "back", "b_7", "a_1"), ("a_1", "b_8", "back", "b_8", "a_1"), ("b_7", "a_1", "back", "b_7", "a_1"), ("b_7", "a_2", "back", "b_7", "a_2"), ("b_7", "a_1", "ab", "a_1", "b_7"), ("b_7", "a_2", "ab", "a_2", "b_7")])
+
+
+def test_linked_names_are_compared_once_or_after_the_cap(spark):
+    links = spark.createDataFrame([(q, i, g) for q in (1, 2, 3) for i in range(6) for g in ("content", None)] + [(1, 6, "boilerplate"), (9, 1, None)], "query_id int, item int, gate_status string")
+    queries = spark.createDataFrame([(1, "big ring"), (2, "big ring"), (3, None)], "query_id int, query string")
+    names = ["small ring", "big ring", None, "big ring", "big rings", "xyz", "big ring"]
+    items = spark.createDataFrame(list(enumerate(names)), "item int, name string")
+    found = places.linked_items(links, queries, items, 4)
+    plan = plan_of(found)
+    assert plan.count("HashAggregate(keys=[_query") == 2  # the texts that are compared are made distinct before
+    got = sorted((r.query_id, r.place, r.item, r.sim) for r in found.collect())
+    near = got[2][3]
+    assert 0.4 < near < 1 and [g for g in got if g[0] < 3] == [(q, p, i, s) for q in (1, 2) for p, i, s in ((1, 1, 1.0), (2, 3, 1.0), (3, 4, near), (4, 0, got[3][3]))]
+    assert [g for g in got if g[0] == 3] == [(3, p, p - 1, None) for p in (1, 2, 3, 4)]
+    files = items.select(F.col("item").alias("file"), "name", F.when(F.col("item") == 2, dt.datetime(2024, 1, 2)).alias("date"))
+    meetings = spark.createDataFrame([(4, dt.datetime(2023, 1, 1)), (4, dt.datetime(2025, 1, 1)), (2, dt.datetime(2022, 1, 1))], "file int, start timestamp")
+    told = places.linked_files(links.withColumnRenamed("item", "file"), queries, files, meetings, 3)
+    assert plan_of(told).split("Window [row_number")[0].count("Join [query_id") == 2  # totals and texts join what the cap left
+    assert sorted((r.query_id, r.place, r.file, r.total) for r in told.collect()) == [(q, p, f, 6) for q in (1, 2, 3) for p, f in ((1, 4), (2, 2), (3, 0))]
