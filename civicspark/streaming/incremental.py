@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from civicspark.functions.text import allowed_query, trimmed
 from civicspark.sources.entities import latest, upsert
@@ -128,41 +129,30 @@ def imported(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").option("mergeSchema", "true").parquet(*folders).drop("version", "range")
 
 
-class Thread(StatefulProcessor):
-    """The last turns of a thread; see ``thread_state``."""
+def _turns_of_a_thread(by: str, keep: int, most: int, cap: int, idle: int | None) -> Callable[..., Iterator[pd.DataFrame]]:
+    """The last turns of a thread, carried from batch to batch; see ``thread_state``."""
 
-    def __init__(self, by: str, keep: int, most: int, cap: int, idle: int | None):
-        self.by, self.keep, self.most, self.cap, self.idle = by, keep, most, cap, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.thread = handle.getValueState("thread", "said array<string>, n int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
-        said, n = self.thread.get() if self.thread.exists() else ([], 0)
-        said, out, last = list(said), [], None
-        turns = sorted((r for batch in rows for r in batch[["turn", "text", "followup"]].itertuples(index=False)), key=lambda r: r.turn)
+    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        said, n = state.get if state.exists else ([], 0)
+        said, out = list(said), []
+        turns = sorted((t for batch in rows for t in zip(batch["turn"], batch["text"], batch["followup"])), key=lambda t: t[0])
         for turn, text, followup in turns:
-            broken = n >= self.most
+            broken = n >= most
             if broken:
                 said, n = [], 0
             joined = bool(followup) and bool(said)
-            query = " · ".join([*said, text])[-self.cap :] if joined else text
-            said, n, last = [*said[-self.keep :], text], n + 1, turn
+            query = " · ".join([*said, text])[-cap:] if joined else text
+            said, n = [*said[-keep:], text], n + 1
             out.append((key[0], int(turn), query, joined, n, broken))
-        self.thread.update((said, n))
-        if self.idle is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        yield pd.DataFrame(out, columns=[self.by, "turn", "query", "concatenated", "turns", "forced_break"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.thread.clear()
-        return iter(())
+        state.update((said, n))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=[by, "turn", "query", "concatenated", "turns", "forced_break"])
 
-    def close(self) -> None:
-        pass
+    return advance
 
 
 def thread_state(turns: DataFrame, by: str = "conv_id", keep: int = 3, most: int = 5, cap: int = 750, idle_ms: int | None = None) -> DataFrame:
@@ -177,7 +167,9 @@ def thread_state(turns: DataFrame, by: str = "conv_id", keep: int = 3, most: int
     """
     good = turns.where(allowed_query(F.col("text"))).select(by, F.col("turn").cast("long").alias("turn"), trimmed(F.col("text")).alias("text"), F.coalesce("followup", F.lit(False)).alias("followup"))
     kind = dict(turns.dtypes)[by]
-    return good.groupBy(by).transformWithStateInPandas(Thread(by, keep, most, cap, idle_ms), f"{by} {kind}, turn long, query string, concatenated boolean, turns int, forced_break boolean", "append", "none" if idle_ms is None else "processingTime")
+    made = f"{by} {kind}, turn long, query string, concatenated boolean, turns int, forced_break boolean"
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return good.groupBy(by).applyInPandasWithState(_turns_of_a_thread(by, keep, most, cap, idle_ms), made, "said array<string>, n int", "append", timeout)
 
 
 def facet_stream(stream: DataFrame, facets: list[str], path: str, checkpoint: str) -> StreamingQuery:

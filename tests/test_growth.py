@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from civicspark.operators import blocks, graph, places, ranking, resolve, trie
-from civicspark.plans import catalog_import
+from civicspark.plans import catalog_import, catalog_streams
 from civicspark.sources import entities
+from civicspark.streaming import incremental
 
 
 def plan_of(df) -> str:
@@ -104,3 +105,37 @@ def test_a_worker_builds_a_table_of_names_once(monkeypatch):
     tables = [trie._once(key, names, "words") for key in ("one", "one", "two")]
     assert len(built) == 2 and tables[0] is tables[1] and list(trie._built) == ["two"]
     assert list(trie.matches("a b", tables[0])) == [(0, 1, 1, 3, "A"), (0, 2, 3, 1, "a b"), (0, 2, 3, 2, "a b")]
+
+
+def test_a_micro_batch_is_written_by_all_tasks_and_stays_one(spark, tmp_path):
+    seen = []
+
+    def start(stream):
+        def apply(batch, number):
+            files = {r[0] for r in batch.select("_metadata.file_path").distinct().collect()}
+            seen.append((number, len(files), sorted(r["id"] for r in batch.collect())))
+
+        return stream.select("id", "_metadata").writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+
+    catalog_streams.run_in_batches(spark, spark.range(0, 90, 1, 3), F.when(F.col("id") % 2 == 0, 0).when(F.col("id") == 1, 1).when(F.col("id") > 1, 3), 4, start)
+    assert [s[:2] for s in seen] == [(0, 3), (1, 1), (2, 0), (3, 3)]  # a batch without rows is one too
+    assert [s[2] for s in seen] == [list(range(0, 90, 2)), [1], [], list(range(3, 90, 2))]
+
+
+def test_threads_are_handed_over_with_their_state(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set(catalog_streams.STORE, catalog_streams.ROCKS)
+    schema = "conv_id string, turn int, text string, followup boolean"
+    made = incremental.thread_state(own.readStream.schema(schema).parquet(str(tmp_path)))
+    assert "FlatMapGroupsInPandasWithState" in made._jdf.queryExecution().analyzed().toString()
+    rows = own.createDataFrame([(c, t, f"{c} {t}", None if t == 3 else True) for c in ("a", "ü", None) for t in range(8)], schema)
+
+    def start(turns):
+        return incremental.thread_state(turns).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+
+    catalog_streams.run_in_batches(own, rows, F.floor(F.col("turn") / 3), 3, start)
+    got = {(r.conv_id, r.turn): (r.query, r.concatenated, r.turns, r.forced_break) for r in own.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 24
+    for c in ("a", "ü", None):
+        assert got[c, 3] == (f"{c} 3", False, 4, False) and got[c, 4] == (" · ".join(f"{c} {t}" for t in range(5)), True, 5, False)
+        assert got[c, 5] == (f"{c} 5", False, 1, True) and got[c, 7] == (f"{c} 5 · {c} 6 · {c} 7", True, 3, False)
