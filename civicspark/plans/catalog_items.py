@@ -152,19 +152,20 @@ SELECT p_brand AS name, count(*) AS features, min(l_orderkey) AS least, max(l_pa
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as feature collections, written as files of JSON lines, read again, their features written by name and read again."""
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    feature = F.struct(
-        F.lit("Feature").alias("type"), F.struct(F.col("p_brand").alias("NAME"), F.col("l_linenumber").alias("NUMMER")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("l_orderkey", "l_partkey").alias("coordinates")).alias("geometry")
+    feature = lambda line: F.struct(
+        F.lit("Feature").alias("type"), F.struct(line.p_brand.alias("NAME"), line.l_linenumber.alias("NUMMER")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("doc", line.l_partkey).alias("coordinates")).alias("geometry")
     )
-    listed = lines.groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(feature).alias("features"))  # an order's lines
+    own = lines.groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(F.struct("p_brand", "l_linenumber", "l_partkey")).alias("lines"))  # an order's lines
+    listed = own.select("doc", F.transform("lines", feature).alias("features"))
     body = F.when(F.col("doc") % 9 > 0, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))).otherwise('{"type": "FeatureCollection", "features": {}}')
     path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
-    listed.select("doc", body.alias("body")).write.json(f"{path}/in")
-    found = entities.features(spark.read.schema("doc long, body string").json(f"{path}/in"))
-    entities.write_by(found.repartition("name"), "name", f"{path}/by-name")
-    point = lambda i: F.get_json_object("geometry", f"$.coordinates[{i}]").cast("long")
-    number = F.get_json_object("properties", "$.NUMMER").cast("long")
+    listed.select(body.alias("body")).write.text(f"{path}/in")
+    found = entities.features(spark.read.text(f"{path}/in").select(F.monotonically_increasing_id().alias("doc"), F.col("value").alias("body")))
+    entities.write_by(found, "name", f"{path}/by-name")
     again = spark.read.schema("doc long, place int, properties string, geometry string, name string").parquet(f"{path}/by-name")
-    return again.groupBy("name").agg(F.count(F.lit(1)).alias("features"), F.min(point(0)).alias("least"), F.max(point(1)).alias("most"), F.sum(number).alias("places"))
+    point, number = F.from_json("geometry", "coordinates array<long>")["coordinates"], F.get_json_object("properties", "$.NUMMER").cast("long")
+    read = again.select("name", point.alias("point"), number.alias("number"))
+    return read.groupBy("name").agg(F.count(F.lit(1)).alias("features"), F.min(F.get("point", 0)).alias("least"), F.max(F.get("point", 1)).alias("most"), F.sum("number").alias("places"))
 
 
 @query("g10_valid_triples", """

@@ -144,12 +144,13 @@ def features(collections: DataFrame, name: str = "NAME") -> DataFrame:
     JSON object with a list of features give nothing, and features without a name stay, with null.
     """
     at = "$.properties['" + name.replace("'", "") + "']"
+    # an object casts to its JSON text at once; anything else is copied out as a value first
+    text = lambda field: f"CASE WHEN try_variant_get(x.value, '$.{field}', 'struct<>') IS NOT NULL THEN try_variant_get(x.value, '$.{field}', 'string') ELSE to_json(try_variant_get(x.value, '$.{field}', 'variant')) END AS {field}"
     view = f"feature_collections_{uuid.uuid4().hex}"
     collections.select("doc", F.try_parse_json("body").alias("v")).where("v is not null").createOrReplaceTempView(view)
     made = collections.sparkSession.sql(f"""
-        SELECT c.doc, x.pos AS place, try_variant_get(x.value, "{at}", 'string') AS name,
-               to_json(try_variant_get(x.value, '$.properties', 'variant')) AS properties, to_json(try_variant_get(x.value, '$.geometry', 'variant')) AS geometry
-        FROM {view} c, LATERAL variant_explode(try_variant_get(c.v, '$.features', 'array<variant>')::variant) AS x""")
+        SELECT c.doc, x.pos AS place, try_variant_get(x.value, "{at}", 'string') AS name, {text("properties")}, {text("geometry")}
+        FROM {view} c, LATERAL variant_explode(try_variant_get(c.v, '$.features', 'variant')) AS x WHERE x.key IS NULL""")
     collections.sparkSession.catalog.dropTempView(view)
     return made
 
@@ -160,7 +161,8 @@ def gazetteer(names: DataFrame, shapes: DataFrame, known: DataFrame) -> DataFram
 
 
 def write_by(df: DataFrame, column: str, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("overwrite").partitionBy(column).format(fmt).save(path)
+    """One folder for each value; a value of very many rows is dealt to several tasks, a file each."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).format(fmt).save(path)
 
 
 def reference_chain(items: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> DataFrame:

@@ -139,3 +139,23 @@ def test_threads_are_handed_over_with_their_state(spark, tmp_path):
     for c in ("a", "ü", None):
         assert got[c, 3] == (f"{c} 3", False, 4, False) and got[c, 4] == (" · ".join(f"{c} {t}" for t in range(5)), True, 5, False)
         assert got[c, 5] == (f"{c} 5", False, 1, True) and got[c, 7] == (f"{c} 5 · {c} 6 · {c} 7", True, 3, False)
+
+
+def test_a_large_name_is_written_by_several_tasks_and_a_small_one_to_one_file(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    own.conf.set("spark.sql.shuffle.partitions", "50")
+    rows = own.range(0, 40000, 1, 8).select(F.when(F.col("id") % 100 == 0, "small").otherwise("large").alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    entities.write_by(rows, "name", str(tmp_path / "by"))
+    files = lambda name: len(list((tmp_path / "by" / f"name={name}").glob("*.parquet")))
+    assert files("small") == 1 and 1 < files("large") <= 8
+    assert own.read.parquet(str(tmp_path / "by")).count() == 40000
+
+
+def test_features_are_objects_or_any_other_json(spark):
+    bodies = ['{"features": [{"properties": {"NAME": "A", "b": [1, 2.50]}, "geometry": {"é": "{\\"x"}}, {"properties": "{a", "geometry": [1, {"c": null}]}, {"properties": null, "geometry": 5}, 7, null, {"properties": {}, "geometry": true}]}']
+    bodies += ['{"features": {"0": {"properties": {"NAME": "no list"}}}}', '{"features": "x"}', '{"features": null}', '[{"features": [{"properties": {"NAME": "no object"}}]}]', '{"features": [', None]
+    found = entities.features(spark.createDataFrame(list(enumerate(bodies)), "doc int, body string"))
+    assert "array<variant>" not in found._jdf.queryExecution().analyzed().toString()
+    got = [tuple(r) for r in found.orderBy("doc", "place").collect()]
+    assert got == [(0, 0, "A", '{"NAME":"A","b":[1,2.5]}', '{"é":"{\\"x"}'), (0, 1, None, '"{a"', '[1,{"c":null}]'), (0, 2, None, "null", "5"), (0, 3, None, None, None), (0, 4, None, None, None), (0, 5, None, "{}", "true")]
