@@ -92,9 +92,9 @@ def against(queries: DataFrame, items: DataFrame, reduce: Reduce, schema: str) -
     return given.groupBy("block", "deal").cogroup(dealt.groupBy("block", "deal")).applyInArrow(grouped, schema)
 
 
-def _best(table: pa.Table, groups: list[str], n: int) -> pa.Table:
+def _best(table: pa.Table, groups: list[str], n: int, tie: str = "key") -> pa.Table:
     """The best n rows of each group: largest score first, then the smallest key."""
-    keys = [*((g, "ascending") for g in groups), ("score", "descending"), ("key", "ascending")]
+    keys = [*((g, "ascending") for g in groups), ("score", "descending"), (tie, "ascending")]
     table = table.take(pc.sort_indices(table, sort_keys=keys))
     first = np.ones(table.num_rows, bool)
     if table.num_rows > 1:
@@ -104,8 +104,17 @@ def _best(table: pa.Table, groups: list[str], n: int) -> pa.Table:
     return table.filter(pa.array(place < n))
 
 
-def _kept(ids: pa.Array, blocks: Blocks, n: int, least: float, groups: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A task's best n of each group of queries; scores that no longer count are dropped before they become rows."""
+def _kept(ids: pa.Array, blocks: Blocks, n: int | None, least: float, group: str | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A task's best n of each query; scores that no longer count are dropped before they become rows.
+
+    With a group these are the best one of each of the n best groups, or of all groups if n is None.
+    """
+
+    def best_of(table: pa.Table) -> pa.Table:
+        if group:
+            table = _best(table, ["q", group], 1)
+        return table if n is None else _best(table, ["q"], n, group or "key")
+
     floor = np.full(len(ids), -np.inf)
     held: list[pa.Table] = []
     rows, limit = 0, HELD
@@ -118,15 +127,15 @@ def _kept(ids: pa.Array, blocks: Blocks, n: int, least: float, groups: list[str]
         held.append(pa.table(columns))
         rows += len(which)
         if rows > limit:
-            best = _best(pa.concat_tables(held), ["q", *groups], n)
+            best = best_of(pa.concat_tables(held))
             held, rows, limit = [best], best.num_rows, max(HELD, 2 * best.num_rows)
-            if not groups:  # the n-th score of a query bounds what can still count
+            if n is not None:  # the n-th score of a query bounds what can still count
                 q, score = best.column("q").to_numpy(), best.column("score").to_numpy()
                 last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
                 full = np.bincount(q, minlength=len(ids))[q[last]] >= n
                 floor[q[last[full]]] = score[last[full]]
     if held:
-        best = _best(pa.concat_tables(held), ["q", *groups], n).combine_chunks()
+        best = best_of(pa.concat_tables(held)).combine_chunks()
         query = ids.take(best.column("q").combine_chunks())
         out = pa.table({"query_id": query} | {c: best.column(c) for c in names} | {"score": best.column("score")})
         yield from out.to_batches(max_chunksize=1 << 16)
@@ -140,14 +149,18 @@ def best_items(queries: DataFrame, items: DataFrame, n: int, most_distance: floa
     """(query_id, key, score): for each query the best n items (key, vector) of every task; the caller merges and ranks."""
     kinds = _types(queries, "query_id") + _types(items, "key")
     schema = f"query_id {kinds[0]}, key {kinds[1]}, score double"
-    return against(queries, items.select("key", "vector"), partial(_kept, n=n, least=most_distance, groups=[], names=["key"]), schema)
+    return against(queries, items.select("key", "vector"), partial(_kept, n=n, least=most_distance, group=None, names=["key"]), schema)
+
 
+def best_parts(queries: DataFrame, parts: DataFrame, n: int | None = None) -> DataFrame:
+    """(query_id, doc, chunk, score): for each query and document the best part (doc, chunk, vector) of every task.
 
-def best_parts(queries: DataFrame, parts: DataFrame) -> DataFrame:
-    """(query_id, doc, chunk, score): for each query and document the best part (doc, chunk, vector) of every task."""
+    With n only the best n documents of each query and task, the smaller of equal ones first. None of a query's
+    first n is lost: where its best part is, only documents that come before it over all can come before it.
+    """
     kinds = _types(queries, "query_id") + _types(parts, "doc", "chunk")
     schema = f"query_id {kinds[0]}, doc {kinds[1]}, key {kinds[2]}, score double"
-    found = against(queries, parts.select("doc", F.col("chunk").alias("key"), "vector"), partial(_kept, n=1, least=float("inf"), groups=["doc"], names=["doc", "key"]), schema)
+    found = against(queries, parts.select("doc", F.col("chunk").alias("key"), "vector"), partial(_kept, n=n, least=float("inf"), group="doc", names=["doc", "key"]), schema)
     return found.withColumnRenamed("key", "chunk")
 
 

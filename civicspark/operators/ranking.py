@@ -50,10 +50,14 @@ def vector_recall(queries: DataFrame, items: DataFrame, most_distance: float = 0
     return top_per(best_items(queries, items, n, most_distance), ["query_id"], [F.desc("score"), F.col("key")], n).select("query_id", "key", "score", "rank")
 
 
-def best_chunk(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, doc, score, chunk): each document's best chunk (doc, chunk, vector) for each query of a stated batch; of equal ones the smaller."""
+def best_chunk(queries: DataFrame, chunks: DataFrame, n: int | None = None) -> DataFrame:
+    """(query_id, doc, score, chunk): each document's best chunk (doc, chunk, vector) for each query of a stated batch; of equal ones the smaller.
+
+    For callers that take the first n documents of a query by score and doc, n keeps the others out of the shuffle.
+    """
     top = F.min_by(F.struct("score", "chunk"), F.struct((-F.col("score")).alias("s"), F.col("chunk").alias("c")))
-    return best_parts(queries, chunks).groupBy("query_id", "doc").agg(top.alias("b")).select("query_id", "doc", "b.score", "b.chunk")
+    best = best_parts(queries, chunks, n).groupBy("query_id", "doc").agg(top.alias("b")).select("query_id", "doc", "b.score", "b.chunk")
+    return best if n is None else top_per(best, ["query_id"], [F.desc("score"), F.col("doc")], n).drop("rank")
 
 
 def fuse(ranked: DataFrame, k: int = 60) -> DataFrame:

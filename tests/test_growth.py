@@ -159,3 +159,21 @@ def test_features_are_objects_or_any_other_json(spark):
     assert "array<variant>" not in found._jdf.queryExecution().analyzed().toString()
     got = [tuple(r) for r in found.orderBy("doc", "place").collect()]
     assert got == [(0, 0, "A", '{"NAME":"A","b":[1,2.5]}', '{"é":"{\\"x"}'), (0, 1, None, '"{a"', '[1,{"c":null}]'), (0, 2, None, "null", "5"), (0, 3, None, None, None), (0, 4, None, None, None), (0, 5, None, "{}", "true")]
+
+
+def test_only_the_best_documents_of_a_query_leave_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vector = lambda k: [float(v) for v in rng.integers(-1, 2, 3)]  # noqa: E731  few of them, so that scores tie
+    parts = spark.createDataFrame([(k // 2, k % 2, vector(k)) for k in range(800)], "doc int, chunk int, vector array<double>").repartition(4).cache()
+    queries = spark.createDataFrame([(k, [1.0, k - 1.0, 0.5]) for k in range(3)], "query_id int, query_vector array<double>")
+    every = ranking.top_per(ranking.best_chunk(queries, parts), ["query_id"], [F.desc("score"), F.col("doc")], 5).drop("rank")
+    assert sorted(map(tuple, ranking.best_chunk(queries, parts, 5).collect())) == sorted(map(tuple, every.collect()))
+    assert blocks.best_parts(queries, parts, 5).count() <= 3 * 5 * 4
+    # a bound that is found on the way drops no document, whatever the order
+    monkeypatch.setattr(blocks, "HELD", 8)
+    docs, scores = rng.integers(0, 60, 400), np.round(rng.random((2, 400)), 1)
+    given = ((pa.record_batch({"doc": docs[k : k + 7], "key": np.arange(400)[k : k + 7]}), scores[:, k : k + 7]) for k in range(0, 400, 7))
+    kept = pa.Table.from_batches(blocks._kept(pa.array([0, 1]), given, 4, float("inf"), "doc", ["doc", "key"])).to_pylist()
+    best = {(q, d): min((-s, k) for k, (e, s) in enumerate(zip(docs, scores[q])) if e == d) for q in (0, 1) for d in set(docs)}
+    want = [(q, d, k, -s) for q in (0, 1) for s, d, k in sorted((s, d, k) for (p, d), (s, k) in best.items() if p == q)[:4]]
+    assert [(r["query_id"], r["doc"], r["key"], r["score"]) for r in kept] == want
