@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from civicspark.operators import blocks, graph, places, ranking, resolve, trie
-from civicspark.plans import catalog_import, catalog_streams
+from civicspark.plans import catalog_answers, catalog_import, catalog_streams
 from civicspark.sources import entities
 from civicspark.streaming import incremental
 
@@ -177,3 +177,39 @@ def test_only_the_best_documents_of_a_query_leave_a_task(spark, monkeypatch):
     best = {(q, d): min((-s, k) for k, (e, s) in enumerate(zip(docs, scores[q])) if e == d) for q in (0, 1) for d in set(docs)}
     want = [(q, d, k, -s) for q in (0, 1) for s, d, k in sorted((s, d, k) for (p, d), (s, k) in best.items() if p == q)[:4]]
     assert [(r["query_id"], r["doc"], r["key"], r["score"]) for r in kept] == want
+
+
+def test_all_orders_are_expanded_and_lists_of_neighbours_are_made_once_for_a_node(spark, small, monkeypatch):
+    rng = np.random.default_rng(8)
+    name = lambda: f"{'mapc'[rng.integers(4)]}_{rng.integers(12)}"
+    # one direction of an edge, or the first three of a relation would not be settled
+    edges = sorted({(*sorted((name(), name())), f"r{rng.integers(2)}") for _ in range(160)})
+    edges = [e for e in edges if e[0] != e[1]]
+    lists: dict = {}
+    for s, t, r in edges:
+        for here, node in {(s, t), (t, s)}:
+            lists.setdefault((here, r), []).append((node, s, t, r))
+    near = lambda at: [e for r in ("r0", "r1") for e in sorted(lists.get((at, r), []))[:3] if e[0][0] != "c"]
+    seeds, nodes, found = [f"m_{k}" for k in range(12)], {}, set()
+    for seed in seeds:
+        nodes[seed, seed] = 0
+        for number, kind in enumerate(["m", "a", "p", "a"]):
+            at = [seed] if number == 0 else [n for s, n in nodes if s == seed and n[0] == kind]
+            told = [e for n in at for e in near(n)]
+            found |= {(seed, *e[1:]) for e in told}
+            for e in told:
+                nodes.setdefault((seed, e[0]), number)
+    graph_ = spark.createDataFrame(edges, "source string, target string, relation string")
+    asked = spark.createDataFrame([(s,) for s in seeds * 2], "node string")
+    looked, inner = [], graph._near
+    monkeypatch.setattr(graph, "_near", lambda at, *rest: looked.append([r.node for r in at.collect()]) or inner(at, *rest))
+    for sent, kinds in ((100_000, 100), (0, 0)):
+        monkeypatch.setattr(graph, "NEAR_SENT", sent)
+        monkeypatch.setattr(graph, "KINDS", kinds)
+        looked.clear()
+        got, told = graph.expanded_in_rounds(asked, graph_, ["a", "p", "a"], skip=["c"], per_relation=3)
+        assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in nodes.items())
+        assert sorted(map(tuple, told.collect())) == sorted(found)
+        assert sum(map(len, looked)) == len({n for at in looked for n in at})
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert catalog_answers.g8(spark, small).select("seed").distinct().count() == lines
