@@ -210,6 +210,9 @@ def test_all_orders_are_expanded_and_lists_of_neighbours_are_made_once_for_a_nod
         got, told = graph.expanded_in_rounds(asked, graph_, ["a", "p", "a"], skip=["c"], per_relation=3)
         assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in nodes.items())
         assert sorted(map(tuple, told.collect())) == sorted(found)
-        assert sum(map(len, looked)) == len({n for at in looked for n in at})
+        tally = {(r.seed, r.relation): tuple(r)[2:] for r in graph.tallied_in_rounds(asked, graph_, ["a", "p", "a"], skip=["c"], per_relation=3).collect()}
+        of = {k: [e[1:3] for e in found if (e[0], e[3]) == k] for k in {(e[0], e[3]) for e in found}}
+        assert tally == {k: (len(v), len({s for s, _ in v}), len({t for _, t in v}), min(v)[0]) for k, v in of.items()}
+        assert sum(map(len, looked)) == 2 * len({n for at in looked for n in at})
     lines = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert catalog_answers.g8(spark, small).select("seed").distinct().count() == lines
